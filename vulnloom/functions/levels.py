@@ -6,7 +6,9 @@ from vulnloom import fixed_values as V
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    """Value bounded to [low, high]; null stays null."""
+    bounded = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    return F.when(value.isNotNull(), bounded)
 
 
 def normalize_score(value: Column, low: float, high: float) -> Column:
