@@ -100,6 +100,31 @@ def remediation_rows(html: Column) -> Column:
     return F.get(F.filter(F.transform(tables, rows_of), lambda r: F.size(r) > 0), F.lit(0))
 
 
+def remediation_rows_from_text(text: Column) -> Column:
+    """The same rows read from plain text.
+
+    Within the remediation section a product line opens a row; the first version line
+    after it is the affected range, the last further one the remediated version.
+    """
+    section = _strip(_cut(text, V.REMEDIATION_SECTION))
+    lines = _lines(section)
+    header = F.array_position(F.transform(lines, lambda x: x.rlike(V.TABLE_HEADER_LINE)), True).cast("int")
+    body = F.slice(lines, F.coalesce(header, F.lit(0)) + 1, F.greatest(F.size(lines), F.lit(1)))
+    known = lambda x: reduce(lambda a, b: a | b, [
+        F.contains(F.lower(x), F.lit(k.lower())) for k in V.TABLE_PRODUCT_KEYWORDS])
+    versioned = lambda x: x.rlike(V.VERSION_LINE)
+    places = F.filter(F.transform(body, lambda x, i: F.when(known(x) & ~versioned(x), i + 1)), lambda p: p.isNotNull())
+    ends = F.concat(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), F.array(F.size(body) + 1))
+
+    def row(place, i):
+        told = F.filter(F.slice(body, place + 1, F.get(ends, i) - place - 1), versioned)
+        later = F.when(F.size(told) > 1, F.element_at(told, -1))
+        return F.struct(F.get(body, place - 1).alias("product"), F.coalesce(F.get(told, F.lit(0)), F.lit("")).alias("affected"),
+                        F.coalesce(later, F.lit("")).alias("remediated"))
+
+    return F.when(F.size(places) > 0, F.transform(places, row))
+
+
 def solution_text(rows: Column) -> Column:
     """One line per remediation row that says anything about versions."""
     told = F.filter(rows, lambda r: (r["affected"] != "") | (r["remediated"] != ""))

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["core"]
+_MODULES = ["texts"]
 
 
 def load_all():

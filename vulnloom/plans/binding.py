@@ -153,6 +153,60 @@ class Logical:
             F.concat(F.lit("https://advisories.example.com/"), F.lower("dsa_id")).alias("link"),
         )
 
+    @_once
+    def advisory_pages(self) -> DataFrame:
+        """Web pages of the advisories: (dsa_id, url, html)."""
+        o = self.table("orders").select(
+            "*", advisory_id("o_orderkey").alias("dsa_id"), phrase("o_custkey").alias("phrase"),
+            F.expr("concat(1 + o_orderkey % 3, '.', o_custkey % 4, '.', o_orderkey % 2)").alias("v"),
+            F.expr("concat(2 + o_orderkey % 3, '.', o_custkey % 4, '.', o_orderkey % 2)").alias("v2"))
+        impact = F.expr(
+            "case o_orderpriority when '1-URGENT' then '<h2>Impact</h2><p>Critical</p>' "
+            "when '2-HIGH' then '<p data-severity=\"High\">Rated</p>' when '3-MEDIUM' then '<p>Overall severity: Medium</p>' "
+            "when '5-LOW' then '<p>A low severity finding</p>' "
+            "else concat('<p>Base Score: ', o_custkey % 10, '.', o_orderkey % 10, '</p>') end")
+        date = F.expr(
+            "case o_orderstatus when 'F' then concat('<h2>Revision History</h2><p>1.0</p><p>', date_format(o_orderdate, 'yyyy-MM-dd'), '</p>') "
+            "when 'O' then concat('<p>Article Created: ', date_format(o_orderdate, 'd MMMM yyyy'), '</p>') "
+            "else concat('<p>Last Modified: ', date_format(o_orderdate, 'MMMM d, yyyy'), '</p>') end")
+        html = F.concat(
+            F.lit("<html><head><title>x</title><style>p { margin: 0 }</style><script>var a = '<p>no</p>';</script></head>"
+                  "<body><nav><a href='/'>Home</a></nav><h1>"), "dsa_id", F.lit(": Security Update for Dell "), "phrase",
+            F.lit(" Vulnerabilities</h1><h2>Summary</h2><p>Dell "), "phrase",
+            F.lit(" remediation is available for\n  several issues &amp; weaknesses.</p><h2>Details</h2><p>"), F.repeat(F.lit("More words here, "), 30),
+            F.lit("end.</p>"), impact,
+            F.lit("<h2>Affected Products &amp; Remediation</h2><table><tr><th>CVEs</th><th>Product</th><th>Affected Versions</th>"
+                  "<th>Remediated Versions</th></tr><tr><td>CVE-2000-1000</td><td>Dell "), "phrase",
+            F.lit("</td><td>Versions prior to "), "v", F.lit("</td><td>Version "), "v2", F.lit(" or later</td></tr></table>"),
+            date, F.lit("<footer>Legal</footer></body></html>"))
+        return o.select("dsa_id", F.concat(F.lit("https://advisories.example.com/"), F.lower("dsa_id")).alias("url"), html.alias("html"))
+
+    @_once
+    def feed_pages(self) -> DataFrame:
+        """Feed pages of fifty vulnerabilities each, nested as the feed sends them."""
+        from vulnloom.sources.feed import CVE
+        p = self.table("part").select(
+            "*", feed_cve_id("p_partkey").alias("id"), F.expr("p_size / 5.0D").alias("s"),
+            F.expr("case when p_size >= 45 then 'CRITICAL' when p_size >= 35 then 'HIGH' when p_size >= 20 then 'MEDIUM' else 'LOW' end").alias("w"))
+        text = F.to_json(F.struct(
+            "id", F.expr("date_format(timestampadd(DAY, cast((p_partkey * 1117) % 2400 as int), timestamp_ntz'1995-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss\")").alias("published"),
+            F.expr("if(p_type = 'SMALL', 'Received', 'Analyzed')").alias("vulnStatus"),
+            F.expr("array(named_struct('lang', 'es', 'value', 'x'), named_struct('lang', 'en', 'value', p_name))").alias("descriptions"),
+            F.expr(
+                "case p_type when 'SMALL' then map() "
+                "when 'ECONOMY' then map('cvssMetricV2', array(named_struct('type', 'Primary', 'cvssData', named_struct('baseScore', s, 'baseSeverity', cast(null as string))))) "
+                "when 'PROMO' then map('cvssMetricV40', array(named_struct('type', 'Primary', 'cvssData', named_struct('baseScore', 0.0D, 'baseSeverity', 'NONE'))), "
+                "                      'cvssMetricV30', array(named_struct('type', 'Secondary', 'cvssData', named_struct('baseScore', s, 'baseSeverity', w)))) "
+                "else map('cvssMetricV31', array(named_struct('type', 'Secondary', 'cvssData', named_struct('baseScore', 1.0D, 'baseSeverity', 'LOW')), "
+                "                                named_struct('type', 'Primary', 'cvssData', named_struct('baseScore', s, 'baseSeverity', w)))) end").alias("metrics"),
+            F.expr("array(named_struct('nodes', array(named_struct('cpeMatch', array("
+                   "named_struct('vulnerable', true, 'criteria', concat('cpe:2.3:o:', p_brand, ':', replace(p_name, ' ', '_'), ':', p_size, ':*')), "
+                   "named_struct('vulnerable', false, 'criteria', 'cpe:2.3:h:other:other:1:*'))))))").alias("configurations"),
+            F.expr("array(named_struct('description', array(named_struct('lang', 'en', 'value', concat('CWE-', p_size)))))").alias("weaknesses")))
+        return (
+            p.select(F.floor(F.col("p_partkey") / 50).alias("page"), F.from_json(text, CVE).alias("cve"))
+            .groupBy("page").agg(F.collect_list(F.struct("cve")).alias("vulnerabilities")).select("vulnerabilities"))
+
     @_once
     def raw_vulnerabilities(self) -> DataFrame:
         """Vulnerabilities as stored: keys, dates and a JSON document (flat or nested)."""
