@@ -1 +1,12 @@
+"""Column functions.  Every function takes and returns columns of built-in expressions."""
 
+from pyspark.sql import Column, functions as F
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, which may use it many times.
+
+    Column arguments are pasted into every place they are used, so a nested extraction
+    would otherwise be repeated for each use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

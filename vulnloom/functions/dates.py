@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from vulnloom import fixed_values as V
+from vulnloom.functions import let
 
 DAY_MICROS = 86_400_000_000
 
@@ -22,9 +23,12 @@ def parse_date(raw: Column) -> Column:
 
     Unlike the length-limited parse it follows, long month names are understood.
     """
-    text = F.btrim(raw, F.lit(" \t\r\n"))
+    return let(F.btrim(raw, F.lit(" \t\r\n")), _parse_trimmed).cast("timestamp_ntz")
+
+
+def _parse_trimmed(text: Column) -> Column:
     iso = F.regexp_replace(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""), "T", " ")
-    parsed = F.coalesce(
+    return F.coalesce(
         _try(text, "yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
         _try(iso, "yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
         _try(iso, "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.(\d{3}|\d{6})$"),
@@ -32,7 +36,6 @@ def parse_date(raw: Column) -> Column:
         _try(F.initcap(text), "d MMMM yyyy", r"^\d{1,2} [A-Za-z]+ \d{4}$"),
         _try(F.initcap(text), "MMMM d, yyyy", r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
     )
-    return parsed.cast("timestamp_ntz")
 
 
 def parse_vendor_date(raw: Column) -> Column:
@@ -43,7 +46,11 @@ def parse_vendor_date(raw: Column) -> Column:
 
 def _written_date(text: Column) -> Column:
     """A date fragment cut out of a page, in any of the page formats."""
-    t = F.initcap(F.lower(F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" \t\r\n"))))
+    clean = F.initcap(F.lower(F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" \t\r\n"))))
+    return F.when(text.isNotNull(), let(clean, _read_written)).cast("date")
+
+
+def _read_written(t: Column) -> Column:
     no_comma = F.replace(t, F.lit(","), F.lit(""))
     return F.coalesce(
         _try(t, "d MMMM yyyy", r"^\d{1,2} [A-Za-z]+ \d{4}$"),
@@ -52,7 +59,7 @@ def _written_date(text: Column) -> Column:
         _try(no_comma, "MMM d yyyy", r"^[A-Za-z]{3} \d{1,2} \d{4}$"),
         _try(t, "yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
         _try(t, "M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ).cast("date")
+    )
 
 
 def _cut(text: Column, pattern: str) -> Column:
@@ -68,8 +75,7 @@ def revision_date(page: Column) -> Column:
         F.lit(r"(?:^|\n)\s*(?:\d+\.?\d*|[A-Z])\s+(" + "|".join([V.DATE_SHAPES[2], V.DATE_SHAPES[0], V.DATE_SHAPES[1]]) + ")"),
         F.lit(1),
     )
-    dated = F.filter(F.transform(rows, _written_date), lambda d: d.isNotNull())
-    return F.get(dated, F.lit(0))
+    return F.get(F.array_compact(F.transform(rows, _written_date)), F.lit(0))
 
 
 def published_date(page: Column, advisory_id: Column) -> Column:

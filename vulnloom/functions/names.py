@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from vulnloom import fixed_values as V
+from vulnloom.functions import let
 
 _NAME_EDGES = " ,.;:-—"
 _BLANKS = " \t\r\n"
@@ -57,66 +58,58 @@ def is_noise_product(name: Column) -> Column:
 def recover_product(name: Column, title: Column) -> Column:
     """The name itself, or for a noise phrase the product named in the title, or null."""
     head = F.get(F.split(title, V.TITLE_STOP_WORDS, 2), F.lit(0))
-    found = _strip(_cut(head, V.TITLE_RECOVER, 0))
-    recovered = F.when(~is_noise_product(found), found)
+    recovered = let(_strip(_cut(head, V.TITLE_RECOVER, 0)), lambda found: F.when(~is_noise_product(found), found))
     return F.when(is_noise_product(name), recovered).otherwise(name)
 
 
 def title_product(title: Column) -> Column:
     """The vendor phrase of a title, cleaned, or null."""
-    found = normalize_name(_cut(title, V.TITLE_VENDOR_PHRASE))
-    return F.when(is_valid_name(found), found)
+    return let(normalize_name(_cut(title, V.TITLE_VENDOR_PHRASE)), lambda found: F.when(is_valid_name(found), found))
 
 
 def products_of_advisory(affected: Column, title: Column) -> Column:
     """Sorted distinct product names: structured entries first, else the title phrase."""
     def entry_name(item):
         raw = F.coalesce(F.nullif(item["name"], F.lit("")), item["model"], F.lit(""))
-        name = normalize_name(raw)
-        kept = recover_product(name, title)
-        return F.when(is_valid_name(name) & is_valid_name(kept), kept)
+        checked = lambda name: F.when(is_valid_name(name), let(
+            recover_product(name, title), lambda kept: F.when(is_valid_name(kept), kept)))
+        return let(normalize_name(raw), checked)
 
-    listed = F.array_compact(F.transform(affected, entry_name))
-    fallback = title_product(title)
     none = F.array().cast("array<string>")
-    return F.when(F.size(listed) > 0, F.array_sort(F.array_distinct(listed))).otherwise(
-        F.when(fallback.isNotNull(), F.array(fallback)).otherwise(none))
+    named = F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.transform(affected, entry_name)))), none)
+    from_title = lambda: F.array_compact(F.array(title_product(title)))
+    return let(named, lambda listed: F.when(F.size(listed) > 0, listed).otherwise(from_title()))
 
 
 def products_from_title(title: Column) -> Column:
     """Products named by a title, through the ordered title patterns."""
-    clean = F.regexp_replace(title, V.TITLE_ID_PREFIX, "")
+    return let(F.regexp_replace(title, V.TITLE_ID_PREFIX, ""), _products_of_clean_title)
+
+
+def _products_of_clean_title(clean: Column) -> Column:
     none = F.array().cast("array<string>")
 
-    def one(text):
-        return F.array(_strip(text))
+    def step(found, give):
+        return let(found, lambda x: F.when(x.isNotNull(), give(x)))
+
+    one = lambda text: F.array(_strip(text))
 
     def parts(text, separator, shortest):
         pieces = F.transform(F.split(text, separator), _strip)
         return F.filter(pieces, lambda p: F.length(p) >= shortest)
 
-    emc, dell = _cut(clean, V.TITLE_VULN_EMC), _cut(clean, V.TITLE_VULN_DELL)
-    update_for = _strip(_cut(clean, V.TITLE_UPDATE_FOR))
-    before = _strip(_cut(clean, V.TITLE_BEFORE_UPDATE))
-    update_dell, notice = _cut(clean, V.TITLE_UPDATE_DELL), _cut(clean, V.TITLE_UPDATE_ADVISORY)
-
     def head(word):
         piece = _strip(F.get(F.split(clean, word), F.lit(0)))
         return F.when(F.contains(clean, F.lit(word)) & (piece != ""), F.array(piece))
 
     last = F.when(F.contains(clean, F.lit("Dell")), F.coalesce(head(" for "), head(" Security"), head(" Multiple"), none))
-    found = (
-        F.when(emc.isNotNull(), one(emc))
-        .when(dell.isNotNull(), one(dell))
-        .when(update_for.isNotNull(), F.when(F.contains(update_for, F.lit(" and ")), parts(update_for, " and ", 1))
-              .otherwise(F.array(update_for)))
-        .when(before.isNotNull(), F.when(F.contains(before, F.lit(",")), parts(before, ",", 4))
-              .otherwise(F.array(before)))
-        .when(update_dell.isNotNull(), one(update_dell))
-        .when(notice.isNotNull(), one(notice))
-        .otherwise(last)
-    )
-    return F.coalesce(found, none)
+    joined_by = lambda word, separator, shortest: lambda x: F.when(
+        F.contains(x, F.lit(word)), parts(x, separator, shortest)).otherwise(F.array(x))
+    return F.coalesce(
+        step(_cut(clean, V.TITLE_VULN_EMC), one), step(_cut(clean, V.TITLE_VULN_DELL), one),
+        step(_strip(_cut(clean, V.TITLE_UPDATE_FOR)), joined_by(" and ", " and ", 1)),
+        step(_strip(_cut(clean, V.TITLE_BEFORE_UPDATE)), joined_by(",", ",", 4)),
+        step(_cut(clean, V.TITLE_UPDATE_DELL), one), step(_cut(clean, V.TITLE_UPDATE_ADVISORY), one), last, none)
 
 
 def _joined(patterns):

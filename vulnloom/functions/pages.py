@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from vulnloom import fixed_values as V
+from vulnloom.functions import let
 
 _BLANKS = " \t\r\n"
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -48,13 +49,13 @@ def is_error_page(text: Column, advisory_id: Column) -> Column:
 
 def page_title(text: Column, advisory_id: Column) -> Column:
     """First of the first ten lines that looks like a title, else the first line."""
-    lines = _lines(text)
     fits = lambda x: (
         (F.length(x) > 15) & (F.length(x) < 300)
         & (F.contains(F.upper(x), F.lit("DSA")) | F.contains(x, F.lit("Dell")) | F.contains(x, F.lit("Security")))
     )
-    picked = F.get(F.filter(F.slice(lines, 1, 10), fits), F.lit(0))
-    return F.coalesce(picked, F.substring(F.get(lines, F.lit(0)), 1, 200), advisory_id)
+    picked = lambda lines: F.coalesce(
+        F.get(F.filter(F.slice(lines, 1, 10), fits), F.lit(0)), F.substring(F.get(lines, F.lit(0)), 1, 200))
+    return F.coalesce(let(_lines(text), picked), advisory_id)
 
 
 def page_summary(text: Column) -> Column:
@@ -84,11 +85,18 @@ def remediation_rows(html: Column) -> Column:
     def rows_of(table):
         rows = F.transform(
             F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1)), _cells)
+        return let(rows, lambda r: let(places(r), lambda p: named_rows(r, p)))
+
+    def places(rows):
         headers = F.transform(F.get(rows, F.lit(0)), F.lower)
         product = _column_of(headers, [("product",)])
         affected = _column_of(headers, [("affected", "version"), ("vulnerable", "version"), ("version", "affected")])
         fixed = _column_of(headers, [
             ("remediat", "version"), ("fixed", "version"), ("patched", "version"), ("remediation",)])
+        return F.struct(product.alias("product"), affected.alias("affected"), fixed.alias("fixed"))
+
+    def named_rows(rows, at):
+        product, affected, fixed = at["product"], at["affected"], at["fixed"]
         pick = lambda cells, i: F.coalesce(F.when(i.isNotNull(), F.get(cells, i)), F.lit(""))
         body = F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))
         named = F.transform(body, lambda c: F.struct(
@@ -107,20 +115,30 @@ def remediation_rows_from_text(text: Column) -> Column:
     after it is the affected range, the last further one the remediated version.
     """
     section = _strip(_cut(text, V.REMEDIATION_SECTION))
-    lines = _lines(section)
+    return let(_lines(section), lambda lines: let(_below_header(lines), _rows_of_lines))
+
+
+def _below_header(lines: Column) -> Column:
     header = F.array_position(F.transform(lines, lambda x: x.rlike(V.TABLE_HEADER_LINE)), True).cast("int")
-    body = F.slice(lines, F.coalesce(header, F.lit(0)) + 1, F.greatest(F.size(lines), F.lit(1)))
+    return F.slice(lines, F.coalesce(header, F.lit(0)) + 1, F.greatest(F.size(lines), F.lit(1)))
+
+
+def _rows_of_lines(body: Column) -> Column:
     known = lambda x: reduce(lambda a, b: a | b, [
         F.contains(F.lower(x), F.lit(k.lower())) for k in V.TABLE_PRODUCT_KEYWORDS])
     versioned = lambda x: x.rlike(V.VERSION_LINE)
-    places = F.filter(F.transform(body, lambda x, i: F.when(known(x) & ~versioned(x), i + 1)), lambda p: p.isNotNull())
+    found = F.array_compact(F.transform(body, lambda x, i: F.when(known(x) & ~versioned(x), i + 1)))
+    return let(found, lambda places: _rows_between(body, places, versioned))
+
+
+def _rows_between(body: Column, places: Column, versioned) -> Column:
     ends = F.concat(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), F.array(F.size(body) + 1))
 
     def row(place, i):
-        told = F.filter(F.slice(body, place + 1, F.get(ends, i) - place - 1), versioned)
-        later = F.when(F.size(told) > 1, F.element_at(told, -1))
-        return F.struct(F.get(body, place - 1).alias("product"), F.coalesce(F.get(told, F.lit(0)), F.lit("")).alias("affected"),
-                        F.coalesce(later, F.lit("")).alias("remediated"))
+        lines = F.filter(F.slice(body, place + 1, F.get(ends, i) - place - 1), versioned)
+        return let(lines, lambda told: F.struct(
+            F.get(body, place - 1).alias("product"), F.coalesce(F.get(told, F.lit(0)), F.lit("")).alias("affected"),
+            F.when(F.size(told) > 1, F.element_at(told, -1)).otherwise("").alias("remediated")))
 
     return F.when(F.size(places) > 0, F.transform(places, row))
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from vulnloom import fixed_values as V
+from vulnloom.functions import let
 
 
 def _lookup(key: Column, table: dict) -> Column:
@@ -44,8 +45,11 @@ def best_metric(metrics: Column, status: Column) -> Column:
 
     def chosen(version):
         entries = F.filter(F.try_element_at(metrics, F.lit(version)), usable)
-        primary = F.get(F.filter(entries, lambda e: e["type"] == "Primary"), F.lit(0))
-        entry = F.coalesce(primary, F.get(F.filter(entries, lambda e: ~(F.coalesce(e["type"], F.lit("")) == "Primary")), F.lit(0)))
+        is_primary = lambda e: F.coalesce(e["type"], F.lit("")) == "Primary"
+        first = lambda found: F.coalesce(F.get(F.filter(found, is_primary), F.lit(0)), F.get(found, F.lit(0)))
+        return let(entries, lambda found: let(first(found), described))
+
+    def described(entry):
         data = entry["cvssData"]
         return F.when(
             entry.isNotNull(),

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from vulnloom import fixed_values as V
+from vulnloom.functions import let
 from vulnloom.functions.names import in_product_line
 
 _BLANKS = " \t\r\n"
@@ -91,10 +92,11 @@ def anchors(text: Column, kind: Column) -> Column:
         pieces.append(F.transform(_all_of(text, pattern), tag(mark)))
     bounds = F.concat(*pieces)
     plain = F.transform(_all_of(text, V.VERSION_TOKEN), tag(""))
-    chosen = F.when(F.size(bounds) > 0, bounds).otherwise(plain)
-    valid = F.array_distinct(F.filter(chosen, lambda a: is_valid_version(a["version"], kind)))
+    usable = lambda found: F.array_distinct(F.filter(found, lambda a: is_valid_version(a["version"], kind)))
+    chosen = let(bounds, lambda b: usable(F.when(F.size(b) > 0, b).otherwise(plain)))
     unversioned = F.array(tag("")(F.lit("unversioned")))
-    return F.when(F.size(valid) > 0, valid).when(kind.isin(V.UNVERSIONED_TYPES), unversioned).otherwise(valid)
+    return let(chosen, lambda valid: F.when(
+        (F.size(valid) == 0) & kind.isin(V.UNVERSIONED_TYPES), unversioned).otherwise(valid))
 
 
 def is_noise_entry(text: Column) -> Column:
@@ -118,7 +120,10 @@ def split_entry(raw: Column) -> Column:
     text = _strip(raw)
     for prefix in V.ENTRY_PREFIXES:
         text = F.regexp_replace(text, prefix, "")
+    return let(text, _split_clean_entry)
 
+
+def _split_clean_entry(text: Column) -> Column:
     def as_struct(product, version, qualifier):
         return F.struct(_strip(product).alias("product"), _strip(version).alias("version"),
                         F.lit(qualifier).alias("qualifier"))
@@ -164,8 +169,11 @@ def _no_versions():
 
 def entry_versions(raw: Column, line: Column) -> Column:
     """At most one version struct from an entry, if it is a product of the line."""
-    parts = split_entry(raw)
-    name = canonical_name(parts["product"])
+    return let(split_entry(raw), lambda parts: let(
+        canonical_name(parts["product"]), lambda name: _entry_version(raw, line, parts, name)))
+
+
+def _entry_version(raw, line, parts, name) -> Column:
     keep = (
         ~is_noise_entry(raw) & (parts["version"] != "") & ~is_generic_name(parts["product"])
         & (F.length(name) >= 3) & in_product_line(name, line)
@@ -191,9 +199,9 @@ def text_versions(text: Column, line: Column) -> Column:
         F.transform(_all_of(text, "(?i)" + pattern), describe(kind, confidence))
         for pattern, kind, confidence in V.TEXT_VERSION_PATTERNS if confidence >= 0.90
     ]
-    found = F.concat(*pieces)
-    numbers = F.transform(found, lambda v: v["version_number"])
-    first = F.filter(found, lambda v, i: F.array_position(numbers, v["version_number"]) == i + 1)
+    numbers = lambda found: F.transform(found, lambda v: v["version_number"])
+    first = let(F.concat(*pieces), lambda found: F.filter(
+        found, lambda v, i: F.array_position(numbers(found), v["version_number"]) == i + 1))
     keep = ~is_noise_entry(text) & in_product_line(name, line)
     return F.when(keep, first).otherwise(_no_versions())
 
