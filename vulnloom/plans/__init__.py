@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["texts"]
+_MODULES = ["lookups"]
 
 
 def load_all():

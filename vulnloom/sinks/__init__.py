@@ -1 +1 @@
-
+"""Writers: exports, snapshots, append-only tables."""
