@@ -72,17 +72,25 @@ def advisories_by_cve(table, cve_id: str, ids="cve_ids") -> DataFrame:
     return table.where(F.array_contains(ids, cve_id.upper()))
 
 
-def page(table: DataFrame, order, number: int, size: int) -> DataFrame:
-    """One page with row numbers, the total and the page number clamped to the existing pages.
+def page(table: DataFrame, number: int, size: int, date="published", key="cve_id") -> DataFrame:
+    """One page, newest first, with the total and the page number clamped to existing pages.
 
-    Rows are placed by counting larger sort keys per range of a sorted table, so no
-    single task sees the whole table: only the rows before the page's end are taken.
+    Days are placed by running counts, so only the days that touch the page are sorted.
     """
-    total = table.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    days = table.groupBy(F.to_date(date).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    total = days.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
     pages = max(1, -(-total // size))
     number = max(1, min(number, pages))
-    taken = table.orderBy(*order).offset((number - 1) * size).limit(size)
-    return taken.select("*", F.lit(total).alias("total"), F.lit(number).alias("page"), F.lit(pages).alias("total_pages"))
+    start = (number - 1) * size
+    newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    touched = days.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(
+        (F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
+    inside = Window.partitionBy("_day").orderBy(F.desc(date), key)
+    place = F.col("_before") + F.row_number().over(inside)
+    return (
+        table.withColumn("_day", F.to_date(date)).join(touched, "_day").withColumn("place", place)
+        .where((F.col("place") > start) & (F.col("place") <= start + size)).drop("_day", "_n", "_before")
+        .select("*", F.lit(total).alias("total"), F.lit(number).alias("page"), F.lit(pages).alias("total_pages")))
 
 
 def first_of(table: DataFrame, keys, order) -> DataFrame:

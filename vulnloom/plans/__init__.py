@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["lookups"]
+_MODULES = ["firmware", "forecasts"]
 
 
 def load_all():

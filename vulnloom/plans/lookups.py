@@ -84,9 +84,9 @@ def search_two_stage_columns(t):
     return hits.select("doc_id", "stage")
 
 
-@query("search_articles", """SELECT doc_id FROM documents WHERE text ILIKE '%contact%' OR source ILIKE '%contact%' ORDER BY doc_id LIMIT 100""")
+@query("search_articles", """SELECT doc_id FROM documents WHERE text ILIKE '%license%' OR source ILIKE '%license%' ORDER BY doc_id LIMIT 100""")
 def search_articles(t):
-    return lookup.search_columns(t.table("documents"), ["text", "source"], "contact", "doc_id").select("doc_id")
+    return lookup.search_columns(t.table("documents"), ["text", "source"], "license", "doc_id").select("doc_id")
 
 
 @query("article_by_number", """SELECT item_id, md5(text) AS digest FROM benchmark WHERE item_id::VARCHAR = '7' OR text ILIKE '%7%'
@@ -152,7 +152,7 @@ def first_product_match(t):
         (count(*) OVER () + 99) // 100 AS total_pages, row_number() OVER (ORDER BY published DESC, dsa_id) AS r FROM advisory)
     WHERE r > 100 AND r <= 200""", "advisory"))
 def advisory_page_two(t):
-    return lookup.page(t.advisories(), [F.desc("published"), "dsa_id"], 2, 100).select("dsa_id", "total", "page", "total_pages")
+    return lookup.page(t.advisories(), 2, 100, key="dsa_id").select("dsa_id", "total", "page", "total_pages")
 
 
 @query("severity_totals", sql("SELECT severity, count(*) AS n FROM vulnerability GROUP BY 1", "vulnerability"))
@@ -310,7 +310,7 @@ def delete_cascade(t):
 @query("number_gaps", """
     WITH ids AS (SELECT 1995 + o_orderkey % 7 AS year, o_orderkey // 7 AS number FROM orders WHERE o_orderstatus <> 'P'),
     every AS (SELECT year, unnest(generate_series(1, max(number))) AS number FROM ids GROUP BY year)
-    SELECT year::INT AS year, number, 'DSA-' || year || '-' || lpad(number::VARCHAR, greatest(length(number::VARCHAR), 3), '0') AS dsa_id
+    SELECT year::INT AS year, number, 'DSA-' || year || '-' || lpad(number::VARCHAR, greatest(length(number::VARCHAR), 3)::INT, '0') AS dsa_id
     FROM every ANTI JOIN ids USING (year, number)""")
 def number_gaps(t):
     ids = t.table("orders").where("o_orderstatus <> 'P'").select(
