@@ -1,5 +1,6 @@
 """Product-name columns: cleaning, noise tests, product lines, title extraction."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -116,17 +117,25 @@ def _joined(patterns):
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-_ANY_LINE = _joined([p for patterns in V.PRODUCT_LINES.values() for p in patterns])
+def _word(pattern):
+    """The first plain word of a pattern, lower-cased: text without it cannot match."""
+    return re.search("[A-Za-z0-9]{2,}", re.sub(r"\\[bsd]|\(\?<!\w+\)", " ", pattern)).group(0).lower()
+
+
+_LINE_WORDS = {name: sorted({_word(p) for p in patterns}) for name, patterns in V.PRODUCT_LINES.items()}
 
 
 def product_lines(text: Column) -> Column:
     """Every product line whose patterns occur in the text, in the fixed order.
 
-    One projection without join or UDF.  A row that matches no pattern at all is
-    settled by a single test.
+    One projection without join or UDF.  A pattern runs only on text that holds its word.
     """
-    hits = F.array(*[F.when(text.rlike(_joined(p)), F.lit(name)) for name, p in V.PRODUCT_LINES.items()])
-    return F.when(text.rlike(_ANY_LINE), F.array_compact(hits)).otherwise(F.array().cast("array<string>"))
+    def hits(low):
+        return F.array_compact(F.array(*[
+            F.when(_any([F.contains(low, F.lit(w)) for w in _LINE_WORDS[name]]) & text.rlike(_joined(p)), F.lit(name))
+            for name, p in V.PRODUCT_LINES.items()]))
+
+    return F.coalesce(let(F.lower(text), hits), F.array().cast("array<string>"))
 
 
 def in_product_line(text: Column, line: Column) -> Column:

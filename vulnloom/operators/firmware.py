@@ -9,6 +9,7 @@ one row per version, however many advisories a group has.
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from vulnloom.functions import unnest
 from vulnloom.functions.dates import bucket_30d, elapsed_days, minus_days
 from vulnloom.functions.levels import exposure_band
 from vulnloom.functions.names import product_lines
@@ -27,11 +28,12 @@ def firmware_keys(documents: DataFrame) -> DataFrame:
     found = kinds.select("dsa_id", "published", "firmware_type", "lines",
                          F.when(F.size("m") > 0, F.col("m")).otherwise(F.array(F.lit(""))).alias("m"),
                          anchors(F.col("text"), F.col("firmware_type")).alias("a"))
-    return (
-        found.select("dsa_id", "published", "firmware_type", F.explode("lines").alias("line"), "m", "a")
-        .select("dsa_id", "published", "firmware_type", "line", F.explode("m").alias("model"), "a")
-        .select("dsa_id", "published", "line", "model", "firmware_type", F.explode("a").alias("a"))
-        .select("dsa_id", "published", *GROUP, "a.version", "a.qualifier").distinct())
+    def combined(line):
+        return F.flatten(F.transform("m", lambda model: F.transform("a", lambda a: F.struct(
+            line.alias("line"), model.alias("model"), a["version"].alias("version"), a["qualifier"].alias("qualifier")))))
+
+    rows = unnest(found, F.flatten(F.transform("lines", combined)), "k")
+    return rows.select("dsa_id", "published", "k.line", "k.model", "firmware_type", "k.version", "k.qualifier").distinct()
 
 
 def ranked_versions(keys: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom import fixed_values as V
+from vulnloom.functions import let, unnest
 from vulnloom.functions.dates import bucket_30d, minus_days
 from vulnloom.functions.levels import at_least_one, poisson_high, poisson_low, probability_level
 from vulnloom.functions.names import product_lines
@@ -21,15 +22,13 @@ def advisory_versions(documents: DataFrame) -> DataFrame:
     names = F.concat_ws("\n", "title", F.array_join(F.transform("affected_products", lambda e: F.concat_ws(
         " ", F.coalesce(e["name"], F.lit("")), F.coalesce(e["model"], F.lit("")))), " "))
     raws = F.filter(F.flatten(F.transform("affected_products", lambda e: F.array(e["name"], e["model"]))), lambda x: x != "")
-    lined = documents.select("dsa_id", "title", "published", raws.alias("raws"), F.explode(product_lines(names)).alias("line"))
-    found = lined.select(
-        "dsa_id", "published", "line", "title",
-        F.flatten(F.transform("raws", lambda raw: entry_versions(raw, F.col("line")))).alias("listed"))
-    any_listed = found.groupBy("dsa_id").agg(F.max(F.size("listed")).alias("n_listed"))
-    chosen = found.join(any_listed, "dsa_id").select(
-        "dsa_id", "published", "line",
-        F.explode(F.when(F.col("n_listed") > 0, F.col("listed")).otherwise(text_versions(F.col("title"), F.col("line")))).alias("v"))
-    rows = chosen.select("dsa_id", "published", "line", "v.*")
+    of_line = lambda found, line: F.transform(found, lambda v: F.struct(line.alias("line"), v.alias("v")))
+    listed = lambda lines, raws: F.flatten(F.transform(lines, lambda line: F.flatten(
+        F.transform(raws, lambda raw: of_line(entry_versions(raw, line), line)))))
+    titled = lambda lines: F.flatten(F.transform(lines, lambda line: of_line(text_versions(F.col("title"), line), line)))
+    lined = documents.select("dsa_id", "title", "published", raws.alias("raws"), product_lines(names).alias("lines"))
+    found = let(listed(F.col("lines"), F.col("raws")), lambda x: F.when(F.size(x) > 0, x).otherwise(titled(F.col("lines"))))
+    rows = unnest(lined, found, "k").select("dsa_id", "published", "k.line", "k.v.*")
     best = rows.groupBy("dsa_id", "published", *KEY).agg(
         F.max_by(F.struct("version_type", "qualifier", "confidence"), F.struct("confidence", "qualifier", "version_type")).alias("b"))
     return best.select("dsa_id", "published", *KEY, "b.*")
@@ -37,8 +36,8 @@ def advisory_versions(documents: DataFrame) -> DataFrame:
 
 def cve_versions(cves: DataFrame) -> DataFrame:
     """Version keys named by vulnerability texts: input cve_id, description, published, cvss."""
-    lined = cves.select("*", F.explode(product_lines(F.col("description"))).alias("line"))
-    return lined.select("cve_id", "published", "cvss", "line", F.explode(text_versions(F.col("description"), F.col("line"))).alias("v")).select(
+    lined = unnest(cves, product_lines(F.col("description")), "line")
+    return unnest(lined, text_versions(F.col("description"), F.col("line")), "v").select(
         "cve_id", "published", "cvss", "line", "v.product_name", "v.version_number").distinct()
 
 

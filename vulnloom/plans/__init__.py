@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["firmware", "forecasts"]
+_MODULES = ["firmware", "forecasts", "texts"]
 
 
 def load_all():

@@ -242,6 +242,20 @@ class Logical:
     def classified_as(self) -> DataFrame:
         return self.vulnerabilities().select("cve_id", F.explode("weaknesses").alias("cwe_id"))
 
+    @_once
+    def firmware_keys(self) -> DataFrame:
+        """Firmware keys, extracted from the texts once and stored."""
+        from vulnloom.operators.firmware import firmware_keys
+        from vulnloom.session import checkpointed
+        return checkpointed(firmware_keys(self.advisory_documents()))
+
+    @_once
+    def advisory_versions(self) -> DataFrame:
+        """Version keys, extracted from the texts once and stored."""
+        from vulnloom.operators.versions import advisory_versions
+        from vulnloom.session import checkpointed
+        return checkpointed(advisory_versions(self.advisory_documents()))
+
     @_once
     def known_exploited(self) -> DataFrame:
         return self.table("part").where("p_brand = 'Brand#7'").select(feed_cve_id("p_partkey").alias("cve_id"))

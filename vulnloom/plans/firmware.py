@@ -20,13 +20,13 @@ _VERSIONS = """
 
 @query("advisory_versions", sql("SELECT dsa_id, line, product_name, version_number, qualifier FROM ver", "advisory_text", ver=_VERSIONS))
 def advisory_versions(t):
-    return versions.advisory_versions(t.advisory_documents()).select("dsa_id", "line", "product_name", "version_number", "qualifier")
+    return t.advisory_versions().select("dsa_id", "line", "product_name", "version_number", "qualifier")
 
 
 @query("version_keys", sql("SELECT line || '::' || product_name || '::' || version_number AS version_key, line AS product_line, product_name, version_number, count(*) AS n FROM ver GROUP BY ALL",
                            "advisory_text", ver=_VERSIONS))
 def version_keys(t):
-    rows = versions.advisory_versions(t.advisory_documents())
+    rows = t.advisory_versions()
     keyed = rows.groupBy(version_key(F.col("line"), F.col("product_name"), F.col("version_number")).alias("version_key")).agg(F.count(F.lit(1)).alias("n"))
     return keyed.select("version_key", "n", split_version_key(F.col("version_key")).alias("k")).select("version_key", "k.*", "n")
 
@@ -55,7 +55,7 @@ def version_forecasts(t, days=30, min_confidence=0.5):
         "line", F.round(F.col("base_rate") + F.lit(1e-9), 3).alias("base_rate"),
         F.round(F.col("recent_rate") + F.lit(1e-9), 3).alias("recent_rate"), "trend_multiplier")
     return versions.forecast_versions(
-        versions.advisory_versions(t.advisory_documents()), _cve_versions(t), t.dated_mentions(), rates, t.as_of, days, min_confidence)
+        t.advisory_versions(), _cve_versions(t), t.dated_mentions(), rates, t.as_of, days, min_confidence)
 
 
 _VF = dict(
@@ -140,11 +140,11 @@ _HIT_TABLES = ("advisory_text", "advisory", "mention", "vulnerability", "kev")
 
 @query("firmware_keys", sql("SELECT dsa_id, line, model, firmware_type, version, qualifier FROM keys", "advisory_text", keys=_KEYS))
 def firmware_keys(t):
-    return firmware.firmware_keys(t.advisory_documents()).drop("published")
+    return t.firmware_keys().drop("published")
 
 
 def firmware_scores(t):
-    keys = firmware.firmware_keys(t.advisory_documents())
+    keys = t.firmware_keys()
     scores = advisory_cvss(t.advisories(), t.mentions(), t.vulnerabilities())
     return firmware.assess(firmware.expand(keys, scores, t.known_exploited(), t.mentions()), t.as_of)
 
@@ -173,7 +173,7 @@ def firmware_unversioned_view(t):
 def firmware_coverage(t):
     docs = t.advisory_documents()
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return firmware.coverage(firmware.firmware_keys(docs), n).withColumn("pct_with_model", F.round("pct_with_model", 6))
+    return firmware.coverage(t.firmware_keys(), n).withColumn("pct_with_model", F.round("pct_with_model", 6))
 
 
 @query("firmware_reverse_lookup", sql(f"""SELECT dsa_id, strftime(published, '%Y-%m-%d') AS published, cvss, cvss_source, coalesce(n, 0) AS n_kev FROM (
@@ -185,7 +185,7 @@ def firmware_coverage(t):
 def firmware_reverse_lookup(t):
     scores = advisory_cvss(t.advisories(), t.mentions(), t.vulnerabilities())
     rows = firmware.affecting_advisories(
-        firmware.firmware_keys(t.advisory_documents()), scores, t.mentions(), t.known_exploited(), kind="Software", version="2.0.1", line="PowerStore (主存储)")
+        t.firmware_keys(), scores, t.mentions(), t.known_exploited(), kind="Software", version="2.0.1", line="PowerStore (主存储)")
     return rows.withColumn("published", F.date_format("published", "yyyy-MM-dd"))
 
 
@@ -195,7 +195,7 @@ _ONE_KEY = f"""SELECT DISTINCT dsa_id, published FROM keys WHERE line = 'PowerSt
 
 
 def _one_key(t):
-    keys = firmware.firmware_keys(t.advisory_documents())
+    keys = t.firmware_keys()
     return firmware.hits_of(keys, kind="Software", version="2.0.1", line="PowerStore (主存储)", own_always=True)
 
 

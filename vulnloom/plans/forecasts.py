@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vulnloom import fixed_values as V
-from vulnloom.functions import names
+from vulnloom.functions import names, unnest
 from vulnloom.functions.severity import severity_to_cvss
 from vulnloom.operators import forecast
 from vulnloom.plans.binding import AS_OF, BACKTEST_CUTOFFS
@@ -69,10 +69,10 @@ def customer_features(t, cutoffs=BACKTEST_CUTOFFS):
 
 def product_line_tables(t):
     """(line list, line advisories, line vulnerabilities) by the text classifier."""
-    line = lambda text: F.explode(names.product_lines(F.col(text))).alias("line")
+    lined = lambda table, text: unnest(table, names.product_lines(F.col(text)), "line")
     lines = t.spark.createDataFrame([(x,) for x in V.PRODUCT_LINES], "line string")
-    advisories = t.advisories().select(line("title"), "dsa_id", "published")
-    cves = t.vulnerabilities().select(line("description"), "cve_id", "published", F.coalesce("score", F.lit(0.0)).alias("cvss"))
+    advisories = lined(t.advisories(), "title").select("line", "dsa_id", "published")
+    cves = lined(t.vulnerabilities(), "description").select("line", "cve_id", "published", F.coalesce("score", F.lit(0.0)).alias("cvss"))
     return lines, advisories, cves
 
 

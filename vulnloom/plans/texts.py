@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vulnloom import fixed_values as V
-from vulnloom.functions import dates, ids, levels, names, pages, severity, versions
+from vulnloom.functions import dates, ids, levels, names, pages, severity, unnest, versions
 from vulnloom.plans.binding import PHRASES, feed_cve_id, phrase
 from vulnloom.plans.logical_sql import (
     NOW, advisory_id, case_map, days_between, feed_cve, line_of, phrase as q_phrase, sql, text, texts)
@@ -132,20 +132,20 @@ def title_products(t):
         ELSE full_name || ' ' || v || ' and later' END AS product FROM advisory_text""", "advisory_text"))
 def advisory_products(t):
     docs = stored.parse_advisories(t.raw_advisories())
-    return docs.select("dsa_id", F.explode(names.products_of_advisory(F.col("affected_products"), F.col("title"))).alias("product"))
+    return unnest(docs, names.products_of_advisory(F.col("affected_products"), F.col("title")), "product").select("dsa_id", "product")
 
 
 @query("title_fallback_products", f"""
     SELECT {advisory_id('o_orderkey')} AS dsa_id, 'Dell ' || {q_phrase('o_custkey')} AS product FROM orders""")
 def title_fallback_products(t):
     none = F.array().cast("array<struct<name:string,model:string,version_range:string>>")
-    return t.advisories().select("dsa_id", F.explode(names.products_of_advisory(none, F.col("title"))).alias("product"))
+    return unnest(t.advisories(), names.products_of_advisory(none, F.col("title")), "product").select("dsa_id", "product")
 
 
 @query("line_classification", f"""
     SELECT {advisory_id('o_orderkey')} AS dsa_id, {line_of('o_custkey')} AS line FROM orders WHERE {line_of('o_custkey')} IS NOT NULL""")
 def line_classification(t):
-    return t.advisories().select("dsa_id", F.explode(names.product_lines(F.col("title"))).alias("line"))
+    return unnest(t.advisories().select("dsa_id", "title"), names.product_lines(F.col("title")), "line").drop("title")
 
 
 @query("line_document_counts", " UNION ALL ".join(
@@ -153,7 +153,7 @@ def line_classification(t):
     for line, patterns in V.PRODUCT_LINES.items()))
 def line_document_counts(t):
     """Whole texts of the document table through the line patterns."""
-    hits = t.table("documents").select(F.explode(names.product_lines(F.col("text"))).alias("line"))
+    hits = unnest(t.table("documents").select("text"), names.product_lines(F.col("text")), "line")
     return hits.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -281,7 +281,7 @@ def remediation_from_text(t):
         F.lit("Intro\nAffected Products and Remediation\nProduct  Affected Versions\n"), block(F.concat(F.lit("Dell "), phrase("o_custkey"))),
         block(F.lit("Dell Second")), F.lit("Workarounds\nDell Third\nVersions prior to 9.9\n"))
     from vulnloom.plans.binding import advisory_id as dsa
-    rows = t.table("orders").select(dsa("o_orderkey").alias("dsa_id"), F.explode(pages.remediation_rows_from_text(body)).alias("r"))
+    rows = unnest(t.table("orders").select(dsa("o_orderkey").alias("dsa_id"), body.alias("body")), pages.remediation_rows_from_text(F.col("body")), "r")
     return rows.select("dsa_id", "r.product", "r.affected", "r.remediated")
 
 
@@ -318,7 +318,7 @@ def severity_functions(t):
     SELECT DISTINCT line, trim(regexp_replace(regexp_replace(lower(line), '[^\\w一-鿿]+', '-', 'g'), '-+', '-', 'g'), '-') AS anchor
     FROM (SELECT {line_of('o_custkey')} AS line FROM orders) WHERE line IS NOT NULL""")
 def customer_anchors(t):
-    lines = t.advisories().select(F.explode(names.product_lines(F.col("title"))).alias("line")).distinct()
+    lines = unnest(t.advisories().select("title"), names.product_lines(F.col("title")), "line").select("line").distinct()
     return lines.select("line", names.anchor(F.col("line")).alias("anchor"))
 
 
