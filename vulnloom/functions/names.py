@@ -119,7 +119,7 @@ def _joined(patterns):
 
 def _word(pattern):
     """The first plain word of a pattern, lower-cased: text without it cannot match."""
-    return re.search("[A-Za-z0-9]{2,}", re.sub(r"\\[bsd]|\(\?<!\w+\)", " ", pattern)).group(0).lower()
+    return re.search("[A-Za-z0-9]{2,}", re.sub(r"\\[bsd]|\(\?<!\w+\)|\w\?", " ", pattern)).group(0).lower()
 
 
 _LINE_WORDS = {name: sorted({_word(p) for p in patterns}) for name, patterns in V.PRODUCT_LINES.items()}

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["firmware", "forecasts", "texts"]
+_MODULES = ["sharing", "reports"]
 
 
 def load_all():
