@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["sharing", "reports"]
+_MODULES = ["core", "texts", "lookups", "sharing", "forecasts", "firmware", "reports", "learning"]
 
 
 def load_all():

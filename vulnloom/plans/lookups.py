@@ -314,7 +314,7 @@ def delete_cascade(t):
     FROM every ANTI JOIN ids USING (year, number)""")
 def number_gaps(t):
     ids = t.table("orders").where("o_orderstatus <> 'P'").select(
-        F.expr("concat('dsa-', 1995 + o_orderkey % 7, '-', lpad(cast(o_orderkey div 7 as string), 3, '0'))").alias("dsa_id"))
+        F.expr("concat('dsa-', 1995 + o_orderkey % 7, '-', lpad(cast(o_orderkey div 7 as string), greatest(3, length(cast(o_orderkey div 7 as string))), '0'))").alias("dsa_id"))
     return merge.number_gaps(ids)
 
 

@@ -1 +1 @@
-
+"""Structured Streaming jobs: incremental advisory merge and windowed counts."""
