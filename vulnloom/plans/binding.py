@@ -242,28 +242,35 @@ class Logical:
     def classified_as(self) -> DataFrame:
         return self.vulnerabilities().select("cve_id", F.explode("weaknesses").alias("cwe_id"))
 
-    @_once
+    def stored(self, name: str, build) -> DataFrame:
+        """A table that several plans start from: built once and kept on reliable storage."""
+        from vulnloom.session import checkpointed
+        if name not in self._built:
+            self._built[name] = checkpointed(build())
+        return self._built[name]
+
     def firmware_keys(self) -> DataFrame:
         """Firmware keys, extracted from the texts once and stored."""
         from vulnloom.operators.firmware import firmware_keys
-        from vulnloom.session import checkpointed
-        return checkpointed(firmware_keys(self.advisory_documents()))
+        return self.stored("firmware_keys", lambda: firmware_keys(self.advisory_documents()))
 
-    @_once
     def advisory_versions(self) -> DataFrame:
         """Version keys, extracted from the texts once and stored."""
         from vulnloom.operators.versions import advisory_versions
-        from vulnloom.session import checkpointed
-        return checkpointed(advisory_versions(self.advisory_documents()))
+        return self.stored("advisory_versions", lambda: advisory_versions(self.advisory_documents()))
 
     @_once
     def known_exploited(self) -> DataFrame:
         return self.table("part").where("p_brand = 'Brand#7'").select(feed_cve_id("p_partkey").alias("cve_id"))
 
-    @_once
     def product_cve(self) -> DataFrame:
+        """Distinct (product, cve_id), the reverse index of the graph."""
         from vulnloom.operators.graph import product_cve
-        return product_cve(self.mentions(), self.affects())
+        return self.stored("product_cve", lambda: product_cve(self.mentions(), self.affects()))
+
+    def product_cwe(self) -> DataFrame:
+        from vulnloom.operators.graph import product_cwe
+        return self.stored("product_cwe", lambda: product_cwe(self.product_cve(), self.classified_as()))
 
     @_once
     def line_advisories(self) -> DataFrame:

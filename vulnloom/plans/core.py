@@ -123,7 +123,7 @@ def advisories_of_cve(t):
 @query("weakness_counts_of_product", sql(
     "SELECT product, count(*) AS n_cwes FROM product_cwe GROUP BY 1", "product_cwe"))
 def weakness_counts_of_product(t):
-    return graph.product_cwe(t.product_cve(), t.classified_as()).groupBy("product").agg(F.count(F.lit(1)).alias("n_cwes"))
+    return t.product_cwe().groupBy("product").agg(F.count(F.lit(1)).alias("n_cwes"))
 
 
 _HUB = "SELECT cve_id FROM mention GROUP BY cve_id ORDER BY count(*) DESC, cve_id LIMIT 1"
@@ -169,7 +169,7 @@ _RANK_TABLES = ("vulnerability", "mention", "affect", "classified", "product_cve
 def ranks(t):
     cves = graph.filled_cves(t.vulnerabilities(), t.mentions())
     products = t.affects().select("product").distinct()
-    return graph.rank(cves, products, t.mentions(), t.affects(), t.classified_as().distinct())
+    return t.stored("ranks", lambda: graph.rank(cves, products, t.mentions(), t.affects(), t.classified_as().distinct()))
 
 
 @query("page_rank", sql("SELECT id, type, round(rank, 6) AS rank FROM ranks", *_RANK_TABLES, **_RANK_CTES))
@@ -201,8 +201,8 @@ _FACTOR_CTES = dict(
 
 def factors(t):
     products = t.affects().select("product").distinct()
-    return scoring.product_factors(
-        products, t.product_cve(), t.vulnerabilities(), t.classified_as(), ranks(t), t.as_of)
+    return t.stored("factors", lambda: scoring.product_factors(
+        products, t.product_cve(), t.vulnerabilities(), t.classified_as(), ranks(t), t.as_of))
 
 
 @query("product_scores", sql(f"""

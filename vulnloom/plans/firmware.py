@@ -47,7 +47,8 @@ def cve_versions(t):
 
 
 def _cve_versions(t):
-    return versions.cve_versions(t.vulnerabilities().select("cve_id", "description", "published", F.coalesce("score", F.lit(0.0)).alias("cvss")))
+    texts = t.vulnerabilities().select("cve_id", "description", "published", F.coalesce("score", F.lit(0.0)).alias("cvss"))
+    return t.stored("cve_versions", lambda: versions.cve_versions(texts))
 
 
 def version_forecasts(t, days=30, min_confidence=0.5):
@@ -146,7 +147,8 @@ def firmware_keys(t):
 def firmware_scores(t):
     keys = t.firmware_keys()
     scores = advisory_cvss(t.advisories(), t.mentions(), t.vulnerabilities())
-    return firmware.assess(firmware.expand(keys, scores, t.known_exploited(), t.mentions()), t.as_of)
+    expanded = t.stored("firmware_expanded", lambda: firmware.expand(keys, scores, t.known_exploited(), t.mentions()))
+    return firmware.assess(expanded, t.as_of)
 
 
 @query("firmware_exposure", sql(f"""SELECT line, model, firmware_type, version, qualifier, direct_count, expanded_count, {q6('avg_cvss')} AS avg_cvss, kevn AS kev_count,

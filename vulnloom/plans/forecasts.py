@@ -63,8 +63,8 @@ _PRODUCT_TABLES = ("advisory", "vulnerability", "first_mention")
 
 def customer_features(t, cutoffs=BACKTEST_CUTOFFS):
     advisories = t.line_advisories()
-    return forecast.line_features(
-        advisories.select("line").distinct(), advisories, t.line_cves(), t.dated_mentions(), cutoffs, DAYS)
+    return t.stored(f"customer_features {cutoffs}", lambda: forecast.line_features(
+        advisories.select("line").distinct(), advisories, t.line_cves(), t.dated_mentions(), cutoffs, DAYS))
 
 
 def product_line_tables(t):
@@ -78,7 +78,8 @@ def product_line_tables(t):
 
 def product_features(t, cutoffs=(AS_OF,)):
     lines, advisories, cves = product_line_tables(t)
-    return forecast.line_features(lines, advisories, cves, t.dated_mentions(), list(cutoffs), DAYS)
+    return t.stored(f"product_features {cutoffs}", lambda: forecast.line_features(
+        lines, advisories, cves, t.dated_mentions(), list(cutoffs), DAYS))
 
 
 _FORECAST = f"""SELECT line, n_total, n_12m, n_3m, n_cves, open_cves, {q6('base')} AS base_rate, {q6('sev')} AS severity_factor, {q6('e')} AS expected,

@@ -11,6 +11,23 @@ def r6(column):
     return F.round(column + F.lit(1e-9), 6)
 
 
+_LOGICAL = {}
+
+
+def logical(spark, sf_dir):
+    """The logical tables of one folder, shared by all queries of a session."""
+    from vulnloom.plans.binding import Logical
+    key = (spark.sparkContext.applicationId, id(spark), str(sf_dir))
+    if key not in _LOGICAL:
+        _LOGICAL[key] = Logical(spark, sf_dir)
+    return _LOGICAL[key]
+
+
+def forget():
+    """Drop the shared tables, so that the next query builds its own again."""
+    _LOGICAL.clear()
+
+
 def query(name, oracle=None):
     """Register ``fn(logical) -> DataFrame`` under ``name``."""
     def keep(fn):
@@ -18,8 +35,7 @@ def query(name, oracle=None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark, sf_dir):
-            from vulnloom.plans.binding import Logical
-            return fn(Logical(spark, sf_dir))
+            return fn(logical(spark, sf_dir))
 
         run.__name__ = name
         QUERIES[name] = run

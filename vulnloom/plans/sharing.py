@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.operators import graph, sharing, similarity
+from vulnloom.operators import sharing, similarity
 from vulnloom.plans.logical_sql import r6 as q6, sql
 from vulnloom.plans.registry import query, r6
 
@@ -67,7 +67,7 @@ _SIM = """SELECT coalesce(v.source, w.source) AS source, coalesce(v.item, w.item
     wo="SELECT a.product AS source, b.product AS item, count(*) AS s FROM product_cwe a JOIN product_cwe b USING (cwe_id) WHERE a.product IN (SELECT product FROM src) AND a.product <> b.product GROUP BY 1, 2",
     wj="SELECT source, item, s / (x.n + y.n - s)::DOUBLE AS j FROM wo JOIN wsizes x ON x.product = source JOIN wsizes y ON y.product = item"))
 def similar_products(t):
-    cwe = graph.product_cwe(t.product_cve(), t.classified_as())
+    cwe = t.product_cwe()
     return similarity.similar_products(t.product_cve(), cwe, _top(t, 3)).withColumn("similarity", r6("similarity"))
 
 
@@ -80,7 +80,7 @@ _PAIR_SIM = dict(
 
 @query("similar_product_pairs", sql(f"SELECT pa AS product_a, pb AS product_b, {q6('sim')} AS similarity FROM near", "product_cve", "product_cwe", **_PAIR_SIM))
 def similar_product_pairs(t):
-    cwe = graph.product_cwe(t.product_cve(), t.classified_as())
+    cwe = t.product_cwe()
     p = similarity.similar_product_pairs(t.product_cve(), cwe, FLOOR)
     return p.select(F.col("a").alias("product_a"), F.col("b").alias("product_b"), r6("similarity").alias("similarity"))
 
@@ -93,5 +93,5 @@ _CLUSTER_SQL = "WITH RECURSIVE " + sql("", "product_cve", "product_cwe", **_PAIR
 
 @query("product_clusters", _CLUSTER_SQL)
 def product_clusters(t):
-    cwe = graph.product_cwe(t.product_cve(), t.classified_as())
+    cwe = t.product_cwe()
     return similarity.cluster_products(t.product_cve(), cwe, FLOOR)
