@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.functions.ids import cve_year
 from vulnloom.operators import counts, graph, lookup, merge
 from vulnloom.plans.binding import AS_OF, advisory_id as dsa
 from vulnloom.plans.logical_sql import NOW, advisory_id, sql
@@ -65,9 +64,6 @@ def search_documents_phrase(t):
     return lookup.search_phrase(t.table("documents"), "text", "Apache License", "doc_id").select("doc_id")
 
 
-_TWO_STAGE = """SELECT doc_id, {stage} AS stage FROM documents WHERE {test} ORDER BY doc_id LIMIT 100"""
-
-
 @query("search_two_stage", f"""
     WITH one AS (SELECT doc_id, n_chars, 1 AS stage FROM documents WHERE contains(upper(source), 'LICENSE') OR contains(upper(lang), 'LICENSE')),
     two AS (SELECT doc_id, n_chars, 2 AS stage FROM documents WHERE contains({_padded('text')}, ' license ') AND NOT EXISTS (SELECT 1 FROM one))
