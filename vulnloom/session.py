@@ -1,7 +1,9 @@
 """Session settings the library expects, and access to the shared checkpoint folder."""
 
-import os
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,20 +23,65 @@ def build_session(app_name="vulnloom", master=None, **extra):
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` on reliable storage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of intermediate data that driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session without that
-    setting (tests) gets a private folder; a cluster session without it is an error,
-    because a machine-local folder would not survive the loss of an executor.
+    It is named by ``spark.checkpoint.dir``.  A local session without that setting (tests)
+    gets a folder of its own; a cluster session without it is an error, because a
+    machine-local folder would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="vulnloom-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name="table") -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    This cuts the lineage and keeps column pruning, pushdown and statistics.  ``discard``
+    removes the files; what is left goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vulnloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``stored`` wrote and nothing needs any more."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path and path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
+
+
+def _delete(spark, path):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _discard_all():
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(spark, path)
+
+
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` on reliable storage, in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="vulnloom-checkpoint-", dir=os.environ.get("TMPDIR"))
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
