@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import mixing
+from vulnloom.llm import mixing, secrets
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -42,3 +42,9 @@ def op1_mix_to_targets(spark, sf_dir):
     """All documents mixed to the targets of their sources, by weighted fair queueing."""
     docs = table(spark, sf_dir, "documents")
     return mixing.mix_shares(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    """Secrets in all documents, by one combined automaton."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
