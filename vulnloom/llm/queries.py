@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import mixing, secrets
+from vulnloom.llm import decontaminate, mixing, secrets
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -48,3 +48,28 @@ def op1_mix_to_targets(spark, sf_dir):
 def op2_secret_scan(spark, sf_dir):
     """Secrets in all documents, by one combined automaton."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+LOW_WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAK_SQL = f"""
+with d as (select doc_id, coalesce({LOW_WORDS.format(text='text')}, []) as w from {{documents}}),
+b as (select item_id::varchar as item_id, {LOW_WORDS.format(text='text')} as w from benchmark where text is not null),
+windows as (select distinct item_id, w[s:s + 9] as win
+            from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as s from b where len(w) > 0)),
+sizes as (select distinct len(win) as n from windows),
+places as (select doc_id, s, n, w[s:s + n - 1] as win
+           from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as s from d, sizes where len(w) >= n)),
+hits as (select doc_id, item_id, s, n from places join windows using (win)),
+covered as (select doc_id, count(distinct p)::bigint as n_hit
+            from (select doc_id, unnest(generate_series(s, s + n - 1)) as p from hits) group by doc_id),
+items as (select doc_id, count(*)::bigint as n_items, string_agg(item_id, ',' order by item_id) as ids
+          from (select distinct doc_id, item_id from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)"""
+
+
+@query("op6_decontaminate", LEAK_SQL.format(documents="documents"))
+def op6_decontaminate(spark, sf_dir):
+    """Words of all documents that lie in a ten-word window of a benchmark item."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
