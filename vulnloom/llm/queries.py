@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, mixing, secrets
+from vulnloom.llm import decontaminate, mixing, secrets, simhash
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -73,3 +73,9 @@ from d left join covered using (doc_id) left join items using (doc_id)"""
 def op6_decontaminate(spark, sf_dir):
     """Words of all documents that lie in a ten-word window of a benchmark item."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_simhash_near_duplicates")
+def op5_simhash_near_duplicates(spark, sf_dir):
+    """Groups of all documents whose fingerprints link at two differing bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
