@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, mixing, secrets, simhash
+from vulnloom.llm import decontaminate, mixing, repetition, secrets, simhash
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -79,3 +79,9 @@ def op6_decontaminate(spark, sf_dir):
 def op5_simhash_near_duplicates(spark, sf_dir):
     """Groups of all documents whose fingerprints link at two differing bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_repetition_rules")
+def op7_repetition_rules(spark, sf_dir):
+    """Quality rules on the repetition in all documents, by suffix arrays."""
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
