@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, mixing, repetition, secrets, simhash
+from vulnloom.llm import decontaminate, mixing, quality, repetition, secrets, simhash
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -85,3 +85,9 @@ def op5_simhash_near_duplicates(spark, sf_dir):
 def op7_repetition_rules(spark, sf_dir):
     """Quality rules on the repetition in all documents, by suffix arrays."""
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    """Quality scores of all documents by attention over their passages."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
