@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, mixing, quality, repetition, secrets, simhash
+from vulnloom.llm import decontaminate, mixing, quality, repetition, secrets, simhash, toxicity
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -91,3 +91,9 @@ def op7_repetition_rules(spark, sf_dir):
 def op9_quality_classifier(spark, sf_dir):
     """Quality scores of all documents by attention over their passages."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents by class-conditional Kneser-Ney models."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -14,7 +14,7 @@ from vulnloom.session import discard, stored
 #: Fingerprints that the partitioning tree is built from, at most (8 bytes each, on the driver).
 TREE_SAMPLE = 65_536
 #: Fingerprints that a shard is to have, about, and sampled ones that a shard needs.
-SHARD_ROWS, SHARD_SAMPLE = 8192, 16
+SHARD_ROWS, SHARD_SAMPLE = 2048, 16
 #: Pairs that are compared at once inside a shard.
 BLOCK_PAIRS = 1 << 21
 SEED = 42
