@@ -28,8 +28,8 @@ TRAIN_ROWS = 4000
 PARTS = 4
 #: Fewer joint occurrences leave an expression to the shared counts.
 CUTOFF, DISCOUNT = 4, 0.75
-#: Counts are kept in tables of 2 ** BITS places, twice with different places; the smaller one holds.
-BITS = 20
+#: Expressions of a table of the model, at most: the most frequent ones; the others are left to the backoff.
+MODEL_ROWS = 1 << 20
 #: Bytes of the stems, shorter first; a word of no more bytes is its own stem.
 STEMS = (4, 6)
 #: Weight of the bigram estimate against the continuation estimate.
@@ -37,54 +37,64 @@ BIGRAM = 0.5
 #: Lengths of the stretches whose evidence is normalised by themselves.
 STRETCHES = (1, 2, 8)
 
-_CLEAN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256)).lower()
-_PAIR = 0x85EBCA6B
+_CLEAN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
 def tokens(data: bytes) -> np.ndarray:
     """32-bit hashes of the words' stems and of the words, a row for each level.
 
-    Words are runs of ASCII letters and digits, lower-cased, and of other signs.
+    Words are lower-cased runs of ASCII letters and digits and of signs beyond ASCII.
     """
-    words = data.translate(_CLEAN).split()
+    words = data.decode().lower().encode().translate(_CLEAN).split()
     levels = [[w[:k] for w in words] for k in STEMS] + [words]
     return np.array([np.fromiter(map(crc32, level, [salt] * len(words)), np.uint32, len(words)) for salt, level in enumerate(levels)])
 
 
 def _pairs(words, before):
-    return (before * np.uint32(_PAIR)) ^ words
+    return (before.astype(np.int64) << np.int64(32)) ^ words
 
 
 def _before(words):
     return np.concatenate([np.zeros(min(1, len(words)), np.uint32), words[:-1]])
 
 
-def _places(keys):
-    """A key's places in the two tables: its lowest and its highest bits; no two keys share both."""
-    return (keys & np.uint32((1 << BITS) - 1)).astype(np.int64), (keys >> np.uint32(32 - BITS)).astype(np.int64)
+class Table:
+    """Columns of numbers by key; keys that are not held have zeros."""
 
+    def __init__(self, rows: pd.DataFrame, columns):
+        rows = rows.sort_values("key")
+        self.keys = rows["key"].to_numpy(np.int64)
+        self.columns = [np.append(rows[c].to_numpy(np.float32), np.float32(0)) for c in columns]
+        self.there = np.zeros(1 << 20, bool)  # a quick test that most unknown keys fail
+        self.there[self._slot(self.keys)] = True
 
-def by_place(counts: DataFrame, columns) -> list[pd.DataFrame]:
-    """The two tables of counts: counts at one place are added, so at most 2 ** BITS rows of each reach the driver."""
-    key = F.col("key")
-    first, second = key.bitwiseAND((1 << BITS) - 1), F.shiftright(key, 32 - BITS)
-    sums = [F.sum(c).cast("double").alias(c) for c in columns]
-    return [counts.groupBy(place.alias("place")).agg(*sums).toPandas() for place in (first, second)]
+    @staticmethod
+    def _slot(keys):
+        return (keys ^ (keys >> np.int64(20)) ^ (keys >> np.int64(32))) & np.int64((1 << 20) - 1)
+
+    def get(self, keys):
+        at = np.full(len(keys), len(self.keys))
+        if len(self.keys):
+            ask = np.flatnonzero(self.there[self._slot(keys)])
+            found = np.minimum(np.searchsorted(self.keys, keys[ask]), len(self.keys) - 1)
+            hit = self.keys[found] == keys[ask]
+            at[ask[hit]] = found[hit]
+        return [column[at] for column in self.columns]
 
 
 class Model:
-    def __init__(self, shared, words, pairs, history, totals):
-        self.shared, self.words, self.pairs, self.history, self.totals = shared, words, pairs, history, totals
+    def __init__(self, words, pairs, history, totals):
+        self.words, self.pairs, self.history, self.totals = words, pairs, history, totals
         self.curve = None
 
     def evidence(self, found: np.ndarray) -> np.ndarray:
         """log P(word | word before) of the toxic model less that of the ordinary one, for each word."""
         words = found[-1]
         before = _before(words)
-        counts = [_look(self.shared, level)[0] for level in found]
-        types = [_look(self.words, level) for level in found]
-        seen = _look(self.pairs, _pairs(words, before))
-        history = _look(self.history, before)
+        known = [self.words.get(level.astype(np.int64)) for level in found]
+        types, counts = [x[:2] for x in known], [x[2] for x in known]
+        seen = self.pairs.get(_pairs(words, before))
+        history = self.history.get(before.astype(np.int64))
         logs = []
         for c in (0, 1):
             single, above = 1.0, self.totals["shared"] + 1
@@ -94,10 +104,10 @@ class Model:
                 left = self.totals["left"][level]
                 single = (1 - left) * np.maximum(types[level][c] - DISCOUNT, 0) / self.totals["mass"][level][c] + left * single * part
                 above = count
-            known = history[2 * c] > 0
-            size = np.where(known, history[2 * c], 1)
+            told = history[2 * c] > 0
+            size = np.where(told, history[2 * c], 1)
             back = np.clip(1 - history[2 * c + 1] / size, 0, 1)
-            after = np.where(known, np.maximum(seen[c] - DISCOUNT, 0) / size + back * single, single)
+            after = np.where(told, np.maximum(seen[c] - DISCOUNT, 0) / size + back * single, single)
             logs.append(np.log(BIGRAM * after + (1 - BIGRAM) * single))
         return logs[1] - logs[0]
 
@@ -115,19 +125,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([(rows - mean) / scale, np.ones(len(rows))]) @ weights, -30, 30)))
 
 
-def _look(tables, keys):
-    first, second = _places(keys)
-    return [np.minimum(a[first], b[second]) for a, b in tables]
-
-
-def _dense(counts: DataFrame, columns):
-    out = []
-    first, second = by_place(counts, columns)
-    for c in columns:
-        out.append([np.bincount(t["place"].to_numpy(np.int64), t[c].to_numpy(float), 1 << BITS).astype(np.float32) for t in (first, second)])
-    return out
-
-
 def logistic(rows: np.ndarray, labels: np.ndarray, penalty=1.0):
     """(mean, scale, weights) of a logistic curve, either class weighing as it occurs; Newton steps."""
     mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
@@ -143,6 +140,11 @@ def logistic(rows: np.ndarray, labels: np.ndarray, penalty=1.0):
     return mean, scale, w
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The expressions that reach the cutoff, the most frequent MODEL_ROWS of them."""
+    return counts.where(f"n0 + n1 >= {CUTOFF}").orderBy(F.desc(F.col("n0") + F.col("n1")), "key").limit(MODEL_ROWS)
+
+
 def _word_counts(batches):
     for batch in batches:
         found = [np.zeros(0, np.uint32), *(tokens(data).ravel() for data in batch["text"])]
@@ -158,14 +160,15 @@ def _pair_counts(batches):
             _, at, n = np.unique((before.astype(np.uint64) << np.uint64(32)) | levels[-1], return_index=True, return_counts=True)
             levels, before = levels[:, at], before[at]
             yield pd.DataFrame({"label": label, "before": before.astype(np.int64), **{f"level{i}": x.astype(np.int64) for i, x in enumerate(levels)},
-                                "key": _pairs(levels[-1], before).astype(np.int64), "n": n.astype(np.int64)})
+                                "key": _pairs(levels[-1], before), "n": n.astype(np.int64)})
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows_per_class=TRAIN_ROWS, label="toxic") -> Model | float:
     """The model; a plain share where the labels do not show both classes.
 
     Class counts come from at most ``rows_per_class`` labelled documents of either class, the
-    shared counts from all words of all documents.  The driver gets tables of fixed size.
+    shared counts from all words of all documents.  The driver gets at most MODEL_ROWS rows of
+    each table.
     """
     sample = stored(labelled_sample(documents, labels, label, rows_per_class).select(
         "label", utf8(F.col("text")).alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part")), "sample")
@@ -185,14 +188,14 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class=TRAIN_ROWS, labe
         follows = pairs.groupBy("before", level).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         counted = stored(follows.groupBy(F.col(level).alias("key")).agg(
             *[F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).alias(f"n{c}") for c in (0, 1)]), "types")
-        kept = counted.where(f"n0 + n1 >= {CUTOFF}")
+        kept = frequent(counted)
         whole, held = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first(), kept.agg(*over).first()
         types.append(kept)
         made.append(counted)
         mass.append([max(1e-9, held[f"m{c}"] or 0.0) for c in (0, 1)])
         # both classes leave the same share to the backoff, so that an unknown word says nothing
         left.append(max(max(1e-3, 1 - mass[-1][c] / max(1, whole[f"n{c}"] or 0)) for c in (0, 1)))
-    kept_pairs = pairs.where(f"n0 + n1 >= {CUTOFF}")
+    kept_pairs = stored(frequent(pairs), "pairs").select("before", "key", "n0", "n1")
     history = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).join(
         kept_pairs.groupBy(F.col("before").alias("key")).agg(*over), "key")
     shared = stored(documents.select(utf8(F.col("text")).alias("text")).mapInPandas(_word_counts, "key long, n long").groupBy("key").agg(
@@ -200,7 +203,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class=TRAIN_ROWS, labe
     all_types = types[0]
     for more in types[1:]:
         all_types = all_types.unionByName(more)
-    model = Model(_dense(shared, ["n"]), _dense(all_types, ["n0", "n1"]), _dense(kept_pairs, ["n0", "n1"]), _dense(history, ["n0", "m0", "n1", "m1"]),
+    words = all_types.join(shared, "key", "left").select("key", "n0", "n1", F.coalesce("n", F.lit(0)).alias("n"))
+    model = Model(Table(words.toPandas(), ["n0", "n1", "n"]), Table(kept_pairs.toPandas(), ["n0", "n1"]), Table(history.toPandas(), ["n0", "m0", "n1", "m1"]),
                   {"shared": float(shared.agg(F.sum("n")).first()[0] or 0) / len(levels), "mass": mass, "left": left})
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
