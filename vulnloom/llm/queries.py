@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, mixing, quality, repetition, secrets, simhash, toxicity
+from vulnloom.llm import decontaminate, mixing, pii, quality, repetition, secrets, simhash, toxicity
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +97,9 @@ def op9_quality_classifier(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     """Toxicity scores of all documents by class-conditional Kneser-Ney models."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark, sf_dir):
+    """Personal data in all documents: base formats, and candidates that boosted trees select."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
