@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, mixing, pii, quality, repetition, secrets, simhash, toxicity
+from vulnloom.llm import decontaminate, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -103,3 +103,23 @@ def op8_toxicity(spark, sf_dir):
 def op10_personal_data(spark, sf_dir):
     """Personal data in all documents: base formats, and candidates that boosted trees select."""
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+WINDOW_SQL = f"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) as w from documents),
+places as (select doc_id, s, list_aggregate(w[s:s + 19], 'string_agg', ' ') as win
+           from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as s from d where len(w) >= 20)),
+firsts as (select doc_id, s, row_number() over (partition by win order by doc_id, s) as n from places),
+gone as (select distinct doc_id, p from (select doc_id, unnest(generate_series(s, s + 19)) as p from firsts where n > 1)),
+words as (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as p from d),
+kept as (select words.doc_id, count(*) filter (gone.p is not null)::bigint as n_removed,
+                string_agg(word, ' ' order by words.p) filter (gone.p is null) as kept
+         from words left join gone on words.doc_id = gone.doc_id and words.p = gone.p group by words.doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
+
+@query("op3_substring_dedup", WINDOW_SQL)
+def op3_substring_dedup(spark, sf_dir):
+    """Words of all documents outside repeated windows of twenty words, by suffix trees."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
