@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
+from vulnloom.llm import decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
 from vulnloom.llm.common import WORD, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -123,3 +123,9 @@ from d left join kept using (doc_id)"""
 def op3_substring_dedup(spark, sf_dir):
     """Words of all documents outside repeated windows of twenty words, by suffix trees."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark, sf_dir):
+    """All documents without the lines that repeat earlier ones, exactly or nearly."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
