@@ -46,7 +46,7 @@ def corpus():
 def test_removed_words_equal_brute_force(spark, monkeypatch, chunk, group):
     monkeypatch.setattr(substrings, "GROUP_ROWS", group)
     rows = corpus()
-    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start int, n_words string").repartition(5)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, spans int, d string").repartition(5)
     monkeypatch.setattr(substrings, "CHUNK_WORDS", chunk)
     expected = plain(rows)
     assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=str) == [r[:4] for r in expected]

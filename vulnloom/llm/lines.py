@@ -187,11 +187,7 @@ def links(lines: DataFrame) -> DataFrame | None:
     return edges
 
 
-def later_lines(texts: DataFrame) -> DataFrame:
-    """(d, k, gone): for each text (d, k, text) the numbers of the lines of whose component an earlier one stays."""
-    lines = stored(texts.mapInArrow(_line_rows, LINES), "lines")
-    edges = links(lines)
-    release(texts)
+def _gone(lines: DataFrame, edges: DataFrame | None) -> DataFrame:
     first = F.min(F.struct("d", "no", "k")).alias("first")
     firsts = lines.groupBy("key").agg(first, F.count(F.lit(1)).alias("n"))
     if edges is None or edges.isEmpty():
@@ -203,10 +199,18 @@ def later_lines(texts: DataFrame) -> DataFrame:
         known = joined.where("component is not null or n > 1").join(whole, "component", "left").select("key", F.coalesce("whole", "first").alias("first"))
     gone = lines.select("key", "d", "k", "no").join(known, "key").where(
         (F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")) | (F.col("no") != F.col("first.no")))
-    out = stored(gone.groupBy("d", "k").agg(F.collect_list("no").alias("gone")), "gone")
+    return stored(gone.groupBy("d", "k").agg(F.collect_list("no").alias("gone")), "gone")
+
+
+def later_lines(texts: DataFrame) -> DataFrame:
+    """(d, k, gone): for each text (d, k, text) the numbers of the lines of whose component an earlier one stays."""
+    lines = stored(texts.mapInArrow(_line_rows, LINES), "lines")
+    edges = links(lines)
+    release(texts)
+    gone = _gone(lines, edges)
     discard(lines)
     release(texts)
-    return out
+    return gone
 
 
 def _kept(text: bytes, gone) -> tuple[int, bytes]:
@@ -231,7 +235,8 @@ def _with_gone(documents: DataFrame, columns) -> DataFrame:
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("__d"), F.coalesce(F.hash("text"), F.lit(0)).alias("__k")]
     base = documents.select(*columns, utf8(F.col("text")).alias("__text"), *key)
     gone = later_lines(base.select(F.col("__text").alias("text"), F.col("__d").alias("d"), F.col("__k").alias("k")))
-    return base.join(gone, (F.col("__d") == F.col("d")) & (F.col("__k") == F.col("k")), "left")
+    gone = gone.select(F.col("d").alias("__of_d"), F.col("k").alias("__of_k"), F.col("gone").alias("__gone"))
+    return base.join(gone, (F.col("__d") == F.col("__of_d")) & (F.col("__k") == F.col("__of_k")), "left")
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -242,13 +247,13 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     id and text count as one.  A null text is one empty line; other columns are not read.
     """
     found = _with_gone(documents, ["doc_id"])
-    return found.select("doc_id", F.pandas_udf(_digests, "n_lines long, n_removed long, kept_sha256 string")("__text", "gone").alias("r")).select("doc_id", "r.*")
+    return found.select("doc_id", F.pandas_udf(_digests, "n_lines long, n_removed long, kept_sha256 string")("__text", "__gone").alias("r")).select("doc_id", "r.*")
 
 
 def without_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents with the lines that ``dedup_lines`` keeps; their n_chars, if there, follow the texts. Null texts stay null."""
     found = _with_gone(documents, documents.columns)
-    out = found.withColumn("text", F.when(F.col("text").isNotNull(), F.pandas_udf(_texts, "string")("__text", "gone")))
+    out = found.withColumn("text", F.when(F.col("text").isNotNull(), F.pandas_udf(_texts, "string")("__text", "__gone")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)

@@ -198,20 +198,30 @@ def _tree_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[later].astype(t)) for x, t in ((d, np.int64), (k, np.int32), (start, np.int32))], ["d", "k", "start"])
 
 
-def later_windows(texts: DataFrame) -> DataFrame:
-    """(d, k, spans): for each text (d, k, text) the runs of window starts whose words also start earlier."""
+def repeated_suffixes(texts: DataFrame) -> DataFrame:
+    """The suffixes whose anchor occurs twice or more, merged within each task, and runs of those known to be later ones."""
     anchors = texts.mapInArrow(_anchor_rows, "anchor long, d long, k int, place int")
     twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("known"))
     places = anchors.join(twice, F.col("anchor") == F.col("known"), "left_semi").groupBy(
         F.col("d").alias("of_d"), F.col("k").alias("of_k")).agg(F.collect_list("place").alias("places"))
     met = texts.join(places, (F.col("d") == F.col("of_d")) & (F.col("k") == F.col("of_k"))).select("text", "d", "k", "places")
-    suffixes = stored(met.mapInArrow(_suffix_rows, SUFFIXES), "suffixes")
-    release(texts)
+    return stored(met.mapInArrow(_suffix_rows, SUFFIXES), "suffixes")
+
+
+def later_runs(suffixes: DataFrame) -> DataFrame:
+    """(d, k, spans): for each text the runs of window starts whose words also start earlier."""
     split = split_by_prefix(suffixes.where("p0 is not null").drop("stop"))
     trees = split.repartition("bits", "a", "b").sortWithinPartitions("p0", "p1", "p2", "d", "start").select("p0", "p1", "p2", "d", "k", "start")
     found = trees.mapInArrow(_tree_rows, "d long, k int, start int").select("d", "k", "start", F.col("start").alias("stop"))
     runs = suffixes.where("p0 is null").select("d", "k", "start", "stop").unionAll(found)
-    spans = stored(runs.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    return stored(runs.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+
+
+def later_windows(texts: DataFrame) -> DataFrame:
+    """``later_runs`` of the texts (d, k, text); what one step has shuffled goes before the next one."""
+    suffixes = repeated_suffixes(texts)
+    release(texts)
+    spans = later_runs(suffixes)
     discard(suffixes)
     release(texts)
     return spans
@@ -241,11 +251,12 @@ def _with_spans(documents: DataFrame, columns) -> DataFrame:
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("__d"), F.coalesce(F.hash("text"), F.lit(0)).alias("__k")]
     base = documents.select(*columns, utf8(F.col("text")).alias("__text"), *key)
     spans = later_windows(base.select(F.col("__text").alias("text"), F.col("__d").alias("d"), F.col("__k").alias("k")))
-    return base.join(spans, (F.col("__d") == F.col("d")) & (F.col("__k") == F.col("k")), "left")
+    spans = spans.select(F.col("d").alias("__of_d"), F.col("k").alias("__of_k"), F.col("spans").alias("__spans"))
+    return base.join(spans, (F.col("__d") == F.col("__of_d")) & (F.col("__k") == F.col("__of_k")), "left")
 
 
 def _argument() -> list[Column]:
-    return [F.col("__text"), F.col("spans")["start"], F.col("spans")["stop"]]
+    return [F.col("__text"), F.col("__spans")["start"], F.col("__spans")["stop"]]
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
