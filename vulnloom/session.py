@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark removes the shuffle files of an execution at its end, not when their plan is collected.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app_name="vulnloom", master=None, **extra):
     """Create or reuse a session.  On a cluster the deployment sets master, memory and partitions."""
     builder = (
@@ -43,12 +47,21 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name="table") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
-    This cuts the lineage and keeps column pruning, pushdown and statistics.  ``discard``
-    removes the files; what is left goes when the driver ends.
+    This cuts the lineage and keeps column pruning, pushdown and statistics.  The shuffle
+    files of the write go when it has ended.  ``discard`` removes the table's files; what is
+    left goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vulnloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     _WRITTEN[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_path = path
