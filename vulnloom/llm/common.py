@@ -1,7 +1,5 @@
 """Small helpers that the corpus operators share."""
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of anything but blanks and the ASCII line and tab controls.
@@ -42,11 +40,3 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows_pe
         seen.where("label = 1").orderBy(*order).limit(rows_per_class))
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-
-def release(frame: DataFrame) -> None:
-    """Let Spark remove the shuffle files of finished steps now.
-
-    It does so when the driver collects plans that nothing refers to, which may be long after.
-    """
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()

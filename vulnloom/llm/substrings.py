@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vulnloom.llm.common import release, utf8
+from vulnloom.llm.common import utf8
 from vulnloom.session import discard, stored
 
 #: Words of a window, of an edge, and of an anchor.
@@ -31,7 +31,7 @@ GROUP_ROWS = 200_000
 #: Lengths of prefixes in bits of the path.
 PREFIX_BITS = (16, 32, 64, 128, 160)
 #: Words of the texts that one task merges at once, about.
-CHUNK_WORDS = 700_000
+CHUNK_WORDS = 1_200_000
 _FACTOR = 0x9E3779B97F4A7C15
 SUFFIXES = "p0 long, p1 long, p2 int, d long, k int, start int, stop int"
 
@@ -129,7 +129,8 @@ def _suffix_rows(batches):
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(starts)), 0))
         text, place = words.text[starts], words.place[starts]
         later = (d[text] != d[text[head]]) | (place != place[head])  # rows of one id tie at equal places
-        first = ~later
+        first = np.flatnonzero(~later)
+        first = first[np.argsort(starts[first])]  # in the order of the texts ids and starts take less room
         yield _rows(p0[first], p1[first], p2[first], d[text[first]], k[text[first]], place[first], place[first])
         done = np.sort(starts[later])
         if len(done):
@@ -218,12 +219,10 @@ def later_runs(suffixes: DataFrame) -> DataFrame:
 
 
 def later_windows(texts: DataFrame) -> DataFrame:
-    """``later_runs`` of the texts (d, k, text); what one step has shuffled goes before the next one."""
+    """``later_runs`` of the texts (d, k, text), over a stored table of suffixes."""
     suffixes = repeated_suffixes(texts)
-    release(texts)
     spans = later_runs(suffixes)
     discard(suffixes)
-    release(texts)
     return spans
 
 
