@@ -106,3 +106,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width=10) -> DataF
     return base.join(hit, same, "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, width=10) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with their columns."""
+    hit = matches(documents, benchmark, width).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key"))
+    return documents.join(hit, same, "left_anti")
