@@ -3,10 +3,11 @@
 A line is judged by its words, joined by one blank.  Equal lines are one line from the start.
 Its character shingles are hashed once, and the least hash of each of BANDS x ROWS equal slices
 of the hash range is the signature (an empty slice borrows from the next one).  Lines that
-agree in a whole band are candidates.  In each bucket of a band the lines are compared with a
-leader by the exact similarity of their shingle sets; lines that no leader covers choose the
-next one among themselves, and what is left after LEADERS rounds is compared with the whole
-bucket.  So a bucket of n variants of one line costs n comparisons.
+agree in a whole band share a bucket.  In each bucket the lines are compared with a leader, the
+line that meets most others anywhere, by the exact similarity of their shingle sets.  Buckets
+whose lines are not all connected by then choose a further leader among the lines that no
+leader is connected with; what is left after LEADERS rounds is compared pair by pair.
+So a bucket of n variants of one line costs n comparisons.
 """
 
 import hashlib
@@ -24,44 +25,48 @@ from vulnloom.session import discard, stored
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 8
 SIMILARITY = (4, 5)  # numerator and denominator
-#: At similarity 0.8 a pair meets in a band with probability 0.995, at 0.9 with 0.99997.
-BANDS, ROWS = 10, 4
-#: Leaders of a bucket before what is left of it is compared with all of it.
-LEADERS = 6
+#: At similarity 0.8 a pair meets in a band with probability 0.985, at 0.9 with 0.9998.
+BANDS, ROWS = 8, 4
+#: Leaders of a bucket before the lines connected with none of them are compared pair by pair.
+LEADERS = 3
 #: Bytes of the texts that one task reads at once, about.
 CHUNK_BYTES = 4_000_000
 LINES = "key long, d long, k int, no int, bands array<long>, line binary"
 
 
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line number) of every shingle of every line, in order."""
+    """(hash, line number) of every shingle of every line, in order of the lines."""
     points = np.frombuffer(b"".join(lines).decode().encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(x) if x.isascii() else len(x.decode()) for x in lines], np.int64)
-    line = np.repeat(np.arange(len(lines)), sizes)
-    begins = np.cumsum(sizes) - sizes
-    left = sizes[line] - (np.arange(len(points)) - begins[line])
-    total, factor = np.zeros(len(points), np.uint64), 1
-    for k in range(SHINGLE):
-        shifted = np.zeros(len(points), np.uint64)
-        shifted[:len(points) - k] = points[k:]
-        total += np.where(left > k, shifted + np.uint64(1), np.uint64(0)) * np.uint64(factor)
-        factor = factor * 0x9E3779B97F4A7C15 % 2**64
-    total ^= total >> np.uint64(31)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    total ^= total >> np.uint64(29)
-    total *= np.uint64(0x94D049BB133111EB)
-    keep = (left >= SHINGLE) | (left == sizes[line])  # whole shingles, and the only one of a short line
-    return total[keep], line[keep]
+    sizes = np.fromiter((len(x) if x.isascii() else len(x.decode()) for x in lines), np.int64, len(lines))
+    total, length, factor = points.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    while length < SHINGLE:  # the hash of twice the length from those of its halves
+        total[:-length] += total[length:] * np.uint64(factor)
+        length, factor = 2 * length, factor * factor % 2**64
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    ends = np.cumsum(sizes)
+    whole = np.ones(len(points), bool)
+    for back in range(1, SHINGLE):  # the last places of a line begin no whole shingle
+        whole[ends[sizes >= back] - back] = False
+    found = [total[whole]]
+    counts = np.maximum(sizes - SHINGLE + 1, 0)
+    line = [np.repeat(np.arange(len(lines)), counts)]
+    short = np.flatnonzero(counts == 0)  # a shorter line is one shingle
+    found.append(np.fromiter((xxhash.xxh3_64_intdigest(lines[i]) for i in short), np.uint64, len(short)))
+    line.append(short)
+    return np.concatenate(found), np.concatenate(line)
 
 
 def signatures(lines: list[bytes]) -> np.ndarray:
     """(lines, BANDS) hashes: of the ROWS least hashes of each band and the band's number."""
     slices = BANDS * ROWS
     hashes, line = shingle_hashes(lines)
-    slot = line * slices + ((hashes >> np.uint64(40)) * np.uint64(slices) >> np.uint64(24)).astype(np.int64)
+    line *= slices
+    line += ((hashes >> np.uint64(40)) * np.uint64(slices) >> np.uint64(24)).view(np.int64)
     none = np.uint64(2**64 - 1)
     least = np.full(len(lines) * slices, none)
-    np.minimum.at(least, slot, hashes)
+    np.minimum.at(least, line, hashes)
     least = least.reshape(len(lines), slices)
     for step in (1, 2, 4, 8, 16, 32):  # an empty slice takes the value of the next one that is not
         empty = least == none
@@ -136,67 +141,67 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
         if a != last:
             last, held = a, shingles(a)
         other = shingles(b)
-        shared = len(held & other)
+        few, many = min(len(held), len(other)), max(len(held), len(other))
+        shared = len(held & other) if den * few >= num * many else 0
         out.append(den * shared >= num * (len(held) + len(other) - shared))
     return pd.Series(out, dtype=bool)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) with ``near``: whether the lines' shingle sets reach the similarity."""
+    """The pairs (a, b) whose shingle sets reach the similarity, each once."""
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("key").alias("b"), F.col("line").alias("line_b"))
-    different = pairs.select("a", "b").distinct()
-    checked = different.join(left, "a").join(right, "b").select("a", "b", F.pandas_udf(_similar, "boolean")("line_a", "line_b").alias("near"))
-    return pairs.join(checked, ["a", "b"])
+    return pairs.select("a", "b").distinct().join(right, "b").join(left, "a").where(F.pandas_udf(_similar, "boolean")("line_a", "line_b")).select("a", "b")
 
 
 def links(lines: DataFrame) -> DataFrame | None:
-    """(a, b): verified pairs of line keys; None without candidates."""
+    """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
     banded = lines.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last").drop("last")
-    met = stored(banded.join(shared, "bucket").select("bucket", "key", "leader").distinct(), "buckets")
+    shared = banded.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("mates")).where("first < last")
+    met = stored(banded.join(shared.select("bucket", "mates"), "bucket").select("bucket", "key", "mates").distinct(), "buckets")
     if met.isEmpty():
         return None
-    wanted = met.select("key").distinct()
-    texts = stored(lines.where("line is not null").select("key", "line").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    found, held = [], [met, texts]
-    open_ = met
-    for _ in range(LEADERS):
-        checked = stored(verified(open_.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"), "bucket"), texts), "checked")
-        held.append(checked)
-        found.append(checked.where("near").select("a", "b"))
-        covered = checked.where("near").select("bucket", F.col("b").alias("key")).unionAll(open_.select("bucket", F.col("leader").alias("key"))).distinct()
-        rest = (open_ if "rest" not in open_.columns else open_.where("rest")).select("bucket", "key").join(covered, ["bucket", "key"], "left_anti")
-        rest = stored(rest, "rest")
-        held.append(rest)
-        if rest.isEmpty():
+    degrees = stored(met.groupBy("key").agg(F.sum("mates").alias("degree")), "degrees")
+    texts = stored(lines.where("line is not null").select("key", "line").join(degrees, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    members = stored(met.select("bucket", "key").join(degrees, "key"), "members")
+    edges, nodes, held = None, None, [met, degrees, texts, members]
+    free = members  # lines that no leader of their bucket is connected with
+    for turn in range(LEADERS + 1):
+        if turn < LEADERS:
+            leaders = free.groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"))
+            pairs = (free if turn == 0 else apart).join(leaders, "bucket").where("key <> leader").select(
+                F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
+        else:
+            pairs = free.select("bucket", F.col("key").alias("a")).join(free.select("bucket", F.col("key").alias("b")), "bucket").where("a < b")
+        near = stored(verified(pairs, texts), "near")
+        held.append(near)
+        edges = near if edges is None else edges.unionAll(near)
+        if turn == 0 or not near.isEmpty():
+            nodes = stored(connected_components(edges).select("node", "component"), "components")
+        if turn == LEADERS:
             break
-        # the next leader is compared with all lines of its bucket, also those that another one covers
-        after = rest.groupBy("bucket").agg(F.min("key").alias("leader"))
-        open_ = met.select("bucket", "key").join(after, "bucket").join(
-            rest.select("bucket", "key", F.lit(True).alias("is_rest")), ["bucket", "key"], "left").select(
-            "bucket", "key", "leader", F.coalesce("is_rest", F.lit(False)).alias("rest"))
-    else:
-        pairs = rest.select("bucket", F.col("key").alias("a")).join(met.select("bucket", F.col("key").alias("b")), "bucket").where("a <> b")
-        found.append(verified(pairs, texts).where("near").select("a", "b"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionAll(more)
-    edges = stored(edges.distinct(), "links")
+        # a bucket stays open while it holds lines that are not connected with one of its leaders
+        named = members.join(nodes, F.col("key") == F.col("node"), "left").select("bucket", "key", "degree", F.coalesce("component", "key").alias("component"))
+        led = leaders if turn == 0 else led.unionAll(leaders)
+        met_by = led.join(nodes, F.col("leader") == F.col("node"), "left").select("bucket", F.coalesce("component", "leader").alias("component")).distinct()
+        free = stored(named.join(met_by, ["bucket", "component"], "left_anti").select("bucket", "key", "degree"), "free")
+        held.append(free)
+        if free.isEmpty():
+            break
+        apart = members.join(free.select("bucket").distinct(), "bucket", "left_semi")
     discard(*held)
-    return edges
+    return None if nodes.isEmpty() else nodes
 
 
-def _gone(lines: DataFrame, edges: DataFrame | None) -> DataFrame:
+def _gone(lines: DataFrame, nodes: DataFrame | None) -> DataFrame:
     first = F.min(F.struct("d", "no", "k")).alias("first")
     firsts = lines.groupBy("key").agg(first, F.count(F.lit(1)).alias("n"))
-    if edges is None or edges.isEmpty():
+    if nodes is None:
         known = firsts.where("n > 1").select("key", "first")
     else:
-        nodes = stored(connected_components(edges).select(F.col("node").alias("key"), "component"), "components")
-        joined = firsts.join(nodes, "key", "left")
+        joined = stored(firsts.join(nodes, F.col("key") == F.col("node"), "left").where("n > 1 or component is not null").select("key", "first", "component"), "firsts")
         whole = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("whole"))
-        known = joined.where("component is not null or n > 1").join(whole, "component", "left").select("key", F.coalesce("whole", "first").alias("first"))
+        known = joined.join(whole, "component", "left").select("key", F.coalesce("whole", "first").alias("first"))
     gone = lines.select("key", "d", "k", "no").join(known, "key").where(
         (F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")) | (F.col("no") != F.col("first.no")))
     return stored(gone.groupBy("d", "k").agg(F.collect_list("no").alias("gone")), "gone")
@@ -205,8 +210,7 @@ def _gone(lines: DataFrame, edges: DataFrame | None) -> DataFrame:
 def later_lines(texts: DataFrame) -> DataFrame:
     """(d, k, gone): for each text (d, k, text) the numbers of the lines of whose component an earlier one stays."""
     lines = stored(texts.mapInArrow(_line_rows, LINES), "lines")
-    edges = links(lines)
-    gone = _gone(lines, edges)
+    gone = _gone(lines, links(lines))
     discard(lines)
     return gone
 
