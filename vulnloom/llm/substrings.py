@@ -202,7 +202,8 @@ def _tree_rows(batches):
 def repeated_suffixes(texts: DataFrame) -> DataFrame:
     """The suffixes whose anchor occurs twice or more, merged within each task, and runs of those known to be later ones."""
     anchors = texts.mapInArrow(_anchor_rows, "anchor long, d long, k int, place int")
-    twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("known"))
+    # stored, so that its shuffle files go and a frequent anchor's side of the join can be split
+    twice = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("known")), "anchors")
     places = anchors.join(twice, F.col("anchor") == F.col("known"), "left_semi").groupBy(
         F.col("d").alias("of_d"), F.col("k").alias("of_k")).agg(F.collect_list("place").alias("places"))
     met = texts.join(places, (F.col("d") == F.col("of_d")) & (F.col("k") == F.col("of_k"))).select("text", "d", "k", "places")
