@@ -1,6 +1,7 @@
 """The small graph of three vulnerabilities, two advisories and two products."""
 
 import itertools
+from fractions import Fraction
 import random
 
 import pytest
@@ -94,28 +95,46 @@ def _random_sets(seed, items=30, tokens=25, hot=2):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_sharing_with_heavy_tokens_is_exact(spark, seed):
+def test_sharing_with_heavy_tokens_is_exact(spark, seed, monkeypatch):
     sets = _random_sets(seed)
     rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "item string, token string")
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
     near = {k: v for k, v in want.items() if v >= 0.2}
-    got = {(r["a"], r["b"]): r["jaccard"] for r in sharing.similar_pairs(rows, 0.2, min_heavy=5).collect()}
+    monkeypatch.setattr(sharing, "SALT_ROWS", 5)
+    got = {(r["a"], r["b"]): r["jaccard"] for r in sharing.similar_pairs(rows, 0.2).collect()}
     assert got.keys() == near.keys() and all(abs(got[k] - v) < 1e-12 for k, v in near.items())
     best = sorted(near.items(), key=lambda kv: (-kv[1], kv[0]))[:7]
-    top = [((r["a"], r["b"]), r["jaccard"]) for r in sharing.similar_pairs(rows, 0.2, top_k=7, min_heavy=5).collect()]
+    top = [((r["a"], r["b"]), r["jaccard"]) for r in sharing.similar_pairs(rows, 0.2, top_k=7).collect()]
     assert [k for k, _ in top] == [k for k, _ in best]
     counts = {i: sum(1 for j in sets if j != i and sets[i] & sets[j]) for i in sets}
-    for limit in (5, 2000):
-        found = {r["item"]: r["neighbours"] for r in sharing.neighbour_counts(rows, min_heavy=limit).collect()}
+    for limit in (2, 512):
+        monkeypatch.setattr(sharing, "PAIRED_HOLDERS", limit)
+        found = {r["item"]: r["neighbours"] for r in sharing.neighbour_counts(rows).collect()}
         assert found == {k: v for k, v in counts.items() if v}
 
 
+def test_pairs_exactly_at_the_floor(spark):
+    """A set of n tokens and s of them: similarity s / n, for all n up to 60, in one table."""
+    sizes = [(s, n) for n in range(1, 61) for s in range(1, n + 1)]
+    for s, n in ((7, 25), (1, 3), (3, 10), (11, 49), (29, 58)):
+        rows = [(f"a{k}", f"t{k}-{i}") for k, (_, m) in enumerate(sizes[:400]) for i in range(m)]
+        rows += [(f"b{k}", f"t{k}-{i}") for k, (p, _) in enumerate(sizes[:400]) for i in range(p)]
+        rows += [("A", f"x{i}") for i in range(n)] + [("B", f"x{i}") for i in range(s)]
+        got = {(r["a"], r["b"]) for r in sharing.similar_pairs(spark.createDataFrame(rows, "item string, token string"), Fraction(s, n)).collect()}
+        want = {(f"a{k}", f"b{k}") for k, (p, m) in enumerate(sizes[:400]) if Fraction(p, m) >= Fraction(s, n)} | {("A", "B")}
+        assert got == want
+    for n in range(1, 61):  # every floor s / n: the prefix of the larger set meets the smaller one
+        for s in range(1, n + 1):
+            num, den = sharing.fraction(Fraction(s, n))
+            assert n - (-(-num * n // den) - 1) >= 1 and (num + den) * s >= num * (n + s)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_clusters_equal_brute_force(spark, seed):
     cves = _random_sets(seed, items=18, tokens=40, hot=1)
     cwes = {k: {"w" + x[-1] for x in v if x[-1] in "0123"} for k, v in cves.items()}
     frame = lambda sets, name: spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], f"product string, {name} string")
-    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    jac = lambda a, b: Fraction(len(a & b), len(a | b)) if a | b else 0
     parent = {k: k for k in cves}
 
     def find(x):
@@ -123,7 +142,7 @@ def test_clusters_equal_brute_force(spark, seed):
             x = parent[x]
         return x
     for a, b in itertools.combinations(sorted(cves), 2):
-        if 0.6 * jac(cwes[a], cwes[b]) + 0.4 * jac(cves[a], cves[b]) >= 0.45:
+        if 12 * jac(cwes[a], cwes[b]) + 8 * jac(cves[a], cves[b]) >= 9:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     groups = {}
     for k in cves:

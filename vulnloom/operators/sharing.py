@@ -1,42 +1,41 @@
 """Products that share vulnerabilities: pair counts, Jaccard matrix, neighbour counts.
 
-Sharing is counted per common token (vulnerability or weakness).  A token held by very
-many products would pair them all, so tokens are split by frequency:
-
-* light tokens pair their holders directly, at most ``limit`` partners per row;
-* heavy tokens never pair their holders.  Fewer than ``MAX_HEAVY`` tokens can be heavy,
-  so each product carries them as a short array, and products with equal arrays and set
-  sizes are handled as one class.
-
-Both parts are exact; nothing is dropped or capped.
+Sharing is counted per common token (vulnerability or weakness).  Floors are fractions and all
+bounds are whole numbers, so a pair that is exactly at the floor counts.  One plan serves sets of
+any kind and size:
+
+* pairs meet at the rarest tokens of their sets only (prefix filter), and a token held by many
+  is split: a holder goes to one salt, its partners to all of them;
+* neighbours are united as bitmaps of item numbers; a token with many holders adds its own
+  bitmap to each of them instead of pairing them.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from vulnloom.session import checkpointed
+from vulnloom.session import stored
 
-MAX_HEAVY = 10_000
-MIN_HEAVY_COUNT = 2_000
+#: Holders of a token that one salt takes.
+SALT_ROWS = 1024
+#: A token with more holders joins its neighbours as a bitmap.
+PAIRED_HOLDERS = 512
+#: Bits of one bitmap.
+BITMAP_BITS = 32_768
 
 
-def split_tokens(sets: DataFrame, min_heavy=MIN_HEAVY_COUNT):
-    """(light rows, heavy token list with frequency) of an (item, token) table."""
-    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
-    total = counts.agg((F.sum("holders") / MAX_HEAVY).alias("t")).scalar()
-    heavy = counts.where(F.col("holders") > F.greatest(F.lit(float(min_heavy)), total))
-    return sets.join(heavy, "token", "left_anti"), heavy
+def fraction(floor) -> tuple[int, int]:
+    """Numerator and denominator of a floor, as it is written: 0.28 is 7 / 25."""
+    exact = floor if isinstance(floor, Fraction) else Fraction(str(floor))
+    if not 0 < exact <= 1:
+        raise ValueError("a floor lies above 0 and not above 1")
+    return exact.numerator, exact.denominator
 
 
-def with_heavy_arrays(sets: DataFrame, heavy: DataFrame) -> DataFrame:
-    """(item, n, heavy): set size and the heavy tokens, rarest first."""
-    sizes = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    carried = (
-        sets.join(heavy, "token").groupBy("item")
-        .agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("h"))
-        .select("item", F.transform("h", lambda x: x["token"]).alias("heavy")))
-    none = F.array().cast("array<string>")
-    return sizes.join(carried, "item", "left").select("item", "n", F.coalesce("heavy", none).alias("heavy"))
+def _ceil(over: Column, under: int) -> Column:
+    """The quotient of whole numbers, rounded up."""
+    return F.floor((over + under - 1) / under).cast("long")
 
 
 def spread(rows: DataFrame, *keys) -> DataFrame:
@@ -48,121 +47,95 @@ def spread(rows: DataFrame, *keys) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _light_pairs(light: DataFrame) -> DataFrame:
-    light = spread(light, "token")
-    left = light.select(F.col("item").alias("a"), "token")
-    right = light.select(F.col("item").alias("b"), "token")
-    return left.join(right, "token").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
 def _jaccard(shared, na, nb):
     return shared / (na + nb - shared)
 
 
-def _class_pairs(profiles: DataFrame, floor) -> DataFrame:
-    """Pairs of (heavy, n) classes that reach the floor by heavy tokens alone.
+def _positions(rows: DataFrame) -> DataFrame:
+    """Adds ``i``: 1-based place of a token in its set, rarest first.
 
-    A pair needs at least floor*n common tokens, so one of the rarest
-    size(heavy) - ceil(floor*n) + 1 tokens is common: only those are joined.
+    A set is numbered in slots of one holder count and one hash range, so that a set
+    holding a large share of all rows is not sorted in one task.
     """
-    classes = profiles.where(F.size("heavy") > 0).select("heavy", "n").distinct()
-    keyed = classes.withColumn("take", F.size("heavy") - F.ceil(floor * F.col("n")).cast("int") + 1).where("take > 0")
-    tokens = keyed.select("heavy", "n", F.explode(F.slice("heavy", F.lit(1), F.col("take"))).alias("token"))
-    left = tokens.select(F.col("heavy").alias("ha"), F.col("n").alias("na"), "token")
-    right = tokens.select(F.col("heavy").alias("hb"), F.col("n").alias("nb"), "token")
-    joined = left.join(right, "token").where(
-        (F.least("na", "nb") >= floor * F.greatest("na", "nb"))
-        & (F.struct("ha", "na") <= F.struct("hb", "nb")))
-    scored = joined.select("ha", "na", "hb", "nb").distinct().withColumn(
-        "shared", F.size(F.array_intersect("ha", "hb")).cast("bigint"))
-    return scored.where(_jaccard(F.col("shared"), F.col("na"), F.col("nb")) >= floor)
-
-
-def _expand(class_pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Item pairs of class pairs, each pair once and in order."""
-    left = members.select(F.col("item").alias("x"), F.col("heavy").alias("ha"), F.col("n").alias("na"))
-    right = members.select(F.col("item").alias("y"), F.col("heavy").alias("hb"), F.col("n").alias("nb"))
-    return (
-        class_pairs.join(left, ["ha", "na"]).join(right, ["hb", "nb"]).where(F.col("x") != F.col("y"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared",
-                F.when(F.col("x") < F.col("y"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                F.when(F.col("x") < F.col("y"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-        .dropDuplicates(["a", "b"]))
-
-
-def similar_pairs(sets: DataFrame, floor: float, top_k=None, min_heavy=MIN_HEAVY_COUNT) -> DataFrame:
+    slots = rows.withColumn("slot", F.pmod(F.xxhash64("token"), F.lit(256)))
+    keys = ["item", "holders", "slot"]
+    earlier = Window.partitionBy("item").orderBy("holders", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        slots.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))).drop("c"))
+    inside = Window.partitionBy(*keys).orderBy("token")
+    return slots.join(offsets, keys).withColumn("i", F.col("before") + F.row_number().over(inside))
+
+
+def candidate_pairs(sets: DataFrame, floor) -> DataFrame:
+    """(a, b, na, nb), a < b: pairs that may reach the floor, among them all that do.
+
+    Tokens are ordered rarest first and the first n - ceil(floor * n) + 1 of a set form its
+    prefix.  A pair that reaches the floor meets in the prefixes, its sizes differ by no
+    more than the floor allows, and the common prefix tokens plus everything one of the
+    two suffixes could add make up the needed overlap.
+    """
+    num, den = fraction(floor)
+    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
+    sizes = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    rest = _ceil(num * F.col("n"), den) - 1
+    prefix = _positions(sets.join(counts, "token").join(sizes, "item")).where(F.col("i") <= F.col("n") - rest).select(
+        "item", "n", "i", "token", rest.alias("rest"), _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts"))
+    left = spread(prefix.withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts")).cast("int")), "token", "salt")
+    right = spread(prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
+    named = [x.select(F.col("item").alias(c), F.col("n").alias("n" + c), F.col("i").alias("i" + c), F.col("rest").alias("r" + c), "token", "salt")
+             for x, c in ((left, "a"), (right, "b"))]
+    needed = _ceil(num * (F.col("na") + F.col("nb")), num + den)
+    room = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    met = named[0].join(named[1], ["token", "salt"]).where(
+        (F.col("a") < F.col("b")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (room >= needed))
+    common = met.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("common"))
+    return common.where(F.col("common") + F.greatest("ra", "rb") >= needed).select("a", "b", "na", "nb")
+
+
+def shared_of(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidate pairs with ``shared``, their number of common tokens, where there are any."""
+    left = sets.select(F.col("item").alias("a"), "token")
+    right = sets.select(F.col("item").alias("b"), "token")
+    return candidates.join(left, "a").join(right, ["b", "token"]).groupBy(*candidates.columns).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def reaches(floor) -> Column:
+    """Whether shared, na and nb reach the floor, in whole numbers."""
+    num, den = fraction(floor)
+    return (num + den) * F.col("shared") >= num * (F.col("na") + F.col("nb"))
+
+
+def similar_pairs(sets: DataFrame, floor, top_k=None) -> DataFrame:
     """Every pair of items with Jaccard >= floor: (a, b, shared, na, nb, jaccard), a < b.
 
     With ``top_k`` only the best pairs, ties broken by name.
     """
-    light, heavy = split_tokens(sets, min_heavy)
-    order = (F.desc("jaccard"), "a", "b")
-    if heavy.isEmpty():
-        sizes = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-        pairs = (
-            _light_pairs(sets)
-            .join(sizes.select(F.col("item").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
-            .withColumn("jaccard", _jaccard(F.col("shared"), F.col("na"), F.col("nb")))
-            .where(F.col("jaccard") >= floor).select("a", "b", "shared", "na", "nb", "jaccard"))
-        return pairs.orderBy(*order).limit(top_k) if top_k else pairs
-    profiles = with_heavy_arrays(sets, heavy)
-    left = profiles.select(F.col("item").alias("a"), F.col("n").alias("na"), F.col("heavy").alias("ha"))
-    right = profiles.select(F.col("item").alias("b"), F.col("n").alias("nb"), F.col("heavy").alias("hb"))
-    direct = (
-        _light_pairs(light).join(left, "a").join(right, "b")
-        .withColumn("shared", F.col("shared") + F.size(F.array_intersect("ha", "hb")))
-        .select("a", "b", "shared", "na", "nb")
-        .withColumn("jaccard", _jaccard(F.col("shared"), F.col("na"), F.col("nb"))))
-    near = direct.where(F.col("jaccard") >= floor)
-    members, bar = profiles.where(F.size("heavy") > 0), F.lit(floor)
-    if top_k:
-        # Classes below the k-th direct pair cannot enter.  Of each class the first 2k
-        # members suffice: k for the result and fewer than k that are already direct.
-        best = near.orderBy(*order).limit(top_k)
-        kth = best.agg(F.when(F.count(F.lit(1)) == top_k, F.min("jaccard")).alias("j")).scalar()
-        bar = F.greatest(F.lit(floor), F.coalesce(kth, F.lit(floor)))
-        within = Window.partitionBy("heavy", "n").orderBy("item")
-        members = members.withColumn("r", F.row_number().over(within)).where(F.col("r") <= 2 * top_k).drop("r")
-        near = best
-    indirect = _expand(_class_pairs(profiles, bar), members).join(direct.select("a", "b"), ["a", "b"], "left_anti")
-    every = near.unionByName(indirect.withColumn("jaccard", _jaccard(F.col("shared"), F.col("na"), F.col("nb"))))
-    return every.orderBy(*order).limit(top_k) if top_k else every
-
-
-def neighbour_counts(sets: DataFrame, min_heavy=MIN_HEAVY_COUNT) -> DataFrame:
-    """(item, neighbours): number of other items that share a token with the item.
-
-    Holders of heavy tokens are united as bitmaps of item numbers, 32768 items per row,
-    instead of pair by pair.
+    pairs = shared_of(candidate_pairs(sets, floor), sets).where(reaches(floor)).select(
+        "a", "b", "shared", "na", "nb", _jaccard(F.col("shared"), F.col("na"), F.col("nb")).alias("jaccard"))
+    return pairs.orderBy(F.desc("jaccard"), "a", "b").limit(top_k) if top_k else pairs
+
+
+def neighbour_counts(sets: DataFrame) -> DataFrame:
+    """(item, neighbours): number of other items that share a token with the item, for items that have any.
+
+    Each item's neighbours are collected as bitmaps, a row for each BITMAP_BITS items.  Tokens
+    with few holders add their holders one by one, the others their own bitmaps.
     """
-    light, heavy = split_tokens(sets, min_heavy)
-    light = spread(light, "token")
-    left = light.select(F.col("item").alias("a"), "token")
-    right = light.select(F.col("item").alias("b"), "token")
-    met = left.join(right, "token").where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    if heavy.isEmpty():
-        return met.groupBy(F.col("a").alias("item")).agg(F.count(F.lit(1)).alias("neighbours"))
-    profiles = with_heavy_arrays(sets, heavy)
-    numbered = checkpointed(profiles.where(F.size("heavy") > 0).withColumn("number", F.monotonically_increasing_id()))
-    holder_maps = (
-        numbered.select(F.explode("heavy").alias("token"), "number")
-        .groupBy("token", F.bitmap_bucket_number("number").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))
-    united = (
-        numbered.select("heavy").distinct().select("heavy", F.explode("heavy").alias("token"))
-        .join(holder_maps, "token").groupBy("heavy", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        .groupBy("heavy").agg((F.sum(F.bitmap_count("bits")) - 1).alias("by_heavy")))
-    arrays = profiles.select("item", "heavy")
-    extra = (
-        met.join(arrays.select(F.col("item").alias("a"), F.col("heavy").alias("ha")), "a")
-        .join(arrays.select(F.col("item").alias("b"), F.col("heavy").alias("hb")), "b")
-        .where(~F.arrays_overlap("ha", "hb"))
-        .groupBy(F.col("a").alias("item")).agg(F.count(F.lit(1)).alias("by_light")))
-    return (
-        arrays.join(united, "heavy", "left").join(extra, "item", "left")
-        .select("item", (F.coalesce("by_heavy", F.lit(0)) + F.coalesce("by_light", F.lit(0))).alias("neighbours"))
-        .where("neighbours > 0"))
+    items = stored(sets.select("item").distinct(), "items")
+    parts = max(1, -(-items.count() // BITMAP_BITS))
+    numbers = stored(items.repartition(parts, "item").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    rows = sets.join(counts, "token").join(numbers, "item").select(
+        "item", "token", "holders", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
+    few, many = rows.where(F.col("holders") <= PAIRED_HOLDERS), rows.where(F.col("holders") > PAIRED_HOLDERS)
+    few = spread(few, "token")
+    one_by_one = few.select("item", "token").join(few.select("token", "bucket", "bit"), "token").groupBy("item", "bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bits"))
+    maps = many.groupBy("token", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at_once = many.select("item", "token").join(maps, "token").groupBy("item", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    united = one_by_one.unionByName(at_once).groupBy("item", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return united.groupBy("item").agg((F.sum(F.bitmap_count("bits")) - 1).alias("neighbours")).where("neighbours > 0")
 
 
 def overlap_with(sets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -194,14 +167,14 @@ def sharing_matrix(pairs: DataFrame, min_jaccard=0.05, top_k=50) -> DataFrame:
 
 
 def sharing_summary(pairs: DataFrame, min_jaccard=0.05) -> DataFrame:
-    """Products, products with ten or more vulnerabilities, pairs among the best 100, mean of the best ten."""
+    """Products, products with ten or more vulnerabilities, sharing pairs, mean of the best ten pairs."""
     sizes = pairs.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
     counts = sizes.agg(F.count(F.lit(1)).alias("n_products"),
                        F.count_if(F.col("n") >= 10).alias("n_products_with_10plus_cves"))
-    best = sharing_matrix(pairs, min_jaccard, 100)
-    top = best.orderBy(F.desc("jaccard"), "product_a", "product_b").limit(10)
+    found = stored(similar_pairs(as_sets(pairs, "product", "cve_id"), min_jaccard).select("a", "b", "jaccard"), "pairs")
+    top = found.orderBy(F.desc("jaccard"), "a", "b").limit(10)
     return counts.select(
-        "*", best.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_sharing_pairs"),
+        "*", found.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_sharing_pairs"),
         top.agg(F.coalesce(F.avg("jaccard"), F.lit(0.0)).alias("j")).scalar().alias("avg_jaccard_top10"))
 
 

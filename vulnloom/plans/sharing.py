@@ -28,12 +28,24 @@ def sharing_pairs(t):
 
 
 @query("sharing_summary", sql(f"""SELECT (SELECT count(*) FROM sizes) AS n_products, (SELECT count_if(n >= 10) FROM sizes) AS n_products_with_10plus_cves,
-    (SELECT least(count(*), 100) FROM jac WHERE j >= 0.05) AS n_sharing_pairs,
+    (SELECT count(*) FROM jac WHERE j >= 0.05) AS n_sharing_pairs,
     (SELECT {q6('avg(j)')} FROM (SELECT j FROM jac WHERE j >= 0.05 ORDER BY j DESC, pa, pb LIMIT 10)) AS avg_jaccard_top10""", "product_cve", **_JAC))
 def sharing_summary(t):
     return sharing.sharing_summary(t.product_cve()).withColumn("avg_jaccard_top10", r6("avg_jaccard_top10"))
 
 
+_WEAK = dict(sizes="SELECT product, count(*) AS n FROM product_cwe GROUP BY 1",
+    pairs="""SELECT a.product AS pa, b.product AS pb, count(*) AS s FROM product_cwe a JOIN product_cwe b USING (cwe_id)
+    WHERE a.product < b.product GROUP BY 1, 2""", jac=_JAC["jac"])
+
+
+@query("weakness_sharing_pairs", sql(f"SELECT pa AS product_a, pb AS product_b, s AS shared_cwe_count, {q6('j')} AS jaccard FROM jac WHERE j >= 0.2 - 1e-12", "product_cwe", **_WEAK))
+def weakness_sharing_pairs(t):
+    """Pairs over the weaknesses, tokens that very many products hold."""
+    p = sharing.similar_pairs(sharing.as_sets(t.product_cwe(), "product", "cwe_id"), "0.2")
+    return p.select(F.col("a").alias("product_a"), F.col("b").alias("product_b"), F.col("shared").alias("shared_cwe_count"), r6("jaccard").alias("jaccard"))
+
+
 _TOP = "SELECT product FROM sizes ORDER BY n DESC, product LIMIT {k}"
 _OVER = dict(sizes=_SIZES, src=_TOP.format(k=3), ov="""SELECT a.product AS source, b.product AS item, count(*) AS s FROM product_cve a JOIN product_cve b USING (cve_id)
     WHERE a.product IN (SELECT product FROM src) AND a.product <> b.product GROUP BY 1, 2""",
@@ -75,7 +87,7 @@ _PAIR_SIM = dict(
     **_JAC, wsizes="SELECT product, count(*) AS n FROM product_cwe GROUP BY 1",
     wjac="""SELECT pa, pb, s / (x.n + y.n - s)::DOUBLE AS j FROM (SELECT a.product AS pa, b.product AS pb, count(*) AS s FROM product_cwe a JOIN product_cwe b USING (cwe_id)
         WHERE a.product < b.product GROUP BY 1, 2) JOIN wsizes x ON x.product = pa JOIN wsizes y ON y.product = pb""",
-    near=f"""SELECT * FROM (SELECT pa, pb, 0.6 * coalesce(wjac.j, 0) + 0.4 * coalesce(jac.j, 0) AS sim FROM wjac FULL OUTER JOIN jac USING (pa, pb)) WHERE sim >= {FLOOR}""")
+    near=f"""SELECT * FROM (SELECT pa, pb, 0.6 * coalesce(wjac.j, 0) + 0.4 * coalesce(jac.j, 0) AS sim FROM wjac FULL OUTER JOIN jac USING (pa, pb)) WHERE sim >= {FLOOR} - 1e-12""")
 
 
 @query("similar_product_pairs", sql(f"SELECT pa AS product_a, pb AS product_b, {q6('sim')} AS similarity FROM near", "product_cve", "product_cwe", **_PAIR_SIM))
