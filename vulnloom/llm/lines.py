@@ -30,7 +30,7 @@ BANDS, ROWS = 8, 4
 #: Leaders of a bucket before the lines connected with none of them are compared pair by pair.
 LEADERS = 3
 #: Bytes of the texts that one task reads at once, about.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
 LINES = "key long, d long, k int, no int, bands array<long>, line binary"
 
 
