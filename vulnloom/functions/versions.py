@@ -66,10 +66,19 @@ def version_tuple(version: Column) -> Column:
     return F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
 
 
-def padded_tuple(version: Column, width: int = 8) -> Column:
-    """Version array padded with zeros, so 9.8 equals 9.8.0.0."""
-    zeros = F.array_repeat(F.lit(0), width)
-    return F.slice(F.concat(version_tuple(version), zeros), 1, width)
+def padded_tuple(version: Column, width) -> Column:
+    """Version array padded with zeros to ``width`` parts, so 9.8 equals 9.8.0.0; longer ones stay whole."""
+    parts = version_tuple(version)
+    return F.concat(parts, F.array_repeat(F.lit(0), F.greatest(F.lit(width) - F.size(parts), F.lit(0))))
+
+
+def compared(left: Column, right: Column) -> Column:
+    """-1, 0 or 1: order of two versions, both padded to the longer one."""
+    def padded(a, b):
+        width = F.greatest(F.size(F.split(left, r"\.")), F.size(F.split(right, r"\.")))
+        x, y = padded_tuple(a, width), padded_tuple(b, width)
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+    return F.when(left.isNotNull() & right.isNotNull(), padded(left, right))
 
 
 def anchors(text: Column, kind: Column) -> Column:
@@ -142,7 +151,7 @@ def canonical_name(name: Column) -> Column:
     text = _strip(name)
     known = [F.when(text.rlike("(?i)" + p), F.lit(canonical)) for p, canonical in V.CANONICAL_NAMES]
     rest = F.regexp_replace(F.regexp_replace(text, r"^\*\s+", ""), r"^-\s+", "")
-    return F.coalesce(*known, F.substring(rest, 1, 60))
+    return F.coalesce(*known, rest)
 
 
 def version_type(name: Column, version: Column) -> Column:
@@ -220,7 +229,6 @@ def split_version_key(key: Column) -> Column:
 def in_range(version: Column, written: Column) -> Column:
     """Whether a version lies in a written range; an unreadable range gives false."""
     low = F.lower(written)
-    v = padded_tuple(version)
     closed = r"([\d.]+)\s*(?:through|to|-)\s*([\d.]+)"
     start, end = _cut(low, closed, 1), _cut(low, closed, 2)
     below = _cut(low, r"(?:prior to|before|<(?!=))\s*v?([\d.]+)")
@@ -228,9 +236,9 @@ def in_range(version: Column, written: Column) -> Column:
     upto = F.coalesce(_cut(low, upto_pattern, 1), _cut(low, upto_pattern, 2))
     numbers = _all_of(low, r"([\d.]+)")
     test = (
-        F.when(start.isNotNull(), (v >= padded_tuple(start)) & (v <= padded_tuple(end)))
-        .when(below.isNotNull(), v < padded_tuple(below))
-        .when(upto.isNotNull(), v <= padded_tuple(upto))
-        .when(F.size(numbers) == 1, v <= padded_tuple(F.get(numbers, F.lit(0))))
+        F.when(start.isNotNull(), (compared(version, start) >= 0) & (compared(version, end) <= 0))
+        .when(below.isNotNull(), compared(version, below) < 0)
+        .when(upto.isNotNull(), compared(version, upto) <= 0)
+        .when(F.size(numbers) == 1, compared(version, F.get(numbers, F.lit(0))) <= 0)
     )
     return F.coalesce(test, F.lit(False))

@@ -8,6 +8,7 @@ most two edges.
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.functions.names import normalize_name
+from vulnloom.session import stored
 
 SNAPSHOT_VERSION = 3
 
@@ -82,9 +83,14 @@ def edges(mentions, affects, classified) -> DataFrame:
     )
 
 
+def new_in(snapshot: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """The new edges that the snapshot does not hold, each once."""
+    return new_edges.dropDuplicates(["src", "dst"]).join(snapshot.select("src", "dst"), ["src", "dst"], "left_anti").select(*snapshot.columns)
+
+
 def extend(snapshot: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Edge set of a snapshot after new advisories arrived."""
-    return snapshot.unionByName(new_edges).dropDuplicates(["src", "dst"])
+    """Edge set of a snapshot after new advisories arrived; only the new edges are compared."""
+    return snapshot.unionByName(new_in(snapshot, new_edges))
 
 
 def stats(nodes: DataFrame, edge_table: DataFrame) -> DataFrame:
@@ -116,8 +122,8 @@ def ego_nodes(edge_table: DataFrame, centre: DataFrame, radius: int) -> DataFram
         reached = (
             both_ways.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi")
             .select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti"))
-        known = known.unionByName(reached)
-        frontier = reached
+        frontier = stored(reached, "frontier")  # else each step would compute all earlier ones again
+        known = known.unionByName(frontier)
     return known
 
 

@@ -1,5 +1,6 @@
 """Lookups, scans and searches over records."""
 
+import re
 from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -11,12 +12,16 @@ def by_id(table: DataFrame, key: str, value: str) -> DataFrame:
     return table.where(F.col(key) == F.upper(F.trim(F.lit(value))))
 
 
-def by_date_range(table, start, end, date="published", key="cve_id", limit=1000) -> DataFrame:
+def _first(rows: DataFrame, limit) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def by_date_range(table, start, end, date="published", key="cve_id", limit=None) -> DataFrame:
     """Inclusive range, newest first."""
-    return table.where(F.col(date).between(start, end)).orderBy(F.desc(date), key).limit(limit)
+    return _first(table.where(F.col(date).between(start, end)).orderBy(F.desc(date), key), limit)
 
 
-def recent(table, as_of, days=30, date="published", key="cve_id", limit=100) -> DataFrame:
+def recent(table, as_of, days=30, date="published", key="cve_id", limit=None) -> DataFrame:
     return by_date_range(table, minus_days(as_of, days), as_of, date, key, limit)
 
 
@@ -39,27 +44,36 @@ def has_phrase(column, phrase: str):
 
 def like_any(columns, text: str):
     escaped = text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{escaped}%"), F.lit(False)) for c in columns])
+    return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).cast("string").ilike(f"%{escaped}%"), F.lit(False)) for c in columns])
+
 
+def search_phrase(table, column, phrase, key, limit=None, source=None, default_source="NVD", fallback=None) -> DataFrame:
+    """Phrase search.  With ``source`` only rows of that source, a missing one counting as the default.
 
-def search_phrase(table, column, phrase, key, limit=200, source=None, default_source="NVD") -> DataFrame:
-    """Phrase search.  With ``source`` only rows of that source, a missing one counting as the default."""
-    hits = table.where(has_phrase(F.col(column), phrase))
+    A phrase without any word cannot be looked up by words: it is searched as a substring of
+    the ``fallback`` columns (the key and the searched column, if none are named).
+    """
+    if re.search(r"\w", phrase):
+        hits = table.where(has_phrase(F.col(column), phrase))
+    else:
+        hits = table.where(like_any(fallback or [key, column], phrase))
     if source:
         hits = hits.where(F.coalesce("source", F.lit(default_source)) == source)
-    return hits.orderBy(key).limit(limit)
+    return _first(hits.orderBy(key), limit)
 
 
-def search_two_stage(table, columns, full_text, phrase, key, date, limit=100) -> DataFrame:
+def search_two_stage(table, columns, full_text, phrase, key, date, limit=None) -> DataFrame:
     """Search in the indexed columns; only when nothing is found there, in the full text."""
     first = table.where(like_any(columns, phrase)).withColumn("stage", F.lit(1))
     found = first.agg(F.count(F.lit(1)).alias("n")).scalar()
-    second = table.where(has_phrase(F.col(full_text), phrase)).withColumn("stage", F.lit(2)).where(found == 0)
-    return first.unionByName(second).orderBy("stage", F.desc(date), key).limit(limit)
+    hit = F.when(found == 0, has_phrase(F.col(full_text), phrase)).otherwise(F.lit(False))  # no text is read after a hit
+    second = table.where(hit).withColumn("stage", F.lit(2))
+    return _first(first.unionByName(second).orderBy("stage", F.desc(date), key), limit)
 
 
-def search_columns(table, columns, text, key, limit=100) -> DataFrame:
-    return table.where(like_any(columns, text)).orderBy(key).limit(limit)
+def search_columns(table, columns, text, key, date, limit=None) -> DataFrame:
+    """Rows whose columns hold the text, newest first."""
+    return _first(table.where(like_any(columns, text)).orderBy(F.desc(date), key), limit)
 
 
 def by_number_or_title(table, number_column, title_column, text) -> DataFrame:
@@ -92,8 +106,3 @@ def page(table: DataFrame, number: int, size: int, date="published", key="cve_id
         .where((F.col("place") > start) & (F.col("place") <= start + size)).drop("_day", "_n", "_before")
         .select("*", F.lit(total).alias("total"), F.lit(number).alias("page"), F.lit(pages).alias("total_pages")))
 
-
-def first_of(table: DataFrame, keys, order) -> DataFrame:
-    """First row per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return table.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -177,7 +177,9 @@ class Logical:
             F.lit("end.</p>"), impact,
             F.lit("<h2>Affected Products &amp; Remediation</h2><table><tr><th>CVEs</th><th>Product</th><th>Affected Versions</th>"
                   "<th>Remediated Versions</th></tr><tr><td>CVE-2000-1000</td><td>Dell "), "phrase",
-            F.lit("</td><td>Versions prior to "), "v", F.lit("</td><td>Version "), "v2", F.lit(" or later</td></tr></table>"),
+            F.lit("</td><td>Versions prior to "), "v", F.lit("</td><td>Version "), "v2", F.lit(" or later</td></tr>"
+                  "<tr><td>CVE-2000-1001</td><td>Dell Second "), "phrase", F.lit("</td><td>Versions "), "v", F.lit(" and earlier</td><td>Version "), "v2",
+            F.lit("</td></tr></table>"),
             date, F.lit("<footer>Legal</footer></body></html>"))
         return o.select("dsa_id", F.concat(F.lit("https://advisories.example.com/"), F.lower("dsa_id")).alias("url"), html.alias("html"))
 
@@ -201,6 +203,7 @@ class Logical:
                 "                                named_struct('type', 'Primary', 'cvssData', named_struct('baseScore', s, 'baseSeverity', w)))) end").alias("metrics"),
             F.expr("array(named_struct('nodes', array(named_struct('cpeMatch', array("
                    "named_struct('vulnerable', true, 'criteria', concat('cpe:2.3:o:', p_brand, ':', replace(p_name, ' ', '_'), ':', p_size, ':*')), "
+                   "named_struct('vulnerable', true, 'criteria', concat('cpe:2.3:a:', p_brand, ':agent_', p_partkey % 7, ':2.', p_size, ':*')), "
                    "named_struct('vulnerable', false, 'criteria', 'cpe:2.3:h:other:other:1:*'))))))").alias("configurations"),
             F.expr("array(named_struct('description', array(named_struct('lang', 'en', 'value', concat('CWE-', p_size)))))").alias("weaknesses")))
         return (

@@ -142,12 +142,11 @@ def node_neighbours(t):
     return graph.neighbours(_edges(t), _hub(t).scalar())
 
 
-@query("ego_graph", sql("""
-    SELECT src, dst, relation FROM edge WHERE src IN (SELECT id FROM n2) AND dst IN (SELECT id FROM n2)""",
+@query("ego_graph", sql("SELECT src, dst, relation FROM edge SEMI JOIN n2 ON edge.src = n2.id SEMI JOIN n2 m2 ON edge.dst = m2.id",
     "mention", "affect", "classified", edge=_EDGE, hub=_HUB,
     twoway="SELECT src, dst FROM edge UNION ALL SELECT dst, src FROM edge",
-    n1="SELECT cve_id AS id FROM hub UNION SELECT dst FROM twoway WHERE src IN (SELECT cve_id FROM hub)",
-    n2="SELECT id FROM n1 UNION SELECT dst FROM twoway WHERE src IN (SELECT id FROM n1)"))
+    n1="SELECT cve_id AS id FROM hub UNION SELECT dst FROM twoway JOIN hub ON src = cve_id",
+    n2="SELECT id FROM n1 UNION SELECT dst FROM twoway JOIN n1 ON src = n1.id").replace(" AS (", " AS MATERIALIZED ("))
 def ego_graph(t):
     table = _edges(t)
     return graph.induced_edges(table, graph.ego_nodes(table, _hub(t), 2))

@@ -21,20 +21,20 @@ def cve_by_id(t):
 
 
 @query("cves_by_date", sql(f"""SELECT cve_id, {YMD} AS published FROM vulnerability
-    WHERE published BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' ORDER BY vulnerability.published DESC, cve_id LIMIT 1000""", "vulnerability"))
+    WHERE published BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' """, "vulnerability"))
 def cves_by_date(t):
     ntz = lambda s: F.lit(s).cast("timestamp_ntz")
     return _day(lookup.by_date_range(t.vulnerabilities(), ntz("1998-01-01"), ntz("1999-12-31")), "cve_id")
 
 
 @query("recent_cves", sql(f"""SELECT cve_id, {YMD} AS published FROM vulnerability
-    WHERE published BETWEEN {NOW} - INTERVAL 30 DAY AND {NOW} ORDER BY vulnerability.published DESC, cve_id LIMIT 100""", "vulnerability"))
+    WHERE published BETWEEN {NOW} - INTERVAL 30 DAY AND {NOW}""", "vulnerability"))
 def recent_cves(t):
     return _day(lookup.recent(t.vulnerabilities(), t.as_of), "cve_id")
 
 
 @query("recent_advisories", sql(f"""SELECT dsa_id, {YMD} AS published FROM advisory
-    WHERE published BETWEEN {NOW} - INTERVAL 30 DAY AND {NOW} ORDER BY advisory.published DESC, dsa_id LIMIT 100""", "advisory"))
+    WHERE published BETWEEN {NOW} - INTERVAL 30 DAY AND {NOW}""", "advisory"))
 def recent_advisories(t):
     return _day(lookup.recent(t.advisories(), t.as_of, key="dsa_id"), "dsa_id")
 
@@ -52,37 +52,43 @@ def _padded(column):
     return f"' ' || trim(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
 
 
-@query("search_cve_phrase", sql(f"""SELECT cve_id FROM vulnerability WHERE contains({_padded('description')}, ' powerstore 1 0 ')
-    ORDER BY cve_id LIMIT 200""", "vulnerability"))
+@query("search_cve_phrase", sql(f"""SELECT cve_id FROM vulnerability WHERE contains({_padded('description')}, ' powerstore 1 0 ')""", "vulnerability"))
 def search_cve_phrase(t):
     table = t.vulnerabilities().withColumn("source", F.lit(None).cast("string"))
     return lookup.search_phrase(table, "description", "PowerStore 1.0", "cve_id", source="NVD").select("cve_id")
 
 
-@query("search_documents_phrase", f"""SELECT doc_id FROM documents WHERE contains({_padded('text')}, ' apache license ') ORDER BY doc_id LIMIT 200""")
+@query("search_documents_phrase", f"""SELECT doc_id FROM documents WHERE contains({_padded('text')}, ' apache license ')""")
 def search_documents_phrase(t):
     return lookup.search_phrase(t.table("documents"), "text", "Apache License", "doc_id").select("doc_id")
 
 
+@query("search_sign", sql("SELECT cve_id FROM vulnerability WHERE contains(cve_id, '%') OR contains(description, '-:-') OR contains(description, '.')", "vulnerability"))
+def search_sign(t):
+    """A phrase without words is searched as a substring of the id and the text."""
+    table = t.vulnerabilities().withColumn("source", F.lit(None).cast("string"))
+    return lookup.search_phrase(table, "description", ".", "cve_id").select("cve_id")
+
+
 @query("search_two_stage", f"""
     WITH one AS (SELECT doc_id, n_chars, 1 AS stage FROM documents WHERE contains(upper(source), 'LICENSE') OR contains(upper(lang), 'LICENSE')),
     two AS (SELECT doc_id, n_chars, 2 AS stage FROM documents WHERE contains({_padded('text')}, ' license ') AND NOT EXISTS (SELECT 1 FROM one))
-    SELECT doc_id, stage FROM (SELECT * FROM one UNION ALL SELECT * FROM two) ORDER BY stage, n_chars DESC, doc_id LIMIT 100""")
+    SELECT doc_id, stage FROM (SELECT * FROM one UNION ALL SELECT * FROM two)""")
 def search_two_stage(t):
     hits = lookup.search_two_stage(t.table("documents"), ["source", "lang"], "text", "license", "doc_id", "n_chars")
     return hits.select("doc_id", "stage")
 
 
 @query("search_two_stage_columns", """
-    SELECT doc_id, 1 AS stage FROM documents WHERE contains(upper(lang), 'EN') OR contains(upper(source), 'EN') ORDER BY n_chars DESC, doc_id LIMIT 100""")
+    SELECT doc_id, 1 AS stage FROM documents WHERE contains(upper(lang), 'EN') OR contains(upper(source), 'EN')""")
 def search_two_stage_columns(t):
     hits = lookup.search_two_stage(t.table("documents"), ["source", "lang"], "text", "en", "doc_id", "n_chars")
     return hits.select("doc_id", "stage")
 
 
-@query("search_articles", """SELECT doc_id FROM documents WHERE text ILIKE '%license%' OR source ILIKE '%license%' ORDER BY doc_id LIMIT 100""")
+@query("search_articles", """SELECT doc_id FROM documents WHERE text ILIKE '%license%' OR source ILIKE '%license%' OR doc_id::VARCHAR ILIKE '%license%' ORDER BY n_chars DESC, doc_id LIMIT 100""")
 def search_articles(t):
-    return lookup.search_columns(t.table("documents"), ["text", "source"], "license", "doc_id").select("doc_id")
+    return lookup.search_columns(t.table("documents"), ["doc_id", "text", "source"], "license", "doc_id", "n_chars", 100).select("doc_id")
 
 
 @query("article_by_number", """SELECT item_id, md5(text) AS digest FROM benchmark WHERE item_id::VARCHAR = '7' OR text ILIKE '%7%'
@@ -92,9 +98,9 @@ def article_by_number(t):
     return lookup.by_number_or_title(table, "number", "text", "7").select("item_id", F.md5("text").alias("digest"))
 
 
-@query("search_titles", sql("""SELECT dsa_id FROM advisory WHERE title ILIKE '%powerscale%' ORDER BY dsa_id LIMIT 100""", "advisory"))
+@query("search_titles", sql("""SELECT dsa_id FROM advisory WHERE title ILIKE '%powerscale%' ORDER BY published DESC, dsa_id LIMIT 100""", "advisory"))
 def search_titles(t):
-    return lookup.search_columns(t.advisories(), ["title"], "powerscale", "dsa_id").select("dsa_id")
+    return lookup.search_columns(t.advisories(), ["title"], "powerscale", "dsa_id", "published", 100).select("dsa_id")
 
 
 @query("newest_articles", """SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50""")

@@ -102,7 +102,7 @@ def _rule_sql():
 
 _RULES = dict(
     **_FACTOR_CTES,
-    sev="""SELECT product, coalesce(list(DISTINCT severity) FILTER (severity <> ''), []) AS severities, least(count(*), 50) AS cve_count,
+    sev="""SELECT product, coalesce(list(DISTINCT severity) FILTER (severity <> ''), []) AS severities, count(*) AS cve_count,
         coalesce(min(greatest(%s, 0)), 9999) AS age_days FROM product_cve LEFT JOIN vulnerability USING (cve_id) GROUP BY 1""" % days_between("published", NOW),
     cw="SELECT product, list(DISTINCT cwe_id) AS cwes FROM product_cve JOIN classified USING (cve_id) GROUP BY 1",
     ctx="SELECT product, score, coalesce(severities, []) AS severities, coalesce(cve_count, 0) AS cve_count, coalesce(age_days, 9999) AS age_days, coalesce(cwes, []) AS cwes FROM scored LEFT JOIN sev USING (product) LEFT JOIN cw USING (product)",
@@ -122,6 +122,20 @@ def rule_matches(t):
     return _matches(t).select("product", "rule_id", "severity")
 
 
+def _many(n):
+    return {"rule_id": "T-MANY", "name": "many", "severity": "HIGH", "match_mode": "all", "position": 0, "tags": [], "recommendations": [],
+            "conditions": [{"type": "cve_count", "operator": "greater_than", "value": [str(n)]}, {"type": "product_name", "operator": "regex", "value": ["^c"]}]}
+
+
+@query("rules_over_fifty", sql("SELECT product, 'T-MANY' AS rule_id FROM product_cve WHERE product ILIKE 'c%' GROUP BY 1 HAVING count(*) > 55", "product_cve"))
+def rules_over_fifty(t):
+    """A rule on more vulnerabilities than a context shows, and one whose pattern is unreadable."""
+    broken = _many(0) | {"rule_id": "T-BROKEN", "conditions": [{"type": "product_name", "operator": "regex", "value": ["["]}]}
+    scored = t.product_cve().select("product", F.lit(0.0).alias("score")).distinct()
+    ctx = rules.context(t.product_cve(), t.vulnerabilities(), t.classified_as(), scored, t.as_of)
+    return rules.evaluate(ctx, [_many(55), broken]).select("product", "rule_id")
+
+
 @query("product_recommendations", sql("SELECT product, title, priority, row_number() OVER (PARTITION BY product ORDER BY priority, o) AS place FROM advice", *_RANK_TABLES, **_RULES))
 def product_recommendations(t):
     rows = rules.distinct_recommendations(rules.recommendations(_matches(t), stock_rules()))

@@ -190,6 +190,17 @@ def version_checks(t):
         (versions.version_tuple(v) < bound).alias("below"), (versions.version_tuple(v) <= bound).alias("up_to"))
 
 
+@query("version_in_long_range", """
+    SELECT l_orderkey, l_partkey, l_linenumber, l_quantity < 25 OR (l_quantity = 25 AND (l_suppkey % 10 < 5)) AS below, l_suppkey % 10 <= 5 AS up_to FROM lineitem""")
+def version_in_long_range(t):
+    """Versions of nine parts, compared to the last one."""
+    version = F.expr("concat('1.2.3.4.5.6.7.', cast(l_quantity as int), '.', l_suppkey % 10)")
+    last = F.expr("concat('1.2.3.4.5.6.7.8.', l_suppkey % 10)")
+    return t.table("lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", versions.in_range(version, F.lit("prior to 1.2.3.4.5.6.7.25.5")).alias("below"),
+        versions.in_range(last, F.lit("1.2.3.4.5.6.7.8.5 and earlier")).alias("up_to"))
+
+
 @query("version_in_range", """
     SELECT l_orderkey, l_partkey, CASE l_returnflag
         WHEN 'A' THEN l_quantity < 25 WHEN 'N' THEN l_quantity <= 25 WHEN 'R' THEN l_quantity >= 10 AND l_quantity <= 25 END AS hit
@@ -248,8 +259,7 @@ def extracted_pages(t):
         ids.advisory_id_from_link_and_text(F.col("url"), F.lit("")).alias("dsa_id"), pages.page_title(body, F.col("dsa_id")).alias("title"),
         dates.published_date(body, F.col("dsa_id")).alias("published"), pages.page_summary(body).alias("summary"),
         severity.page_severity(body, html).alias("impact"), pages.is_error_page(body, F.col("dsa_id")).alias("is_error"),
-        F.get("rows", F.lit(0))["product"].alias("product"), F.get("rows", F.lit(0))["affected"].alias("affected"),
-        pages.solution_text(F.col("rows")).alias("solution"),
+        F.col("rows"), pages.solution_text(F.col("rows")).alias("solution"),
         F.array_join(ids.cve_ids_sorted(body), ",").alias("cve_ids"))
 
 
@@ -259,14 +269,17 @@ def extracted_pages(t):
            CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium'
                 WHEN '5-LOW' THEN 'Low' ELSE CASE WHEN s >= 9 THEN 'Critical' WHEN s >= 7 THEN 'High' WHEN s >= 4 THEN 'Medium'
                 WHEN s > 0 THEN 'Low' ELSE '' END END AS impact,
-           false AS is_error, 'Dell ' || p AS product, 'Versions prior to ' || v AS affected,
-           'Dell ' || p || ': Versions prior to ' || v || ' -> Version ' || v2 || ' or later' AS solution, 'CVE-2000-1000' AS cve_ids
-    FROM (SELECT {advisory_id('o_orderkey')} AS dsa_id, {q_phrase('o_custkey')} AS p, o_orderdate, o_orderpriority,
+           false AS is_error, r[1] AS product, r[2] AS affected,
+           'Dell ' || p || ': Versions prior to ' || v || ' -> Version ' || v2 || ' or later' || chr(10)
+               || 'Dell Second ' || p || ': Versions ' || v || ' and earlier -> Version ' || v2 AS solution, 'CVE-2000-1000,CVE-2000-1001' AS cve_ids
+    FROM (SELECT *, unnest([['Dell ' || p, 'Versions prior to ' || v], ['Dell Second ' || p, 'Versions ' || v || ' and earlier']]) AS r FROM (SELECT {advisory_id('o_orderkey')} AS dsa_id, {q_phrase('o_custkey')} AS p, o_orderdate, o_orderpriority,
                  ((o_custkey % 10) || '.' || (o_orderkey % 10))::DOUBLE AS s,
                  (1 + o_orderkey % 3) || '.' || (o_custkey % 4) || '.' || (o_orderkey % 2) AS v,
-                 (2 + o_orderkey % 3) || '.' || (o_custkey % 4) || '.' || (o_orderkey % 2) AS v2 FROM orders)""")
+                 (2 + o_orderkey % 3) || '.' || (o_custkey % 4) || '.' || (o_orderkey % 2) AS v2 FROM orders))""")
 def advisory_page_extraction(t):
-    return extracted_pages(t)
+    """One row per row of the remediation table."""
+    found = extracted_pages(t).withColumn("r", F.explode("rows"))
+    return found.select("*", "r.product", "r.affected").drop("rows", "r")
 
 
 @query("remediation_from_text", f"""
@@ -327,14 +340,15 @@ _FEED = """SELECT p_partkey, 'CVE-' || (1995 + p_partkey % 7) || '-' || (10000 +
     CASE WHEN p_type = 'SMALL' THEN 'AWAITING'
          WHEN p_type = 'ECONOMY' THEN CASE WHEN p_size / 5.0 >= 7 THEN 'HIGH' WHEN p_size / 5.0 >= 4 THEN 'MEDIUM' ELSE 'LOW' END
          WHEN p_size >= 45 THEN 'CRITICAL' WHEN p_size >= 35 THEN 'HIGH' WHEN p_size >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS cvss_severity,
-    p_brand AS vendor, replace(p_name, ' ', '_') AS product, p_size::VARCHAR AS version, 'CWE-' || p_size AS cwe,
+    p_brand AS vendor, [{'product': replace(p_name, ' ', '_'), 'version': p_size::VARCHAR}, {'product': 'agent_' || p_partkey % 7, 'version': '2.' || p_size}] AS entries,
+    'CWE-' || p_size AS cwe,
     strftime(TIMESTAMP '1995-01-01' + to_days(((p_partkey * 1117) % 2400)::INT), '%Y-%m-%dT%H:%M:%S') AS published_date, p_type FROM part"""
 
 
-@query("feed_flatten", f"SELECT cve_id, description, published_date, cvss_score, cvss_severity, vendor, product, version, cwe AS weaknesses FROM ({_FEED})")
+@query("feed_flatten", f"SELECT cve_id, description, published_date, cvss_score, cvss_severity, vendor, entry.product AS product, entry.version AS version, cwe AS weaknesses FROM (SELECT *, unnest(entries) AS entry FROM ({_FEED}))")
 def feed_flatten(t):
-    flat = feed.flatten(t.feed_pages())
-    entry = F.get("affected_products", F.lit(0))
+    flat = feed.flatten(t.feed_pages()).withColumn("entry", F.explode("affected_products"))
+    entry = F.col("entry")
     return flat.select("cve_id", "description", "published_date", "cvss_score", "cvss_severity", entry["vendor"].alias("vendor"),
                        entry["product"].alias("product"), entry["version"].alias("version"), F.array_join("weaknesses", ",").alias("weaknesses"))
 
@@ -344,7 +358,7 @@ def feed_severity_counts(t):
     return feed.feed_summary(feed.flatten(t.feed_pages()))[0]
 
 
-@query("feed_top_vendors", f"SELECT vendor, count(*) AS n FROM ({_FEED}) GROUP BY 1 ORDER BY n DESC, vendor LIMIT 5")
+@query("feed_top_vendors", f"SELECT vendor, 2 * count(*) AS n FROM ({_FEED}) GROUP BY 1 ORDER BY n DESC, vendor LIMIT 5")
 def feed_top_vendors(t):
     return feed.feed_summary(feed.flatten(t.feed_pages()))[1]
 

@@ -20,63 +20,86 @@ def _cells(df):
     return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
 
 
-def markdown_rows(df: DataFrame) -> DataFrame:
+def _markdown(df: DataFrame):
     one_line = lambda c: F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ")
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[one_line(c) for c in _cells(df)]), F.lit(" |")).alias("value"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[one_line(c) for c in _cells(df)]), F.lit(" |"))
 
 
-def html_rows(df: DataFrame) -> DataFrame:
+def _html(df: DataFrame):
     cells = [F.concat(F.lit("<td>"), escape_html(c), F.lit("</td>")) for c in _cells(df)]
-    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+    return F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
 
 
-def text_rows(df: DataFrame) -> DataFrame:
+def _text(df: DataFrame):
     lines = [F.concat(F.lit(f"{name}: "), c) for name, c in zip(df.columns, _cells(df))]
-    return df.select(F.concat(F.concat_ws("\n", *lines), F.lit("\n")).alias("value"))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    return df.select(_markdown(df).alias("value"))
+
+
+def html_rows(df: DataFrame) -> DataFrame:
+    return df.select(_html(df).alias("value"))
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    return df.select(_text(df).alias("value"))
 
 
-def _framed(rows: DataFrame, head, tail=()) -> DataFrame:
-    """Rows between fixed first and last lines, in a stable order of three blocks."""
-    spark = rows.sparkSession
-    frame = lambda block, lines: spark.createDataFrame([(block, i, x) for i, x in enumerate(lines)], "block int, i bigint, value string")
-    body = rows.select(F.lit(1).alias("block"), F.lit(0).cast("bigint").alias("i"), "value")
-    return frame(0, head).unionByName(body).unionByName(frame(2, tail)).sortWithinPartitions("block", "i")
+def _framed(df: DataFrame, value, order, head, tail=()) -> DataFrame:
+    """Body rows with their order columns o0, o1, ... between fixed first and last lines."""
+    keys = [F.col(c).alias(f"o{i}") for i, (c, _) in enumerate(order)]
+    body = df.select(F.lit(1).alias("block"), F.lit(0).cast("bigint").alias("i"), value.alias("value"), *keys)
+    frame = lambda block, lines: df.sparkSession.createDataFrame([(block, i, x) for i, x in enumerate(lines)], "block int, i bigint, value string")
+    return frame(0, head).unionByName(body, True).unionByName(frame(2, tail), True)
 
 
-def as_lines(df: DataFrame, fmt: str, title="Report", generated=None) -> DataFrame:
-    """(block, i, value) lines of a Markdown, HTML or text document."""
+def as_lines(df: DataFrame, fmt: str, title="Report", generated=None, order=(), fields=None) -> DataFrame:
+    """(block, i, value, o0, ...) lines of a Markdown, HTML or text document.
+
+    ``order`` lists (column, descending) of the records' order; ``fields`` the columns that are
+    written, so the records may be ordered by others.
+    """
+    shown = df.select(*fields) if fields else df
     if fmt == "markdown":
         head = [f"# {title}", ""]
         if generated:
             head += [f"- 生成时间: {generated}", f"- 记录数量: {df.count()}", ""]
-        head += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        return _framed(markdown_rows(df), head)
+        head += ["| " + " | ".join(shown.columns) + " |", "|" + "---|" * len(shown.columns)]
+        return _framed(df, _markdown(shown), order, head)
     if fmt == "html":
         from html import escape
         head = [f'<html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body>', f"<h1>{escape(title)}</h1>", "<table>",
-                "<tr>" + "".join(f"<th>{escape(c)}</th>" for c in df.columns) + "</tr>"]
-        return _framed(html_rows(df), head, ["</table>", "</body></html>"])
+                "<tr>" + "".join(f"<th>{escape(c)}</th>" for c in shown.columns) + "</tr>"]
+        return _framed(df, _html(shown), order, head, ["</table>", "</body></html>"])
     if fmt == "txt":
-        return _framed(text_rows(df), [title, "=" * len(title), ""])
+        return _framed(df, _text(shown), order, [title, "=" * len(title), ""])
     raise ValueError(f"unknown format {fmt}")
 
 
-def export(df: DataFrame, path: str, fmt=None, title="Report", generated=None, mode="overwrite"):
+def export(df: DataFrame, path: str, fmt=None, title="Report", generated=None, mode="overwrite", order=(), fields=None):
     """Write records; the format comes from ``fmt`` or from the ending of the path.
 
     Documents (Markdown, HTML, text) come as ordered part files: the first part starts
-    with the head and the last one ends with the tail.
+    with the head and the last one ends with the tail.  Records stand in the order of
+    ``order``, (column, descending) pairs; ties and records without an order by their text.
     """
     fmt = fmt or FORMATS.get(str(path).rsplit(".", 1)[-1].lower(), "json")
     fmt = FORMATS.get(fmt, fmt)
     if fmt == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        _ordered(df, order, fields).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
-        df.write.mode(mode).json(path)
+        _ordered(df, order, fields).write.mode(mode).json(path)
     else:
-        lines = as_lines(df, fmt, title, generated)
-        ordered = lines.repartitionByRange("block", "i", "value").sortWithinPartitions("block", "i", "value")
-        ordered.select("value").write.mode(mode).text(path)
+        lines = as_lines(df, fmt, title, generated, order, fields)
+        keys = [F.desc(f"o{i}") if down else F.asc(f"o{i}") for i, (_, down) in enumerate(order)]
+        lines.orderBy("block", "i", *keys, "value").select("value").write.mode(mode).text(path)
+
+
+def _ordered(df, order, fields):
+    rows = df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order]) if order else df
+    return rows.select(*fields) if fields else rows
 
 
 def node_link(nodes: DataFrame, edges: DataFrame, path: str, mode="overwrite"):

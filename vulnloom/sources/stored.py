@@ -64,8 +64,12 @@ def recent_cves(table: DataFrame, as_of, days=90) -> DataFrame:
     """
     published = parse_date(F.col("published_date"))
     words = "|".join(k.replace("|", r"\|") for k in V.FEED_KEYWORDS)
+    # ISO texts sort like dates: a day wider than the window, this bound reaches the scan
+    iso = F.col("published_date").rlike(r"^\d{4}-\d{2}-\d{2}")
+    outside = (F.col("published_date") < F.date_format(minus_days(as_of, days + 1), "yyyy-MM-dd")) | (
+        F.col("published_date") > F.date_format(minus_days(as_of, -2), "yyyy-MM-dd"))
     hits = (
-        table.withColumn("published", published)
+        table.where(~(iso & outside)).withColumn("published", published)
         .where((F.col("published") >= minus_days(as_of, days)) & (F.col("published") <= as_of))
         .where(F.lower("data").rlike(words)))
     parsed = parse_cves(hits.withColumn("published_date", F.col("published")))
