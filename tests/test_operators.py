@@ -139,12 +139,50 @@ def test_exports(spark, tmp_path):
     assert json.loads(text("json"))["name"] == "Test & More" and text("csv").startswith("id,name")
 
 
+def _feed(folder, number, names, rows):
+    (folder / f"{number}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in rows))
+
+
 def test_merge_stream(spark, tmp_path):
     source, columns = tmp_path / "in", "dsa_id string, title string, state string"
     source.mkdir()
-    table = jobs.AdvisoryTable(spark, str(tmp_path / "table"), columns)
+    table = jobs.AdvisoryTable(spark, str(tmp_path / "table"), columns, buckets=4)
     stream = spark.readStream.schema(columns + ", seq int").option("maxFilesPerTrigger", 1).json(str(source))
+    names = ("dsa_id", "title", "state", "seq")
     for i, rows in enumerate([[("a", "one", "x", 1)], [("a", "", "y", 2), ("b", "two", "", 2)]]):
-        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("dsa_id", "title", "state", "seq"), r))) for r in rows))
+        _feed(source, i, names, rows)
         jobs.merge_stream(stream, table, str(tmp_path / "cp")).awaitTermination()
-    assert {tuple(r) for r in table.read(1).collect()} == {("a", "one", "y"), ("b", "two", None)}
+    want = {("a", "one", "y"), ("b", "two", None)}
+    assert {tuple(r) for r in table.read().collect()} == want
+    # a stream with a new checkpoint folder starts at batch 0 again and loses nothing
+    _feed(source, 2, names, [("c", "three", "z", 3)])
+    again = jobs.AdvisoryTable(spark, str(tmp_path / "table"), columns, buckets=4)
+    jobs.merge_stream(stream, again, str(tmp_path / "cp2")).awaitTermination()
+    assert {tuple(r) for r in again.read().collect()} == want | {("c", "three", "z")}
+
+
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    table = jobs.AdvisoryTable(spark, str(tmp_path / "table"), "dsa_id string, title string", buckets=8)
+    frame = lambda rows: spark.createDataFrame(rows, "dsa_id string, title string, seq int")
+    table.merge_batch(frame([(f"k{i}", "t", 1) for i in range(40)]))
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    before = files()
+    table.merge_batch(frame([("k3", "new", 2)]))
+    after = files()
+    assert len(after) == len(before) and len(before.keys() - after.keys()) == 1
+    assert {r["title"] for r in table.read().where("dsa_id = 'k3'").collect()} == {"new"} and table.read().count() == 40
+
+
+def test_daily_counts_leave_late_rows_out(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).json(str(source))
+    names = ("ts", "event_type", "value")
+    out = tmp_path / "out"
+    for i, rows in enumerate([[("2024-01-01T10:00:00Z", "a", 1.0)], [("2024-01-05T00:00:00Z", "a", 2.0)], [("2024-01-01T12:00:00Z", "a", 9.0), ("2024-01-09T00:00:00Z", "a", 3.0)], []]):
+        _feed(source, i, names, rows)
+        counts = jobs.daily_counts(stream)
+        counts.writeStream.outputMode("append").format("parquet").option("path", str(out)).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["window_start"].day, r["n"], r["total"]) for r in spark.read.parquet(str(out)).collect()}
+    assert got == {(1, 1, 1.0), (5, 1, 2.0)}  # the row of the first day that came after the bound is not counted

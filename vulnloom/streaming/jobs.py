@@ -3,31 +3,41 @@
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.operators.merge import merge_batch_fields, merge_fields
+from vulnloom.session import discard, stored
+
+
+BUCKETS = 64
 
 
 class AdvisoryTable:
-    """A merged advisory table kept as numbered parquet versions under one folder.
+    """A merged advisory table as Parquet, partitioned by a hash bucket of the key.
 
-    Each micro-batch writes the next version and never touches an older one, so a batch
-    that is replayed after a failure simply writes its version again.
+    A micro-batch reads and overwrites only the buckets that its keys fall into.  Merging is
+    idempotent: a batch that is replayed after a failure, and a stream that starts again with a
+    new checkpoint folder, merge the same updates into what is there and lose nothing.
     """
 
-    def __init__(self, spark, path: str, columns: str):
-        self.spark, self.path, self.columns = spark, path, columns
+    def __init__(self, spark, path: str, columns: str, key="dsa_id", buckets=BUCKETS):
+        self.spark, self.path, self.columns, self.key, self.buckets = spark, path, columns, key, buckets
+        empty = spark.createDataFrame([], f"{columns}, bucket int")
+        empty.write.mode("ignore").partitionBy("bucket").parquet(path)
 
-    def version(self, number: int) -> str:
-        return f"{self.path}/v{number:012d}"
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def read(self, number: int) -> DataFrame:
-        """The table after the batch ``number``; before any batch it is empty."""
-        if number < 0:
-            return self.spark.createDataFrame([], self.columns)
-        return self.spark.read.schema(self.columns).parquet(self.version(number))
+    def read(self, buckets=None) -> DataFrame:
+        """The table, or only some of its buckets."""
+        table = self.spark.read.schema(f"{self.columns}, bucket int").parquet(self.path)
+        chosen = table if buckets is None else table.where(F.col("bucket").isin(buckets))
+        return chosen.drop("bucket")
 
-    def merge_batch(self, batch: DataFrame, batch_id: int, key="dsa_id", sequence="seq", first_seen=None, stamp=None):
-        new = merge_batch_fields(batch, key, sequence)
-        merged = merge_fields(self.read(batch_id - 1), new, key, first_seen, stamp)
-        merged.write.mode("overwrite").parquet(self.version(batch_id))
+    def merge_batch(self, batch: DataFrame, sequence="seq", first_seen=None, stamp=None):
+        new = stored(merge_batch_fields(batch, self.key, sequence), "batch")
+        touched = [r[0] for r in new.select(self._bucket().alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            merged = merge_fields(self.read(touched), new, self.key, first_seen, stamp).withColumn("bucket", self._bucket())
+            merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        discard(new)
 
 
 def merge_stream(stream: DataFrame, table: AdvisoryTable, checkpoint: str, first_seen=None, stamp=None, **trigger):
@@ -36,7 +46,7 @@ def merge_stream(stream: DataFrame, table: AdvisoryTable, checkpoint: str, first
     Updates of a known advisory must reach the table, so the stream is not deduplicated.
     """
     def run(batch, batch_id):
-        table.merge_batch(batch, batch_id, first_seen=first_seen, stamp=stamp)
+        table.merge_batch(batch, first_seen=first_seen, stamp=stamp)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
