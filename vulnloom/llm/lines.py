@@ -4,10 +4,10 @@ A line is judged by its words, joined by one blank.  Equal lines are one line fr
 Its character shingles are hashed once, and the least hash of each of BANDS x ROWS equal slices
 of the hash range is the signature (an empty slice borrows from the next one).  Lines that
 agree in a whole band share a bucket.  In each bucket the lines are compared with a leader, the
-line that meets most others anywhere, by the exact similarity of their shingle sets.  Buckets
-whose lines are not all connected by then choose a further leader among the lines that no
-leader is connected with; what is left after LEADERS rounds is compared pair by pair.
-So a bucket of n variants of one line costs n comparisons.
+line that meets most others anywhere, by the exact similarity of their shingle sets; those it
+is not similar to choose a second leader among themselves, and so on for LEADERS rounds.
+A bucket of n variants of one line thus costs n comparisons, not all pairs.  Like the banding
+itself this may miss a link, of two lines whose every common bucket has other leaders.
 """
 
 import hashlib
@@ -27,8 +27,8 @@ SHINGLE = 8
 SIMILARITY = (4, 5)  # numerator and denominator
 #: At similarity 0.8 a pair meets in a band with probability 0.985, at 0.9 with 0.9998.
 BANDS, ROWS = 8, 4
-#: Leaders of a bucket before the lines connected with none of them are compared pair by pair.
-LEADERS = 3
+#: Leaders that a bucket's lines are compared with, one after the other.
+LEADERS = 2
 #: Bytes of the texts that one task reads at once, about.
 CHUNK_BYTES = 1_500_000
 LINES = "key long, d long, k int, no int, bands array<long>, line binary"
@@ -75,7 +75,8 @@ def signatures(lines: list[bytes]) -> np.ndarray:
         least = np.where(empty, np.roll(least, -step, axis=1), least)
     out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(lines), axis=0)
     for row in range(ROWS):
-        out = (out ^ least[:, row::ROWS][:, :BANDS]) * np.uint64(0x9E3779B97F4A7C15)
+        # slices of one band lie far apart, or those of a short line would all borrow one shingle
+        out = (out ^ least[:, row * BANDS:(row + 1) * BANDS]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
     return out.view(np.int64)
 
@@ -157,40 +158,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(lines: DataFrame) -> DataFrame | None:
     """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
     banded = lines.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count(F.lit(1)).alias("mates")).where("first < last")
-    met = stored(banded.join(shared.select("bucket", "mates"), "bucket").select("bucket", "key", "mates").distinct(), "buckets")
+    shared = stored(banded.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("bucket"), "shared")
+    met = stored(banded.join(shared, "bucket", "left_semi").distinct(), "buckets")
     if met.isEmpty():
         return None
-    degrees = stored(met.groupBy("key").agg(F.sum("mates").alias("degree")), "degrees")
+    mates = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"))
+    degrees = stored(met.join(mates, "bucket").groupBy("key").agg(F.sum("mates").alias("degree")), "degrees")
     texts = stored(lines.where("line is not null").select("key", "line").join(degrees, "key", "left_semi").dropDuplicates(["key"]), "texts")
     members = stored(met.select("bucket", "key").join(degrees, "key"), "members")
-    edges, nodes, held = None, None, [met, degrees, texts, members]
-    free = members  # lines that no leader of their bucket is connected with
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
-            leaders = free.groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"))
-            pairs = (free if turn == 0 else apart).join(leaders, "bucket").where("key <> leader").select(
-                F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
-        else:
-            pairs = free.select("bucket", F.col("key").alias("a")).join(free.select("bucket", F.col("key").alias("b")), "bucket").where("a < b")
-        near = stored(verified(pairs, texts), "near")
-        held.append(near)
+    edges, held = None, [shared, met, degrees, texts, members]
+    free = members  # lines that no leader of their bucket is similar to
+    for turn in range(LEADERS):
+        leaders = free.groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"))
+        led = stored(free.join(leaders, "bucket"), "led")
+        near = stored(verified(led.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")), texts), "near")
+        held += [led, near]
         edges = near if edges is None else edges.unionAll(near)
-        if turn == 0 or not near.isEmpty():
-            nodes = stored(connected_components(edges).select("node", "component"), "components")
-        if turn == LEADERS:
-            break
-        # a bucket stays open while it holds lines that are not connected with one of its leaders
-        named = members.join(nodes, F.col("key") == F.col("node"), "left").select("bucket", "key", "degree", F.coalesce("component", "key").alias("component"))
-        led = leaders if turn == 0 else led.unionAll(leaders)
-        met_by = led.join(nodes, F.col("leader") == F.col("node"), "left").select("bucket", F.coalesce("component", "leader").alias("component")).distinct()
-        free = stored(named.join(met_by, ["bucket", "component"], "left_anti").select("bucket", "key", "degree"), "free")
-        held.append(free)
-        if free.isEmpty():
-            break
-        apart = members.join(free.select("bucket").distinct(), "bucket", "left_semi")
+        if turn + 1 < LEADERS:
+            same = (F.least("key", "leader") == F.col("a")) & (F.greatest("key", "leader") == F.col("b"))
+            free = led.where("key <> leader").join(near, same, "left_anti").select("bucket", "key", "degree")
+    nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
     discard(*held)
-    return None if nodes.isEmpty() else nodes
+    return nodes
 
 
 def _gone(lines: DataFrame, nodes: DataFrame | None) -> DataFrame:
