@@ -14,6 +14,7 @@ from vulnloom.functions.dates import bucket_30d, elapsed_days, minus_days
 from vulnloom.functions.levels import exposure_band
 from vulnloom.functions.names import product_lines
 from vulnloom.functions.versions import anchors, firmware_type, models, version_tuple
+from vulnloom.session import stored
 from vulnloom.sources.stored import advisory_text
 
 GROUP = ["line", "model", "firmware_type"]
@@ -83,13 +84,14 @@ def expand(keys: DataFrame, scores: DataFrame, known_exploited: DataFrame, menti
 
     ``scores`` is (dsa_id, cvss).  A version hit by several anchors of one advisory counts once.
     """
-    ranks = ranked_versions(keys)
-    rows = keys.join(ranks, KEY).join(scores.select("dsa_id", "cvss"), "dsa_id", "left").withColumn("cvss", F.coalesce("cvss", F.lit(0.0)))
+    # every branch below starts from these two, so they are computed once
+    ranks = stored(ranked_versions(keys), "ranks")
+    rows = stored(keys.join(ranks, KEY).join(scores.select("dsa_id", "cvss"), "dsa_id", "left").withColumn("cvss", F.coalesce("cvss", F.lit(0.0))), "rows")
     direct = rows.groupBy(*KEY, "rank").agg(
         F.count(F.lit(1)).alias("direct_count"), F.max("published").alias("own_last"),
         F.min_by(F.col("qualifier"), F.when(F.col("qualifier") != "", F.struct("published", "dsa_id", "qualifier"))).alias("qualifier"))
     per_advisory = ["dsa_id", "cvss", "published"]
-    reach = _reach(rows, per_advisory)
+    reach = stored(_reach(rows, per_advisory), "reach")
     scored = F.when(F.col("cvss") > 0, 1).otherwise(0)
     steps = _steps(reach, {"n": F.lit(1), "sum_cvss": F.col("cvss"), "n_scored": scored})
     covered = _swept(ranks, steps, ["n", "sum_cvss", "n_scored"])
@@ -108,7 +110,7 @@ def expand(keys: DataFrame, scores: DataFrame, known_exploited: DataFrame, menti
     latest = lasts.select(*GROUP, "rank", F.greatest(
         F.max("le").over(from_above), F.max("lt").over(strictly_above), F.max("ge").over(from_below)).alias("range_last"))
     # Known-exploited ids: the ranges of all advisories that mention an id are one range.
-    exploited = mentions.join(known_exploited, "cve_id", "left_semi").join(rows, "dsa_id")
+    exploited = stored(mentions.join(known_exploited, "cve_id", "left_semi").join(rows, "dsa_id").select(*KEY, "qualifier", "rank", "cve_id"), "exploited")
     kev_reach = _reach(exploited, ["cve_id"])
     kev_swept = _swept(ranks, _steps(kev_reach, {"kev": F.lit(1)}), ["kev"])
     kev_extra = _beyond(exploited.select(*KEY, "rank", "cve_id").distinct(), kev_reach, ["cve_id"]).groupBy(*KEY).agg(

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from vulnloom import fixed_values as V
 from vulnloom.functions.dates import elapsed_days, minus_days, plus_days
 from vulnloom.functions.levels import at_least_one, poisson_high, poisson_low, probability_level
+from vulnloom.session import stored
 
 
 def _cut(cutoff):
@@ -102,27 +103,37 @@ def predictions(forecasts: DataFrame, label="n_actual") -> DataFrame:
     return forecasts.select("cutoff", "line", _four(F.col("probability")).alias("p"), (F.col(label) > 0).cast("int").alias("y"))
 
 
-def metrics(table: DataFrame, keys=("cutoff",), ties="line") -> DataFrame:
+def metrics(table: DataFrame, keys=("cutoff",), ties="line", broadcast=True) -> DataFrame:
     """Brier score, AUC, precision among the first 5 and 10, hit rates, per key.
 
-    ``table`` has the keys, p with four decimals and y.  AUC works on counts per distinct
-    p, at most 10001 per key, so no key is sorted row by row.
+    There is a key for each cut-off and point of a grid, a few thousand at most, so the bars are
+    sent to all tasks; without ``broadcast`` they are joined by their keys.
+
+    ``table`` has the keys, p with four decimals and y.  It is read once into counts per
+    distinct p, at most 10001 per key, which give all measures but the precision; for that it
+    is read again, but only the rows from the p on at which ten rows are reached.
     """
     keys = list(keys)
-    basic = table.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("y").alias("n_positive"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier_score"),
-        F.coalesce(F.avg(F.when(F.col("p") >= 0.7, F.col("y"))), F.lit(0.0)).alias("hit_rate_high"),
-        F.coalesce(F.avg(F.when(F.col("p") >= 0.9, F.col("y"))), F.lit(0.0)).alias("hit_rate_critical"))
+    counts = stored(table.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "counts")
+    n = F.col("pos") + F.col("neg")
+    rate = lambda bar: F.coalesce(F.sum(F.when(F.col("p") >= bar, F.col("pos"))) / F.nullif(F.sum(F.when(F.col("p") >= bar, n)), F.lit(0)), F.lit(0.0))
     below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    steps = table.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn(
-        "neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    above = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = counts.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0))).withColumn("n_above", F.coalesce(F.sum(n).over(above), F.lit(0)))
     won = F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg")))
     pairs = F.sum("pos") * F.sum("neg")
-    auc = steps.groupBy(*keys).agg(F.when(pairs > 0, won / F.nullif(pairs, F.lit(0))).otherwise(0.5).alias("auc_roc"))
+    basic = steps.groupBy(*keys).agg(
+        F.sum(n).alias("n_lines"), F.sum("pos").alias("n_positive"),
+        (F.sum(F.col("pos") * (F.col("p") - 1) ** 2 + F.col("neg") * F.col("p") ** 2) / F.sum(n)).alias("brier_score"),
+        rate(0.7).alias("hit_rate_high"), rate(0.9).alias("hit_rate_critical"),
+        F.when(pairs > 0, won / F.nullif(pairs, F.lit(0))).otherwise(0.5).alias("auc_roc"),
+        F.min(F.when(F.col("n_above") < 10, F.col("p"))).alias("bar"))
+    basic = stored(basic, "measures")
     first = Window.partitionBy(*keys).orderBy(F.desc("p"), ties)
-    top = table.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 10).groupBy(*keys).agg(
+    high = table.join(F.broadcast(basic.select(*keys, "bar")) if broadcast else basic.select(*keys, "bar"), keys).where(F.col("p") >= F.col("bar"))
+    top = high.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 10).groupBy(*keys).agg(
         F.avg(F.when(F.col("r") <= 5, F.col("y"))).alias("precision_at_5"), F.avg("y").alias("precision_at_10"))
-    return basic.join(auc, keys).join(top, keys).withColumn("base_rate", F.col("n_positive") / F.col("n_lines"))
+    return basic.drop("bar").join(top, keys).withColumn("base_rate", F.col("n_positive") / F.col("n_lines"))
 
 
 def calibration(table: DataFrame, keys=("cutoff",), bins=5) -> DataFrame:

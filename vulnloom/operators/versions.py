@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vulnloom import fixed_values as V
 from vulnloom.functions import let, unnest
-from vulnloom.functions.dates import bucket_30d, minus_days
+from vulnloom.functions.dates import bucket_30d, elapsed_days, minus_days
 from vulnloom.functions.levels import at_least_one, poisson_high, poisson_low, probability_level
 from vulnloom.functions.names import product_lines
 from vulnloom.functions.versions import entry_versions, text_versions
@@ -132,6 +132,25 @@ def forecast_versions(advisories: DataFrame, cves: DataFrame, first_mentions: Da
         probability_level(F.col("probability")).alias("risk_level"))
 
 
+def forecast_new_versions(asked: DataFrame, advisories: DataFrame, cves: DataFrame, line_rates: DataFrame, as_of, days=30) -> DataFrame:
+    """Forecast of version keys without advisories: (key, months_since_first, base_rate, ..., prior_method).
+
+    ``asked`` has the keys.  The rate is the line's base rate scaled by the age of the version,
+    which is counted from its first vulnerability (0 without any); asked keys that have
+    advisories up to ``as_of`` are left out.
+    """
+    seen = advisories.where(F.col("published") <= as_of).select(*KEY).distinct()
+    first = cves.where(F.col("published") <= as_of).groupBy(*KEY).agg(F.min("published").alias("first"))
+    t = asked.select(*KEY).distinct().join(seen, KEY, "left_anti").join(first, KEY, "left").join(line_rates.select("line", "base_rate"), "line", "left")
+    months = F.coalesce(F.floor(elapsed_days(F.col("first"), as_of) / F.lit(30.0)), F.lit(0))
+    t = t.withColumn("months_since_first", months.cast("int")).withColumn(
+        "base_rate", age_prior(F.coalesce("base_rate", F.lit(0.0)), F.col("months_since_first"))).withColumn("expected", F.col("base_rate") * (days / 30.0))
+    chance = at_least_one(F.col("expected"))
+    return t.select(
+        *KEY, "months_since_first", "base_rate", F.col("base_rate").alias("recent_rate"), F.lit(1.0).alias("trend_multiplier"), "expected",
+        chance.alias("probability"), F.lit(True).alias("is_fallback"), F.lit("bayesian_age_adjusted").alias("prior_method"), probability_level(chance).alias("risk_level"))
+
+
 def version_summary(forecasts: DataFrame) -> DataFrame:
     """Shares of risk levels, confidence bands and fallbacks."""
     pct = lambda test: F.count_if(test) * 100.0 / F.count(F.lit(1))

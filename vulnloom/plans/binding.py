@@ -247,9 +247,9 @@ class Logical:
 
     def stored(self, name: str, build) -> DataFrame:
         """A table that several plans start from: built once and kept on reliable storage."""
-        from vulnloom.session import checkpointed
+        from vulnloom.session import stored
         if name not in self._built:
-            self._built[name] = checkpointed(build())
+            self._built[name] = stored(build(), name)
         return self._built[name]
 
     def firmware_keys(self) -> DataFrame:

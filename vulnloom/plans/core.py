@@ -318,6 +318,11 @@ def affected_radius(t):
     return propagation.affected_radius(_trace(t))
 
 
+@query("affected_products", sql(f"SELECT DISTINCT source_cve, hops, target_product AS product FROM ({_TRACE})", "mention", "classified", "product_cve", **_TRACE_CTES))
+def affected_products(t):
+    return propagation.affected_products(_trace(t))
+
+
 @query("incremental_edges", sql("SELECT * FROM edge", "mention", "affect", "classified", edge=_EDGE))
 def incremental_edges(t):
     """Snapshot of the advisories before 2000, extended by those published since."""

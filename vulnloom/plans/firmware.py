@@ -12,15 +12,20 @@ from vulnloom.plans.logical_sql import NOW, days_between, r6 as q6, sql, steps,
 from vulnloom.plans.registry import query, r6
 
 _VERSIONS = """
-    SELECT dsa_id, published, line, coalesce(short_name, left(full_name || CASE WHEN o_orderpriority = '5-LOW' THEN ' ' || v || ' to' ELSE '' END, 60)) AS product_name,
+    SELECT dsa_id, published, line, coalesce(short_name, full_name || CASE WHEN o_orderpriority = '5-LOW' THEN ' ' || v || ' to' ELSE '' END) AS product_name,
            CASE WHEN o_orderpriority = '5-LOW' THEN v2 ELSE v END AS version_number,
            CASE o_orderpriority WHEN '2-HIGH' THEN '<' WHEN '3-MEDIUM' THEN '<=' ELSE '' END AS qualifier
     FROM advisory_text WHERE line IS NOT NULL AND (o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') OR (o_orderpriority = '1-URGENT' AND plain_ok = 'y'))"""
 
 
-@query("advisory_versions", sql("SELECT dsa_id, line, product_name, version_number, qualifier FROM ver", "advisory_text", ver=_VERSIONS))
+_TYPED = """CASE WHEN contains(w, 'bios') THEN 'SOFTWARE' WHEN contains(w, 'firmware') OR contains(w, ' fw ') THEN 'FIRMWARE' WHEN contains(w, 'idrac') THEN 'HARDWARE'
+    WHEN regexp_matches(w, '\\b(r|t|m|c)\\d{3,4}\\b') AND contains(w, 'poweredge') THEN 'HARDWARE' ELSE 'SOFTWARE' END"""
+
+
+@query("advisory_versions", sql(f"""SELECT dsa_id, line, product_name, version_number, qualifier, {_TYPED} AS version_type, 0.95 AS confidence
+    FROM (SELECT *, lower(product_name || ' ' || version_number) AS w FROM ver)""", "advisory_text", ver=_VERSIONS))
 def advisory_versions(t):
-    return t.advisory_versions().select("dsa_id", "line", "product_name", "version_number", "qualifier")
+    return t.advisory_versions().select("dsa_id", "line", "product_name", "version_number", "qualifier", "version_type", "confidence")
 
 
 @query("version_keys", sql("SELECT line || '::' || product_name || '::' || version_number AS version_key, line AS product_line, product_name, version_number, count(*) AS n FROM ver GROUP BY ALL",
@@ -105,6 +110,19 @@ def forecast_versions_of_line(t):
     return f.select("product_name", "version_number", r6("probability").alias("probability"))
 
 
+@query("forecast_new_versions", sql(f"""SELECT line, product_name, version_number, months, {q6('rate')} AS base_rate, {q6('CASE WHEN rate > 0 THEN 1 - exp(-rate * 2) ELSE 0 END')} AS probability FROM (
+    SELECT *, coalesce(base, 0) * CASE WHEN months <= 6 THEN 0.3 WHEN months >= 24 THEN 1.0 ELSE 0.3 + 0.7 * (months - 6) / 18.0 END::DOUBLE AS rate FROM (
+    SELECT c.line, c.product_name, c.version_number, greatest({days_between('f', NOW)} // 30, 0) AS months, round(fc.base + 1e-9, 3) AS base FROM (
+        SELECT line, product_name, version_number, min(published) FILTER (published <= {NOW}) AS f FROM cver GROUP BY 1, 2, 3) c
+    LEFT JOIN fc USING (line) ANTI JOIN own USING (line, product_name, version_number)) WHERE months IS NOT NULL)""", *_PRODUCT_TABLES, "advisory_text", **_VF))
+def forecast_new_versions(t):
+    """Version keys that only vulnerabilities name, at sixty days."""
+    rates = forecast.forecast_lines(product_features(t), 60).select("line", F.round(F.col("base_rate") + F.lit(1e-9), 3).alias("base_rate"))
+    cves = _cve_versions(t)
+    f = versions.forecast_new_versions(cves.where(F.col("published") <= t.as_of), t.advisory_versions(), cves, rates, t.as_of, 60)
+    return f.select("line", "product_name", "version_number", F.col("months_since_first").alias("months"), r6("base_rate").alias("base_rate"), r6("probability").alias("probability"))
+
+
 @query("version_forecast_summary", sql(f"""SELECT count(*) AS n_versions, {', '.join(f"round(count_if(l = '{x}') * 100.0 / count(*), 6) AS pct_{x.lower()}" for x in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'MINIMAL'))},
     round(count_if(confidence >= 0.8) * 100.0 / count(*), 6) AS pct_high_confidence, round(count_if(confidence >= 0.5 AND confidence < 0.8) * 100.0 / count(*), 6) AS pct_medium_confidence,
     round(count_if(fb) * 100.0 / count(*), 6) AS pct_fallback FROM (SELECT *, {steps('(1 - exp(-e))', V.PROBABILITY_LEVELS, 'MINIMAL')} AS l FROM vfp)""",

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from vulnloom.session import discard
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -14,18 +16,31 @@ def r6(column):
 _LOGICAL = {}
 
 
-def logical(spark, sf_dir):
-    """The logical tables of one folder, shared by all queries of a session."""
-    from vulnloom.plans.binding import Logical
-    key = (spark.sparkContext.applicationId, id(spark), str(sf_dir))
-    if key not in _LOGICAL:
-        _LOGICAL[key] = Logical(spark, sf_dir)
-    return _LOGICAL[key]
+def _state(spark, sf_dir):
+    """Names, sizes and times of the files of a folder; they change when its tables do."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(sf_dir))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
-def forget():
-    """Drop the shared tables, so that the next query builds its own again."""
-    _LOGICAL.clear()
+def logical(spark, sf_dir):
+    """The logical tables of one folder, shared by all queries of a session while its files stay the same."""
+    from vulnloom.plans.binding import Logical
+    folder = (spark.sparkContext.applicationId, id(spark), str(sf_dir))
+    state = _state(spark, sf_dir)
+    known = _LOGICAL.get(folder)
+    if known is None or known[0] != state:
+        forget(folder)
+        known = _LOGICAL[folder] = (state, Logical(spark, sf_dir))
+    return known[1]
+
+
+def forget(folder=None):
+    """Drop the shared tables and their files, so that the next query builds its own again."""
+    for name in [folder] if folder else list(_LOGICAL):
+        _, tables = _LOGICAL.pop(name, (None, None))
+        if tables:
+            discard(*tables._built.values())
 
 
 def query(name, oracle=None):

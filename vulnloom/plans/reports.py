@@ -152,8 +152,8 @@ def portfolio_plan(t):
 
 def _top_reports(t, k=10):
     best = scoring.top_scored(_scored(t), 30.0, k).select("product", "score", "level", *V.PRODUCT_WEIGHTS)
-    from vulnloom.session import checkpointed
-    return report.reports(checkpointed(best), t.product_cve(), t.vulnerabilities(), t.classified_as(), stock_rules(), t.as_of)
+    from vulnloom.session import stored
+    return report.reports(stored(best, "best"), t.product_cve(), t.vulnerabilities(), t.classified_as(), stock_rules(), t.as_of)
 
 
 @query("product_reports", sql(f"""SELECT product, {q6('score')} AS score, total_cves, critical, coalesce(n_rules, 0) AS n_rules, coalesce(n_rec, 0) AS n_recommendations, pc AS predicted_count FROM (
@@ -193,12 +193,14 @@ def report_overview(t):
     return report.overview(_line_forecasts(t), firmware_scores(t))
 
 
-@query("layer_comparison", sql(f"""SELECT fc.line, {q6('fc.p')} AS line_probability, {steps('fc.p', V.PROBABILITY_LEVELS, 'MINIMAL')} AS risk_level, coalesce(nk, 0) AS n_keys, be AS best_exposure
-    FROM fc LEFT JOIN (SELECT line, count(*) AS nk, max(exposure_score) AS be FROM sc GROUP BY 1) k ON k.line = fc.line""",
-    *_PRODUCT_TABLES, "advisory_text", "mention", "kev", **_PRODUCT, **_HITS))
+@query("layer_comparison", sql(f"""SELECT fc.line, {q6('fc.p')} AS line_probability, {steps('fc.p', V.PROBABILITY_LEVELS, 'MINIMAL')} AS risk_level, coalesce(nv, 0) AS n_versions,
+    {q6('bv')} AS best_version_probability, coalesce(nk, 0) AS n_keys, be AS best_exposure
+    FROM fc LEFT JOIN (SELECT line, count(*) AS nv, max(CASE WHEN e > 0 THEN 1 - exp(-e) ELSE 0 END) AS bv FROM vfp GROUP BY 1) v ON v.line = fc.line LEFT JOIN (SELECT line, count(*) AS nk, max(exposure_score) AS be FROM sc GROUP BY 1) k ON k.line = fc.line""",
+    *_PRODUCT_TABLES, "advisory_text", "mention", "kev", **_VF, **_HITS))
 def layer_comparison(t):
     c = report.layer_comparison(_line_forecasts(t), version_forecasts(t), firmware_scores(t))
-    return c.select("line", r6("line_probability").alias("line_probability"), "risk_level", "n_keys", "best_exposure")
+    return c.select("line", r6("line_probability").alias("line_probability"), "risk_level", "n_versions", r6("best_version_probability").alias("best_version_probability"),
+                    "n_keys", "best_exposure")
 
 
 @query("series_forecast", sql(f"""SELECT n_series, n_version, {q6('n_series / 12.0::DOUBLE')} AS base_rate, lf AS lifecycle_factor, {q6('rate * lf * 3')} AS expected, {q6('1 - exp(-rate * lf * 3)')} AS probability FROM (

@@ -2,6 +2,7 @@
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -52,7 +53,7 @@ def stored(df: DataFrame, name="table") -> DataFrame:
     left goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vulnloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/vulnloom-{re.sub(r'[^0-9A-Za-z]+', '-', name)}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
