@@ -155,16 +155,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(right, "b").join(left, "a").where(F.pandas_udf(_similar, "boolean")("line_a", "line_b")).select("a", "b")
 
 
+# Joins of tables that grow with the corpus are merge joins at every size: a side that is small
+# enough to be broadcast in a test would not be on a cluster, and the plan is to be the same.
+
+
 def links(lines: DataFrame) -> DataFrame | None:
     """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
     banded = lines.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("bucket"), "shared")
-    met = stored(banded.join(shared, "bucket", "left_semi").distinct(), "buckets")
+    met = stored(banded.join(shared.hint("merge"), "bucket", "left_semi").distinct(), "buckets")
     if met.isEmpty():
         return None
     mates = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"))
     degrees = stored(met.join(mates, "bucket").groupBy("key").agg(F.sum("mates").alias("degree")), "degrees")
-    texts = stored(lines.where("line is not null").select("key", "line").join(degrees, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    texts = stored(lines.where("line is not null").select("key", "line").join(degrees.hint("merge"), "key", "left_semi").dropDuplicates(["key"]), "texts")
     members = stored(met.select("bucket", "key").join(degrees, "key"), "members")
     edges, held = None, [shared, met, degrees, texts, members]
     free = members  # lines that no leader of their bucket is similar to
@@ -191,7 +195,7 @@ def _gone(lines: DataFrame, nodes: DataFrame | None) -> DataFrame:
         joined = stored(firsts.join(nodes, F.col("key") == F.col("node"), "left").where("n > 1 or component is not null").select("key", "first", "component"), "firsts")
         whole = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("whole"))
         known = joined.join(whole, "component", "left").select("key", F.coalesce("whole", "first").alias("first"))
-    gone = lines.select("key", "d", "k", "no").join(known, "key").where(
+    gone = lines.select("key", "d", "k", "no").join(known.hint("merge"), "key").where(
         (F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")) | (F.col("no") != F.col("first.no")))
     return stored(gone.groupBy("d", "k").agg(F.collect_list("no").alias("gone")), "gone")
 
@@ -227,7 +231,7 @@ def _with_gone(documents: DataFrame, columns) -> DataFrame:
     base = documents.select(*columns, utf8(F.col("text")).alias("__text"), *key)
     gone = later_lines(base.select(F.col("__text").alias("text"), F.col("__d").alias("d"), F.col("__k").alias("k")))
     gone = gone.select(F.col("d").alias("__of_d"), F.col("k").alias("__of_k"), F.col("gone").alias("__gone"))
-    return base.join(gone, (F.col("__d") == F.col("__of_d")) & (F.col("__k") == F.col("__of_k")), "left")
+    return base.join(gone.hint("merge"), (F.col("__d") == F.col("__of_d")) & (F.col("__k") == F.col("__of_k")), "left")
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:

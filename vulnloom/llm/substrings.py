@@ -252,7 +252,7 @@ def _with_spans(documents: DataFrame, columns) -> DataFrame:
     base = documents.select(*columns, utf8(F.col("text")).alias("__text"), *key)
     spans = later_windows(base.select(F.col("__text").alias("text"), F.col("__d").alias("d"), F.col("__k").alias("k")))
     spans = spans.select(F.col("d").alias("__of_d"), F.col("k").alias("__of_k"), F.col("spans").alias("__spans"))
-    return base.join(spans, (F.col("__d") == F.col("__of_d")) & (F.col("__k") == F.col("__of_k")), "left")
+    return base.join(spans.hint("merge"), (F.col("__d") == F.col("__of_d")) & (F.col("__k") == F.col("__of_k")), "left")
 
 
 def _argument() -> list[Column]:
