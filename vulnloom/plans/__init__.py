@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["core", "texts", "lookups", "sharing", "forecasts", "firmware", "reports", "learning"]
+_MODULES = ["core", "texts", "lookups", "sharing", "forecasts", "firmware", "reports", "learning", "files"]
 
 
 def load_all():
