@@ -19,12 +19,12 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(weighted), "label")
 
 
-def models():
+def models(trees=100):
     """Logistic regression on standardised features, and boosted trees on plain ones."""
     assemble = VectorAssembler(inputCols=V.FEATURE_NAMES, outputCol="raw")
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
     logistic = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=1000, regParam=0.0)
-    trees = GBTClassifier(featuresCol="raw", labelCol="label", maxIter=100, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=42)
+    trees = GBTClassifier(featuresCol="raw", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=42)
     return {"logistic": Pipeline(stages=[assemble, scale, logistic]), "gbt": Pipeline(stages=[assemble, trees])}
 
 
@@ -34,10 +34,10 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return scored.select("cutoff", "line", F.round(chance, 4).alias("p"), F.col("label").alias("y"))
 
 
-def train_and_compare(train: DataFrame, test_features: DataFrame, days: int, kinds=("logistic", "gbt")) -> DataFrame:
+def train_and_compare(train: DataFrame, test_features: DataFrame, days: int, kinds=("logistic", "gbt"), trees=100) -> DataFrame:
     """Measures over the whole test set per method."""
     test = forecast.training_rows(test_features)
-    fitted = {k: p.fit(balanced(train)) for k, p in models().items() if k in kinds}
+    fitted = {k: p.fit(balanced(train)) for k, p in models(trees).items() if k in kinds}
     parts = [predict(m, test).withColumn("method", F.lit(k)) for k, m in fitted.items()]
     parts.append(forecast.predictions(forecast.forecast_lines(test_features, days)).withColumn("method", F.lit("heuristic")))
     naive = forecast.naive_forecast(test_features, days)

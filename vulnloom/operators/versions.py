@@ -66,10 +66,16 @@ def age_prior(line_rate, months_since_first):
 def bootstrap_ci(key, counts, days: int, resamples=RESAMPLES, level=0.80, seed=SEED):
     """Struct (low, high) of the chance, by resampling the monthly counts of one row.
 
-    Draws come from a hash of key, resample and position, so they repeat exactly.
+    Draws come from a congruential generator over a digest of the key, the resample and the
+    position, in whole numbers below 2 ** 63, so they repeat exactly in any engine.
     """
     n = F.size(counts)
-    draw = lambda rep, i: F.get(counts, F.pmod(F.xxhash64(key, rep, i, F.lit(seed)), n).cast("int"))
+    start = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") + seed
+
+    def draw(rep, i):
+        state = ((start + rep * 7919 + i * 104_729) * 1_103_515_245 + 12_345) % 2_147_483_648
+        return F.get(counts, (F.shiftright(state, 16) % n).cast("int"))
+
     mean = lambda rep: F.aggregate(F.transform(F.sequence(F.lit(1), n), lambda i: draw(rep, i)), F.lit(0.0), lambda a, x: a + x) / n
     chances = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda rep: at_least_one(mean(rep) * (days / 30.0))))
     alpha = (1 - level) / 2

@@ -96,9 +96,25 @@ def forecast_versions(t):
                     r6("probability").alias("probability"), "risk_level")
 
 
-@query("forecast_version_intervals")
+_DRAW = "((((start + rep * 7919 + i * 104729) * 1103515245 + 12345) % 2147483648) >> 16) % 12"
+_CHANCE = lambda e: f"(CASE WHEN {e} > 0 THEN 1 - exp(-({e})) ELSE 0 END)"
+_LOW, _HIGH = f"greatest(e - {V.POISSON_CI_Z} * sqrt(greatest(e, 0)), 0)", f"e + {V.POISSON_CI_Z} * sqrt(greatest(e, 0))"
+_INTERVALS = dict(
+    **_VF,
+    iv=f"""SELECT *, {_CHANCE('e')} AS p, {_CHANCE('list_sum(ml) / 12.0')} AS plain,
+        ('0x' || substr(md5(line || '::' || product_name || '::' || version_number), 1, 8))::BIGINT + 42 AS start
+        FROM vfp JOIN (SELECT line, product_name, version_number, list_transform(months, lambda x: x::DOUBLE) AS ml FROM months) USING (line, product_name, version_number)""",
+    means=f"""SELECT line, product_name, version_number, rep, sum(ml[1 + ({_DRAW})::INT]) / 12.0 AS m FROM iv, (SELECT unnest(range(1, 501)) AS rep), (SELECT unnest(range(1, 13)) AS i)
+        WHERE NOT fb AND vmr IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    ch=f"SELECT line, product_name, version_number, list({_CHANCE('m')} ORDER BY m) AS c FROM means GROUP BY 1, 2, 3")
+
+
+@query("forecast_version_intervals", sql(f"""SELECT line, product_name, version_number, CASE WHEN c IS NULL THEN 'poisson_analytical' ELSE 'bootstrap' END AS ci_method,
+    {q6(f"CASE WHEN c IS NULL THEN {_CHANCE(_LOW)} ELSE least(least(1, c[51] * s), p) END")} AS probability_low, {q6('p')} AS probability,
+    {q6(f"CASE WHEN c IS NULL THEN {_CHANCE(_HIGH)} ELSE greatest(least(1, c[450] * s), p) END")} AS probability_high
+    FROM (SELECT *, CASE WHEN plain > 0 THEN p / plain ELSE 1 END AS s FROM iv LEFT JOIN ch USING (line, product_name, version_number))""",
+    *_PRODUCT_TABLES, "advisory_text", **_INTERVALS))
 def forecast_version_intervals(t):
-    """Intervals come from hashed resampling, which SQL engines do not share."""
     return version_forecasts(t).select("line", "product_name", "version_number", "ci_method", r6("probability_low").alias("probability_low"),
                                        r6("probability").alias("probability"), r6("probability_high").alias("probability_high"))
 
