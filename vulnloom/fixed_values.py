@@ -431,3 +431,24 @@ STOCK_RULES = [
          ("考虑内存安全语言迁移", "P4", "长期规划", "architect", "高"),
          ("应用安全补丁", "P1", "48 小时内", "patch", "中")]},
 ]
+
+
+# --- fixed values: texts of the line report ----------------------------------------
+REPORT_TITLE = "# 智能预测综合报告"
+REPORT_CONTENTS = "## 目录"
+REPORT_PRODUCTS = "## 知识图谱产品风险评分"
+REPORT_METHOD = [
+    "## 算法说明", "", "Poisson 速率模型，可解释因子：", "", "```",
+    "λ_eff = λ_base × trend_multiplier × severity_factor + 0.04 × open_cve_pressure",
+    "P(≥1 DSA in D 天) = 1 − exp(−λ_eff × D / 30)", "```", "",
+    "- λ_base: 过去 12 个月该产品线月均 DSA 数",
+    "- trend_multiplier: 近 3 个月速率 / 12 个月基线，裁剪到 [0.5, 3.0]",
+    "- severity_factor: 1 + 0.5 × (近期 CVE 平均 CVSS / 10)，∈ [1.0, 1.5]",
+    "- open_cve_pressure: 近 90 天匹配该产品线但尚未进入 DSA 的 CVE 数", "",
+    "微码 exposure_score：freq_score(50) + severity_score(25) + recency_score(25) + KEV(+5/CVE，上限 +15)", ""]
+FORECAST_TABLE_HEAD = [
+    "| 全量 DSA | 12M | 3M | λ_base | λ_recent | trend | sev | open | E[DSA] | P(≥1) | 等级 |",
+    "|---:|---:|---:|---:|---:|---:|---:|---:|---:|---:|:---:|"]
+FIRMWARE_TABLE_HEAD = [
+    "| 机型 | 类型 | 版本 | exposure | 等级 | KEV | 命中数 | avg CVSS | 距今(月) |",
+    "|---|---|---|---:|:---:|---:|---:|---:|---:|"]

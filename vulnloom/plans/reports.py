@@ -177,11 +177,35 @@ def _line_forecasts(t, days=90):
     return forecast.forecast_lines(product_features(t), days)
 
 
-@query("line_report_markdown")
+_J = lambda lines: " || chr(10) || ".join(text(x) for x in lines)
+_ANCHOR = "trim(regexp_replace(regexp_replace(lower(line), '[^\\w一-鿿]+', '-', 'g'), '-+', '-', 'g'), '-')"
+_SECTIONS = dict(
+    **_PRODUCT, **{k: v for k, v in _HITS.items() if k not in _PRODUCT},
+    fsec=f"""SELECT line, {_J(["### DSA 概率预测（未来 90 天）", "", *V.FORECAST_TABLE_HEAD])} || chr(10) || printf('| %d | %d | %d | %.2f | %.2f | %.2f | %.2f | %d | %.2f | %.1f%% | %s |',
+        n_total, n_12m, n_3m, base + 1e-9, n_3m / 3.0::DOUBLE + 1e-9, 1.0::DOUBLE, sev + 1e-9, open_cves, e + 1e-9, p * 100 + 1e-9, {steps('p', V.PROBABILITY_LEVELS, 'MINIMAL')}) || chr(10) AS f FROM fc""",
+    msec=f"""SELECT line, '### 微码风险 Top ' || count(*) || chr(10) || chr(10) || {_J(V.FIRMWARE_TABLE_HEAD)} || chr(10) || string_agg(printf('| %s | %s | %s | %.1f | %s | %d | %d | %.1f | %d |', model, firmware_type,
+        version, exposure_score + 1e-9, {steps('exposure_score', V.EXPOSURE_BANDS, 'MINIMAL')}, kevn, expanded_count, avg_cvss + 1e-9, months), chr(10) ORDER BY exposure_score DESC, model, firmware_type, version)
+        || chr(10) AS m FROM sc GROUP BY 1""",
+    sec=f"""SELECT line, {_ANCHOR} AS anchor, '## ' || line || chr(10) || chr(10) || '<a id="' || {_ANCHOR} || '"></a>' || chr(10) || coalesce(chr(10) || f, '') || coalesce(chr(10) || m, '') AS markdown
+        FROM (SELECT line FROM fc UNION SELECT line FROM sc) LEFT JOIN fsec USING (line) LEFT JOIN msec USING (line)""")
+_SECTION_TABLES = (*_PRODUCT_TABLES, "advisory_text", "mention", "kev")
+
+
+@query("line_report_markdown", sql("SELECT * FROM sec", *_SECTION_TABLES, **_SECTIONS))
 def line_report_markdown(t):
     return report.line_sections(_line_forecasts(t), firmware_scores(t), 90)
 
 
+@query("line_report_document", sql(f"""SELECT 0 AS block, '' AS place, {text(V.REPORT_TITLE)} || chr(10) || chr(10) || '- n_lines: ' || (SELECT count(*) FROM fc) || chr(10)
+    || '- n_high_lines: ' || (SELECT count_if(p >= 0.5) FROM fc) || chr(10) || '- n_keys: ' || (SELECT count(*) FROM sc) || chr(10) || '- n_extreme: ' || (SELECT count_if(exposure_score >= 75) FROM sc)
+    || chr(10) || '- kev_total: ' || (SELECT coalesce(sum(kevn), 0)::BIGINT FROM sc) || chr(10) AS value
+    UNION ALL SELECT 1, '', {text(V.REPORT_CONTENTS)} || chr(10) UNION ALL SELECT 1, line, '- [' || line || '](#' || anchor || ')' FROM sec
+    UNION ALL SELECT 2, '', {_J(V.REPORT_METHOD)} UNION ALL SELECT 3, line, markdown FROM sec""", *_SECTION_TABLES, **_SECTIONS))
+def line_report_document(t):
+    """The whole report of the three layers, without the products' own reports."""
+    return report.document(_line_forecasts(t), firmware_scores(t), 90)
+
+
 @query("version_report_markdown")
 def version_report_markdown(t):
     return report.version_sections(_line_forecasts(t, 30), version_forecasts(t, 30))
