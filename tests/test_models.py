@@ -68,6 +68,25 @@ def test_line_sections_join_both_layers(spark):
     assert got["A line"].count("| R1 |") == 10 and got["A line"].index("| 11.0 |") < got["A line"].index("| 10.0 |")
 
 
+def test_product_report_markdown(spark):
+    factors = {k: 50.0 for k in V.PRODUCT_WEIGHTS}
+    row = spark.range(1).select(
+        F.lit("Dell X").alias("product"), F.lit("X line").alias("product_line"), F.lit(62.25).alias("score"), F.lit("HIGH").alias("level"),
+        *[F.lit(v).alias(k) for k, v in factors.items()], *[F.lit(n).alias(c) for c, n in (("critical", 1), ("high", 2), ("medium", 3), ("low", 4), ("total_cves", 10))],
+        F.lit("linear_regression").alias("method"), F.lit(7).alias("predicted_count"), F.lit(5).alias("ci_low"), F.lit(9).alias("ci_high"), F.lit("rising").alias("risk_trend"),
+        F.expr("array(named_struct('cwe', 'CWE-79', 'ratio', 0.5D))").alias("hot_cwes"),
+        F.expr("array(named_struct('place', 1, 'title', 'Patch', 'priority', 'P0', 'timeline', 'now', 'action_type', 'patch', 'estimated_effort', 'low'))").alias("recommendations"),
+        F.expr("array(named_struct('place', 1, 'source_cve', 'CVE-1', 'target_product', 'Y', 'hops', 2, 'confidence', 0.5D, 'shared_cwes', 'CWE-1,CWE-2'))").alias("impact_paths"),
+        F.expr("array(named_struct('rank', 1, 'similar_product', 'Y', 'similarity', 0.25D))").alias("similar_products"),
+        F.expr("array(named_struct('rule_id', 'R1', 'rule_name', 'Rule', 'severity', 'HIGH'))").alias("rule_matches"))
+    text = report.report_markdown(row, "2024-07-01").first()["markdown"]
+    for piece in ("# 风险分析报告: Dell X", "**所属产品线**: X line", "62.3 / 100 (HIGH)", "| **总计** | **10** |", "7 个 (置信区间: 5-9)", "CWE-79", "### 1. [P0] Patch",
+                  "| CVE-1 | Y | 2 | 50% | CWE-1, CWE-2 |", "- Y (相似度: 25%)", "- **[HIGH]** Rule (规则 R1)"):
+        assert piece in text, piece
+    bare = row.select("product", "score", "level", *factors, *[F.lit(None).cast(t).alias(c) for c, t in row.dtypes if c not in ("product", "score", "level", *factors)])
+    assert "趋势预测" not in report.report_markdown(bare, "2024-07-01").first()["markdown"]
+
+
 def test_products_by_hop(spark):
     paths = spark.createDataFrame([("c", "p", 1), ("c", "q", 2), ("c", "q", 2)], "source_cve string, target_product string, hops int")
     assert {tuple(r) for r in propagation.affected_products(paths).collect()} == {("c", 1, "p"), ("c", 2, "q")}

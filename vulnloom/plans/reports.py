@@ -206,9 +206,24 @@ def line_report_document(t):
     return report.document(_line_forecasts(t), firmware_scores(t), 90)
 
 
-@query("version_report_markdown")
+_P30 = "(CASE WHEN e > 0 THEN 1 - exp(-e / 3) ELSE 0 END)"
+_PIECES = dict(
+    **_VF,
+    quals=f"""SELECT line, product_name, version_number, coalesce(arg_min(qualifier, published::VARCHAR || dsa_id) FILTER (qualifier <> ''), '') AS qual FROM ver
+        WHERE published <= {NOW} GROUP BY 1, 2, 3""",
+    vrows="""SELECT *, CASE WHEN e > 0 THEN 1 - exp(-e) ELSE 0 END AS p, product_name || CASE WHEN qual = '' THEN '' ELSE ' ' || qual END || ' ' || version_number AS shown
+        FROM vfp JOIN quals USING (line, product_name, version_number)""")
+
+
+@query("version_report_markdown", sql(f"""SELECT line, 1 AS part, {q6('-p')} AS place, shown, printf('| %s | %.1f%% | %s | %.0f%% | %d | %d |', shown, p * 100,
+        {steps('p', V.PROBABILITY_LEVELS, 'MINIMAL')}, confidence * 100, n_total, open_cves) AS value FROM vrows
+    UNION ALL SELECT line, 0, 0, '', '### ' || line || chr(10) || chr(10) || printf('**产品线级概率**: %.1f%% (%s)', {_P30} * 100, {steps(_P30, V.PROBABILITY_LEVELS, 'MINIMAL')}) || chr(10)
+        || printf('**历史 DSA**: %d 条（12个月: %d, 3个月: %d）', n_total, n_12m, n_3m) || chr(10) || chr(10)
+        || {_J(["#### 版本级预测", "", "| 版本 | 概率 | 等级 | 置信度 | 历史DSA | 未覆盖CVE |", "|------|------|------|--------|---------|-----------|"])}
+    FROM fc SEMI JOIN vrows USING (line)""", *_PRODUCT_TABLES, "advisory_text", **_PIECES))
 def version_report_markdown(t):
-    return report.version_sections(_line_forecasts(t, 30), version_forecasts(t, 30))
+    pieces = report.version_sections(_line_forecasts(t, 30), version_forecasts(t, 30))
+    return pieces.withColumn("place", r6("place"))
 
 
 @query("report_overview", sql(f"""SELECT (SELECT count(*) FROM fc) AS n_lines, (SELECT count_if(p >= 0.5) FROM fc) AS n_high_lines, count(*) AS n_keys,
