@@ -125,6 +125,8 @@ def test_merges(spark):
     assert {tuple(r) for r in merge.replace_rows(stored, batch, "id", "seq").collect()} == {("a", "last", ""), ("b", "keep", "y"), ("c", "new", None)}
     gaps = merge.number_gaps(spark.createDataFrame([("dsa-2024-002",), ("DSA-2024-5",)], "dsa_id string"))
     assert [r[0] for r in gaps.select("dsa_id").orderBy("number").collect()] == ["DSA-2024-001", "DSA-2024-003", "DSA-2024-004"]
+    odd = spark.createDataFrame([("DSA-2024-2",), ("DSA-2024-999999999999",)], "dsa_id string")
+    assert merge.number_gaps(odd, longest=1000).count() == 1 and merge.gap_ranges(odd).count() == 2
     pages = spark.range(25).select(F.col("id").cast("string").alias("dsa_id"), as_ntz("2024-01-01").alias("published"))
     assert lookup.page(pages, 9, 10, key="dsa_id").count() == 5
 

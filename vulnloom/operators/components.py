@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from vulnloom.session import checkpointed
+from vulnloom.session import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -32,14 +32,15 @@ def connected_components(edges: DataFrame, max_rounds=MAX_ROUNDS) -> DataFrame:
     """(node, component) for every node that has an edge; the component is its smallest node.
 
     Alternates the two star steps until the edges no longer change.  Each round is cut
-    from its lineage on reliable storage.  Not converging is an error, never a partial
-    result.
+    from its lineage as a table in the shared folder, and removes the one before.  Not
+    converging is an error, never a partial result.
     """
-    current = checkpointed(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    current = stored(
+        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = _state(current)
     for _ in range(max_rounds):
-        current = checkpointed(_small_star(_large_star(current)))
+        before, current = current, stored(_small_star(_large_star(current)), "edges")
+        discard(before)
         new_state = _state(current)
         if new_state == state:
             break

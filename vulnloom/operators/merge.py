@@ -97,19 +97,29 @@ def merge_links(key: str, *sources) -> DataFrame:
     return best.select(key, "v.*").withColumnRenamed("_search", "search")
 
 
-def number_gaps(ids: DataFrame, column="dsa_id") -> DataFrame:
-    """Unused advisory numbers per year, from 1 to the largest number seen.
+def gap_ranges(ids: DataFrame, column="dsa_id") -> DataFrame:
+    """(year, first, last): the runs of unused advisory numbers below the largest one of each year.
 
-    Numbers are laid out in blocks, so a year with a very large number is not one row.
+    One malformed id with a huge number gives one long run, not that many rows.
     """
     parts = ids.select(
         F.regexp_extract(F.upper(column), r"^DSA-(\d{4})-(\d+)", 1).try_cast("int").alias("year"),
-        F.regexp_extract(F.upper(column), r"^DSA-(\d{4})-(\d+)", 2).try_cast("bigint").alias("number")).where("year is not null")
+        F.regexp_extract(F.upper(column), r"^DSA-(\d{4})-(\d+)", 2).try_cast("bigint").alias("number")).where("year is not null").distinct()
+    before = F.coalesce(F.lag("number").over(Window.partitionBy("year").orderBy("number")), F.lit(0))
+    return parts.select("year", (before + 1).alias("first"), (F.col("number") - 1).alias("last")).where("first <= last")
+
+
+def number_gaps(ids: DataFrame, column="dsa_id", longest=None) -> DataFrame:
+    """The unused numbers themselves, one row each; runs of more than ``longest`` numbers are left as ranges.
+
+    Runs are laid out in blocks, so a long one is not one row's work.
+    """
     block = 10_000
-    ends = parts.groupBy("year").agg(F.max("number").alias("last"))
-    starts = ends.select("year", "last", F.explode(F.expr(f"sequence(1L, last, {block}L)")).alias("start"))
-    every = starts.select("year", F.explode(F.sequence("start", F.least(F.col("start") + block - 1, F.col("last")))).alias("number"))
-    gaps = every.join(parts.distinct(), ["year", "number"], "left_anti")
+    runs = gap_ranges(ids, column)
+    if longest is not None:
+        runs = runs.where(F.col("last") - F.col("first") < longest)
+    starts = runs.select("year", "last", F.explode(F.expr(f"sequence(first, last, {block}L)")).alias("start"))
+    gaps = starts.select("year", F.explode(F.sequence("start", F.least(F.col("start") + block - 1, F.col("last")))).alias("number"))
     width = F.greatest(F.length(F.col("number").cast("string")), F.lit(3))
     return gaps.select("year", "number", F.concat_ws(
         "-", F.lit("DSA"), F.col("year").cast("string"), F.lpad(F.col("number").cast("string"), width, F.lit("0"))).alias("dsa_id"))

@@ -320,6 +320,15 @@ def number_gaps(t):
     return merge.number_gaps(ids)
 
 
+@query("number_gap_ranges", """
+    SELECT year::INT AS year, coalesce(lag(number) OVER (PARTITION BY year ORDER BY number), 0) + 1 AS first, number - 1 AS last
+    FROM (SELECT DISTINCT 1995 + o_orderkey % 7 AS year, o_orderkey // 7 AS number FROM orders WHERE o_orderkey % 11 <> 3)
+    QUALIFY coalesce(lag(number) OVER (PARTITION BY year ORDER BY number), 0) + 1 <= number - 1""")
+def number_gap_ranges(t):
+    ids = t.table("orders").where("o_orderkey % 11 <> 3").select(F.expr("concat('DSA-', 1995 + o_orderkey % 7, '-', o_orderkey div 7)").alias("dsa_id"))
+    return merge.gap_ranges(ids)
+
+
 @query("merge_links", f"""
     SELECT dsa_id, arg_min(link, search) AS link, min(search) AS search FROM (
         SELECT {advisory_id('o_orderkey')} AS dsa_id, 'a/' || o_custkey AS link, 0 AS search FROM orders WHERE o_orderstatus = 'F'
