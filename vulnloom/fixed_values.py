@@ -279,6 +279,13 @@ TEXT_VERSION_PATTERNS = [
     (r"\b(R\d{3,4}|T\d{3,4}|M\d{3,4}|C\d{3,4})\b", "HARDWARE", 0.85),
 ]
 
+# Written version ranges, in the order in which they are tried.
+CLOSED_RANGE = r"([\d.]+)\s*(?:through|to|-)\s*([\d.]+)"
+STRICT_UPPER = r"(?:prior to|before|<(?!=))\s*v?([\d.]+)"
+INCLUSIVE_UPPER = r"([\d.]+)\s*(?:and earlier|or earlier)|<=\s*v?([\d.]+)"
+ANY_VERSION = r"([\d.]+)"
+SERVER_MODEL = r"\b(r|t|m|c)\d{3,4}\b"
+
 # --- fixed values: advisory pages ---------------------------------------------
 
 ERROR_SIGNATURES = [
@@ -317,6 +324,11 @@ SCORE_PATTERNS = [
     r"Score\s*[:\s]\s*(\d+\.?\d*)\s*(?:\(|/|$)",
 ]
 DATE_SHAPES = [r"\d{1,2}\s+\w+\s+\d{4}", r"\w+\s+\d{1,2},?\s+\d{4}", r"\d{4}-\d{2}-\d{2}"]
+SLASH_DATE = r"\d{1,2}/\d{1,2}/\d{4}"
+REVISION_BLOCK = r"(?s)([Rr]evision\s+[Hh]istory.*?)(?=\n\n|\z)"
+REVISION_ROW = r"(?:^|\n)\s*(?:\d+\.?\d*|[A-Z])\s+(\d{4}-\d{2}-\d{2}|\d{1,2}\s+\w+\s+\d{4}|\w+\s+\d{1,2},?\s+\d{4})"
+LAST_MODIFIED = r"[Ll]ast\s+[Mm]odified\s*[:\s]\s*"
+FIRST_DATES = [r"\w+ \d{1,2},?\s+\d{4}", r"\d{4}-\d{2}-\d{2}", r"\d{1,2}/\d{1,2}/\d{4}"]
 DATE_LABELS = [
     r"[Oo]riginal\s+[Rr]elease\s+[Dd]ate",
     r"[Aa]rticle\s+[Cc]reated",

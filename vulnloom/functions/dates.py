@@ -68,13 +68,9 @@ def _cut(text: Column, pattern: str) -> Column:
 
 def revision_date(page: Column) -> Column:
     """First dated row of the revision history (of the whole page when it has none)."""
-    block = F.nullif(F.regexp_extract(page, r"(?s)([Rr]evision\s+[Hh]istory.*?)(?=\n\n|\z)", 1), F.lit(""))
+    block = F.nullif(F.regexp_extract(page, V.REVISION_BLOCK, 1), F.lit(""))
     body = F.coalesce(block, page)
-    rows = F.regexp_extract_all(
-        body,
-        F.lit(r"(?:^|\n)\s*(?:\d+\.?\d*|[A-Z])\s+(" + "|".join([V.DATE_SHAPES[2], V.DATE_SHAPES[0], V.DATE_SHAPES[1]]) + ")"),
-        F.lit(1),
-    )
+    rows = F.regexp_extract_all(body, F.lit(V.REVISION_ROW), F.lit(1))
     return F.get(F.array_compact(F.transform(rows, _written_date)), F.lit(0))
 
 
@@ -83,9 +79,9 @@ def published_date(page: Column, advisory_id: Column) -> Column:
     candidates = [revision_date(page)]
     for label in V.DATE_LABELS:
         candidates += [_written_date(_cut(page, label + r"\s*[:\s]\s*(" + shape + ")")) for shape in V.DATE_SHAPES]
-    for shape in V.DATE_SHAPES + [r"\d{1,2}/\d{1,2}/\d{4}"]:
-        candidates.append(_written_date(_cut(page, r"[Ll]ast\s+[Mm]odified\s*[:\s]\s*(" + shape + ")")))
-    for shape in [r"\w+ \d{1,2},?\s+\d{4}", V.DATE_SHAPES[2], r"\d{1,2}/\d{1,2}/\d{4}"]:
+    for shape in [*V.DATE_SHAPES, V.SLASH_DATE]:
+        candidates.append(_written_date(_cut(page, V.LAST_MODIFIED + "(" + shape + ")")))
+    for shape in V.FIRST_DATES:
         candidates.append(_written_date(_cut(page, "(" + shape + ")")))
     year = _cut(advisory_id, r"^DSA-(\d{4})-")
     candidates.append(F.try_to_timestamp(F.concat(year, F.lit("-01-01")), F.lit("yyyy-MM-dd")).cast("date"))

@@ -160,7 +160,7 @@ def version_type(name: Column, version: Column) -> Column:
     return (
         F.when(has("bios"), "SOFTWARE").when(has("firmware") | has(" fw "), "FIRMWARE")
         .when(has("idrac"), "HARDWARE")
-        .when(text.rlike(r"\b(r|t|m|c)\d{3,4}\b") & has("poweredge"), "HARDWARE").otherwise("SOFTWARE")
+        .when(text.rlike(V.SERVER_MODEL) & has("poweredge"), "HARDWARE").otherwise("SOFTWARE")
     )
 
 
@@ -229,12 +229,10 @@ def split_version_key(key: Column) -> Column:
 def in_range(version: Column, written: Column) -> Column:
     """Whether a version lies in a written range; an unreadable range gives false."""
     low = F.lower(written)
-    closed = r"([\d.]+)\s*(?:through|to|-)\s*([\d.]+)"
-    start, end = _cut(low, closed, 1), _cut(low, closed, 2)
-    below = _cut(low, r"(?:prior to|before|<(?!=))\s*v?([\d.]+)")
-    upto_pattern = r"([\d.]+)\s*(?:and earlier|or earlier)|<=\s*v?([\d.]+)"
-    upto = F.coalesce(_cut(low, upto_pattern, 1), _cut(low, upto_pattern, 2))
-    numbers = _all_of(low, r"([\d.]+)")
+    start, end = _cut(low, V.CLOSED_RANGE, 1), _cut(low, V.CLOSED_RANGE, 2)
+    below = _cut(low, V.STRICT_UPPER)
+    upto = F.coalesce(_cut(low, V.INCLUSIVE_UPPER, 1), _cut(low, V.INCLUSIVE_UPPER, 2))
+    numbers = _all_of(low, V.ANY_VERSION)
     test = (
         F.when(start.isNotNull(), (compared(version, start) >= 0) & (compared(version, end) <= 0))
         .when(below.isNotNull(), compared(version, below) < 0)

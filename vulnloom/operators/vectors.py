@@ -1,5 +1,7 @@
 """Vector columns: similarity search, mean vectors, table maintenance."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.operators.merge import replace_rows
@@ -27,11 +29,9 @@ def find_similar(vectors: DataFrame, query_vector, k=10, floor=0.5, measure=dot,
 
 
 def mean_vectors(vectors: DataFrame, members: DataFrame, group: str, key="cve_id") -> DataFrame:
-    """Mean vector per group, position by position; the sums are combined before the shuffle."""
-    rows = members.join(vectors, key).select(group, F.posexplode("embedding").alias("i", "x"))
-    means = rows.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(
-        group, F.transform("v", lambda p: p["x"]).alias("embedding"))
+    """Mean vector per group; the sums are combined before the shuffle."""
+    rows = members.join(vectors, key).select(group, array_to_vector("embedding").alias("v"))
+    return rows.groupBy(group).agg(Summarizer.mean(F.col("v")).alias("v")).select(group, vector_to_array("v").alias("embedding"))
 
 
 def to_index(records: DataFrame, vectors: DataFrame, key="cve_id", shortest=20) -> DataFrame:

@@ -203,6 +203,17 @@ def firmware_unversioned_view(t):
     return firmware.view(firmware_scores(t), "versioned", "PowerEdge (服务器)").select("line", "model", "version", "exposure_score")
 
 
+@query("firmware_without_versions", """SELECT DISTINCT 'PowerEdge (服务器)' AS line, 'R' || (700 + o_custkey % 30) AS model, CASE WHEN o_orderkey % 2 = 0 THEN 'BIOS' ELSE 'iDRAC' END AS firmware_type,
+    'unversioned' AS version FROM orders WHERE o_orderkey % 3 <> 0
+    UNION SELECT 'OpenManage / iDRAC (管理)', 'R' || (700 + o_custkey % 30), 'iDRAC', 'unversioned' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1""")
+def firmware_without_versions(t):
+    """Advisories that name a server and a firmware type; a third of them a version too."""
+    o = t.table("orders").select("*", F.expr("concat('Dell PowerEdge R', 700 + o_custkey % 30, if(o_orderkey % 2 = 0, ' BIOS', ' iDRAC'))").alias("name"))
+    entry = F.struct(F.col("name"), F.lit("").alias("model"), F.expr("if(o_orderkey % 3 = 0, 'prior to 2.1.0', '')").alias("version_range"))
+    docs = o.select(F.concat(F.lit("DSA-2000-"), "o_orderkey").alias("dsa_id"), F.col("o_orderdate").alias("published"), F.lit("Update").alias("title"), F.array(entry).alias("affected_products"))
+    return firmware.view(firmware.firmware_keys(docs).select(*firmware.KEY).distinct(), "unversioned")
+
+
 @query("firmware_coverage", sql("""SELECT (SELECT count(*) FROM advisory_text) AS n_advisories, count(*) AS n_keys, count_if(model <> '') AS n_with_model,
     count(DISTINCT line) AS n_lines, count(DISTINCT firmware_type) AS n_types, round(count_if(model <> '') * 100.0 / count(*), 6) AS pct_with_model
     FROM (SELECT DISTINCT line, model, firmware_type, version FROM keys)""", "advisory_text", keys=_KEYS))

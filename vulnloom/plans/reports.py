@@ -242,7 +242,9 @@ def layer_comparison(t):
                     "n_keys", "best_exposure")
 
 
-@query("series_forecast", sql(f"""SELECT n_series, n_version, {q6('n_series / 12.0::DOUBLE')} AS base_rate, lf AS lifecycle_factor, {q6('rate * lf * 3')} AS expected, {q6('1 - exp(-rate * lf * 3)')} AS probability FROM (
+@query("series_forecast", sql(f"""SELECT n_series, n_version, {q6('n_series / 12.0::DOUBLE')} AS base_rate, {q6('rate')} AS effective_rate,
+    {q6('CASE WHEN n_version >= 3 AND n_series > 0 THEN rate / (n_series / 12.0::DOUBLE) ELSE 1 END')} AS trend_multiplier,
+    CASE {' '.join(f"WHEN 1 - exp(-rate * lf * 3) >= {p} OR rate * lf * 3 >= {e} THEN '{l}'" for p, e, l in V.SERIES_LEVELS)} ELSE 'MINIMAL' END AS risk_level, lf AS lifecycle_factor, {q6('rate * lf * 3')} AS expected, {q6('1 - exp(-rate * lf * 3)')} AS probability FROM (
     SELECT *, CASE WHEN n_version >= 3 THEN n_version ELSE n_series END / 12.0::DOUBLE AS rate, 1.1::DOUBLE AS lf FROM (
     SELECT count(*) AS n_series, count_if(CASE o_orderpriority WHEN '5-LOW' THEN [2, 0, 1] >= {{n}} AND [2, 0, 1] <= {{m}} WHEN '2-HIGH' THEN [2, 0, 1] < {{n}}
         WHEN '3-MEDIUM' THEN [2, 0, 1] <= {{n}} ELSE [2, 0, 1] <= {{n}} END) AS n_version
@@ -253,4 +255,5 @@ def series_forecast(t):
     lifecycle = t.spark.createDataFrame([("Dell PowerStore", "2.0.1", "2001-10-30")], "product string, firmware_release string, eoss_date string").withColumn(
         "eoss", F.to_timestamp_ntz("eoss_date"))
     f = series.forecast_series(t.advisory_documents(), lifecycle, "PowerStore", "2.0.1", t.as_of, 90)
-    return f.select("n_series", "n_version", r6("base_rate").alias("base_rate"), "lifecycle_factor", r6("expected").alias("expected"), r6("probability").alias("probability"))
+    return f.select("n_series", "n_version", r6("base_rate").alias("base_rate"), r6("effective_rate").alias("effective_rate"), r6("trend_multiplier").alias("trend_multiplier"), "risk_level",
+                    "lifecycle_factor", r6("expected").alias("expected"), r6("probability").alias("probability"))

@@ -149,11 +149,12 @@ def line_classification(t):
 
 
 @query("line_document_counts", " UNION ALL ".join(
-    f"SELECT {text(line)} AS line, count(*) AS n FROM documents WHERE regexp_matches(text, {text('(?i)' + '|'.join(p.split('(?')[0] if p.startswith(chr(92)) else chr(92) + 'bUnity' + chr(92) + 'b' for p in patterns))}) HAVING count(*) > 0"
+    f"SELECT {text(line)} AS line, count(*) AS n FROM (SELECT 'Dell ' || {q_phrase('doc_id')} || '. ' || text AS text FROM documents) WHERE regexp_matches(text, {text('(?i)' + '|'.join(p.split('(?')[0] if p.startswith(chr(92)) else chr(92) + 'bUnity' + chr(92) + 'b' for p in patterns))}) HAVING count(*) > 0"
     for line, patterns in V.PRODUCT_LINES.items()))
 def line_document_counts(t):
-    """Whole texts of the document table through the line patterns."""
-    hits = unnest(t.table("documents").select("text"), names.product_lines(F.col("text")), "line")
+    """Whole texts of the document table, each behind a product name, through the line patterns."""
+    texts = t.table("documents").select(F.concat(F.lit("Dell "), phrase("doc_id"), F.lit(". "), "text").alias("text"))
+    hits = unnest(texts, names.product_lines(F.col("text")), "line")
     return hits.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -401,9 +402,11 @@ def stored_advisories_newest(t):
     return stored.newest_advisories(t.raw_advisories(), 500).select("dsa_id", "title", "published_date")
 
 
-@query("stored_advisories_narrow", sql("""SELECT title, strftime(published, '%Y-%m-%d') AS published_date FROM advisory""", "advisory"))
+@query("stored_advisories_narrow", f"""SELECT {advisory_id('o_orderkey')} || ': Security Update for Dell ' || {q_phrase('o_custkey')} || ' Vulnerabilities' AS title,
+    {C} || ', ' || lower({O}) || ', ' || {C} AS cve_ids, strftime(o_orderdate, '%Y-%m-%d') AS published_date, {advisory_id('o_orderkey')} AS id_in_data FROM orders""")
 def stored_advisories_narrow(t):
-    return stored.narrow_advisories(t.raw_advisories()).select("title", "published_date")
+    rows = stored.narrow_advisories(t.raw_advisories())
+    return rows.select("title", "cve_ids", "published_date", F.get_json_object("data", "$.dell_security_advisory").alias("id_in_data"))
 
 
 @query("stored_cve_parse", sql("SELECT cve_id, description, coalesce(score, 0) AS cvss FROM vulnerability", "vulnerability"))
