@@ -141,6 +141,9 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
     for a, b in zip(left, right):
         if a != last:
             last, held = a, shingles(a)
+        if den * max(1, len(b) - SHINGLE + 1) < num * len(held):  # a line of fewer bytes has too few shingles
+            out.append(False)
+            continue
         other = shingles(b)
         few, many = min(len(held), len(other)), max(len(held), len(other))
         shared = len(held & other) if den * few >= num * many else 0
