@@ -41,7 +41,7 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return first
 
 
-def prefix_tokens(windows: DataFrame, n_windows: int, words: DataFrame) -> DataFrame:
+def prefix_tokens(windows: DataFrame, words: DataFrame) -> DataFrame:
     """The windows with ``token``, their rarest word in all documents, and ``offset``, its first place.
 
     A window is contained only where all its words are, so the necessary prefix of the words
@@ -69,7 +69,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, width=10) -> DataFrame:
     words = documents.select("doc_id", text_key(F.col("text")).alias("text_key"), lower_words(F.col("text")).alias("words"))
     windows = stored(item_windows(benchmark, width), "windows")
     n_windows = windows.count()
-    known = stored(prefix_tokens(windows, n_windows, words), "prefixes")
+    known = stored(prefix_tokens(windows, words), "prefixes")
     found = []
     for part in in_blocks(known, F.col("window"), n_windows):
         met = words.select("doc_id", "text_key", "words", F.posexplode("words").alias("at", "token")).join(F.broadcast(part), "token")
