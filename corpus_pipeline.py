@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vulnloom.llm import decontaminate, lines, mixing, quality, simhash
-from vulnloom.llm.common import table, word_count
+from vulnloom.llm.common import ship, table, word_count
 from vulnloom.session import stored
 
 #: The quality model, the line signatures and the fingerprints are not expressible in SQL.
@@ -12,6 +12,7 @@ ORACLE_SQL = None
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier does not reject."""
+    ship(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -20,11 +21,13 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document all of whose lines are repeats stays with an empty text.
     """
+    ship(spark)
     return lines.without_repeated_lines(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 

@@ -1,11 +1,35 @@
 """Small helpers that the corpus operators share."""
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import vulnloom
+
 #: A word is a run of anything but blanks and the ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each Spark context.
+
+    Tasks import it by name; this way they find it wherever the driver was started and
+    whether or not the cluster has it installed.  Spark itself copies the archive.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_vulnloom_shipped", False):
+        return
+    package = Path(vulnloom.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="vulnloom-code-")) / "vulnloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._vulnloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; the path may be one that only Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

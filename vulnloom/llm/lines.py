@@ -205,7 +205,7 @@ def _gone(lines: DataFrame, nodes: DataFrame | None) -> DataFrame:
 
 def later_lines(texts: DataFrame) -> DataFrame:
     """(d, k, gone): for each text (d, k, text) the numbers of the lines of whose component an earlier one stays."""
-    lines = stored(texts.mapInArrow(_line_rows, LINES), "lines")
+    lines = stored(texts.mapInArrow(_line_rows, LINES), "lines", "zstd")
     gone = _gone(lines, links(lines))
     discard(lines)
     return gone

@@ -3,14 +3,19 @@
 from pyspark.sql import functions as F
 
 from vulnloom.llm import decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
-from vulnloom.llm.common import WORD, table, word_count
+from vulnloom.llm.common import WORD, ship, table, word_count
 
 QUERIES, ORACLES = {}, {}
 
 
 def query(name, oracle=None):
     def keep(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
         return fn

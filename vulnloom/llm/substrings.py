@@ -207,7 +207,7 @@ def repeated_suffixes(texts: DataFrame) -> DataFrame:
     places = anchors.join(twice, F.col("anchor") == F.col("known"), "left_semi").groupBy(
         F.col("d").alias("of_d"), F.col("k").alias("of_k")).agg(F.collect_list("place").alias("places"))
     met = texts.join(places, (F.col("d") == F.col("of_d")) & (F.col("k") == F.col("of_k"))).select("text", "d", "k", "places")
-    return stored(met.mapInArrow(_suffix_rows, SUFFIXES), "suffixes")
+    return stored(met.mapInArrow(_suffix_rows, SUFFIXES), "suffixes", "zstd")
 
 
 def later_runs(suffixes: DataFrame) -> DataFrame:
