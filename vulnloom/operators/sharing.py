@@ -68,7 +68,9 @@ def _positions(rows: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(sets: DataFrame, floor) -> DataFrame:
-    """(a, b, na, nb), a < b: pairs that may reach the floor, among them all that do.
+    """(a, b, na, nb, common), a < b: pairs that may reach the floor, among them all that do.
+
+    ``common`` is the number of common tokens where both prefixes are the whole sets, else null.
 
     Tokens are ordered rarest first and the first n - ceil(floor * n) + 1 of a set form its
     prefix.  A pair that reaches the floor meets in the prefixes, its sizes differ by no
@@ -90,7 +92,16 @@ def candidate_pairs(sets: DataFrame, floor) -> DataFrame:
     met = named[0].join(named[1], ["token", "salt"]).where(
         (F.col("a") < F.col("b")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (room >= needed))
     common = met.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("common"))
-    return common.where(F.col("common") + F.greatest("ra", "rb") >= needed).select("a", "b", "na", "nb")
+    whole = (F.col("ra") == 0) & (F.col("rb") == 0)
+    return common.where(F.col("common") + F.greatest("ra", "rb") >= needed).select("a", "b", "na", "nb", F.when(whole, F.col("common")).alias("common"))
+
+
+def counted_pairs(sets: DataFrame, floor) -> DataFrame:
+    """(a, b, na, nb, shared) of all pairs that reach the floor."""
+    met = stored(candidate_pairs(sets, floor), "met")
+    known = met.where("common is not null").select("a", "b", "na", "nb", F.col("common").alias("shared"))
+    looked_up = shared_of(met.where("common is null").select("a", "b", "na", "nb"), sets)
+    return known.unionByName(looked_up).where(reaches(floor))
 
 
 def shared_of(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -111,7 +122,7 @@ def similar_pairs(sets: DataFrame, floor, top_k=None) -> DataFrame:
 
     With ``top_k`` only the best pairs, ties broken by name.
     """
-    pairs = shared_of(candidate_pairs(sets, floor), sets).where(reaches(floor)).select(
+    pairs = counted_pairs(sets, floor).select(
         "a", "b", "shared", "na", "nb", _jaccard(F.col("shared"), F.col("na"), F.col("nb")).alias("jaccard"))
     return pairs.orderBy(F.desc("jaccard"), "a", "b").limit(top_k) if top_k else pairs
 

@@ -231,8 +231,8 @@ class Logical:
 
     @_once
     def mentions(self) -> DataFrame:
-        return self.table("lineitem").select(
-            advisory_id("l_orderkey").alias("dsa_id"), mentioned_cve_id("l_partkey").alias("cve_id")).distinct()
+        pairs = self.table("lineitem").select("l_orderkey", "l_partkey").distinct()  # the ids are one to one with the keys
+        return pairs.select(advisory_id("l_orderkey").alias("dsa_id"), mentioned_cve_id("l_partkey").alias("cve_id"))
 
     @_once
     def affects(self) -> DataFrame:
