@@ -83,6 +83,8 @@ def signatures(lines: list[bytes]) -> np.ndarray:
 
 def judged(text: bytes) -> list[tuple[int, bytes]]:
     """(number, words joined by one blank) of the lines that hold a word."""
+    if b"  " not in text and not any(blank in text for blank in (b"\t", b"\r", b"\x0b", b"\x0c")):
+        return [(no, line) for no, line in enumerate(x.strip(b" ") for x in text.split(b"\n")) if line]
     return [(no, b" ".join(words)) for no, words in enumerate(map(bytes.split, text.split(b"\n"))) if words]
 
 
