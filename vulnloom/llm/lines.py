@@ -198,7 +198,8 @@ def _gone(lines: DataFrame, nodes: DataFrame | None) -> DataFrame:
         known = firsts.where("n > 1").select("key", "first")
     else:
         joined = stored(firsts.join(nodes, F.col("key") == F.col("node"), "left").where("n > 1 or component is not null").select("key", "first", "component"), "firsts")
-        whole = joined.where("component is not null").groupBy("component").agg(F.min("first").alias("whole"))
+        # stored, so that the lines of a large component need not meet in one task of the join
+        whole = stored(joined.where("component is not null").groupBy("component").agg(F.min("first").alias("whole")), "whole")
         known = joined.join(whole, "component", "left").select("key", F.coalesce("whole", "first").alias("first"))
     gone = lines.select("key", "d", "k", "no").join(known.hint("merge"), "key").where(
         (F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")) | (F.col("no") != F.col("first.no")))
