@@ -75,6 +75,36 @@ def test_lines_go_as_by_brute_force(spark, monkeypatch, chunk):
         assert all(r["n_chars"] == len(r["text"]) for r in kept if r["text"] is not None)
 
 
+def families(n, of, chars):
+    """``n`` lines that are not similar, and ``of`` - 1 more that are similar to each."""
+    rng = random.Random(7)
+    out = []
+    for _ in range(n):
+        line = [rng.choice("abcdefghijklm ") for _ in range(chars)]
+        out.append([("".join(line[:-i or None]) + "z" * i).encode() for i in range(of)])
+    return out
+
+
+def test_a_bucket_with_many_kinds_of_lines(spark):
+    """All lines of one bucket: none is left out when the leaders are similar to few of them."""
+    groups = families(12, 4, 200)
+    columns = [c.split()[0] for c in lines.LINES.split(", ")]
+    rows = [{"key": 100 * g + i, "d": 100 * g + i, "k": 0, "no": 0, "bands": [1], "line": line} for g, group in enumerate(groups) for i, line in enumerate(group)]
+    table = spark.createDataFrame([tuple(r.get(c, False) for c in columns) for r in rows], lines.LINES)
+    got = {(r["node"], r["component"]) for r in lines.links(table).collect()}
+    assert got == {(100 * g + i, 100 * g) for g in range(12) for i in range(4)}
+
+
+def test_pairs_of_the_prefixes_are_all_similar_pairs(spark):
+    rng = random.Random(11)
+    some = sorted({x for group in families(8, 9, 60) for x in group} | {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))).encode() for _ in range(150)})
+    sets = [lines.shingles(x.decode().encode()) for x in some]
+    want = {(i, j) for i in range(len(some)) for j in range(i + 1, len(some)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    texts = spark.createDataFrame(list(enumerate(some)), "key long, line binary")
+    got = {(r["a"], r["b"]) for r in lines.verified(lines.undecided_pairs(texts, None), texts).collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_shingle_hashes_match_sets():
     some = ["abcdefgh", "abc", "ééabcdefghi", "a" * 30, "aaaaaaaaa"]
     hashes, line = lines.shingle_hashes([x.encode() for x in some])

@@ -6,8 +6,10 @@ of the hash range is the signature (an empty slice borrows from the next one).
 agree in a whole band share a bucket.  In each bucket the lines are compared with a leader, the
 line that meets most others anywhere, by the exact similarity of their shingle sets; those it
 is not similar to choose a second leader among themselves, and so on for LEADERS rounds.
-A bucket of n variants of one line thus costs n comparisons, not all pairs.  Like the banding
-itself this may miss a link, of two lines whose every common bucket has other leaders.
+A bucket of n variants of one line thus costs n comparisons, not all pairs.  What the leaders
+leave undecided, the lines of buckets that still hold several components, is joined exactly:
+similar lines share one of the rarest shingles of both (prefix filter), and only lines of
+different components are paired.  So no link inside a bucket is missed.
 """
 
 import hashlib
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.llm.common import utf8
 from vulnloom.operators.components import connected_components
+from vulnloom.operators.sharing import SALT_ROWS, spread
 from vulnloom.session import discard, stored
 
 #: Characters of a shingle; a shorter line is one shingle.
@@ -29,6 +32,9 @@ SIMILARITY = (4, 5)  # numerator and denominator
 BANDS, ROWS = 8, 4
 #: Leaders that a bucket's lines are compared with, one after the other.
 LEADERS = 2
+#: Frequent shingles that are told apart from rare ones, at most, and lines that they are counted in.
+#: They only set the order of the shingles: the joined pairs are right with any order.
+FREQUENT, COUNTED = 1 << 16, 50_000
 #: Bytes of the texts that one task reads at once, about.
 CHUNK_BYTES = 1_500_000
 LINES = "key long, d long, k int, no int, bands array<long>, line binary"
@@ -164,30 +170,138 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # enough to be broadcast in a test would not be on a cluster, and the plan is to be the same.
 
 
-def links(lines: DataFrame) -> DataFrame | None:
-    """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
+def prefixes(lines: list[bytes], common: tuple[np.ndarray, np.ndarray]):
+    """(shingle, line number, shingles of the line, place) of the shingles of each line's prefix.
+
+    Shingles are ordered by their counts in ``common`` (sorted hashes, counts; others have
+    none), then by hash, and the first n - ceil(0.8 n) + 1 of a line's n are its prefix: two
+    similar lines share one of them.
+    """
+    hashes, line = shingle_hashes(lines)
+    hashes = hashes.view(np.int64)
+    counts = np.zeros(len(hashes), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        counts = np.where(common[0][at] == hashes, common[1][at], 0)
+    order = np.lexsort((hashes, counts, line))
+    hashes, line = hashes[order], line[order]
+    fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))[:len(hashes)]
+    hashes, line = hashes[fresh], line[fresh]
+    n = np.bincount(line, minlength=len(lines))
+    place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + 1
+    kept = place <= (n - _rest(n))[line]
+    return hashes[kept], line[kept], n[line[kept]], place[kept]
+
+
+def _rest(n):
+    num, den = SIMILARITY
+    return -(-num * n // den) - 1
+
+
+def undecided_pairs(texts: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """(a, b): all pairs of lines (key, line) of different components that may be similar.
+
+    Of a shingle's holders only those outside its largest component look for partners, so a
+    large component is never paired with itself.
+    """
+    def counted(batches):
+        for batch in batches:
+            hashes, line = shingle_hashes(batch["line"].tolist())
+            yield pd.DataFrame({"token": np.unique(np.stack([line, hashes.view(np.int64)]), axis=1)[1]})
+
+    share = max(1, texts.count() // COUNTED)
+    often = texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).mapInPandas(counted, "token long").groupBy("token").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    sent = texts.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+
+    def prefix(batches):
+        for batch in batches:
+            token, line, n, place = prefixes(batch["line"].tolist(), sent.value)
+            yield pd.DataFrame({"token": token, "key": batch["key"].to_numpy()[line], "n": n, "i": place})
+
+    every = stored(texts.mapInPandas(prefix, "token long, key long, n int, i int"), "prefixes")
+    several = every.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("token")
+    held = every.join(several.hint("merge"), "token", "left_semi")
+    if nodes is None:
+        held = held.withColumn("component", F.col("key"))
+    else:
+        held = held.join(nodes.hint("merge"), F.col("key") == F.col("node"), "left").select(
+            "token", "key", "n", "i", F.coalesce("component", "key").alias("component"))
+    held = stored(held, "holders")
+    most = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
+        F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("holders"), F.count(F.lit(1)).alias("components"))
+    rows = held.join(most.where("components > 1").hint("merge"), "token").withColumn("salts", F.ceil(F.col("holders") / SALT_ROWS).cast("int"))
+    left = spread(rows.where("component <> largest").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")), "token", "salt")
+    right = spread(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
+    named = [x.select(F.col("key").alias(c), F.col("n").alias("n" + c), F.col("i").alias("i" + c), F.col("component").alias("of_" + c), *more, "token", "salt")
+             for x, c, more in ((left, "a", []), (right, "b", ["largest"]))]
+    num, den = SIMILARITY
+    needed = -F.floor(-num * (F.col("na") + F.col("nb")) / (num + den))
+    room = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    met = named[0].join(named[1].hint("merge"), ["token", "salt"]).where(
+        (F.col("of_a") != F.col("of_b")) & ((F.col("a") < F.col("b")) | (F.col("of_b") == F.col("largest")))
+        & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (room >= needed))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"), F.greatest("na", "nb").alias("more"))
+    # besides the shared ones of the prefixes, no more shingles are shared than the longer line's others
+    common = met.groupBy("a", "b", "both", "more").agg(F.count(F.lit(1)).alias("common"))
+    others = F.floor((num * F.col("more") + den - 1) / den) - 1
+    found = stored(common.where((num + den) * (F.col("common") + others) >= num * F.col("both")).select("a", "b"), "undecided")
+    discard(every, held)
+    return found
+
+
+def _bucket_edges(lines: DataFrame):
+    """(edges to leaders, members of buckets, their texts, the (bucket, key) that were compared with all others); None without buckets."""
     banded = lines.where("bands is not null").select("key", F.explode("bands").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("bucket"), "shared")
     met = stored(banded.join(shared.hint("merge"), "bucket", "left_semi").distinct(), "buckets")
     if met.isEmpty():
+        discard(shared, met)
         return None
-    mates = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"))
+    mates = stored(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates")), "mates")
     degrees = stored(met.join(mates, "bucket").groupBy("key").agg(F.sum("mates").alias("degree")), "degrees")
     texts = stored(lines.where("line is not null").select("key", "line").join(degrees.hint("merge"), "key", "left_semi").dropDuplicates(["key"]), "texts")
     members = stored(met.select("bucket", "key").join(degrees, "key"), "members")
-    edges, held = None, [shared, met, degrees, texts, members]
+    edges, done, held = None, None, [shared, met, mates, degrees]
     free = members  # lines that no leader of their bucket is similar to
     for turn in range(LEADERS):
-        leaders = free.groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"))
+        leaders = free.groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("leader"), F.count(F.lit(1)).alias("led"))
         led = stored(free.join(leaders, "bucket"), "led")
         near = stored(verified(led.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")), texts), "near")
-        held += [led, near]
+        # a leader that every line but the leaders before is compared with needs no other comparison
+        met_all = stored(led.where("key = leader").join(mates, "bucket").where(F.col("led") == F.col("mates") - turn).select("bucket", "key"), "led")
+        held.append(led)
         edges = near if edges is None else edges.unionAll(near)
+        done = met_all if done is None else done.unionAll(met_all)
         if turn + 1 < LEADERS:
             same = (F.least("key", "leader") == F.col("a")) & (F.greatest("key", "leader") == F.col("b"))
             free = led.where("key <> leader").join(near, same, "left_anti").select("bucket", "key", "degree")
-    nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
     discard(*held)
+    return edges, members, texts, done
+
+
+def links(lines: DataFrame) -> DataFrame | None:
+    """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
+    found = _bucket_edges(lines)
+    if found is None:
+        return None
+    edges, members, texts, done = found
+    nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
+    rest = members.select("bucket", "key").join(done.hint("merge"), ["bucket", "key"], "left_anti")
+    if nodes is not None:
+        rest = rest.join(nodes.hint("merge"), F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    else:
+        rest = rest.withColumn("component", F.col("key"))
+    rest = stored(rest, "rest")
+    several = rest.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("bucket")
+    undecided = rest.join(several.hint("merge"), "bucket", "left_semi").select("key").distinct()
+    asked = stored(texts.join(undecided.hint("merge"), "key", "left_semi"), "asked")
+    near = stored(verified(undecided_pairs(asked, nodes), asked), "near")
+    if not near.isEmpty():
+        if nodes is not None:
+            near = near.unionAll(nodes.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        nodes = stored(connected_components(near).select("node", "component"), "components")
+    discard(members, texts, rest, asked)
     return nodes
 
 
