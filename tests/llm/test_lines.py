@@ -105,6 +105,29 @@ def test_pairs_of_the_prefixes_are_all_similar_pairs(spark):
     assert len(want) > 100 and got == want
 
 
+def test_short_similar_lines_always_meet(spark):
+    """Of pairs of any small length that are similar, with or without repeated shingles, the later line goes."""
+    rng = random.Random(5)
+    pairs = []
+    for chars in [*range(12, 66)] * 3:
+        line = "".join(rng.choice("abcdefghijklm") for _ in range(chars))
+        pairs.append((line, line[:-max(1, (chars - 7) // 10)] + "z" * max(1, (chars - 7) // 10)))
+    for _ in range(20):
+        unit = "".join(rng.choice("abcdefgh") for _ in range(12))
+        pairs.append((unit * 12, unit * 12 + "z"))
+    sets = [(lines.shingles(a.encode()), lines.shingles(b.encode())) for a, b in pairs]
+    similar = [5 * len(a & b) >= 4 * len(a | b) for a, b in sets]
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
+    assert sum(similar) > 100 and all(got[i] >= s for i, s in enumerate(similar))
+
+
+def test_lines_equal_brute_force(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, lines.dedup_lines(docs).collect()), key=str) == plain(rows)
+
+
 def test_shingle_hashes_match_sets():
     some = ["abcdefgh", "abc", "ééabcdefghi", "a" * 30, "aaaaaaaaa"]
     hashes, line = lines.shingle_hashes([x.encode() for x in some])

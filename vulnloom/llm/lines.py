@@ -10,6 +10,9 @@ A bucket of n variants of one line thus costs n comparisons, not all pairs.  Wha
 leave undecided, the lines of buckets that still hold several components, is joined exactly:
 similar lines share one of the rarest shingles of both (prefix filter), and only lines of
 different components are paired.  So no link inside a bucket is missed.
+
+With few shingles many slices are empty and the bands of a line agree or differ together, so
+lines of fewer than SHORT shingles take part in the exact join whether or not they share a bucket.
 """
 
 import hashlib
@@ -28,8 +31,10 @@ from vulnloom.session import discard, stored
 #: Characters of a shingle; a shorter line is one shingle.
 SHINGLE = 8
 SIMILARITY = (4, 5)  # numerator and denominator
-#: At similarity 0.8 a pair meets in a band with probability 0.985, at 0.9 with 0.9998.
+#: At similarity 0.8 a pair of SHORT shingles or more meets in a band with probability 0.98, at 0.9 with 0.9998.
 BANDS, ROWS = 8, 4
+#: Lines of fewer different shingles are joined exactly, in or out of buckets.
+SHORT = 60
 #: Leaders that a bucket's lines are compared with, one after the other.
 LEADERS = 2
 #: Frequent shingles that are told apart from rare ones, at most, and lines that they are counted in.
@@ -37,7 +42,7 @@ LEADERS = 2
 FREQUENT, COUNTED = 1 << 16, 50_000
 #: Bytes of the texts that one task reads at once, about.
 CHUNK_BYTES = 1_500_000
-LINES = "key long, d long, k int, no int, bands array<long>, line binary"
+LINES = "key long, d long, k int, no int, bands array<long>, line binary, short boolean"
 
 
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,18 +69,32 @@ def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(line)
 
 
-def signatures(lines: list[bytes]) -> np.ndarray:
-    """(lines, BANDS) hashes: of the ROWS least hashes of each band and the band's number."""
+_NONE = np.uint64(2**64 - 1)
+
+
+def least_hashes(lines: list[bytes]) -> np.ndarray:
+    """(lines, BANDS x ROWS) least hashes of the slices; an empty slice has _NONE."""
     slices = BANDS * ROWS
     hashes, line = shingle_hashes(lines)
     line *= slices
     line += ((hashes >> np.uint64(40)) * np.uint64(slices) >> np.uint64(24)).view(np.int64)
-    none = np.uint64(2**64 - 1)
-    least = np.full(len(lines) * slices, none)
+    least = np.full(len(lines) * slices, _NONE)
     np.minimum.at(least, line, hashes)
-    least = least.reshape(len(lines), slices)
+    return least.reshape(len(lines), slices)
+
+
+def short_lines(lines: list[bytes], least: np.ndarray) -> np.ndarray:
+    """Whether a line has fewer than SHORT different shingles; a longer text without an empty slice is not asked."""
+    empty = (least == _NONE).any(axis=1)
+    few = [len(x) < SHORT + SHINGLE - 1 or bool(e) and len(shingles(x)) < SHORT for x, e in zip(lines, empty)]
+    return np.array(few, bool)
+
+
+def signatures(lines: list[bytes], least=None) -> np.ndarray:
+    """(lines, BANDS) hashes: of the ROWS least hashes of each band and the band's number."""
+    least = least_hashes(lines) if least is None else least
     for step in (1, 2, 4, 8, 16, 32):  # an empty slice takes the value of the next one that is not
-        empty = least == none
+        empty = least == _NONE
         if not empty.any():
             break
         least = np.where(empty, np.roll(least, -step, axis=1), least)
@@ -110,7 +129,8 @@ def _line_rows(batches):
             return
         digest = xxhash.xxh3_64_intdigest
         named = np.fromiter(map(digest, lines), np.uint64, len(lines)).view(np.int64)
-        bands = signatures(lines)
+        least = least_hashes(lines)
+        bands, short = signatures(lines, least), short_lines(lines, least)
         d, k, no = (np.array(x) for x in zip(*where))
         fresh, keys = np.array(fresh), np.array(keys)
         for part in (fresh, ~fresh):
@@ -123,7 +143,8 @@ def _line_rows(batches):
             if n:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(named[keys[part]]), pa.array(d[part].astype(np.int64)), pa.array(k[part].astype(np.int32)),
-                    pa.array(no[part].astype(np.int32)), bands_at, lines_at], ["key", "d", "k", "no", "bands", "line"])
+                    pa.array(no[part].astype(np.int32)), bands_at, lines_at, pa.array(short[keys[part]])],
+                    ["key", "d", "k", "no", "bands", "line", "short"])
 
     texts, d, k, size = [], [], [], 0
     for batch in batches:
@@ -280,13 +301,8 @@ def _bucket_edges(lines: DataFrame):
     return edges, members, texts, done
 
 
-def links(lines: DataFrame) -> DataFrame | None:
-    """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
-    found = _bucket_edges(lines)
-    if found is None:
-        return None
-    edges, members, texts, done = found
-    nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
+def _undecided(members: DataFrame, texts: DataFrame, done: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """(key, line) of the buckets in which lines of different components were not compared."""
     rest = members.select("bucket", "key").join(done.hint("merge"), ["bucket", "key"], "left_anti")
     if nodes is not None:
         rest = rest.join(nodes.hint("merge"), F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
@@ -294,14 +310,25 @@ def links(lines: DataFrame) -> DataFrame | None:
         rest = rest.withColumn("component", F.col("key"))
     rest = stored(rest, "rest")
     several = rest.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select("bucket")
-    undecided = rest.join(several.hint("merge"), "bucket", "left_semi").select("key").distinct()
-    asked = stored(texts.join(undecided.hint("merge"), "key", "left_semi"), "asked")
+    keys = rest.join(several.hint("merge"), "bucket", "left_semi").select("key").distinct()
+    return texts.join(keys.hint("merge"), "key", "left_semi")
+
+
+def links(lines: DataFrame) -> DataFrame | None:
+    """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
+    found, nodes = _bucket_edges(lines), None
+    asked = lines.where("short and line is not null").select("key", "line")
+    if found is not None:
+        edges, members, texts, done = found
+        nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
+        asked = asked.unionAll(_undecided(members, texts, done, nodes))
+    asked = stored(asked.dropDuplicates(["key"]), "asked")
     near = stored(verified(undecided_pairs(asked, nodes), asked), "near")
     if not near.isEmpty():
         if nodes is not None:
             near = near.unionAll(nodes.select(F.col("component").alias("a"), F.col("node").alias("b")))
         nodes = stored(connected_components(near).select("node", "component"), "components")
-    discard(members, texts, rest, asked)
+    discard(asked, *found[1:3] if found is not None else [])
     return nodes
 
 
