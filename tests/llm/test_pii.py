@@ -33,6 +33,15 @@ def test_base_spans_equal_regular_expressions():
         assert pii.find(text.encode(), None)[0] == plain(text), text
 
 
+def test_numbers_in_longer_runs_are_candidates():
+    for text, wanted in [("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+                         ("4111 1111 1111 1111 2025 0101 22", ["4111 1111 1111 1111"]),
+                         ("20 7946 0958 20 7946 0959 20 7946 0960", ["20 7946 0958", "20 7946 0959", "20 7946 0960"])]:
+        got = {text[s:e] for _, s, e in pii.candidates(text.encode())}
+        assert got >= set(wanted), text
+    assert len(pii.candidates(b"1 " * 5000)) < 20 * 5000
+
+
 def corpus():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(rng.randrange(2, 9)))

@@ -2,7 +2,7 @@
 
 Four base kinds are found by their formats and always stay.  Besides, generators with high
 recall propose overlapping spans: anything around an at sign, dotted numbers, and runs of
-digit groups with their parts.  Boosted trees, fitted with the base kinds as examples, judge a
+digit groups with their parts, and with all their sub-runs where two numbers have room.  Boosted trees, fitted with the base kinds as examples, judge a
 candidate by its form without the marks that define the base kinds (leading plus, check
 digit) and by the words around it.  On candidates that the trees have not seen, a threshold
 is chosen for each kind, so that at least PRECISION of the selected ones are examples; where
@@ -24,6 +24,8 @@ from vulnloom.llm.common import utf8
 #: Candidates that the trees are fitted on, at most; of so many parts the last sets the thresholds.
 TRAIN_ROWS, PARTS = 20_000, 4
 TREES, DEPTH = 15, 4
+#: Digits of a candidate made of digit groups.
+LEAST_DIGITS, MOST_DIGITS = 7, 24
 #: Share of examples among what a threshold selects, and selected candidates that it takes at least.
 PRECISION, LEAST_SELECTED = 0.97, 30
 
@@ -40,6 +42,7 @@ _DOTTED = re.compile(rb"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}")
 _GROUPS = re.compile(rb"\(?[0-9]++(?:[\x20().-]{1,2}[0-9]++)*+\)?")
 _NATIONAL = re.compile(rb"(?:\+?[0-9]{1,3}[\x20.-]{1,2})?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _PART = re.compile(rb"[0-9]++(?:[().-]{1,2}[0-9]++)*+")
+_DIGIT_RUN = re.compile(rb"[0-9]+")
 _OTHER_AT = re.compile(rb"\x20?[\[(]at[\])]\x20?", re.IGNORECASE)
 _DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 COLUMNS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -107,8 +110,20 @@ def candidates(data: bytes) -> list[tuple[str, int, int]]:
         parts = [m.span()] + [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]
         for start, end in parts:
             n = len(data[start:end].translate(None, _DIGITS))
-            if 7 <= n <= 24:
+            if LEAST_DIGITS <= n <= MOST_DIGITS:
                 found.add(("card" if n > 12 else "phone", start, end))
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in _DIGIT_RUN.finditer(m[0])]
+        if sum(end - begin for begin, end in groups) < 2 * LEAST_DIGITS:  # no room for two numbers
+            continue
+        for first, (start, _) in enumerate(groups):
+            start -= start > m.start() and data[start - 1:start] == b"("
+            n = 0  # the digits are bounded, so each start has few ends
+            for begin, end in groups[first:first + MOST_DIGITS]:
+                n += end - begin
+                if n > MOST_DIGITS:
+                    break
+                if n >= LEAST_DIGITS:
+                    found.add(("card" if n > 12 else "phone", start, end))
     for m in _NATIONAL.finditer(data):
         found.add(("phone", *m.span()))
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
@@ -183,6 +198,12 @@ class Cover:
         at = bisect.bisect_left(self.stretches, (start, start))
         return any(s < end and start < e for s, e in self.stretches[max(0, at - 1):at + 1])
 
+    def partial(self, data, start, end):
+        """Whether a stretch contains the span and has more digits."""
+        at = bisect.bisect_right(self.stretches, (start, len(data)))
+        digits = lambda s, e: len(data[s:e].translate(None, _DIGITS))
+        return any(s <= start and end <= e and digits(start, end) < digits(s, e) for s, e in self.stretches[max(0, at - 1):at])
+
     def add(self, start, end):
         bisect.insort(self.stretches, (start, end))
 
@@ -196,6 +217,8 @@ def fit(documents: DataFrame, rows=TRAIN_ROWS) -> Trees | None:
                 found = candidates(data)
                 base = Cover(base_spans(data) if found else [])
                 for kind, start, end in found:
+                    if base.partial(data, start, end):  # a piece of an example is neither an example nor a counter-example
+                        continue
                     key = hashlib.blake2b(data[max(0, start - 30):end + 30], digest_size=7).digest()
                     out.append((kind, int.from_bytes(key), int(base.meets(start, end)), features(data, kind, start, end)))
             yield pd.DataFrame(out, columns=["kind", "place", "label", "form"])
