@@ -74,6 +74,15 @@ def test_trees_add_spans_and_keep_base_ones(spark):
     assert red[9002] is None and red[9003].endswith("x <email>")
 
 
+def test_a_rare_kind_keeps_its_threshold(spark):
+    """Each kind is sampled by itself, and thresholds come from all held-out candidates."""
+    rng = random.Random(8)
+    phone = lambda: f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"w{i} call {phone()} now " + " ".join(f"see 1.2.{rng.randrange(10**6)} of {rng.randrange(10**6)}" for _ in range(30))) for i in range(400)]
+    trees = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"), rows=300)
+    assert trees.thresholds["phone"] < 1
+
+
 def test_without_examples_or_rows(spark):
     docs = spark.createDataFrame([(1, "nothing here"), (2, "a@b.cc")], "doc_id long, text string")
     assert {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()} == {1: "", 2: "email:0:6"}

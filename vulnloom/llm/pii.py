@@ -20,9 +20,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vulnloom.llm.common import utf8
+from vulnloom.session import discard, stored
 
-#: Candidates that the trees are fitted on, at most; of so many parts the last sets the thresholds.
-TRAIN_ROWS, PARTS = 20_000, 4
+#: Candidates of each kind that the trees are fitted on, at most; of so many parts of all candidates the last sets the thresholds.
+TRAIN_ROWS, PARTS = 15_000, 4
+#: Bins of the score, of which the thresholds are chosen.
+BINS = 1 << 12
 TREES, DEPTH = 15, 4
 #: Digits of a candidate made of digit groups.
 LEAST_DIGITS, MOST_DIGITS = 7, 24
@@ -208,40 +211,73 @@ class Cover:
         bisect.insort(self.stretches, (start, end))
 
 
+def _examples(texts):
+    """(kind, place, label, features) of every candidate but pieces of examples."""
+    for data in texts:
+        found = candidates(data)
+        base = Cover(base_spans(data) if found else [])
+        for kind, start, end in found:
+            if base.partial(data, start, end):  # a piece of an example is neither an example nor a counter-example
+                continue
+            key = hashlib.blake2b(data[max(0, start - 30):end + 30], digest_size=7).digest()
+            yield kind, int.from_bytes(key), int(base.meets(start, end)), (data, kind, start, end)
+
+
+def _threshold(bins: pd.DataFrame) -> float:
+    """The lowest score from which on PRECISION of the candidates (bin, n, hits) are examples."""
+    bins = bins.sort_values("bin", ascending=False)
+    n, hits = bins["n"].cumsum().to_numpy(), bins["hits"].cumsum().to_numpy()
+    good = np.flatnonzero((n >= LEAST_SELECTED) & (hits >= PRECISION * n))
+    return float(bins["bin"].iloc[good[-1]]) / BINS if len(good) else np.inf
+
+
 def fit(documents: DataFrame, rows=TRAIN_ROWS) -> Trees | None:
-    """Trees and thresholds from at most ``rows`` candidates, taken by the hash of where they stand; None without both kinds of examples."""
-    def generate(batches):
+    """Trees and thresholds; None without both kinds of examples.
+
+    The trees are fitted on at most ``rows`` candidates of each kind, taken by the hash of where
+    they stand.  The thresholds come from all held-out candidates of the whole table: tasks score
+    them, and the driver gets a count for each kind and bin of the score.
+    """
+    def taught(batches):
+        seen = {kind: {} for kind in KINDS}
         for batch in batches:
-            out = []
-            for data in batch["text"]:
-                found = candidates(data)
-                base = Cover(base_spans(data) if found else [])
-                for kind, start, end in found:
-                    if base.partial(data, start, end):  # a piece of an example is neither an example nor a counter-example
-                        continue
-                    key = hashlib.blake2b(data[max(0, start - 30):end + 30], digest_size=7).digest()
-                    out.append((kind, int.from_bytes(key), int(base.meets(start, end)), features(data, kind, start, end)))
-            yield pd.DataFrame(out, columns=["kind", "place", "label", "form"])
-
-    made = documents.select(utf8(F.col("text")).alias("text")).mapInPandas(generate, "kind string, place long, label int, form array<double>")
-    # equal surroundings are one example; the smallest places are a fixed sample of them
-    sample = made.groupBy("place", "kind").agg(F.max("label").alias("label"), F.first("form").alias("form")).orderBy("place", "kind").limit(rows)
-    chosen = sample.toPandas()
-    held = chosen["place"] % PARTS == PARTS - 1
-    if chosen.loc[~held, "label"].nunique() < 2:
+            for kind, place, label, at in _examples(batch["text"]):
+                if place % PARTS != PARTS - 1:
+                    mine = seen[kind]
+                    form = features(*at)
+                    mine[place] = max(mine.get(place, (-1, [])), (label, form))
+                    if len(mine) > 2 * rows:
+                        seen[kind] = {p: mine[p] for p in sorted(mine)[:rows]}
+        out = [(kind, p, *mine[p]) for kind, mine in seen.items() for p in sorted(mine)[:rows]]
+        for at in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[at:at + 10_000], columns=["kind", "place", "label", "form"])
+
+    texts = documents.select(utf8(F.col("text")).alias("text"))
+    made = stored(texts.mapInPandas(taught, "kind string, place long, label int, form array<double>"), "examples")
+    # equal surroundings are one example; the smallest places of each kind are a fixed sample of them
+    whole = made.groupBy("kind", "place").agg(F.max("label").alias("label"), F.max_by("form", F.struct("label", "form")).alias("form"))
+    chosen = pd.concat([whole.where(F.col("kind") == kind).orderBy("place").limit(rows).toPandas() for kind in KINDS], ignore_index=True)
+    discard(made)
+    if chosen["label"].nunique() < 2:
         return None
-    taught = documents.sparkSession.createDataFrame(chosen.loc[~held, ["label", "form"]]).select(
+    sample = documents.sparkSession.createDataFrame(chosen[["label", "form"]]).select(
         F.col("label").cast("double").alias("label"), array_to_vector("form").alias("features")).coalesce(1)
-    trees = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxMemoryInMB=128).fit(taught))
-    score = trees.score(np.array(chosen["form"].tolist()))
-    for kind in KINDS:
-        mine = (held & (chosen["kind"] == kind)).to_numpy()
-        order = np.argsort(-score[mine], kind="stable")
-        s, hits = score[mine][order], np.cumsum(chosen["label"].to_numpy()[mine][order])
-        n = np.arange(1, len(s) + 1)
-        last = np.append(s[1:] != s[:-1], True) if len(s) else np.zeros(0, bool)
-        good = np.flatnonzero(last & (n >= LEAST_SELECTED) & (hits >= PRECISION * n))
-        trees.thresholds[kind] = float(s[good[-1]]) if len(good) else np.inf
+    trees = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxMemoryInMB=128).fit(sample))
+    sent = documents.sparkSession.sparkContext.broadcast(trees)
+
+    def held_out(batches):
+        for batch in batches:
+            rows = [x for x in _examples(batch["text"]) if x[1] % PARTS == PARTS - 1]
+            for at in range(0, len(rows), 10_000):
+                part = rows[at:at + 10_000]
+                score = sent.value.score(np.array([features(*x[3]) for x in part]))
+                yield pd.DataFrame({"kind": [x[0] for x in part], "place": [x[1] for x in part], "label": [x[2] for x in part],
+                                    "bin": np.floor(score * BINS).astype(np.int64)})
+
+    counts = texts.mapInPandas(held_out, "kind string, place long, label int, bin long").groupBy("kind", "place").agg(
+        F.max("label").alias("label"), F.max("bin").alias("bin")).groupBy("kind", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).toPandas()
+    trees.thresholds = {kind: _threshold(counts[counts["kind"] == kind]) for kind in KINDS}
     return trees
 
 
