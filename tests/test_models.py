@@ -126,3 +126,18 @@ def test_measures_equal_brute_force(spark):
     assert m["precision_at_10"] == sum(r[3] for r in top[:10]) / 10 and m["precision_at_5"] == sum(r[3] for r in top[:5]) / 5
     high = [r[3] for r in rows if r[2] >= 0.7]
     assert abs(m["hit_rate_high"] - sum(high) / len(high)) < 1e-12
+
+
+def test_model_comparison_takes_the_default_trees(monkeypatch):
+    from vulnloom.plans import learning as plans
+
+    class Asked(Exception):
+        pass
+
+    def asked(train, test, days, kinds=None, trees=100):
+        raise Asked(trees)
+    monkeypatch.setattr(plans, "customer_features", lambda t, cutoffs: None)
+    monkeypatch.setattr(plans.forecast, "training_rows", lambda rows: None)
+    monkeypatch.setattr(plans.learning, "train_and_compare", asked)
+    with pytest.raises(Asked, match="100"):
+        plans.model_comparison(None)

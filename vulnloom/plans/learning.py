@@ -60,7 +60,7 @@ _WHOLE = dict(
 def model_comparison(t):
     """Fitted models differ between engines: of them only bounds of their measures are compared."""
     train = forecast.training_rows(customer_features(t, TRAIN))
-    m = learning.train_and_compare(train, customer_features(t, TEST), DAYS, trees=20)
+    m = learning.train_and_compare(train, customer_features(t, TEST), DAYS)
     fitted = F.col("method").isin("gbt", "logistic")
     shown = [F.when(~fitted, r6(c)).alias(c) for c in ("brier_score", "auc_roc", "hit_rate_high")]
     return m.select("method", "n_lines", *shown, (~fitted | (F.col("brier_score").between(0.0, 0.5) & F.col("auc_roc").between(0.3, 1.0))).alias("plausible"))
