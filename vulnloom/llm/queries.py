@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
+from vulnloom.llm import collocations, decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
 from vulnloom.llm.common import WORD, ship, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -134,3 +134,27 @@ def op3_substring_dedup(spark, sf_dir):
 def op4_line_dedup(spark, sf_dir):
     """All documents without the lines that repeat earlier ones, exactly or nearly."""
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+PHRASE_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+places as (select lang, w, m, unnest(generate_series(1, len(w) - m + 1)) as s from pieces, (values (1), (2), (3), (4)) as v(m) where len(w) >= m),
+totals as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+f as (select lang, m, w[s:s + m - 1] as p, count(*)::bigint as a from places group by all having count(*) >= 30),
+cuts as (select c.lang, c.p, c.m, c.a, k, x.a as l, y.a as r, (2000000::hugeint * c.a // (x.a + y.a))::bigint as score
+         from (select *, unnest(generate_series(1, m - 1)) as k from f where m > 1) c
+         join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:c.m]),
+cut as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+longer as (select lang, p, max(a) as b from (select lang, p[1:m - 1] as p, a from f where m > 2 union all select lang, p[2:m] as p, a from f where m > 2) group by all),
+kept as (select c.*, array_to_string(c.p, ' ') as phrase from cut c left join longer g on g.lang = c.lang and g.p = c.p
+         where g.b is null or 100::hugeint * g.b < 80::hugeint * c.a)
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join totals using (lang)
+where rank <= 2000"""
+
+
+@query("op11_phrase_collocations", PHRASE_SQL)
+def op11_phrase_collocations(spark, sf_dir):
+    """The first 2000 collocations of each language, from count streams in prefix and suffix order."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
