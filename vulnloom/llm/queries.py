@@ -2,12 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import collocations, decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
+from vulnloom.llm import bpe, collocations, decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
 from vulnloom.llm.common import WORD, ship, table, word_count
 
 QUERIES, ORACLES = {}, {}
 
 
+def vocabulary(name):
+    """Where the installed package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name, oracle=None):
     def keep(fn):
         def run(spark, sf_dir):
@@ -158,3 +165,9 @@ where rank <= 2000"""
 def op11_phrase_collocations(spark, sf_dir):
     """The first 2000 collocations of each language, from count streams in prefix and suffix order."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_bpe_round_trip")
+def op12_bpe_round_trip(spark, sf_dir):
+    """All documents encoded by merge rounds and decoded again."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
