@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vulnloom.llm import bpe, collocations, decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
+from vulnloom.llm import alignment, bpe, collocations, decontaminate, lines, mixing, pii, quality, repetition, secrets, simhash, substrings, toxicity
 from vulnloom.llm.common import WORD, ship, table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -171,3 +171,10 @@ def op11_phrase_collocations(spark, sf_dir):
 def op12_bpe_round_trip(spark, sf_dir):
     """All documents encoded by merge rounds and decoded again."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, sf_dir):
+    """The tokens of two public vocabularies over the same bytes of all documents, linked and counted."""
+    files = map(vocabulary, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *files)
