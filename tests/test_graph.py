@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulnloom.functions.dates import as_ntz
-from vulnloom.operators import components, graph, scoring, sharing, similarity
+from vulnloom.operators import components, graph, propagation, scoring, sharing, similarity
 from vulnloom.sinks import tables
 
 
@@ -97,18 +97,21 @@ def _random_sets(seed, items=30, tokens=25, hot=2):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_sharing_with_heavy_tokens_is_exact(spark, seed, monkeypatch):
     sets = _random_sets(seed)
+    floor = 0.2 if seed > 1 else 0.19  # by prefixes, or all common tokens counted
     rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "item string, token string")
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
-    near = {k: v for k, v in want.items() if v >= 0.2}
+    near = {k: v for k, v in want.items() if v >= floor}
     monkeypatch.setattr(sharing, "SALT_ROWS", 5)
-    got = {(r["a"], r["b"]): r["jaccard"] for r in sharing.similar_pairs(rows, 0.2).collect()}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in sharing.similar_pairs(rows, floor).collect()}
     assert got.keys() == near.keys() and all(abs(got[k] - v) < 1e-12 for k, v in near.items())
     best = sorted(near.items(), key=lambda kv: (-kv[1], kv[0]))[:7]
-    top = [((r["a"], r["b"]), r["jaccard"]) for r in sharing.similar_pairs(rows, 0.2, top_k=7).collect()]
+    top = [((r["a"], r["b"]), r["jaccard"]) for r in sharing.similar_pairs(rows, floor, top_k=7).collect()]
     assert [k for k, _ in top] == [k for k, _ in best]
     counts = {i: sum(1 for j in sets if j != i and sets[i] & sets[j]) for i in sets}
-    for limit in (2, 512):
-        monkeypatch.setattr(sharing, "PAIRED_HOLDERS", limit)
+    for dense, rows_of_group, span in ((2, 20, 7), (sharing.DENSE_BLOCK, 200_000, 4096)):
+        monkeypatch.setattr(sharing, "DENSE_BLOCK", dense)
+        monkeypatch.setattr(sharing, "GROUP_ROWS", rows_of_group)
+        monkeypatch.setattr(sharing, "ITEM_RANGE", span)
         found = {r["item"]: r["neighbours"] for r in sharing.neighbour_counts(rows).collect()}
         assert found == {k: v for k, v in counts.items() if v}
 
@@ -154,6 +157,75 @@ def test_clusters_equal_brute_force(spark, seed):
     assert got == want
 
 
+def test_dense_groups_send_few_links(spark):
+    """5,000 nearly equal products: about a link a member, whatever the number of similar pairs."""
+    rng = random.Random(9)
+    cve, cwe = [], []
+    for i in range(5000):
+        gone = rng.randrange(40)
+        cve += [(f"p{i:04d}", f"c{k}") for k in range(40) if k != gone] + [(f"p{i:04d}", f"own{i}")]
+        cwe += [(f"p{i:04d}", f"w{i % 3}"), (f"p{i:04d}", "w9")]
+    frames = [spark.createDataFrame(cve, "product string, cve_id string"), spark.createDataFrame(cwe, "product string, cwe_id string")]
+    links = similarity.cluster_links(*frames, 0.5)
+    assert 4999 <= links.count() < 10_000
+    found = components.connected_components(links)
+    assert found.count() == 5000 and found.select("component").distinct().count() == 1
+
+
+def test_neighbours_of_a_token_that_all_hold(spark):
+    """50,000 items hold one token, and each a second one with another item that lacks it."""
+    ids = spark.range(50_000)
+    sets = ids.select(F.concat(F.lit("i"), "id").alias("item"), F.lit("hot").alias("token")).unionByName(
+        ids.select(F.concat(F.lit("i"), "id").alias("item"), F.concat(F.lit("t"), F.col("id")).alias("token"))).unionByName(
+        ids.select(F.concat(F.lit("j"), "id").alias("item"), F.concat(F.lit("t"), F.col("id")).alias("token")).where("id % 2 = 0"))
+    got = {tuple(r) for r in sharing.neighbour_counts(sets).select(F.substring("item", 1, 1), F.expr("try_cast(substring(item, 2) as int) % 2 + if(item like 'j%', 5, 0)"), "neighbours").distinct().collect()}
+    assert got == {("i", 0, 50_000), ("i", 1, 49_999), ("j", 5, 1)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_impact_of_all_equals_the_trace_of_each(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    pairs = {(f"p{rng.randrange(12):02d}", f"c{rng.randrange(25):02d}") for _ in range(70)} | {(f"p{k:02d}", "c99") for k in range(11)}
+    pairs |= {(p, "c77") for p, c in pairs if c == "c03"}
+    classes = {(f"c{rng.randrange(25):02d}", f"w{rng.randrange(6)}") for _ in range(40)} | {("c99", "w1"), ("c99", "w2")}
+    classes |= {("c77", w) for c, w in classes if c == "c03"}
+    frames = (spark.createDataFrame(sorted(pairs), "product string, cve_id string"), spark.createDataFrame(sorted(classes), "cve_id string, cwe_id string"))
+    columns = ["source_cve", "target_product", "hops", "confidence", "via_cve", "shared_cwes"]
+    want = sorted(map(str, propagation.trace_impact(frames[0].select("cve_id"), *frames).select(*columns).collect()))
+    for hub in (2, 256):
+        monkeypatch.setattr(propagation, "HUB_PRODUCTS", hub)
+        got = sorted(map(str, propagation.trace_all_impact(*frames).select(*columns).collect()))
+        assert got == want
+    assert any("hops=2" in r for r in want)
+
+
+def test_power_rank_equals_plain_iteration(spark):
+    rng = random.Random(3)
+    nodes = [f"n{k}" for k in range(14)]
+    links = {(rng.choice(nodes[:10]), rng.choice(nodes)) for _ in range(40)} | {("n1", "n1"), ("n1", "n2")}
+    out = {x: sorted(b for a, b in links if a == x) for x in nodes}
+    rank, rounds = {x: 1 / 14 for x in nodes}, 0
+    while True:
+        rounds += 1
+        lost = sum(rank[x] for x in nodes if not out[x])
+        new = {x: 0.15 / 14 + 0.85 * lost / 14 for x in nodes}
+        for x in nodes:
+            for y in out[x]:
+                new[y] += 0.85 * rank[x] / len(out[x])
+        moved, rank = sum(abs(new[x] - rank[x]) for x in nodes), new
+        if moved < 14 * 1e-6:
+            break
+    edges = spark.createDataFrame([*links, ("n1", "n2"), ("n1", "n2"), ("stray", "n1")], "src string, dst string")
+    ids = spark.createDataFrame([(x,) for x in nodes], "id string")
+    got = graph.power_rank(edges, ids).collect()
+    assert {r["rounds"] for r in got} == {rounds} and all(abs(r["rank"] - rank[r["id"]]) < 1e-12 for r in got)
+    unsettled = {r["id"]: r for r in graph.power_rank(edges, ids, rounds=1).collect()}
+    degree = {x: sum(b == x for _, b in links) for x in nodes}
+    assert all(r["rounds"] is None and abs(r["rank"] - degree[x] / max(degree.values())) < 1e-12 for x, r in unsettled.items())
+    assert graph.power_rank(edges.limit(0), ids.limit(0)).count() == 0
+    assert {round(r["rank"], 9) for r in graph.power_rank(edges.limit(0), ids).collect()} == {round(1 / 14, 9)}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y")], "a string, b string")
     got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}

@@ -8,7 +8,7 @@ most two edges.
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.functions.names import normalize_name
-from vulnloom.session import stored
+from vulnloom.session import discard, stored
 
 SNAPSHOT_VERSION = 3
 
@@ -166,6 +166,50 @@ def rank(nodes_cve, nodes_product, mentions, affects, classified, alpha=0.85) ->
     return table.select("id", "type", (F.col("r") / peak).alias("rank"))
 
 
+def power_rank(edge_table: DataFrame, nodes: DataFrame, alpha=0.85, tolerance=1e-6, rounds=100) -> DataFrame:
+    """(id, rank, in_degree, rounds): page rank of any directed edge table (src, dst), cycles included, by power iteration.
+
+    ``nodes`` (id) names the nodes; ends of edges that it lacks are left out.  A repeated edge counts
+    once.  The rank of nodes without outgoing edges is dealt to all.  A round's rank is a
+    table in the shared folder.  It ends when the ranks moved by less than the number of nodes times
+    the tolerance; when no round of ``rounds`` comes to that, the rank is the share of the
+    largest in-degree and ``rounds`` is null.
+    """
+    known = stored(nodes.select("id").distinct(), "nodes")
+    n = known.count()
+    ends = edge_table.select("src", "dst").distinct().join(known.select(F.col("id").alias("src")), "src", "left_semi").join(
+        known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    fan_out = ends.groupBy("src").agg(F.count(F.lit(1)).alias("fan_out"))
+    links = stored(ends.join(fan_out, "src").select("src", "dst", (F.lit(1.0) / F.col("fan_out")).alias("share")), "links")
+    sinks = known.join(fan_out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("fan_out").isNull().alias("sink"))
+    current = stored(sinks.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("moved", F.lit(None).cast("double")), "ranks")
+    degrees = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    settled = None if n else 0
+    for turn in range(1, rounds + 1 if n else 1):
+        lost = current.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()["s"]
+        base = (1.0 - alpha + alpha * lost) / n
+        given = links.join(current.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(
+            F.sum(F.col("rank") * F.col("share")).alias("given"))
+        rank_now = F.lit(base) + alpha * F.coalesce("given", F.lit(0.0))
+        following = stored(current.join(given, "id", "left").select("id", "sink", rank_now.alias("rank"), F.abs(rank_now - F.col("rank")).alias("moved")), "ranks")
+        discard(current)
+        current = following
+        if current.agg(F.sum("moved").alias("m")).first()["m"] < n * tolerance:
+            settled = turn
+            break
+    ranked = current.join(degrees, "id", "left").select("id", "rank", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+    if settled is not None:
+        return ranked.withColumn("rounds", F.lit(settled))
+    most = ranked.agg(F.greatest(F.max("in_degree"), F.lit(1)).alias("most")).scalar()
+    return ranked.withColumn("rank", F.col("in_degree") / most).withColumn("rounds", F.lit(None).cast("int"))
+
+
+def weakness_links(product_weaknesses: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """(src, dst): the edges of the graph, and both ways between products and their weaknesses, so that there are cycles."""
+    own = product_weaknesses.select(F.concat(F.lit("product::"), "product").alias("src"), F.col("cwe_id").alias("dst"))
+    return edge_table.select("src", "dst").unionByName(own).unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
 def top_products(affects: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Products with the most distinct vulnerabilities; products without any count 0."""
     counts = pairs.groupBy("product").agg(F.count(F.lit(1)).alias("n_cves"))

@@ -6,12 +6,14 @@ any kind and size:
 
 * pairs meet at the rarest tokens of their sets only (prefix filter), and a token held by many
   is split: a holder goes to one salt, its partners to all of them;
-* neighbours are united as bitmaps of item numbers; a token with many holders adds its own
-  bitmap to each of them instead of pairing them.
+* neighbours are united as blocks of item numbers, sorted arrays or bitmaps, first inside
+  groups of tokens and then by item.
 """
 
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -19,10 +21,14 @@ from vulnloom.session import stored
 
 #: Holders of a token that one salt takes.
 SALT_ROWS = 1024
-#: A token with more holders joins its neighbours as a bitmap.
-PAIRED_HOLDERS = 512
-#: Bits of one bitmap.
-BITMAP_BITS = 32_768
+#: Below this floor all common tokens are counted, from it on the pairs that prefixes leave are looked up.
+LOW_FLOOR = Fraction(1, 5)
+#: Item numbers of one block of holders, as many as Spark's bitmaps have bits.
+BLOCK_ITEMS = 32_768
+#: A block with more holders is a bitmap, one with fewer a sorted array of two-byte places.
+DENSE_BLOCK = BLOCK_ITEMS // 16
+#: Rows (token, item) of a group of tokens, about, and item numbers that ask for a token's blocks together.
+GROUP_ROWS, ITEM_RANGE = 200_000, 4096
 
 
 def fraction(floor) -> tuple[int, int]:
@@ -67,6 +73,16 @@ def _positions(rows: DataFrame) -> DataFrame:
     return slots.join(offsets, keys).withColumn("i", F.col("before") + F.row_number().over(inside))
 
 
+def prefixes(sets: DataFrame, floor) -> DataFrame:
+    """(item, n, i, token, rest, salts): the rarest n - rest tokens of each set, one of which a pair at the floor shares."""
+    num, den = fraction(floor)
+    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
+    sizes = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    rest = _ceil(num * F.col("n"), den) - 1
+    return _positions(sets.join(counts, "token").join(sizes, "item")).where(F.col("i") <= F.col("n") - rest).select(
+        "item", "n", "i", "token", rest.alias("rest"), _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts"))
+
+
 def candidate_pairs(sets: DataFrame, floor) -> DataFrame:
     """(a, b, na, nb, common), a < b: pairs that may reach the floor, among them all that do.
 
@@ -77,27 +93,57 @@ def candidate_pairs(sets: DataFrame, floor) -> DataFrame:
     more than the floor allows, and the common prefix tokens plus everything one of the
     two suffixes could add make up the needed overlap.
     """
-    num, den = fraction(floor)
-    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
-    sizes = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    rest = _ceil(num * F.col("n"), den) - 1
-    prefix = _positions(sets.join(counts, "token").join(sizes, "item")).where(F.col("i") <= F.col("n") - rest).select(
-        "item", "n", "i", "token", rest.alias("rest"), _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts"))
+    prefix = prefixes(sets, floor)
     left = spread(prefix.withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts")).cast("int")), "token", "salt")
     right = spread(prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
-    named = [x.select(F.col("item").alias(c), F.col("n").alias("n" + c), F.col("i").alias("i" + c), F.col("rest").alias("r" + c), "token", "salt")
-             for x, c in ((left, "a"), (right, "b"))]
+    met = named(left, "a", "token", "salt").join(named(right, "b", "token", "salt"), ["token", "salt"]).where((F.col("a") < F.col("b")) & may_reach(floor))
+    return with_common(met, floor)
+
+
+def named(prefix: DataFrame, side: str, *keys) -> DataFrame:
+    """Prefix rows with their columns named for one side of a pair."""
+    return prefix.select(F.col("item").alias(side), *[F.col(c).alias(c[0] + side) for c in ("n", "i", "rest")], *keys)
+
+
+def may_reach(floor) -> Column:
+    """Whether a pair that meets at a token is near enough in size and has enough tokens before or behind it."""
+    num, den = fraction(floor)
     needed = _ceil(num * (F.col("na") + F.col("nb")), num + den)
     room = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    met = named[0].join(named[1], ["token", "salt"]).where(
-        (F.col("a") < F.col("b")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (room >= needed))
+    return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (room >= needed)
+
+
+def with_common(met: DataFrame, floor) -> DataFrame:
+    """(a, b, na, nb, common) of pairs met once a common prefix token, those that the rest of their sets can still bring to the floor."""
+    num, den = fraction(floor)
+    needed = _ceil(num * (F.col("na") + F.col("nb")), num + den)
     common = met.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("common"))
     whole = (F.col("ra") == 0) & (F.col("rb") == 0)
     return common.where(F.col("common") + F.greatest("ra", "rb") >= needed).select("a", "b", "na", "nb", F.when(whole, F.col("common")).alias("common"))
 
 
+def all_counts(sets: DataFrame, floor) -> DataFrame:
+    """(a, b, na, nb, shared) of all pairs at the floor, each common token counted; a token with many holders is salted."""
+    num, den = fraction(floor)
+    counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    sizes = sets.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = sets.join(counts, "token").join(sizes, "item").select("item", "n", "token", _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts"))
+    left = spread(rows.withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts")).cast("int")), "token", "salt")
+    right = spread(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
+    met = left.select(F.col("item").alias("a"), F.col("n").alias("na"), "token", "salt").join(
+        right.select(F.col("item").alias("b"), F.col("n").alias("nb"), "token", "salt"), ["token", "salt"])
+    near = met.where((F.col("a") < F.col("b")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")))
+    return near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(reaches(floor))
+
+
 def counted_pairs(sets: DataFrame, floor) -> DataFrame:
-    """(a, b, na, nb, shared) of all pairs that reach the floor."""
+    """(a, b, na, nb, shared) of all pairs that reach the floor.
+
+    Below LOW_FLOOR nearly a whole set is its prefix, so every common token is counted at once.
+    """
+    num, den = fraction(floor)
+    if num < LOW_FLOOR * den:
+        return all_counts(sets, floor)
     met = stored(candidate_pairs(sets, floor), "met")
     known = met.where("common is not null").select("a", "b", "na", "nb", F.col("common").alias("shared"))
     looked_up = shared_of(met.where("common is null").select("a", "b", "na", "nb"), sets)
@@ -130,23 +176,104 @@ def similar_pairs(sets: DataFrame, floor, top_k=None) -> DataFrame:
 def neighbour_counts(sets: DataFrame) -> DataFrame:
     """(item, neighbours): number of other items that share a token with the item, for items that have any.
 
-    Each item's neighbours are collected as bitmaps, a row for each BITMAP_BITS items.  Tokens
-    with few holders add their holders one by one, the others their own bitmaps.
+    Items are numbered, and the holders of a token are kept in blocks of BLOCK_ITEMS numbers, each
+    as a sorted array or, where it is dense, as a bitmap.  Tokens are dealt to groups; in each
+    group the blocks of an item's tokens are united before they are sent on, so an item receives
+    one block a group instead of one a token.  The holders of a frequent token ask for its blocks
+    by ranges of ITEM_RANGE numbers, never by the token alone.
     """
     items = stored(sets.select("item").distinct(), "items")
-    parts = max(1, -(-items.count() // BITMAP_BITS))
+    parts = max(1, -(-items.count() // BLOCK_ITEMS))
     numbers = stored(items.repartition(parts, "item").withColumn("number", F.monotonically_increasing_id()), "numbers")
     counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    rows = sets.join(counts, "token").join(numbers, "item").select(
-        "item", "token", "holders", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
-    few, many = rows.where(F.col("holders") <= PAIRED_HOLDERS), rows.where(F.col("holders") > PAIRED_HOLDERS)
-    few = spread(few, "token")
-    one_by_one = few.select("item", "token").join(few.select("token", "bucket", "bit"), "token").groupBy("item", "bucket").agg(
-        F.bitmap_construct_agg("bit").alias("bits"))
-    maps = many.groupBy("token", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    at_once = many.select("item", "token").join(maps, "token").groupBy("item", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    united = one_by_one.unionByName(at_once).groupBy("item", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return united.groupBy("item").agg((F.sum(F.bitmap_count("bits")) - 1).alias("neighbours")).where("neighbours > 0")
+    held = stored(sets.join(counts, "token").join(numbers, "item").select("token", "number"), "held")
+    groups = max(1, -(-held.count() // GROUP_ROWS))
+    rows = held.withColumn("group", F.pmod(F.xxhash64("token"), F.lit(groups)).cast("int"))
+    place = F.pmod("number", F.lit(BLOCK_ITEMS)).cast("int")
+    blocks = rows.withColumn("block", F.floor(F.col("number") / BLOCK_ITEMS))
+    sizes = blocks.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"))
+    dense = sizes.where(F.col("n") > DENSE_BLOCK).select("token", "block")
+    bits = blocks.join(dense, ["token", "block"], "left_semi").groupBy("group", "token", "block").agg(
+        F.bitmap_construct_agg(place).alias("bits")).select("*", F.lit(None).cast("array<int>").alias("places"))
+    lists = blocks.join(dense, ["token", "block"], "left_anti").groupBy("group", "token", "block").agg(
+        F.collect_list(place).alias("places")).select("group", "token", "block", F.lit(None).cast("binary").alias("bits"), "places")
+    span = F.floor(F.col("number") / ITEM_RANGE)
+    asking = rows.select(F.col("token").alias("asked"), F.col("group").alias("part"), span.alias("span"), "number")
+    ranges = rows.select("token", span.alias("range")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    wanted = bits.unionByName(lists).withColumn("salt", F.pmod("block", F.lit(16)).cast("int")).join(ranges, ["token", "salt"])
+    joined = asking.groupBy("part", "span").cogroup(wanted.groupBy("group", "range")).applyInArrow(
+        _united_blocks, "number long, block long, bits binary, places binary")
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = joined.repartition(partitions, "number").sortWithinPartitions("number", "block")
+    found = ordered.mapInArrow(_neighbours, "number long, neighbours long").join(numbers, "number")
+    return found.where("neighbours > 0").select("item", "neighbours")
+
+
+def _united_blocks(asking: pa.Table, wanted: pa.Table) -> pa.Table:
+    """(number, block, bits, places) of each item of a range: the holders of all its tokens of the group."""
+    tokens, of = np.unique(np.array(wanted["token"].to_pylist(), object), return_inverse=True) if len(wanted) else (np.zeros(0, object), [])
+    blocks, bits, places = (wanted[c].to_pylist() for c in ("block", "bits", "places"))
+    by_token = {}
+    for row, token in enumerate(of):
+        by_token.setdefault(tokens[token], []).append(row)
+    arrays = [np.frombuffer(b, np.uint8) if b is not None else np.array(p, np.uint16) for b, p in zip(bits, places)]
+    united = {}
+    numbers = asking["number"].to_numpy()
+    order = np.argsort(numbers, kind="stable")
+    names = asking["asked"].to_pylist()
+    out = []
+    for at in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1) if len(order) else []:
+        united.clear()
+        for row in at:
+            for k in by_token.get(names[row], ()):
+                united.setdefault(blocks[k], []).append(k)
+        number = int(numbers[at[0]])
+        out += [(number, block, *_union([arrays[k] for k in some if bits[k] is not None], [arrays[k] for k in some if bits[k] is None]))
+                for block, some in united.items()]
+    columns = list(zip(*out)) or [[]] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["number", "block", "bits", "places"])
+
+
+def _union(maps, lists):
+    """(bitmap, None) or (None, sorted places) of the union, whichever is shorter."""
+    places = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint16)
+    if not maps and len(places) <= DENSE_BLOCK:
+        return None, places.tobytes()
+    whole = np.bitwise_or.reduce(maps) if maps else np.zeros(BLOCK_ITEMS // 8, np.uint8)
+    flags = np.zeros(BLOCK_ITEMS, np.uint8)
+    flags[places] = 1
+    return (whole | np.packbits(flags, bitorder="little")).tobytes(), None
+
+
+def _neighbours(batches):
+    """Numbers of an item's neighbours from its blocks, which come in order; the last one waits for the next batch."""
+    kept = None  # (number, neighbours of its closed blocks, open block, its maps and lists)
+    for batch in batches:
+        out = []
+        for number, block, bits, places in zip(*(batch[c].to_pylist() for c in ("number", "block", "bits", "places"))):
+            if kept is None or kept[0] != number or kept[2] != block:
+                total = _closed(kept) if kept else 0
+                if kept and kept[0] != number:
+                    out.append((kept[0], total - 1))
+                    total = 0
+                kept = [number, total, block, [], []]
+            kept[3 if bits is not None else 4].append(np.frombuffer(bits if bits is not None else places, np.uint8 if bits is not None else np.uint16))
+            if len(kept[3]) + len(kept[4]) > 64:  # united as they come
+                bits, places = _union(kept[3], kept[4])
+                kept[3:] = [[np.frombuffer(bits, np.uint8)], []] if bits is not None else [[], [np.frombuffer(places, np.uint16)]]
+        yield _numbers(out)
+    if kept:
+        yield _numbers([(kept[0], _closed(kept) - 1)])
+
+
+def _closed(kept):
+    bits, places = _union(kept[3], kept[4])
+    return kept[1] + (int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum()) if bits is not None else len(places) // 2)
+
+
+def _numbers(rows):
+    columns = list(zip(*rows)) or [[], []]
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["number", "neighbours"])
 
 
 def overlap_with(sets: DataFrame, sources: DataFrame) -> DataFrame:

@@ -142,11 +142,12 @@ def node_neighbours(t):
     return graph.neighbours(_edges(t), _hub(t).scalar())
 
 
-@query("ego_graph", sql("SELECT src, dst, relation FROM edge SEMI JOIN n2 ON edge.src = n2.id SEMI JOIN n2 m2 ON edge.dst = m2.id",
+@query("ego_graph", sql("""SELECT src, dst, relation FROM edge JOIN n2 x ON edge.src = x.id JOIN n2 y ON edge.dst = y.id""",
     "mention", "affect", "classified", edge=_EDGE, hub=_HUB,
     twoway="SELECT src, dst FROM edge UNION ALL SELECT dst, src FROM edge",
-    n1="SELECT cve_id AS id FROM hub UNION SELECT dst FROM twoway JOIN hub ON src = cve_id",
-    n2="SELECT id FROM n1 UNION SELECT dst FROM twoway JOIN n1 ON src = n1.id").replace(" AS (", " AS MATERIALIZED ("))
+    first="""SELECT dsa_id AS id FROM mention WHERE cve_id = (SELECT cve_id FROM hub)
+        UNION SELECT cwe_id FROM classified WHERE cve_id = (SELECT cve_id FROM hub) UNION SELECT cve_id FROM hub""",
+    n2="SELECT DISTINCT id FROM (SELECT id FROM first UNION ALL SELECT dst FROM twoway JOIN first ON src = id)").replace(" AS (", " AS MATERIALIZED ("))
 def ego_graph(t):
     table = _edges(t)
     return graph.induced_edges(table, graph.ego_nodes(table, _hub(t), 2))
@@ -332,3 +333,56 @@ def incremental_edges(t):
     part = lambda ids: graph.edges(t.mentions().join(ids, "dsa_id", "left_semi"),
                                    t.affects().join(ids, "dsa_id", "left_semi"), t.classified_as())
     return graph.extend(part(old), part(since))
+
+
+_ALL_PATHS = dict(
+    owns="SELECT cve_id, list(cwe_id ORDER BY cwe_id) AS ws FROM classified GROUP BY 1",
+    alike="""SELECT a.cve_id AS source, b.cve_id AS via, count(*) AS n, string_agg(cwe_id, ',' ORDER BY cwe_id) AS w
+        FROM classified a JOIN classified b USING (cwe_id) WHERE a.cve_id <> b.cve_id GROUP BY 1, 2""",
+    met="SELECT DISTINCT source, via, n, w FROM alike JOIN product_cve s ON s.cve_id = source JOIN product_cve v ON v.cve_id = via AND v.product = s.product",
+    beyond="""SELECT source, product, via, w, n FROM met JOIN product_cve p ON p.cve_id = via
+        ANTI JOIN product_cve d ON d.cve_id = source AND d.product = p.product""")
+
+
+@query("trace_all_impact", sql("""
+    SELECT p.cve_id AS source_cve, product AS target_product, 1 AS hops, 1.0::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS via_cve,
+           coalesce(array_to_string(ws, ','), '') AS shared_cwes FROM product_cve p LEFT JOIN owns ON owns.cve_id = p.cve_id
+    UNION ALL
+    SELECT source, product, 2, round(n / len(ws)::DOUBLE * 0.6, 6), via, w FROM (
+        SELECT *, row_number() OVER (PARTITION BY source, product ORDER BY n DESC, via) AS r FROM beyond) JOIN owns ON owns.cve_id = source WHERE r = 1""",
+    "classified", "product_cve", **_ALL_PATHS))
+def trace_all_impact(t):
+    """Best paths from every vulnerability to every product it reaches in one or two hops."""
+    return propagation.trace_all_impact(t.product_cve(), t.classified_as()).withColumn("confidence", F.round("confidence", 6))
+
+
+def _rank_rounds(rounds):
+    """The rounds of the power iteration, written out; of them the first that has settled."""
+    parts = {
+        "ends": """SELECT src, dst FROM edge UNION SELECT 'product::' || product, cwe_id FROM product_cwe UNION SELECT cwe_id, 'product::' || product FROM product_cwe""",
+        "node": "SELECT src AS id FROM ends UNION SELECT dst FROM ends",
+        "total": "SELECT count(*)::DOUBLE AS n FROM node",
+        "fan": "SELECT src AS id, count(*) AS k FROM ends GROUP BY 1",
+        "share": "SELECT src, dst, 1.0::DOUBLE / k AS share FROM ends JOIN fan ON src = id",
+        "x0": "SELECT id, k IS NULL AS sink, 1 / n AS rank, NULL::DOUBLE AS moved FROM node LEFT JOIN fan USING (id), total"}
+    for k in range(1, rounds + 1):
+        parts[f"x{k}"] = f"""SELECT id, sink, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(given, 0) AS rank,
+            abs(0.15 / n + 0.85 * lost / n + 0.85 * coalesce(given, 0) - x.rank) AS moved
+            FROM x{k - 1} x LEFT JOIN (SELECT dst AS id, sum(rank * share) AS given FROM share JOIN x{k - 1} ON src = id GROUP BY 1) USING (id), total,
+            (SELECT coalesce(sum(rank) FILTER (sink), 0) AS lost FROM x{k - 1})"""
+    parts["every"] = " UNION ALL ".join(f"SELECT {k} AS rounds, * FROM x{k}" for k in range(1, rounds + 1))
+    parts["settled"] = "SELECT min(rounds) AS r FROM (SELECT rounds FROM every, total GROUP BY rounds HAVING sum(moved) < any_value(n) * 1e-6)"
+    return parts
+
+
+@query("page_rank_cyclic", sql("""SELECT id, round(rank / (SELECT max(rank) FROM every, settled WHERE rounds = r) + 1e-9, 6) AS rank,
+    coalesce(d, 0) AS in_degree, rounds::INT AS rounds FROM every JOIN settled ON rounds = r
+    LEFT JOIN (SELECT dst AS id, count(*) AS d FROM ends GROUP BY 1) USING (id)""", "mention", "affect", "classified", "product_cwe",
+    edge=_EDGE, **_rank_rounds(32)).replace(" AS (", " AS MATERIALIZED ("))
+def page_rank_cyclic(t):
+    """Page rank by power iteration where products and weaknesses point at each other, as a share of the largest."""
+    ends = graph.weakness_links(t.product_cwe(), _edges(t))
+    ids = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id")))
+    found = graph.power_rank(ends, ids)
+    peak = found.agg(F.max("rank").alias("peak")).scalar()
+    return found.withColumn("rank", r6(F.col("rank") / peak))
