@@ -3,9 +3,12 @@
 A key is (line, model, firmware_type, version).  A written bound ("prior to 2.1") reaches
 every known version of the same line, model and type.  The expansion is a sweep over the
 ranked versions of a group: coverage is summed per rank first, so the running sums see
-one row per version, however many advisories a group has.
+one row per version, however many advisories a group has, and the versions of a group are swept in
+blocks.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -38,12 +41,43 @@ def firmware_keys(documents: DataFrame) -> DataFrame:
 
 
 def ranked_versions(keys: DataFrame) -> DataFrame:
-    """(key, rank, last_rank) of every known version; equal tuples share a rank."""
+    """(key, rank, block) of every known version; equal tuples share a rank.
+
+    Versions are dealt to blocks by ranges of (group, tuple), so a group of very many versions
+    spans several.  They are ranked inside a block, behind the ranks of the group's earlier blocks.
+    """
     known = keys.select(*KEY).distinct().withColumn("tuple", version_tuple(F.col("version")))
-    order = Window.partitionBy(*GROUP).orderBy("tuple")
-    ranked = known.withColumn("rank", F.dense_rank().over(order))
-    last = ranked.groupBy(*GROUP).agg(F.max("rank").alias("last_rank"))
-    return ranked.drop("tuple").join(last, GROUP)
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(known.repartitionByRange(parts, *GROUP, "tuple").withColumn("block", F.spark_partition_id()), "blocks")
+    inside = Window.partitionBy(*GROUP, "block").orderBy("tuple")
+    ranked = dealt.withColumn("rank", F.dense_rank().over(inside))
+    earlier = Window.partitionBy(*GROUP).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranked.groupBy(*GROUP, "block").agg(F.max("rank").alias("n")).select(
+        *GROUP, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return ranked.drop("tuple").join(offsets, [*GROUP, "block"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("int")).drop("before")
+
+
+def swept(places: DataFrame, sums=(), from_below=(), from_above=()) -> DataFrame:
+    """(group, rank, ...): running sums and maxima over the ranks of each group, in two levels.
+
+    ``places`` has a row for each (group, block, rank).  ``sums`` and the maxima ``from_below`` take the
+    ranks up to the row's own, ``from_above`` those from its own on.  What other blocks of the
+    group add comes from one row for each block, so no task reads a whole group.
+    """
+    inside = Window.partitionBy(*GROUP, "block").orderBy("rank")
+    to_here, from_here = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    own = places.select(
+        *GROUP, "block", "rank", *[F.sum(c).over(to_here).alias(c) for c in sums],
+        *[F.max(c).over(to_here).alias(c) for c in from_below], *[F.max(c).over(from_here).alias(c) for c in from_above])
+    between = Window.partitionBy(*GROUP).orderBy("block")
+    before, behind = between.rowsBetween(Window.unboundedPreceding, -1), between.rowsBetween(1, Window.unboundedFollowing)
+    totals = places.groupBy(*GROUP, "block").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in (*from_below, *from_above)]).select(
+        *GROUP, "block", *[F.sum(c).over(before).alias("o_" + c) for c in sums], *[F.max(c).over(before).alias("o_" + c) for c in from_below],
+        *[F.max(c).over(behind).alias("o_" + c) for c in from_above])
+    return own.join(totals, [*GROUP, "block"]).select(
+        *GROUP, "rank", *[(F.coalesce(c, F.lit(0)) + F.coalesce("o_" + c, F.lit(0))).alias(c) for c in sums],
+        *[F.greatest(c, "o_" + c).alias(c) for c in (*from_below, *from_above)])
 
 
 def _reach(rows: DataFrame, entity) -> DataFrame:
@@ -66,12 +100,6 @@ def _steps(reach: DataFrame, measures: dict) -> DataFrame:
     return rows.groupBy(*GROUP, "rank").agg(*[F.sum(F.col("sign") * m).alias(n) for n, m in measures.items()])
 
 
-def _swept(ranks: DataFrame, steps: DataFrame, names) -> DataFrame:
-    order = Window.partitionBy(*GROUP).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    table = ranks.select(*GROUP, "rank").distinct().join(steps, GROUP + ["rank"], "left")
-    return table.select(*GROUP, "rank", *[F.coalesce(F.sum(n).over(order), F.lit(0)).alias(n) for n in names])
-
-
 def _beyond(own: DataFrame, reach: DataFrame, entity) -> DataFrame:
     """Hits on the own version that the ranges of the same entity do not cover already."""
     joined = own.join(reach, GROUP + entity, "left")
@@ -93,38 +121,34 @@ def expand(keys: DataFrame, scores: DataFrame, known_exploited: DataFrame, menti
     per_advisory = ["dsa_id", "cvss", "published"]
     reach = stored(_reach(rows, per_advisory), "reach")
     scored = F.when(F.col("cvss") > 0, 1).otherwise(0)
-    steps = _steps(reach, {"n": F.lit(1), "sum_cvss": F.col("cvss"), "n_scored": scored})
-    covered = _swept(ranks, steps, ["n", "sum_cvss", "n_scored"])
     own = rows.select(*KEY, "rank", *per_advisory).distinct()
     extra = _beyond(own, reach.drop("cvss", "published"), ["dsa_id"]).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("x"), F.sum("cvss").alias("x_cvss"), F.sum(scored).alias("x_scored"))
-    # Last date: the newest range from above that reaches the rank, the newest from below.
-    lasts = rows.groupBy(*GROUP, "rank").agg(
-        F.max(F.when(F.col("qualifier") == "<=", F.col("published"))).alias("le"),
-        F.max(F.when(F.col("qualifier") == "<", F.col("published"))).alias("lt"),
-        F.max(F.when(F.col("qualifier") == ">=", F.col("published"))).alias("ge"))
-    by_rank = Window.partitionBy(*GROUP).orderBy("rank")
-    from_above = by_rank.rowsBetween(0, Window.unboundedFollowing)
-    strictly_above = by_rank.rowsBetween(1, Window.unboundedFollowing)
-    from_below = by_rank.rowsBetween(Window.unboundedPreceding, 0)
-    latest = lasts.select(*GROUP, "rank", F.greatest(
-        F.max("le").over(from_above), F.max("lt").over(strictly_above), F.max("ge").over(from_below)).alias("range_last"))
     # Known-exploited ids: the ranges of all advisories that mention an id are one range.
     exploited = stored(mentions.join(known_exploited, "cve_id", "left_semi").join(rows, "dsa_id").select(*KEY, "qualifier", "rank", "cve_id"), "exploited")
     kev_reach = _reach(exploited, ["cve_id"])
-    kev_swept = _swept(ranks, _steps(kev_reach, {"kev": F.lit(1)}), ["kev"])
     kev_extra = _beyond(exploited.select(*KEY, "rank", "cve_id").distinct(), kev_reach, ["cve_id"]).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("x_kev"))
+    # One table of steps and newest dates for each rank, swept once.  Last date: the newest range
+    # from above that reaches the rank (a strict bound reaches the rank before its own), the newest from below.
+    dated = lambda sign: F.when(F.col("qualifier") == sign, F.col("published"))
+    at = F.when(F.col("qualifier") == "<", F.col("rank") - 1).otherwise(F.col("rank")).alias("rank")
+    lasts = rows.where("qualifier <> ''").select(*GROUP, at, F.coalesce(dated("<="), dated("<")).alias("above"), dated(">=").alias("below"))
+    columns = ["n", "sum_cvss", "n_scored", "kev", "above", "below"]
+    parts = [_steps(reach, {"n": F.lit(1), "sum_cvss": F.col("cvss"), "n_scored": scored}), _steps(kev_reach, {"kev": F.lit(1)}), lasts,
+             ranks.select(*GROUP, "rank", "block").distinct()]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).groupBy(*GROUP, "rank").agg(
+        F.max("block").alias("block"), *[F.sum(c).alias(c) for c in columns[:4]], *[F.max(c).alias(c) for c in columns[4:]]).where("block is not null")
+    covered = swept(every, columns[:4], ["below"], ["above"])
     zero = F.lit(0)
-    total = direct.join(covered, GROUP + ["rank"]).join(latest, GROUP + ["rank"], "left").join(
-        kev_swept, GROUP + ["rank"]).join(extra, KEY, "left").join(kev_extra, KEY, "left")
+    total = direct.join(covered, GROUP + ["rank"]).join(extra, KEY, "left").join(kev_extra, KEY, "left")
     n_scored = F.col("n_scored") + F.coalesce("x_scored", zero)
     sum_cvss = F.col("sum_cvss") + F.coalesce("x_cvss", F.lit(0.0))
     return total.select(
         *KEY, F.coalesce("qualifier", F.lit("")).alias("qualifier"), "direct_count",
         (F.col("n") + F.coalesce("x", zero)).alias("expanded_count"),
         F.when(n_scored > 0, sum_cvss / F.nullif(n_scored, zero)).otherwise(0.0).alias("avg_cvss"),
-        F.greatest("own_last", "range_last").alias("last_published"),
+        F.greatest("own_last", "below", "above").alias("last_published"),
         (F.col("kev") + F.coalesce("x_kev", zero)).alias("kev_count"))
 
 

@@ -112,6 +112,25 @@ def neighbours(edge_table: DataFrame, node: str, relation=None, direction="both"
     return result.distinct()
 
 
+def products_from_snapshot(edges_by_src: DataFrame) -> DataFrame:
+    """Distinct (product, cve_id) from edges bucketed by ``src``: both edges of a path start at the advisory, so the buckets are joined as they lie."""
+    mentions = edges_by_src.where("relation = 'mentions'").select("src", F.col("dst").alias("cve_id"))
+    affects = edges_by_src.where("relation = 'affects'").select("src", F.expr("substring(dst, 10)").alias("product"))
+    return mentions.hint("merge").join(affects, "src").select("product", "cve_id").distinct()
+
+
+def neighbour_numbers(edges_by_src: DataFrame, edges_by_dst: DataFrame) -> DataFrame:
+    """(id, n_neighbours) of every node, from edges bucketed by ``src`` and by ``dst``; a neighbour in both directions counts once."""
+    # distinct by the bucketed end keeps its partitioning, so each side counts where it lies
+    out = edges_by_src.select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct()
+    into = edges_by_dst.select(F.col("dst").alias("id"), F.col("src").alias("other")).distinct()
+    both = out.hint("merge").join(into, ["id", "other"]).groupBy("id").agg(F.count(F.lit(1)).alias("n_both"))
+    counted = out.groupBy("id").agg(F.count(F.lit(1)).alias("n_out")).hint("merge").join(
+        into.groupBy("id").agg(F.count(F.lit(1)).alias("n_in")), "id", "full_outer").hint("merge").join(both, "id", "left")
+    zero = F.lit(0)
+    return counted.select("id", (F.coalesce("n_out", zero) + F.coalesce("n_in", zero) - F.coalesce("n_both", zero)).alias("n_neighbours"))
+
+
 def ego_nodes(edge_table: DataFrame, centre: DataFrame, radius: int) -> DataFrame:
     """Nodes within ``radius`` undirected steps of the centre ids (column ``id``)."""
     both_ways = edge_table.select("src", "dst").unionByName(

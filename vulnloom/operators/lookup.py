@@ -31,8 +31,13 @@ def filter_by_days(table, as_of, days, date="published_date") -> DataFrame:
     return table.where((F.col(date) != "") & (read.isNull() | (read >= minus_days(as_of, days))))
 
 
+def text_words(text):
+    """The lower-cased words of a text, runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def _tokens(text):
-    return F.array_join(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
+    return F.array_join(text_words(text), " ")
 
 
 def has_phrase(column, phrase: str):

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["core", "texts", "lookups", "sharing", "forecasts", "firmware", "reports", "learning", "files"]
+_MODULES = ["core", "texts", "lookups", "sharing", "forecasts", "firmware", "reports", "learning", "files", "indexes", "streams"]
 
 
 def load_all():

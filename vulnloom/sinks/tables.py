@@ -1,5 +1,7 @@
 """Stored tables: graph snapshots, append-only records, score history."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vulnloom.operators.graph import SNAPSHOT_VERSION
@@ -22,6 +24,19 @@ def load_snapshot(spark: SparkSession, path: str):
     return tuple(df.drop("snapshot_version") for df in tables)
 
 
+def save_bucketed(edges: DataFrame, path: str, by="src", buckets=None) -> DataFrame:
+    """Edges bucketed and sorted by one end, written under ``path`` and read as a table.
+
+    Joins and groupings by that end then read the buckets where they lie, without a shuffle.
+    The table's name is its own; the session's catalogue forgets it with the session.
+    """
+    spark = edges.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"edges_{by}_{uuid.uuid4().hex}"
+    edges.write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", f"{path}/{by}").saveAsTable(name)
+    return spark.table(name)
+
+
 def append_solution(df: DataFrame, path: str):
     columns = ["cve_id", "advisory_id", "solution", "model", "language", "created_at"]
     df.select(*columns).write.mode("append").parquet(path)
