@@ -92,4 +92,4 @@ def test_links_are_the_overlaps():
         ends = [np.array(sorted({*rng.sample(range(1, n + 1), rng.randrange(n + 1)), n})) for _ in range(2)]
         spans = [list(zip([0, *e[:-1]], e)) for e in ends]
         expected = [(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if x[0] < y[1] and y[0] < x[1]]
-        assert sorted(zip(*(x.tolist() for x in alignment.links(*ends)))) == expected
+        assert sorted(zip(*(x.tolist() for x in alignment.aligned(*ends)[:2]))) == expected

@@ -102,24 +102,31 @@ def _vocabularies(byte_level, pieces, ranks):
 _NONE = np.zeros(0, np.int64)
 
 
-def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token of A, token of B) of every link, from the rising ends of the tokens of both over the same bytes."""
-    ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+def aligned(ends_a: np.ndarray, ends_b: np.ndarray):
+    """(link_a, link_b, group_a, group_b, n_groups) from the rising ends of the tokens of both over the same bytes.
 
-
-def groups(ends_a, ends_b, ids_a, ids_b, names) -> tuple[int, bytes]:
-    """(number of groups, ``a1,a2|b1;a3|b2,b3``): the ids between the places where tokens of both end."""
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-    of_a, of_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+    Every place where a token ends closes a link of the tokens that lie over it, and every place
+    where tokens of both end closes a group; tokens are numbered by the ends before theirs.
+    """
+    marks = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+    marks[ends_a] = 1
+    marks[ends_b] += 2
+    marks = marks[np.flatnonzero(marks)]
+    in_a, in_b, both = marks & 1, marks >> 1, marks == 3
+    before = [np.cumsum(x, dtype=np.int64) - x for x in (in_a, in_b, both)]
+    return before[0], before[1], before[2][in_a == 1], before[2][in_b == 1], int(both.sum())
+
+
+def written_groups(ids_a, ids_b, group_a, group_b, n_groups, names) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+    of_a, of_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
     mark_a, mark_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
     mark_a[np.cumsum(of_a) - 1] = 1
     mark_b[np.cumsum(of_b) - 1] = 2
     out = np.empty(len(ids_a) + len(ids_b), object)
     out[np.arange(len(ids_a)) + (np.cumsum(of_b) - of_b)[group_a]] = names[0][mark_a * (len(names[0]) // 3) + ids_a]
     out[np.arange(len(ids_b)) + np.cumsum(of_a)[group_b]] = names[1][mark_b * (len(names[1]) // 3) + ids_b]
-    return len(cuts), b"".join(out.tolist())[:-1]
+    return b"".join(out.tolist())[:-1]
 
 
 _TEXT_ROW = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at array<int>, times array<int>"
@@ -140,13 +147,13 @@ def align_block(texts: list[str], copies: list[int], byte_level: str, pieces: st
     rows, codes = [], []
     for k, (ids_a, ids_b) in enumerate(zip(a.encode(spaced), b.encode(texts))):
         data = spaced[k].encode("utf-8", "replace")
-        if b"".join([a.bytes[i] for i in ids_a.tolist()]) != data or b"".join([b.bytes[i] for i in ids_b.tolist()]) != data:
+        if b"".join(map(a.bytes.__getitem__, ids_a.tolist())) != data or b"".join(map(b.bytes.__getitem__, ids_b.tolist())) != data:
             rows.append([k, 0, 0, 0, 0, "", None, _NONE])
             codes.append(_NONE)
             continue
         ends_a, ends_b = np.cumsum(sizes[0][ids_a]), np.cumsum(sizes[1][ids_b])
-        link_a, link_b = links(ends_a, ends_b)
-        n_groups, text = groups(ends_a, ends_b, ids_a, ids_b, names)
+        link_a, link_b, group_a, group_b, n_groups = aligned(ends_a, ends_b)
+        text = written_groups(ids_a, ids_b, group_a, group_b, n_groups, names)
         pair, times = np.unique(ids_a[link_a] << 32 | ids_b[link_b], return_counts=True)
         rows.append([k, len(ids_a), len(ids_b), n_groups, len(link_a), hashlib.sha256(text).hexdigest(), None, times])
         codes.append(pair)
