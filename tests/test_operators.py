@@ -44,6 +44,28 @@ def test_firmware_sweep_equals_brute_force(spark, seed):
         assert g["kev_count"] == len({c for d, c in mention if d in hits and c in kev})
 
 
+@pytest.mark.parametrize("hot", [400])
+def test_a_group_of_many_versions_is_swept_in_blocks(spark, hot):
+    """A third and more of all versions have no model: their ranks and sums span several blocks."""
+    versions_of = [("", f"{a}.{b}") for a in range(20) for b in range(hot // 20)] + [(f"R{i}", f"{i}.0") for i in range(200)]
+    rng = random.Random(6)
+    rows = sorted({(f"D{rng.randrange(60):02d}", "L", m, "BIOS", v, rng.choice(["", "<", "<=", ">="])) for m, v in versions_of for _ in range(2)})
+    keys = spark.createDataFrame(rows, "dsa_id string, line string, model string, firmware_type string, version string, qualifier string").withColumn(
+        "published", F.expr("timestamp_ntz'2001-01-01 00:00:00' + make_interval(0, 0, 0, cast(substr(dsa_id, 2) as int))"))
+    ranked = firmware.ranked_versions(keys).where("model = ''").collect()
+    assert len({r["block"] for r in ranked}) > 1
+    tup = lambda v: tuple(map(int, v.split(".")))
+    order = {v: i + 1 for i, v in enumerate(sorted({tup(r["version"]) for r in ranked}))}
+    assert all(r["rank"] == order[tup(r["version"])] for r in ranked)
+    score = spark.createDataFrame([(f"D{i:02d}", float(i % 10)) for i in range(60)], "dsa_id string, cvss double")
+    none = spark.createDataFrame([], "cve_id string"), spark.createDataFrame([], "dsa_id string, cve_id string")
+    got = {(r["model"], r["version"]): (r["expanded_count"], r["last_published"].timetuple().tm_yday - 1) for r in firmware.expand(keys, score, *none).collect()}
+    reaches = {"": lambda a, b: False, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+    for m, v in list(got)[::7]:
+        hits = {d for d, _, n, _, w, q in rows if n == m and (w == v or reaches[q](tup(v), tup(w)))}
+        assert got[m, v] == (len(hits), max(int(d[1:]) for d in hits))
+
+
 def test_metrics_equal_pair_counting(spark):
     rng = random.Random(3)
     rows = [("c", f"l{i:02d}", round(rng.random(), 1), int(rng.random() < 0.4)) for i in range(40)]
@@ -145,6 +167,17 @@ def _feed(folder, number, names, rows):
     (folder / f"{number}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in rows))
 
 
+@pytest.mark.parametrize("size", [7, 40])
+def test_pages_of_one_crowded_day(spark, size):
+    """Most rows fall on one day, some have no date: the pages are the whole order, cut."""
+    rows = [(f"D{i:03d}", "2001-05-05" if i % 5 else ["2001-05-04", "2001-05-06", None][i // 5 % 3]) for i in range(150)]
+    table = spark.createDataFrame(rows, "dsa_id string, d string").withColumn("published", F.to_timestamp_ntz("d"))
+    want = [k for k, d in sorted(rows, key=lambda r: (r[1] is None, [-ord(c) for c in r[1] or ""], r[0]))]
+    for number in (1, 2, -(-150 // size)):
+        got = sorted(lookup.page(table, number, size, key="dsa_id").collect(), key=lambda r: r["place"])
+        assert [r["dsa_id"] for r in got] == want[(number - 1) * size:number * size] and {r["page"] for r in got} == {number}
+
+
 def test_merge_stream(spark, tmp_path):
     source, columns = tmp_path / "in", "dsa_id string, title string, state string"
     source.mkdir()

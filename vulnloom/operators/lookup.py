@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from vulnloom.functions.dates import minus_days, parse_date
+from vulnloom.session import stored
 
 
 def by_id(table: DataFrame, key: str, value: str) -> DataFrame:
@@ -94,7 +95,8 @@ def advisories_by_cve(table, cve_id: str, ids="cve_ids") -> DataFrame:
 def page(table: DataFrame, number: int, size: int, date="published", key="cve_id") -> DataFrame:
     """One page, newest first, with the total and the page number clamped to existing pages.
 
-    Days are placed by running counts, so only the days that touch the page are sorted.
+    Days are placed by running counts, so only the rows of days that touch the page are dealt to
+    ranges of (date, key), and of these only the ranges that touch the page are sorted.
     """
     days = table.groupBy(F.to_date(date).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     total = days.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
@@ -104,10 +106,17 @@ def page(table: DataFrame, number: int, size: int, date="published", key="cve_id
     newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
     touched = days.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(
         (F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
-    inside = Window.partitionBy("_day").orderBy(F.desc(date), key)
-    place = F.col("_before") + F.row_number().over(inside)
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a row without a date has no day and comes last
+    near = touched.select(F.col("_day").alias("_touched"), "_before")
+    rows = table.join(near, F.to_date(date).eqNullSafe(F.col("_touched"))).drop("_touched")
+    dealt = stored(rows.repartitionByRange(parts, F.desc(date), key).withColumn("_range", F.spark_partition_id()), "page")
+    first = dealt.agg(F.min("_before").alias("n")).scalar()
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + first).where(
+        (F.col("_ahead") < start + size) & (F.col("_ahead") + F.col("_n") > start))
+    place = F.col("_ahead") + F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(date), key))
     return (
-        table.withColumn("_day", F.to_date(date)).join(touched, "_day").withColumn("place", place)
-        .where((F.col("place") > start) & (F.col("place") <= start + size)).drop("_day", "_n", "_before")
+        dealt.join(ranges, "_range").withColumn("place", place)
+        .where((F.col("place") > start) & (F.col("place") <= start + size)).drop("_n", "_before", "_range", "_ahead")
         .select("*", F.lit(total).alias("total"), F.lit(number).alias("page"), F.lit(pages).alias("total_pages")))
-

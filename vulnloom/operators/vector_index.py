@@ -19,7 +19,7 @@ PARTS = 8
 
 
 def _matrix(vectors) -> np.ndarray:
-    return np.array(list(vectors), np.float64).reshape(len(vectors), -1)
+    return np.array(list(vectors), np.float64) if len(vectors) else np.zeros((0, 1))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -83,8 +83,7 @@ def search_exact(vectors: DataFrame, queries: DataFrame, k=10, cosine=False, key
 def fit_centres(vectors: DataFrame, centres: int, seed=7, rounds=8, key="vec_id", cosine=False) -> np.ndarray:
     """Centres of the lists, fitted on at most SAMPLE_ROWS vectors, those with the smallest hash of their key."""
     sample = vectors.where("embedding is not null").orderBy(F.xxhash64(key), key).limit(SAMPLE_ROWS).select("embedding").toPandas()
-    rows = _matrix(sample["embedding"]) if len(sample) else np.zeros((0, 1))
-    rows = _unit(rows) if cosine else rows
+    rows = _unit(_matrix(sample["embedding"])) if cosine else _matrix(sample["embedding"])
     chosen = rows[np.random.default_rng(seed).permutation(len(rows))[:centres]]
     for _ in range(rounds if len(chosen) else 0):
         nearest = _nearest(rows, chosen, 1)[:, 0]

@@ -151,3 +151,29 @@ def recommendation_status(t):
     changes = hit.select("rec_id", F.lit("seen").alias("status"), F.lit(1).alias("changed_at")).unionByName(
         hit.select("rec_id", F.when(F.col("rec_id") % 2 == 0, "done").otherwise("open").alias("status"), F.lit(2).alias("changed_at")))
     return tables.set_status(rows, changes)
+
+
+@query("session_files", """SELECT conv_id AS session_id, count(*) AS n_turns,
+    md5(string_agg(role || ':' || text, '|' ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY 1""")
+def session_files(t):
+    """Sessions appended in two batches and read back."""
+    path, turns = _folder(t), t.table("conversations")
+    for part in ("conv_id % 2 = 0", "conv_id % 2 <> 0"):
+        tables.append_sessions(tables.sessions_from_turns(turns.where(part)), path)
+    said = F.from_json("conversation", "array<struct<role:string,text:string>>")
+    joined = F.array_join(F.transform(said, lambda x: F.concat_ws(":", x["role"], x["text"])), "|")
+    return t.spark.read.schema("session_id long, n_turns int, conversation string").parquet(path).select("session_id", "n_turns", F.md5(joined).alias("digest"))
+
+
+@query("solution_files", sql("""SELECT cve_id, count(*) AS n, min(advisory_id) AS first_advisory, max(solution) AS last_solution FROM (
+    SELECT cve_id, m.dsa_id AS advisory_id, 'Update ' || title AS solution FROM mention m JOIN advisory a ON a.dsa_id = m.dsa_id) GROUP BY cve_id""", "mention", "advisory"))
+def solution_files(t):
+    """Solutions of all mentioned vulnerabilities, appended one severity after the other and read back."""
+    path = _folder(t)
+    rows = t.mentions().join(t.advisories().select("dsa_id", "title", "severity", "published"), "dsa_id").select(
+        "cve_id", F.col("dsa_id").alias("advisory_id"), F.concat(F.lit("Update "), "title").alias("solution"), F.lit("rule").alias("model"), F.lit("en").alias("language"),
+        F.col("published").alias("created_at"), "severity")
+    for part in ("severity in ('CRITICAL', 'HIGH')", "severity not in ('CRITICAL', 'HIGH')"):
+        tables.append_solution(rows.where(part), path)
+    written = t.spark.read.schema("cve_id string, advisory_id string, solution string").parquet(path)
+    return written.groupBy("cve_id").agg(F.count(F.lit(1)).alias("n"), F.min("advisory_id").alias("first_advisory"), F.max("solution").alias("last_solution"))

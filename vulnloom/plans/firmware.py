@@ -208,10 +208,33 @@ def firmware_unversioned_view(t):
     UNION SELECT 'OpenManage / iDRAC (管理)', 'R' || (700 + o_custkey % 30), 'iDRAC', 'unversioned' FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1""")
 def firmware_without_versions(t):
     """Advisories that name a server and a firmware type; a third of them a version too."""
+    return firmware.view(firmware.firmware_keys(_server_documents(t)).select(*firmware.KEY).distinct(), "unversioned")
+
+
+def _server_documents(t):
     o = t.table("orders").select("*", F.expr("concat('Dell PowerEdge R', 700 + o_custkey % 30, if(o_orderkey % 2 = 0, ' BIOS', ' iDRAC'))").alias("name"))
     entry = F.struct(F.col("name"), F.lit("").alias("model"), F.expr("if(o_orderkey % 3 = 0, 'prior to 2.1.0', '')").alias("version_range"))
     docs = o.select(F.concat(F.lit("DSA-2000-"), "o_orderkey").alias("dsa_id"), F.col("o_orderdate").alias("published"), F.lit("Update").alias("title"), F.array(entry).alias("affected_products"))
-    return firmware.view(firmware.firmware_keys(docs).select(*firmware.KEY).distinct(), "unversioned")
+    return docs
+
+
+_SERVER_HITS = dict(
+    docs="SELECT o_orderkey, o_orderdate AS published, 'R' || (700 + o_custkey % 30) AS model, CASE WHEN o_orderkey % 2 = 0 THEN 'BIOS' ELSE 'iDRAC' END AS firmware_type, (o_orderkey % 11)::DOUBLE AS cvss FROM orders",
+    keyed="SELECT 'PowerEdge (服务器)' AS line, * FROM docs UNION ALL SELECT 'OpenManage / iDRAC (管理)', * FROM docs WHERE firmware_type = 'iDRAC'",
+    sums="""SELECT line, model, firmware_type, count(*) AS n, count_if(o_orderkey % 3 <> 0) AS own, max(published) AS last,
+        coalesce(avg(cvss) FILTER (cvss > 0), 0) AS avg_cvss FROM keyed GROUP BY ALL""",
+    aged=f"SELECT *, greatest(0, floor(date_diff('day', last, {NOW}) / 30.0)) AS months, (SELECT max(n) FROM sums) AS peak FROM sums")
+
+
+@query("firmware_scores_unversioned", sql("""SELECT line, model, firmware_type, n AS expanded_count,
+    round(n / peak * 50.0 + least(25, avg_cvss / 10 * 20) + greatest(0, 1 - months / 24.0::DOUBLE) * 25 + 1e-9, 2) AS exposure_score FROM aged WHERE own > 0""", **_SERVER_HITS))
+def firmware_scores_unversioned(t):
+    """Exposure of the keys without a version, which a written bound of the same model and type reaches too."""
+    keys = firmware.firmware_keys(_server_documents(t))
+    scores = t.table("orders").select(F.concat(F.lit("DSA-2000-"), "o_orderkey").alias("dsa_id"), F.expr("cast(o_orderkey % 11 as double)").alias("cvss"))
+    none = t.mentions().limit(0)
+    found = firmware.assess(firmware.expand(keys, scores, none.select("cve_id"), none.select("dsa_id", "cve_id")), t.as_of)
+    return firmware.view(found, "unversioned").select("line", "model", "firmware_type", "expanded_count", "exposure_score")
 
 
 @query("firmware_coverage", sql("""SELECT (SELECT count(*) FROM advisory_text) AS n_advisories, count(*) AS n_keys, count_if(model <> '') AS n_with_model,

@@ -9,6 +9,7 @@ from vulnloom.operators import forecast
 from vulnloom.plans.binding import AS_OF, BACKTEST_CUTOFFS
 from vulnloom.plans.logical_sql import LINES, NOW, case_map, days_between, r6 as q6, sql, steps, text
 from vulnloom.plans.registry import query, r6
+from vulnloom.session import stored
 
 DAYS = 90
 
@@ -165,6 +166,20 @@ def grid_search(t):
     return g.select("alpha", "beta", "low", "high", *[F.round(F.col(f"avg_{m}") + F.lit(1e-9), 4).alias(f"avg_{m}") for m in _GRID_METRICS])
 
 
+_BEST = f"""SELECT alpha, beta, low, high, {', '.join(f"round(avg({m}) + 1e-9, 4) AS avg_{m}" for m in _GRID_METRICS)}
+    FROM ({_metrics_sql('gp', 'alpha, beta, low, high, cutoff', str)}) GROUP BY 1, 2, 3, 4"""
+
+
+@query("best_weights", sql("""SELECT * FROM (SELECT 'brier' AS objective, * FROM best ORDER BY avg_brier_score, alpha, beta, low, high LIMIT 5)
+    UNION ALL SELECT * FROM (SELECT 'auc', * FROM best ORDER BY avg_auc_roc DESC, alpha, beta, low, high LIMIT 5)""", *_CUSTOMER_TABLES, **_GRID, best=_BEST))
+def best_weights(t):
+    """The five best points of the grid by either objective, measures taken to four decimals."""
+    g = forecast.grid_search(customer_features(t), DAYS)
+    shown = stored(g.select("alpha", "beta", "low", "high", *[F.round(F.col(f"avg_{m}") + F.lit(1e-9), 4).alias(f"avg_{m}") for m in _GRID_METRICS]), "grid")
+    parts = [forecast.best_weights(shown, objective).withColumn("objective", F.lit(objective)) for objective in ("brier", "auc")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("training_features", sql(f"""SELECT strftime(cutoff, '%Y-%m-%d') AS cutoff, line, n_12m::DOUBLE AS dsa_count_12m, n_3m::DOUBLE AS dsa_count_3m,
     n_1m::DOUBLE AS dsa_count_1m, {q6(f"coalesce({days_between('last_published', 'cutoff')} / 30.0::DOUBLE, 12.0)")} AS months_since_last,
     {q6('avg_cvss')} AS avg_cvss_recent, open_cves::DOUBLE AS open_cve_count, max_cvss AS max_cvss_recent,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vulnloom import fixed_values as V
 from vulnloom.operators import firmware, forecast, graph, report, rules, scoring, series, trend
-from vulnloom.plans.core import _FACTOR_CTES, _RANK_TABLES, factors
+from vulnloom.plans.core import _ALL_PATHS, _FACTOR_CTES, _RANK_TABLES, factors
 from vulnloom.plans.firmware import _HITS, _HIT_TABLES, _KEYS, _VF, firmware_scores, version_forecasts
 from vulnloom.plans.forecasts import _PRODUCT, _PRODUCT_TABLES, product_features
 from vulnloom.plans.logical_sql import NOW, days_between, r6 as q6, sql, steps, text, texts
@@ -196,6 +196,33 @@ def line_report_markdown(t):
     return report.line_sections(_line_forecasts(t), firmware_scores(t), 90)
 
 
+@query("line_report_pieces", sql(f"""SELECT line, 0 AS part, 0.0::DOUBLE AS place, '' AS shown, '## ' || line || chr(10) || chr(10) || '<a id="' || {_ANCHOR} || '"></a>' || chr(10)
+    || coalesce(chr(10) || f, '') || coalesce(chr(10) || h, '') AS value FROM (SELECT line FROM fc UNION SELECT line FROM sc) LEFT JOIN fsec USING (line)
+    LEFT JOIN (SELECT line, '### 微码风险 Top ' || count(*) || chr(10) || chr(10) || {_J(V.FIRMWARE_TABLE_HEAD)} AS h FROM sc GROUP BY 1) USING (line)
+    UNION ALL SELECT line, 1, -exposure_score, concat_ws(' | ', model, firmware_type, version), printf('| %s | %s | %s | %.1f | %s | %d | %d | %.1f | %d |', model, firmware_type,
+        version, exposure_score + 1e-9, {steps('exposure_score', V.EXPOSURE_BANDS, 'MINIMAL')}, kevn, expanded_count, avg_cvss + 1e-9, months) FROM sc""", *_SECTION_TABLES, **_SECTIONS))
+def line_report_pieces(t):
+    """The line report as section heads and single firmware rows."""
+    return report.line_pieces(_line_forecasts(t), firmware_scores(t), 90)
+
+
+@query("product_impact_rows", sql("""SELECT product, source AS source_cve, target_product, hops, round(confidence, 6) AS confidence, shared_cwes,
+    printf('| %s | %s | %d | %.0f%% | %s |', source, target_product, hops, confidence * 100, replace(shared_cwes, ',', ', ')) AS value FROM sources JOIN paths USING (source)""",
+    "vulnerability", "classified", "product_cve",
+    top="SELECT product FROM product_cve GROUP BY 1 ORDER BY count(*) DESC, product LIMIT 3",
+    sources="""SELECT product, cve_id AS source FROM product_cve JOIN top USING (product) WHERE cve_id IN (SELECT cve_id FROM vulnerability WHERE severity IN ('CRITICAL', 'HIGH'))""",
+    **_ALL_PATHS,
+    paths="""SELECT p.cve_id AS source, product AS target_product, 1 AS hops, 1.0::DOUBLE AS confidence, coalesce(array_to_string(ws, ','), '') AS shared_cwes
+        FROM product_cve p LEFT JOIN owns ON owns.cve_id = p.cve_id WHERE p.cve_id IN (SELECT source FROM sources)
+        UNION ALL SELECT source, product, 2, n / len(ws)::DOUBLE * 0.6, w FROM (
+            SELECT *, row_number() OVER (PARTITION BY source, product ORDER BY n DESC, via) AS r FROM beyond WHERE source IN (SELECT source FROM sources))
+        JOIN owns ON owns.cve_id = source WHERE r = 1"""))
+def product_impact_rows(t):
+    """All impact paths of the three products with the most vulnerabilities, as the rows of their reports."""
+    chosen = t.product_cve().groupBy("product").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "product").limit(3)
+    return report.impact_rows(chosen, t.product_cve(), t.vulnerabilities(), t.classified_as()).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("line_report_document", sql(f"""SELECT 0 AS block, '' AS place, {text(V.REPORT_TITLE)} || chr(10) || chr(10) || '- n_lines: ' || (SELECT count(*) FROM fc) || chr(10)
     || '- n_high_lines: ' || (SELECT count_if(p >= 0.5) FROM fc) || chr(10) || '- n_keys: ' || (SELECT count(*) FROM sc) || chr(10) || '- n_extreme: ' || (SELECT count_if(exposure_score >= 75) FROM sc)
     || chr(10) || '- kev_total: ' || (SELECT coalesce(sum(kevn), 0)::BIGINT FROM sc) || chr(10) AS value

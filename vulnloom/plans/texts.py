@@ -422,7 +422,8 @@ def score_map(t):
 @query("recent_vendor_cves", sql(f"""SELECT cve_id, description, strftime(published, '%Y-%m-%d') AS published, coalesce(score, 0) AS cvss
     FROM vulnerability WHERE published >= {NOW} - INTERVAL 90 DAY AND published <= {NOW}""", "vulnerability"))
 def recent_vendor_cves(t):
-    rows = stored.recent_cves(t.raw_vulnerabilities(), t.as_of, 90)
+    table = t.stored("dated_vulnerabilities", lambda: stored.dated(t.raw_vulnerabilities()))
+    rows = stored.recent_cves(table, t.as_of, 90)
     return rows.select("cve_id", "description", F.date_format("published", "yyyy-MM-dd").alias("published"), "cvss")
 
 

@@ -57,21 +57,22 @@ def score_map(table: DataFrame) -> DataFrame:
     return table.select("cve_id", score.alias("score")).where("score is not null")
 
 
+def dated(table: DataFrame) -> DataFrame:
+    """Stored records with ``published``, their written date as a timestamp.
+
+    Kept as a table of its own, sorted by nothing but read by date: bounds on ``published`` are pushed to
+    its scan, which the many written forms of a date would not allow.
+    """
+    return table.withColumn("published", parse_date(F.col("published_date")))
+
+
 def recent_cves(table: DataFrame, as_of, days=90) -> DataFrame:
-    """Vendor-related records of the last ``days`` days.
+    """Vendor-related records of the last ``days`` days, from a table that ``dated`` has made.
 
-    Date and keyword tests come before the document is parsed.
+    The date bounds reach the scan, and the keywords are tested before the document is parsed.
     """
-    published = parse_date(F.col("published_date"))
     words = "|".join(k.replace("|", r"\|") for k in V.FEED_KEYWORDS)
-    # ISO texts sort like dates: a day wider than the window, this bound reaches the scan
-    iso = F.col("published_date").rlike(r"^\d{4}-\d{2}-\d{2}")
-    outside = (F.col("published_date") < F.date_format(minus_days(as_of, days + 1), "yyyy-MM-dd")) | (
-        F.col("published_date") > F.date_format(minus_days(as_of, -2), "yyyy-MM-dd"))
-    hits = (
-        table.where(~(iso & outside)).withColumn("published", published)
-        .where((F.col("published") >= minus_days(as_of, days)) & (F.col("published") <= as_of))
-        .where(F.lower("data").rlike(words)))
+    hits = table.where((F.col("published") >= minus_days(as_of, days)) & (F.col("published") <= as_of)).where(F.lower("data").rlike(words))
     parsed = parse_cves(hits.withColumn("published_date", F.col("published")))
     return parsed.select("cve_id", "description", F.col("published_date").alias("published"), "cvss")
 
