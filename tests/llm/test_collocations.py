@@ -62,10 +62,12 @@ def test_phrases_equal_brute_force(spark, monkeypatch, flush, chunk):
         assert got == plain(rows, least, share, top) and got
 
 
-def test_words_before_a_cut_are_counted_once(monkeypatch):
+@pytest.mark.parametrize("chunk", [2, 3, 20])
+def test_words_before_a_cut_are_counted_once(monkeypatch, chunk):
     """Flushes inside one long text: each window comes whole, from one of them."""
     monkeypatch.setattr(C, "FLUSH_WORDS", 50)
-    monkeypatch.setattr(C, "CHUNK", 20)
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    monkeypatch.setattr(C, "BATCH_ROWS", 7)
     import pyarrow as pa
     rng = random.Random(1)
     words = [rng.choice("abcde") for _ in range(3000)]

@@ -22,9 +22,13 @@ from vulnloom.session import stored
 #: Words of the longest phrase.
 LONGEST = 4
 #: Words that a task counts at once; three word numbers fit one integer.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
+#: Windows of a batch that a task gives.
+BATCH_ROWS = 1 << 15
+#: Texts that leave a batch at once.
+BATCH_TEXTS = 64
 #: Bytes of text that are taken apart at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Documents, expected, and windows of each that the ranges are taken from; they only balance the tasks.
 RANGE_DOCUMENTS, RANGE_WINDOWS = 2000, 100
 #: Bytes of a key that choose its range.
@@ -74,63 +78,74 @@ class _Counter:
         self.parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
         self.size += len(words)
 
-    def flush(self, inside=False) -> pa.RecordBatch:
-        """(key, n) of each different window.
+    def flush(self, inside=False):
+        """(key, n) of each different window, in batches of BATCH_ROWS.
 
         Inside a text the last words' windows are not whole yet: these words are kept.
         """
-        held = self.parts[-1][-(LONGEST - 1):] if inside else []
-        ids = np.concatenate([*self.parts, np.zeros(0 if inside else LONGEST - 1, np.int32)]).astype(np.int64)
+        ids = np.concatenate([*self.parts, np.zeros(0 if inside else LONGEST - 1, np.int32)])
         names, base = pa.array(list(self.numbers), pa.binary()), len(self.numbers)
         n = len(ids) - LONGEST + 1
-        at = [ids[k:n + k] for k in range(LONGEST)]
+        kept = np.flatnonzero(ids[:n])
+        front, following = ids[kept].astype(np.int64), ids[kept]
         for k in range(1, LONGEST):
-            at[k] = np.where(at[k - 1] > 0, at[k], 0)
-        kept = at[0] > 0
-        first, of = np.unique(((at[0] * base + at[1]) * base + at[2])[kept], return_inverse=True)
-        pairs, counts = np.unique(of * base + at[3][kept], return_counts=True)
-        of, last = pairs // base, pairs % base
-        front = first[of]
-        columns = [front // base // base, front // base % base, front % base, last]
-        words = [names.take(pa.array(c, pa.int64(), mask=c == 0)) for c in columns]
-        keys = pc.binary_join_element_wise(pa.scalar(self.lang), *words, pa.scalar(b"\0"), null_handling="skip")
-        held = [names[int(x)].as_py() for x in held]
+            following = np.where(following > 0, ids[kept + k], np.int32(0))
+            if k < LONGEST - 1:
+                front *= base
+                front += following
+        first, of = np.unique(front, return_inverse=True)
+        del front
+        of *= base
+        of += following
+        pairs, counts = np.unique(of, return_counts=True)
+        held = [names[int(x)].as_py() for x in ids[-(LONGEST - 1):]] if inside else []
         self.clear()
         self.add(held)
-        return pa.record_batch([keys.cast(pa.binary()), pa.array(counts, pa.int64())], ["key", "n"])
+        del ids, kept, of, following
+        for begin in range(0, len(pairs), BATCH_ROWS):
+            some = pairs[begin:begin + BATCH_ROWS]
+            front = first[some // base]
+            columns = [front // base // base, front // base % base, front % base, some % base]
+            words = [names.take(pa.array(c, pa.int64(), mask=c == 0)) for c in columns]
+            keys = pc.binary_join_element_wise(pa.scalar(self.lang), *words, pa.scalar(b"\0"), null_handling="skip")
+            yield pa.record_batch([keys.cast(pa.binary()), pa.array(counts[begin:begin + BATCH_ROWS], pa.int64())], ["key", "n"])
+
+
+def _texts(batches):
+    """(lang, text) of all rows; few texts at a time leave the batch."""
+    for batch in batches:
+        for begin in range(0, len(batch), BATCH_TEXTS):
+            some = batch.slice(begin, BATCH_TEXTS)
+            yield from zip(some["lang"].to_pylist(), some["text"].to_pylist())
 
 
 def _counted(batches):
     """(key, n) of windows; the key holds the hex digits of the language and the words, NUL between them."""
     found = {}
-    for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            lang = lang.hex().encode()
-            counter = found.get(lang) or found.setdefault(lang, _Counter(lang))
-            for k, words in enumerate(_pieces(text)):
-                if counter.size + len(words) > FLUSH_WORDS and counter.size >= LONGEST:
-                    yield counter.flush(inside=k > 0)
-                counter.add(words)
-            if sum(c.size for c in found.values()) > 2 * FLUSH_WORDS:
-                for counter in found.values():
-                    if counter.size:
-                        yield counter.flush()
+    for lang, text in _texts(batches):
+        lang = lang.hex().encode()
+        counter = found.get(lang) or found.setdefault(lang, _Counter(lang))
+        for k, words in enumerate(_pieces(text)):
+            if counter.size + len(words) > FLUSH_WORDS and counter.size >= LONGEST:
+                yield from counter.flush(inside=k > 0)
+            counter.add(words)
+        if sum(c.size for c in found.values()) > 2 * FLUSH_WORDS:
+            for counter in found.values():
+                if counter.size:
+                    yield from counter.flush()
     for counter in found.values():
         if counter.size:
-            yield counter.flush()
+            yield from counter.flush()
 
 
 def _sampled(batches):
     """Every window key of the first pieces of few documents, for the ranges."""
-    for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            counter = _Counter(lang.hex().encode())
-            for words in _pieces(text):
-                counter.add(words)
-                break
-            keys = counter.flush()["key"]
-            step = max(1, len(keys) // RANGE_WINDOWS)
-            yield pa.record_batch([keys.take(pa.array(np.arange(0, len(keys), step)))], ["key"])
+    for lang, text in _texts(batches):
+        counter = _Counter(lang.hex().encode())
+        counter.add(next(_pieces(text)))
+        for found in counter.flush():
+            step = max(1, len(found) // RANGE_WINDOWS)
+            yield pa.record_batch([found["key"].take(pa.array(np.arange(0, len(found), step)))], ["key"])
 
 
 def _padded(keys: pa.Array) -> np.ndarray:
