@@ -60,3 +60,34 @@ def test_nulls_repeats_and_empty(spark):
     assert len(got) == 4 and sum(r["taken"] for r in got) == 15
     assert mixing.mix_shares(frame(spark, [])).collect() == [] and mixing.mix(frame(spark, [])).collect() == []
     assert sum(r["taken"] for r in mixing.mix_shares(frame(spark, [(1, "a", 0, "")])).collect()) == 0
+
+
+def served(rows, budget):
+    """Words given by each source, one word after the other in the order of finish time and source."""
+    order = sorted({r[1] for r in rows}, key=lambda x: (x is None, (x or "").encode()))
+    words = []
+    for k, source in enumerate(order):
+        weight = (3, 1, 2)[k % 3]
+        words += [(m * 6 // weight, k) for m in range(1, 2 * sum(r[2] or 0 for r in rows if r[1] == source) + 1)]
+    counts = [0] * len(order)
+    for _, k in sorted(words)[:budget]:
+        counts[k] += 1
+    return dict(zip(order, counts))
+
+
+def test_the_budget_cuts_the_common_order(spark, monkeypatch):
+    """The cut falls between two sources that are served in turn, and decides what is taken."""
+    rows = [(i, "abc"[i % 3], 5 + i % 4, "") for i in range(60)]
+    total = sum(r[2] for r in rows)
+    of = {r[0]: r[1] for r in rows}
+    for slices, few in ((8192, 1 << 16), (5, 0)):
+        monkeypatch.setattr(mixing, "SLICES", slices)
+        monkeypatch.setattr(mixing, "SORTED_WORDS", few)
+        for share in (0.1, 0.503):
+            want = served(rows, int(share * total))
+            got = mixing.mix_shares(frame(spark, rows), share).collect()
+            assert {s: sum(r["taken"] for r in got if of[r["doc_id"]] == s) for s in "abc"} == want
+    uncut = mixing.queue(frame(spark, rows), 1000.0).agg({"taken": "sum"}).first()[0]
+    assert uncut == 2 * total > int(1.5 * total)  # without the cut all offers would be taken
+    a, b = (served(rows, n) for n in (int(0.503 * total), int(0.503 * total) + 1))
+    assert sum(a[s] != b[s] for s in "abc") == 1  # one word more comes from one source only

@@ -41,11 +41,14 @@ levels as (select *, (1.5::double * (sum(source_size) over ())::double - coalesc
            from ranked window before as (order by cap::double / weight, rk rows between unbounded preceding and 1 preceding)),
 shares as (select *, (select level from levels where level <= ratio order by ratio, rk limit 1) as share from levels),
 targets as (select source, source_size, case when share is null then cap::double else least(cap::double, weight * share) end as target from shares),
-placed as (select r.doc_id, r.size, t.source_size, t.target,
+lined as (select source, unnest(generate_series(1, cap)) as word, 6 // weight as step, rk from ranked),
+given as (select source, max(word) as given from (select *, row_number() over (order by word * step, rk) as place from lined)
+          where place <= (select floor(1.5::double * sum(size)) from rows) group by source),
+placed as (select r.doc_id, r.size, t.source_size, t.target, coalesce(g.given, 0) as given,
                   (sum(r.size) over (partition by r.source order by k, doc_id nulls last, size rows between unbounded preceding and current row))::bigint - r.size as begin
-           from rows r join targets t on r.source is not distinct from t.source)
+           from rows r join targets t on r.source is not distinct from t.source left join given g on r.source is not distinct from g.source)
 select doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::bigint - begin)) + greatest(0, least(size, floor(target)::bigint - begin - source_size)))::bigint as taken
+       (greatest(0, least(size, given - begin)) + greatest(0, least(size, given - begin - source_size)))::bigint as taken
 from placed"""
 
 
