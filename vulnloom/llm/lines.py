@@ -8,11 +8,13 @@ line that meets most others anywhere, by the exact similarity of their shingle s
 is not similar to choose a second leader among themselves, and so on for LEADERS rounds.
 A bucket of n variants of one line thus costs n comparisons, not all pairs.  What the leaders
 leave undecided, the lines of buckets that still hold several components, is joined exactly:
-similar lines share one of the rarest shingles of both (prefix filter), and only lines of
-different components are paired.  So no link inside a bucket is missed.
+similar lines share one of the rarest shingles of both (prefix filter, by the counts of all
+shingles of these lines), and only lines of different components are paired.  So no link inside
+a bucket is missed.
 
 With few shingles many slices are empty and the bands of a line agree or differ together, so
-lines of fewer than SHORT shingles take part in the exact join whether or not they share a bucket.
+lines of fewer than SHORT shingles, and those that may be similar to one, have SHORT_BANDS more
+bands, whose minima are drawn independently from all shingles.
 """
 
 import hashlib
@@ -22,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from vulnloom.llm.common import utf8
 from vulnloom.operators.components import connected_components
@@ -37,12 +40,11 @@ BANDS, ROWS = 8, 4
 SHORT = 60
 #: Leaders that a bucket's lines are compared with, one after the other.
 LEADERS = 2
-#: Frequent shingles that are told apart from rare ones, at most, and lines that they are counted in.
-#: They only set the order of the shingles: the joined pairs are right with any order.
-FREQUENT, COUNTED = 1 << 16, 50_000
+#: Bands of short lines: a pair at similarity 0.8 meets in one with probability 0.9998, whatever its length.
+SHORT_BANDS = 16
 #: Bytes of the texts that one task reads at once, about.
 CHUNK_BYTES = 1_500_000
-LINES = "key long, d long, k int, no int, bands array<long>, line binary, short boolean"
+LINES = "key long, d long, k int, no int, bands array<long>, line binary"
 
 
 def shingle_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +86,31 @@ def least_hashes(lines: list[bytes]) -> np.ndarray:
 
 
 def short_lines(lines: list[bytes], least: np.ndarray) -> np.ndarray:
-    """Whether a line has fewer than SHORT different shingles; a longer text without an empty slice is not asked."""
-    empty = (least == _NONE).any(axis=1)
-    few = [len(x) < SHORT + SHINGLE - 1 or bool(e) and len(shingles(x)) < SHORT for x, e in zip(lines, empty)]
+    """Whether a line has fewer than SHORT different shingles, or so few more that such a line may be similar."""
+    bound = SHORT * SIMILARITY[1] // SIMILARITY[0]
+    empty = (least == _NONE).any(axis=1)  # a longer text without an empty slice is not asked
+    few = [len(x) < bound + SHINGLE - 1 or bool(e) and len(shingles(x)) < bound for x, e in zip(lines, empty)]
     return np.array(few, bool)
 
 
+def short_signatures(lines: list[bytes]) -> np.ndarray:
+    """(lines, SHORT_BANDS) hashes, each of the least hashes of all shingles under ROWS orders of their own."""
+    hashes, line = shingle_hashes(lines)
+    order = np.argsort(line, kind="stable")
+    hashes, line = hashes[order], line[order]
+    begins = np.searchsorted(line, np.arange(len(lines)))
+    out = np.repeat(np.arange(BANDS + 1, BANDS + SHORT_BANDS + 1, dtype=np.uint64)[None, :], len(lines), axis=0)
+    for row in range(ROWS):
+        for band in range(SHORT_BANDS):
+            drawn = hashes ^ np.uint64((row * SHORT_BANDS + band + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            drawn *= np.uint64(0xD6E8FEB86659FD93)
+            drawn ^= drawn >> np.uint64(32)
+            drawn *= np.uint64(0xD6E8FEB86659FD93)
+            out[:, band] = (out[:, band] ^ np.minimum.reduceat(drawn, begins)) * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
 def signatures(lines: list[bytes], least=None) -> np.ndarray:
     """(lines, BANDS) hashes: of the ROWS least hashes of each band and the band's number."""
     least = least_hashes(lines) if least is None else least
@@ -131,20 +152,25 @@ def _line_rows(batches):
         named = np.fromiter(map(digest, lines), np.uint64, len(lines)).view(np.int64)
         least = least_hashes(lines)
         bands, short = signatures(lines, least), short_lines(lines, least)
+        more = short_signatures([line for line, x in zip(lines, short) if x]) if short.any() else np.zeros((0, SHORT_BANDS), np.int64)
+        sizes = BANDS + SHORT_BANDS * short
+        begins = np.cumsum(sizes) - sizes
+        every = np.empty(int(sizes.sum()), np.int64)
+        every[(begins[:, None] + np.arange(BANDS)).ravel()] = bands.ravel()
+        every[(begins[short, None] + BANDS + np.arange(SHORT_BANDS)).ravel()] = more.ravel()
         d, k, no = (np.array(x) for x in zip(*where))
         fresh, keys = np.array(fresh), np.array(keys)
         for part in (fresh, ~fresh):
             n = int(part.sum())
             if part is fresh:  # first occurrences stand in the order of ``lines``
-                bands_at = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                bands_at = pa.ListArray.from_arrays(pa.array(np.append(begins, sizes.sum()).astype(np.int32)), pa.array(every))
                 lines_at = pa.array(lines, pa.binary())
             else:
                 bands_at, lines_at = pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary())
             if n:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(named[keys[part]]), pa.array(d[part].astype(np.int64)), pa.array(k[part].astype(np.int32)),
-                    pa.array(no[part].astype(np.int32)), bands_at, lines_at, pa.array(short[keys[part]])],
-                    ["key", "d", "k", "no", "bands", "line", "short"])
+                    pa.array(no[part].astype(np.int32)), bands_at, lines_at], ["key", "d", "k", "no", "bands", "line"])
 
     texts, d, k, size = [], [], [], 0
     for batch in batches:
@@ -191,32 +217,30 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 # enough to be broadcast in a test would not be on a cluster, and the plan is to be the same.
 
 
-def prefixes(lines: list[bytes], common: tuple[np.ndarray, np.ndarray]):
-    """(shingle, line number, shingles of the line, place) of the shingles of each line's prefix.
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(token, key, n, i) of the prefix shingles that several lines hold: hash, line, shingles of the line, place in it.
 
-    Shingles are ordered by their counts in ``common`` (sorted hashes, counts; others have
-    none), then by hash, and the first n - ceil(0.8 n) + 1 of a line's n are its prefix: two
-    similar lines share one of them.
+    A line's shingles are ordered by the number of lines that hold them, all of ``texts`` counted,
+    then by hash.  The first n - ceil(0.8 n) + 1 are its prefix: two similar lines share one of them.
     """
-    hashes, line = shingle_hashes(lines)
-    hashes = hashes.view(np.int64)
-    counts = np.zeros(len(hashes), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        counts = np.where(common[0][at] == hashes, common[1][at], 0)
-    order = np.lexsort((hashes, counts, line))
-    hashes, line = hashes[order], line[order]
-    fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))[:len(hashes)]
-    hashes, line = hashes[fresh], line[fresh]
-    n = np.bincount(line, minlength=len(lines))
-    place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + 1
-    kept = place <= (n - _rest(n))[line]
-    return hashes[kept], line[kept], n[line[kept]], place[kept]
-
-
-def _rest(n):
+    def held(batches):
+        for batch in batches:
+            hashes, line = shingle_hashes(batch["line"].tolist())
+            pairs = np.unique(np.stack([line, hashes.view(np.int64)]), axis=1)
+            yield pd.DataFrame({"token": pairs[1], "key": batch["key"].to_numpy()[pairs[0]], "n": np.bincount(pairs[0])[pairs[0]]})
+
+    every = stored(texts.mapInPandas(held, "token long, key long, n int"), "shingles")
+    counts = every.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    # shingles that no other line holds come first: the place of the others is behind them
+    common = every.join(counts.hint("merge"), "token")
+    order = Window.partitionBy("key").orderBy("holders", "token")
+    behind = Window.partitionBy("key")
+    placed = common.withColumn("i", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(behind))
     num, den = SIMILARITY
-    return -(-num * n // den) - 1
+    rest = F.floor((num * F.col("n") + den - 1) / den) - 1
+    found = stored(placed.where(F.col("i") <= F.col("n") - rest).select("token", "key", "n", F.col("i").cast("int").alias("i")), "prefixes")
+    discard(every)
+    return found
 
 
 def undecided_pairs(texts: DataFrame, nodes: DataFrame | None) -> DataFrame:
@@ -225,22 +249,7 @@ def undecided_pairs(texts: DataFrame, nodes: DataFrame | None) -> DataFrame:
     Of a shingle's holders only those outside its largest component look for partners, so a
     large component is never paired with itself.
     """
-    def counted(batches):
-        for batch in batches:
-            hashes, line = shingle_hashes(batch["line"].tolist())
-            yield pd.DataFrame({"token": np.unique(np.stack([line, hashes.view(np.int64)]), axis=1)[1]})
-
-    share = max(1, texts.count() // COUNTED)
-    often = texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).mapInPandas(counted, "token long").groupBy("token").agg(
-        F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
-    sent = texts.sparkSession.sparkContext.broadcast((often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
-
-    def prefix(batches):
-        for batch in batches:
-            token, line, n, place = prefixes(batch["line"].tolist(), sent.value)
-            yield pd.DataFrame({"token": token, "key": batch["key"].to_numpy()[line], "n": n, "i": place})
-
-    every = stored(texts.mapInPandas(prefix, "token long, key long, n int, i int"), "prefixes")
+    every = prefixes(texts)
     several = every.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("token")
     held = every.join(several.hint("merge"), "token", "left_semi")
     if nodes is None:
@@ -317,18 +326,17 @@ def _undecided(members: DataFrame, texts: DataFrame, done: DataFrame, nodes: Dat
 def links(lines: DataFrame) -> DataFrame | None:
     """(node, component): the components of similar lines, by their keys; None if no two lines are similar."""
     found, nodes = _bucket_edges(lines), None
-    asked = lines.where("short and line is not null").select("key", "line")
-    if found is not None:
-        edges, members, texts, done = found
-        nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
-        asked = asked.unionAll(_undecided(members, texts, done, nodes))
-    asked = stored(asked.dropDuplicates(["key"]), "asked")
+    if found is None:
+        return None
+    edges, members, texts, done = found
+    nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
+    asked = stored(_undecided(members, texts, done, nodes), "asked")
     near = stored(verified(undecided_pairs(asked, nodes), asked), "near")
     if not near.isEmpty():
         if nodes is not None:
             near = near.unionAll(nodes.select(F.col("component").alias("a"), F.col("node").alias("b")))
         nodes = stored(connected_components(near).select("node", "component"), "components")
-    discard(asked, *found[1:3] if found is not None else [])
+    discard(asked, members, texts)
     return nodes
 
 
