@@ -267,15 +267,14 @@ def undecided_pairs(texts: DataFrame, nodes: DataFrame | None) -> DataFrame:
              for x, c, more in ((left, "a", []), (right, "b", ["largest"]))]
     num, den = SIMILARITY
     needed = -F.floor(-num * (F.col("na") + F.col("nb")) / (num + den))
-    room = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    # Behind its first shared shingle a line has all the others that are needed: pairs are made only
+    # at places where that can be, which in a group of lines with the same frequent shingles
+    # leaves those out that differ in too many rare ones.
+    first = (F.col("ia") <= F.col("na") - needed + 1) & (F.col("ib") <= F.col("nb") - needed + 1)
     met = named[0].join(named[1].hint("merge"), ["token", "salt"]).where(
         (F.col("of_a") != F.col("of_b")) & ((F.col("a") < F.col("b")) | (F.col("of_b") == F.col("largest")))
-        & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (room >= needed))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("both"), F.greatest("na", "nb").alias("more"))
-    # besides the shared ones of the prefixes, no more shingles are shared than the longer line's others
-    common = met.groupBy("a", "b", "both", "more").agg(F.count(F.lit(1)).alias("common"))
-    others = F.floor((num * F.col("more") + den - 1) / den) - 1
-    found = stored(common.where((num + den) * (F.col("common") + others) >= num * F.col("both")).select("a", "b"), "undecided")
+        & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & first)
+    found = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "undecided")
     discard(every, held)
     return found
 
