@@ -12,6 +12,7 @@ no threshold reaches that, the kind adds nothing.
 import bisect
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from vulnloom.session import discard, stored
 
 #: Candidates of each kind that the trees are fitted on, at most; of so many parts of all candidates the last sets the thresholds.
 TRAIN_ROWS, PARTS = 15_000, 4
+#: Candidates that are judged at once.
+BLOCK = 10_000
 #: Bins of the score, of which the thresholds are chosen.
 BINS = 1 << 12
 TREES, DEPTH = 15, 4
@@ -87,9 +90,8 @@ def base_spans(data: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
-def candidates(data: bytes) -> list[tuple[str, int, int]]:
-    """[(kind, start, end)] in bytes: what may be personal data; spans may overlap."""
-    found = set()
+def candidates(data: bytes):
+    """(kind, start, end) in bytes, one after the other: what may be personal data; spans may overlap and some come twice."""
     at = data.find(b"@")
     while at >= 0:
         start = end = at
@@ -97,7 +99,7 @@ def candidates(data: bytes) -> list[tuple[str, int, int]]:
             start -= 1
         while end < len(data) and data[end] > 32:
             end += 1
-        found.add(("email", start, end))
+        yield "email", start, end
         at = data.find(b"@", end)
     for m in _OTHER_AT.finditer(data):
         start, end = m.span()
@@ -106,30 +108,35 @@ def candidates(data: bytes) -> list[tuple[str, int, int]]:
         while end < len(data) and data[end] in _LOCAL:
             end += 1
         if start < m.start() and end > m.end():
-            found.add(("email", start, end))
+            yield "email", start, end
     for m in _DOTTED.finditer(data):
-        found.add(("ip", *m.span()))
+        yield "ip", *m.span()
     for m in _GROUPS.finditer(data):
-        parts = [m.span()] + [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]
-        for start, end in parts:
-            n = len(data[start:end].translate(None, _DIGITS))
-            if LEAST_DIGITS <= n <= MOST_DIGITS:
-                found.add(("card" if n > 12 else "phone", start, end))
+        parts = {m.span(), *((m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0]))}
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in _DIGIT_RUN.finditer(m[0])]
-        if sum(end - begin for begin, end in groups) < 2 * LEAST_DIGITS:  # no room for two numbers
-            continue
-        for first, (start, _) in enumerate(groups):
+        room = sum(end - begin for begin, end in groups) >= 2 * LEAST_DIGITS  # room for two numbers
+        for start, end in sorted(parts):
+            n = len(data[start:end].translate(None, _DIGITS)) if end - start <= 3 * MOST_DIGITS else 0  # at most two signs between digits
+            if LEAST_DIGITS <= n <= MOST_DIGITS:
+                yield "card" if n > 12 else "phone", start, end
+        for first, (start, _) in enumerate(groups) if room else ():
             start -= start > m.start() and data[start - 1:start] == b"("
             n = 0  # the digits are bounded, so each start has few ends
             for begin, end in groups[first:first + MOST_DIGITS]:
                 n += end - begin
                 if n > MOST_DIGITS:
                     break
-                if n >= LEAST_DIGITS:
-                    found.add(("card" if n > 12 else "phone", start, end))
+                if n >= LEAST_DIGITS and (start, end) not in parts:
+                    yield "card" if n > 12 else "phone", start, end
     for m in _NATIONAL.finditer(data):
-        found.add(("phone", *m.span()))
-    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
+        yield "phone", *m.span()
+
+
+def _blocks(rows):
+    """Lists of at most BLOCK rows, so that a text made of numbers is never held with all its candidates."""
+    rows = iter(rows)
+    while block := list(islice(rows, BLOCK)):
+        yield block
 
 
 def features(data: bytes, kind: str, start: int, end: int) -> list[float]:
@@ -214,9 +221,9 @@ class Cover:
 def _examples(texts):
     """(kind, place, label, features) of every candidate but pieces of examples."""
     for data in texts:
-        found = candidates(data)
-        base = Cover(base_spans(data) if found else [])
-        for kind, start, end in found:
+        base = None
+        for kind, start, end in candidates(data):
+            base = base or Cover(base_spans(data))
             if base.partial(data, start, end):  # a piece of an example is neither an example nor a counter-example
                 continue
             key = hashlib.blake2b(data[max(0, start - 30):end + 30], digest_size=7).digest()
@@ -235,48 +242,53 @@ def fit(documents: DataFrame, rows=TRAIN_ROWS) -> Trees | None:
     """Trees and thresholds; None without both kinds of examples.
 
     The trees are fitted on at most ``rows`` candidates of each kind, taken by the hash of where
-    they stand.  The thresholds come from all held-out candidates of the whole table: tasks score
-    them, and the driver gets a count for each kind and bin of the score.
+    they stand.  The thresholds come from all held-out candidates of the whole table, whose forms
+    are stored in the same pass: tasks score them, and the driver gets a count for each kind and bin of the score.
     """
+    def told(rows, held):
+        return pd.DataFrame([(*row, held) for row in rows], columns=["kind", "place", "label", "form", "held"])
+
     def taught(batches):
         seen = {kind: {} for kind in KINDS}
         for batch in batches:
-            for kind, place, label, at in _examples(batch["text"]):
-                if place % PARTS != PARTS - 1:
-                    mine = seen[kind]
+            for block in _blocks(_examples(batch["text"])):
+                kept = []
+                for kind, place, label, at in block:
                     form = features(*at)
+                    if place % PARTS == PARTS - 1:
+                        kept.append((kind, place, label, form))
+                        continue
+                    mine = seen[kind]
                     mine[place] = max(mine.get(place, (-1, [])), (label, form))
                     if len(mine) > 2 * rows:
                         seen[kind] = {p: mine[p] for p in sorted(mine)[:rows]}
-        out = [(kind, p, *mine[p]) for kind, mine in seen.items() for p in sorted(mine)[:rows]]
-        for at in range(0, len(out), 10_000):
-            yield pd.DataFrame(out[at:at + 10_000], columns=["kind", "place", "label", "form"])
+                yield told(kept, True)
+        for block in _blocks((kind, p, *mine[p]) for kind, mine in seen.items() for p in sorted(mine)[:rows]):
+            yield told(block, False)
 
     texts = documents.select(utf8(F.col("text")).alias("text"))
-    made = stored(texts.mapInPandas(taught, "kind string, place long, label int, form array<double>"), "examples")
+    made = stored(texts.mapInPandas(taught, "kind string, place long, label int, form array<float>, held boolean"), "examples", "zstd")
     # equal surroundings are one example; the smallest places of each kind are a fixed sample of them
-    whole = made.groupBy("kind", "place").agg(F.max("label").alias("label"), F.max_by("form", F.struct("label", "form")).alias("form"))
+    whole = made.where("not held").groupBy("kind", "place").agg(F.max("label").alias("label"), F.max_by("form", F.struct("label", "form")).alias("form"))
     chosen = pd.concat([whole.where(F.col("kind") == kind).orderBy("place").limit(rows).toPandas() for kind in KINDS], ignore_index=True)
-    discard(made)
     if chosen["label"].nunique() < 2:
+        discard(made)
         return None
     sample = documents.sparkSession.createDataFrame(chosen[["label", "form"]]).select(
-        F.col("label").cast("double").alias("label"), array_to_vector("form").alias("features")).coalesce(1)
+        F.col("label").cast("double").alias("label"), array_to_vector(F.col("form").cast("array<double>")).alias("features")).coalesce(1)
     trees = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxMemoryInMB=128).fit(sample))
     sent = documents.sparkSession.sparkContext.broadcast(trees)
 
     def held_out(batches):
         for batch in batches:
-            rows = [x for x in _examples(batch["text"]) if x[1] % PARTS == PARTS - 1]
-            for at in range(0, len(rows), 10_000):
-                part = rows[at:at + 10_000]
-                score = sent.value.score(np.array([features(*x[3]) for x in part]))
-                yield pd.DataFrame({"kind": [x[0] for x in part], "place": [x[1] for x in part], "label": [x[2] for x in part],
-                                    "bin": np.floor(score * BINS).astype(np.int64)})
-
-    counts = texts.mapInPandas(held_out, "kind string, place long, label int, bin long").groupBy("kind", "place").agg(
+            if len(batch):
+                score = sent.value.score(np.array(list(batch["form"]), np.float64))
+                yield batch[["kind", "place", "label"]].assign(bin=np.floor(score * BINS).astype(np.int64))
+
+    counts = made.where("held").mapInPandas(held_out, "kind string, place long, label int, bin long").groupBy("kind", "place").agg(
         F.max("label").alias("label"), F.max("bin").alias("bin")).groupBy("kind", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).toPandas()
+    discard(made)
     trees.thresholds = {kind: _threshold(counts[counts["kind"] == kind]) for kind in KINDS}
     return trees
 
@@ -285,14 +297,14 @@ def find(data: bytes, trees: Trees | None):
     """(base spans, added spans) in code points, each by kind as listed and then start."""
     base = base_spans(data)
     cover = Cover(base)
-    free = [c for c in candidates(data) if not cover.meets(*c[1:])] if trees else []
-    added = []
-    if free:
-        score = trees.score(np.array([features(data, *c) for c in free]))
-        for c in sorted((c for s, c in zip(score, free) if s >= trees.thresholds[c[0]]), key=lambda c: (c[1] - c[2], c)):
-            if not cover.meets(*c[1:]):  # of overlapping candidates the longest stays
-                added.append(c)
-                cover.add(*c[1:])
+    picked, added = [], []
+    for free in _blocks(c for c in candidates(data) if not cover.meets(*c[1:])) if trees else ():
+        score = trees.score(np.array([features(data, *c) for c in free], np.float32).astype(np.float64))
+        picked += [c for s, c in zip(score, free) if s >= trees.thresholds[c[0]]]
+    for c in sorted(picked, key=lambda c: (c[1] - c[2], c)):
+        if not cover.meets(*c[1:]):  # of overlapping candidates the longest stays
+            added.append(c)
+            cover.add(*c[1:])
     if (base or added) and not data.isascii():
         points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
         base, added = ([(k, int(points[s]) - 1, int(points[e - 1])) for k, s, e in x] for x in (base, added))
