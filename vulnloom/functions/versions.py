@@ -1,5 +1,6 @@
 """Version and firmware columns."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -27,11 +28,27 @@ def _all_of(text, pattern, group=1):
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _plain_word(pattern):
+    """The first plain word of a pattern, lower-cased, without which no text can match; None if it has none."""
+    found = re.search("[A-Za-z]{2,}", re.sub(r"\\[bsdw]|\[.*?\]|\(\?i\)|\w\?", " ", pattern))
+    return found and found.group(0).lower()
+
+
+def _where(low, words, found):
+    """``found`` where the lower-cased text holds one of the words, else nothing; the pattern behind it is not tried in vain."""
+    return F.when(_any([F.contains(low, F.lit(w)) for w in words]), found) if words else found
+
+
 def models(text: Column) -> Column:
     """Distinct hardware models in pattern order, in their display form."""
+    return let(F.lower(text), lambda low: _models(text, low))
+
+
+def _models(text, low):
     found = []
     for pattern in V.MODEL_PATTERNS:
-        hits = _all_of(text, "(?i)" + pattern)
+        word = _plain_word(pattern)
+        hits = _where(low, [word] if word else [], _all_of(text, "(?i)" + pattern))
         if "iDRAC" in pattern:
             found.append(F.transform(hits, lambda m: F.concat(F.lit("iDRAC"), m)))
         elif r"\d" in pattern:
@@ -40,7 +57,7 @@ def models(text: Column) -> Column:
             found.append(F.transform(hits, F.upper))
         else:
             found.append(F.transform(hits, lambda m: F.initcap(F.lower(m))))
-    return F.array_distinct(F.coalesce(F.flatten(F.array(*found)), F.array().cast("array<string>")))
+    return F.array_distinct(F.coalesce(F.flatten(F.array_compact(F.array(*found))), F.array().cast("array<string>")))
 
 
 def firmware_type(text: Column) -> Column:
@@ -87,19 +104,29 @@ def anchors(text: Column, kind: Column) -> Column:
     A closed range gives a lower and an upper bound.  Plain versions count only when no
     bound is written.  A hardware type without any usable version gets ``unversioned``.
     """
+    return let(F.lower(text), lambda low: _anchors(text, low, kind))
+
+
+#: Words of which one occurs in every text that a bound's pattern matches, a row for each pattern.
+_RANGE_WORDS = [["to"], ["between"], ["from"]]
+_LOWER_WORDS = [["and"], ["onward"], ["or"]]
+_UPPER_WORDS = [["prior"], ["before", "earlier"], ["and"]]
+
+
+def _anchors(text, low, kind):
     def tag(mark):
         return lambda v: F.struct(F.lit(mark).alias("qualifier"), v.alias("version"))
 
     pieces = []
-    for pattern in V.RANGE_PATTERNS:
+    for pattern, words in zip(V.RANGE_PATTERNS, _RANGE_WORDS, strict=True):
         pairs = F.arrays_zip(_all_of(text, pattern, 1).alias("low"), _all_of(text, pattern, 2).alias("high"))
         ordered = F.filter(pairs, lambda p: version_tuple(p["high"]) >= version_tuple(p["low"]))
-        pieces.append(F.flatten(F.transform(ordered, lambda p: F.array(tag(">=")(p["low"]), tag("<=")(p["high"])))))
-    for pattern in V.LOWER_BOUND_PATTERNS:
-        pieces.append(F.transform(_all_of(text, pattern), tag(">=")))
-    for pattern, mark in V.UPPER_BOUND_PATTERNS:
-        pieces.append(F.transform(_all_of(text, pattern), tag(mark)))
-    bounds = F.concat(*pieces)
+        pieces.append(_where(low, words, F.flatten(F.transform(ordered, lambda p: F.array(tag(">=")(p["low"]), tag("<=")(p["high"]))))))
+    for pattern, words in zip(V.LOWER_BOUND_PATTERNS, _LOWER_WORDS, strict=True):
+        pieces.append(_where(low, words, F.transform(_all_of(text, pattern), tag(">="))))
+    for (pattern, mark), words in zip(V.UPPER_BOUND_PATTERNS, _UPPER_WORDS, strict=True):
+        pieces.append(_where(low, words, F.transform(_all_of(text, pattern), tag(mark))))
+    bounds = F.flatten(F.array_compact(F.array(*pieces)))
     plain = F.transform(_all_of(text, V.VERSION_TOKEN), tag(""))
     usable = lambda found: F.array_distinct(F.filter(found, lambda a: is_valid_version(a["version"], kind)))
     chosen = let(bounds, lambda b: usable(F.when(F.size(b) > 0, b).otherwise(plain)))

@@ -203,9 +203,8 @@ def power_rank(edge_table: DataFrame, nodes: DataFrame, alpha=0.85, tolerance=1e
     sinks = known.join(fan_out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("fan_out").isNull().alias("sink"))
     current = stored(sinks.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("moved", F.lit(None).cast("double")), "ranks")
     degrees = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
-    settled = None if n else 0
+    settled, lost = (None, current.where("sink").count() / n) if n else (0, 0.0)
     for turn in range(1, rounds + 1 if n else 1):
-        lost = current.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()["s"]
         base = (1.0 - alpha + alpha * lost) / n
         given = links.join(current.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("given"))
@@ -213,7 +212,9 @@ def power_rank(edge_table: DataFrame, nodes: DataFrame, alpha=0.85, tolerance=1e
         following = stored(current.join(given, "id", "left").select("id", "sink", rank_now.alias("rank"), F.abs(rank_now - F.col("rank")).alias("moved")), "ranks")
         discard(current)
         current = following
-        if current.agg(F.sum("moved").alias("m")).first()["m"] < n * tolerance:
+        state = current.agg(F.sum("moved").alias("moved"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()
+        lost = state["lost"]
+        if state["moved"] < n * tolerance:
             settled = turn
             break
     ranked = current.join(degrees, "id", "left").select("id", "rank", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))

@@ -126,14 +126,21 @@ def all_counts(sets: DataFrame, floor) -> DataFrame:
     """(a, b, na, nb, shared) of all pairs at the floor, each common token counted; a token with many holders is salted."""
     num, den = fraction(floor)
     counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    sizes = sets.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    rows = sets.join(counts, "token").join(sizes, "item").select("item", "n", "token", _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts"))
-    left = spread(rows.withColumn("salt", F.pmod(F.xxhash64("item"), F.col("salts")).cast("int")), "token", "salt")
+    # pairs are counted by numbers, which are shorter than names; only those at the floor get their names again
+    sizes = stored(sets.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("number", F.monotonically_increasing_id()), "sizes")
+    rows = sets.join(counts, "token").join(sizes, "item").select("number", "n", "token", _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts"))
+    rows = stored(rows, "rows")
+    left = spread(rows.withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int")), "token", "salt")
     right = spread(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
-    met = left.select(F.col("item").alias("a"), F.col("n").alias("na"), "token", "salt").join(
-        right.select(F.col("item").alias("b"), F.col("n").alias("nb"), "token", "salt"), ["token", "salt"])
+    met = left.select(F.col("number").alias("a"), F.col("n").alias("na"), "token", "salt").join(
+        right.select(F.col("number").alias("b"), F.col("n").alias("nb"), "token", "salt"), ["token", "salt"])
     near = met.where((F.col("a") < F.col("b")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")))
-    return near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(reaches(floor))
+    found = near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(reaches(floor))
+    name = lambda c: sizes.select(F.col("number").alias(c), F.col("item").alias("item_" + c))
+    pairs = found.join(name("a"), "a").join(name("b"), "b")
+    first = F.col("item_a") < F.col("item_b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return pairs.select(pick("item_a", "item_b").alias("a"), pick("item_b", "item_a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), "shared")
 
 
 def counted_pairs(sets: DataFrame, floor) -> DataFrame:
