@@ -44,6 +44,8 @@ LEADERS = 2
 SHORT_BANDS = 16
 #: Bytes of the texts that one task reads at once, about.
 CHUNK_BYTES = 1_500_000
+#: Shingles that are hashed at once for the exact join, about.
+CHUNK_SHINGLES = 200_000
 LINES = "key long, d long, k int, no int, bands array<long>, line binary"
 
 
@@ -225,9 +227,16 @@ def prefixes(texts: DataFrame) -> DataFrame:
     """
     def held(batches):
         for batch in batches:
-            hashes, line = shingle_hashes(batch["line"].tolist())
-            pairs = np.unique(np.stack([line, hashes.view(np.int64)]), axis=1)
-            yield pd.DataFrame({"token": pairs[1], "key": batch["key"].to_numpy()[pairs[0]], "n": np.bincount(pairs[0])[pairs[0]]})
+            keys, lines = batch["key"].to_numpy(), batch["line"].tolist()
+            size = np.cumsum([len(line) for line in lines])
+            for at in np.split(np.arange(len(lines)), np.flatnonzero(np.diff(size // CHUNK_SHINGLES)) + 1):
+                hashes, line = shingle_hashes([lines[i] for i in at])
+                hashes = hashes.view(np.int64)
+                order = np.lexsort((hashes, line))
+                hashes, line = hashes[order], line[order]
+                fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))[:len(hashes)]
+                hashes, line = hashes[fresh], line[fresh]
+                yield pd.DataFrame({"token": hashes, "key": keys[at][line], "n": np.bincount(line)[line]})
 
     every = stored(texts.mapInPandas(held, "token long, key long, n int"), "shingles")
     counts = every.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
