@@ -81,6 +81,19 @@ def test_lists_hold_all_vectors_and_find_nearly_all(spark):
     assert vector_index.search_exact(vectors.limit(0), queries).count() == 0 and vector_index.search_exact(vectors, queries.limit(0)).count() == 0
 
 
+def test_dates_reach_the_scan(spark, tmp_path):
+    from vulnloom.sources import stored as records
+    rows = [("C1", "2001-07-30T00:00:00", '{"description": "PowerEdge", "cvss_score": 5.0}'), ("C2", "30 July 2001", '{"description": "PowerEdge"}'),
+            ("C3", "1999-01-01", '{"description": "PowerEdge"}'), ("C4", None, "{}")]
+    raw = spark.createDataFrame(rows, "cve_id string, published_date string, data string").withColumn("last_modified", F.col("published_date"))
+    records.dated(raw).write.parquet(str(tmp_path / "dated"))
+    table = spark.read.parquet(str(tmp_path / "dated"))
+    found = records.recent_cves(table, F.lit("2001-08-01").cast("timestamp_ntz"), 90)
+    pushed = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "PushedFilters" in line][0]
+    assert "Equal(published,2001-05-03" in pushed  # the plan's text is cut behind it
+    assert {r["cve_id"] for r in found.collect()} >= {"C1"} and "C3" not in {r["cve_id"] for r in found.collect()}
+
+
 def _exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange SinglePartition")

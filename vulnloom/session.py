@@ -91,11 +91,3 @@ def _discard_all():
 
 
 _WRITTEN: dict[str, SparkSession] = {}
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` on reliable storage, in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
