@@ -172,6 +172,17 @@ def test_dense_groups_send_few_links(spark):
     assert found.count() == 5000 and found.select("component").distinct().count() == 1
 
 
+def test_neighbours_of_long_lists_come_from_narrower_ranges(spark, monkeypatch):
+    """Ranges shrink until a task can take their lists; what an item has in groups of tokens is not written."""
+    monkeypatch.setattr(sharing, "GROUP_ROWS", 1500)
+    monkeypatch.setattr(sharing, "_united_cell", lambda asking, wanted: 1 / 0)
+    rows = spark.range(1000).select(F.format_string("i%04d", "id").alias("item"), F.explode(F.array(*[
+        F.concat(F.lit(f"t{k}-"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(250))) for k in range(3)])).alias("token")).distinct()
+    other = rows.select(F.col("item").alias("other"), "token")
+    expected = {tuple(r) for r in rows.join(other, "token").where("item <> other").groupBy("item").agg(F.countDistinct("other")).collect()}
+    assert {tuple(r) for r in sharing.neighbour_counts(rows).collect()} == expected
+
+
 def test_neighbours_of_a_token_that_all_hold(spark):
     """50,000 items hold one token, and each a second one with another item that lacks it."""
     ids = spark.range(50_000)
