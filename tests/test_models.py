@@ -141,3 +141,13 @@ def test_model_comparison_takes_the_default_trees(monkeypatch):
     monkeypatch.setattr(plans.learning, "train_and_compare", asked)
     with pytest.raises(Asked, match="100"):
         plans.model_comparison(None)
+
+
+def test_text_jobs_are_dealt_to_all_tasks(spark, tmp_path):
+    """A file of one row group is one task of its scan; the jobs that work long on each text have more, with the same rows."""
+    from vulnloom.plans.binding import Logical
+    t = Logical(spark, "/root/testdata/sf0.001")
+    n = t.table("orders").count()
+    for table in (t.advisory_documents(), t.advisory_pages(), t.advisories(True)):
+        sizes = table.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) >= 4 and sum(r["count"] for r in sizes) == n

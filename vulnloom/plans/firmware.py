@@ -52,7 +52,7 @@ def cve_versions(t):
 
 
 def _cve_versions(t):
-    texts = t.vulnerabilities().select("cve_id", "description", "published", F.coalesce("score", F.lit(0.0)).alias("cvss"))
+    texts = t.vulnerabilities(True).select("cve_id", "description", "published", F.coalesce("score", F.lit(0.0)).alias("cvss"))
     return t.stored("cve_versions", lambda: versions.cve_versions(texts))
 
 

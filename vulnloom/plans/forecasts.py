@@ -72,8 +72,8 @@ def product_line_tables(t):
     """(line list, line advisories, line vulnerabilities) by the text classifier."""
     lined = lambda table, text: unnest(table, names.product_lines(F.col(text)), "line")
     lines = t.spark.createDataFrame([(x,) for x in V.PRODUCT_LINES], "line string")
-    advisories = lined(t.advisories(), "title").select("line", "dsa_id", "published")
-    cves = lined(t.vulnerabilities(), "description").select("line", "cve_id", "published", F.coalesce("score", F.lit(0.0)).alias("cvss"))
+    advisories = lined(t.advisories(True), "title").select("line", "dsa_id", "published")
+    cves = lined(t.vulnerabilities(True), "description").select("line", "cve_id", "published", F.coalesce("score", F.lit(0.0)).alias("cvss"))
     return lines, advisories, cves
 
 

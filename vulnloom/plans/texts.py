@@ -279,7 +279,7 @@ def extracted_pages(t):
                  (2 + o_orderkey % 3) || '.' || (o_custkey % 4) || '.' || (o_orderkey % 2) AS v2 FROM orders))""")
 def advisory_page_extraction(t):
     """One row per row of the remediation table."""
-    found = extracted_pages(t).withColumn("r", F.explode("rows"))
+    found = unnest(extracted_pages(t), F.col("rows"), "r")
     return found.select("*", "r.product", "r.affected").drop("rows", "r")
 
 
