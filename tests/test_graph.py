@@ -172,6 +172,20 @@ def test_dense_groups_send_few_links(spark):
     assert found.count() == 5000 and found.select("component").distinct().count() == 1
 
 
+def test_equal_sets_are_compared_once(spark, monkeypatch):
+    """Pairs over a hundred copies of twenty sets: only the twenty are compared, and all pairs come back."""
+    base = spark.range(20).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
+        "id", F.concat(F.lit("t"), F.floor(F.col("id") / 2) * 3 + F.when(F.col("k") < 6, F.col("k")).otherwise(100 + F.col("id"))).alias("token")).distinct()
+    copies = spark.range(100).withColumnRenamed("id", "copy")
+    sets = base.crossJoin(copies).select(F.format_string("i%03d-%02d", "copy", "id").alias("item"), "token")
+    expected = sharing.similar_pairs(sets, "0.15").collect()
+    compared, counted = [], sharing.counted_pairs
+    monkeypatch.setattr(sharing, "counted_pairs", lambda some, floor: compared.append(some.select("item").distinct().count()) or counted(some, floor))
+    got = sharing.similar_pairs(sets, "0.15", classes=True).collect()
+    assert compared == [20] and len(got) == len(set(got)) > 100_000
+    assert set(got) == set(expected)
+
+
 def test_neighbours_of_long_lists_come_from_narrower_ranges(spark, monkeypatch):
     """Ranges shrink until a task can take their lists; what an item has in groups of tokens is not written."""
     monkeypatch.setattr(sharing, "GROUP_ROWS", 1500)

@@ -24,6 +24,8 @@ from vulnloom.session import discard, stored
 SALT_ROWS = 1024
 #: Below this floor all common tokens are counted, from it on the pairs that prefixes leave are looked up.
 LOW_FLOOR = Fraction(1, 5)
+#: Tasks that the pairs of one class of equal sets are dealt to.
+CLASS_SALTS = 16
 #: Item numbers of one block of holders, as many as Spark's bitmaps have bits.
 BLOCK_ITEMS = 32_768
 #: A block with more holders is a bitmap, one with fewer a sorted array of two-byte places.
@@ -159,6 +161,31 @@ def counted_pairs(sets: DataFrame, floor) -> DataFrame:
     return known.unionByName(looked_up).where(reaches(floor))
 
 
+def equal_sets(sets: DataFrame) -> DataFrame:
+    """(item, class): items with equal sets have one class, which is named by its first item."""
+    prints = sets.groupBy("item").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("token")).alias("x"), F.bit_xor(F.xxhash64(F.concat(F.lit("#"), "token"))).alias("y"))
+    keys = ["n", "x", "y"]
+    return prints.join(prints.groupBy(*keys).agg(F.min("item").alias("class")), keys).select("item", "class")
+
+
+def class_pairs(sets: DataFrame, members: DataFrame, floor) -> DataFrame:
+    """The rows of ``counted_pairs`` for sets of which many are equal: one set of each class (``equal_sets``) is
+    compared, and its pairs are dealt out to the members, so that equal sets cost their output only."""
+    leaders = sets.join(members.where("item = class").select("item"), "item", "left_semi")
+    found = stored(counted_pairs(leaders, floor), "class-pairs")
+    sizes = leaders.groupBy(F.col("item").alias("a")).agg(F.count(F.lit(1)).alias("na"))
+    alike = members.groupBy(F.col("class").alias("a")).agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("a")
+    own = sizes.join(alike, "a").select("a", F.col("a").alias("b"), "na", F.col("na").alias("nb"), F.col("na").alias("shared"))
+    first = members.select(F.col("class").alias("a"), F.col("item").alias("item_a"))
+    second = members.select(F.col("class").alias("b"), F.col("item").alias("item_b"), F.explode(F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))).alias("salt"))
+    dealt = found.unionByName(own).join(first, "a").withColumn("salt", F.pmod(F.xxhash64("item_a"), F.lit(CLASS_SALTS)).cast("int"))
+    pairs = spread(dealt, "b", "salt").join(spread(second, "b", "salt"), ["b", "salt"]).where((F.col("a") != F.col("b")) | (F.col("item_a") < F.col("item_b")))
+    ordered = F.col("item_a") < F.col("item_b")
+    pick = lambda x, y: F.when(ordered, F.col(x)).otherwise(F.col(y))
+    return pairs.select(pick("item_a", "item_b").alias("a"), pick("item_b", "item_a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), "shared")
+
+
 def shared_of(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidate pairs with ``shared``, their number of common tokens, where there are any."""
     left = sets.select(F.col("item").alias("a"), "token")
@@ -172,12 +199,13 @@ def reaches(floor) -> Column:
     return (num + den) * F.col("shared") >= num * (F.col("na") + F.col("nb"))
 
 
-def similar_pairs(sets: DataFrame, floor, top_k=None) -> DataFrame:
+def similar_pairs(sets: DataFrame, floor, top_k=None, classes=False) -> DataFrame:
     """Every pair of items with Jaccard >= floor: (a, b, shared, na, nb, jaccard), a < b.
 
-    With ``top_k`` only the best pairs, ties broken by name.
+    With ``top_k`` only the best pairs, ties broken by name.  With ``classes`` equal sets are compared once.
     """
-    pairs = counted_pairs(sets, floor).select(
+    counted = class_pairs(sets, stored(equal_sets(sets), "classes"), floor) if classes else counted_pairs(sets, floor)
+    pairs = counted.select(
         "a", "b", "shared", "na", "nb", _jaccard(F.col("shared"), F.col("na"), F.col("nb")).alias("jaccard"))
     return pairs.orderBy(F.desc("jaccard"), "a", "b").limit(top_k) if top_k else pairs
 
