@@ -172,6 +172,55 @@ def test_dense_groups_send_few_links(spark):
     assert found.count() == 5000 and found.select("component").distinct().count() == 1
 
 
+def _copied_products(spark):
+    """(product, cve_id, rows of weaknesses): twelve weakness sets, near in pairs, of six products each, with few vulnerabilities in common."""
+    cwe = spark.range(72).select(F.format_string("p%02d", "id").alias("product"), (F.col("id") % 12).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select(
+        "product", F.concat(F.lit("w"), F.when(F.col("k") < 3, F.floor(F.col("s") / 2) * 100 + F.col("k")).otherwise(1000 + F.col("s") * 100 + F.col("k"))).alias("cwe_id"))
+    cve = spark.range(72).select(F.format_string("p%02d", "id").alias("product"), F.explode(F.array(
+        F.concat(F.lit("own"), "id"), F.concat(F.lit("v"), F.floor(F.col("id") / 5)), F.concat(F.lit("u"), F.pmod(F.xxhash64("id"), F.lit(40))))).alias("cve_id"))
+    return cve, cwe
+
+
+def _expected_similar(cve, cwe, floor):
+    def sets(table):
+        out = {}
+        for product, token in table.collect():
+            out.setdefault(product, set()).add(token)
+        return out
+    v, w = sets(cve), sets(cwe)
+    share = lambda x, y: len(x & y) / len(x | y)
+    every = sorted(v)
+    return {(a, b) for a in every for b in every if a < b and 0.6 * share(w[a], w[b]) + 0.4 * share(v[a], v[b]) >= floor - 1e-12}
+
+
+@pytest.mark.parametrize("floor", [0.12, 0.2])
+def test_products_of_equal_weaknesses_are_compared_once(spark, monkeypatch, floor):
+    cve, cwe = _copied_products(spark)
+    compared, counted = [], sharing.counted_pairs
+    monkeypatch.setattr(sharing, "counted_pairs", lambda some, at: compared.append(some.select("item").distinct().count()) or counted(some, at))
+    expected = _expected_similar(cve, cwe, floor)
+    got = [(r["a"], r["b"]) for r in similarity.similar_product_pairs(cve, cwe, floor).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and compared == [12]
+
+
+@pytest.mark.parametrize("floor", [0.12, 0.2])
+def test_clusters_compare_equal_weaknesses_once(spark, monkeypatch, floor):
+    cve, cwe = _copied_products(spark)
+    met, cross = [], similarity._cross_pairs
+    monkeypatch.setattr(similarity, "_cross_pairs", lambda members, at: met.append(members.select("item").distinct().count()) or cross(members, at))
+    root = {p: p for p in {r["product"] for r in cve.collect()}}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in _expected_similar(cve, cwe, floor):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["product"]: r["cluster"] for r in similarity.cluster_products(cve, cwe, floor).collect()}
+    assert got == {p: find(p) for p in root} and met[1] == 12
+
+
 def test_equal_sets_are_compared_once(spark, monkeypatch):
     """Pairs over a hundred copies of twenty sets: only the twenty are compared, and all pairs come back."""
     base = spark.range(20).select("id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
