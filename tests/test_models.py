@@ -151,3 +151,10 @@ def test_text_jobs_are_dealt_to_all_tasks(spark, tmp_path):
     for table in (t.advisory_documents(), t.advisory_pages(), t.advisories(True)):
         sizes = table.groupBy(F.spark_partition_id()).count().collect()
         assert len(sizes) >= 4 and sum(r["count"] for r in sizes) == n
+
+
+def test_mentions_are_shuffled_once_for_work_by_advisory(spark):
+    from vulnloom.plans.binding import Logical
+    by_advisory = Logical(spark, "/root/testdata/sf0.001").mentions().groupBy("dsa_id").count()
+    plan = by_advisory._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
