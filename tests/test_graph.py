@@ -273,6 +273,29 @@ def test_impact_of_all_equals_the_trace_of_each(spark, seed, monkeypatch):
     assert any("hops=2" in r for r in want)
 
 
+def test_only_lists_that_meet_at_a_product_make_steps(spark):
+    from vulnloom.operators.sharing import SALT_ROWS
+    # lists of 300 products share a weakness everywhere, but meet at the products p0 and p1 only
+    sources = spark.createDataFrame(
+        [(f"c{k}", f"A,B{k}", f"own{k}") for k in range(300)] + [("c0", "A,B0", "p0"), ("c1", "A,B1", "p0"), ("c2", "A,B2", "p1"), ("c3", "A,B2", "p1")],
+        "class string, own string, met string")
+    weaknesses = spark.createDataFrame([(f"A,B{k}", x) for k in range(300) for x in ("A", f"B{k}")], "own string, cwe_id string")
+    got = {tuple(r) for r in propagation.lists_that_meet(sources, weaknesses).collect()}
+    assert got == {("p0", "A,B0", "A,B1", 1, "A"), ("p0", "A,B1", "A,B0", 1, "A"), ("p1", "A,B2", "A,B2", 2, "A,B2")}
+    # more lists than a salt takes
+    n = SALT_ROWS + 1
+    crowd = spark.range(n).selectExpr("concat('c', id) AS class", "concat('A,', id) AS own", "'p' AS met")
+    assert propagation.lists_that_meet(crowd, crowd.selectExpr("own", "'A' AS cwe_id")).count() == n * (n - 1)
+
+
+def test_impact_sends_no_growing_table_through_the_driver(spark):
+    pairs = spark.createDataFrame([("p1", "v1"), ("p1", "v2"), ("p2", "v2")], "product string, cve_id string")
+    known = spark.createDataFrame([("v1", "A"), ("v2", "A")], "cve_id string, cwe_id string")
+    found = propagation.trace_all_impact(pairs, known)
+    assert "BroadcastHashJoin" not in found.where("hops = 1")._jdf.queryExecution().sparkPlan().toString()
+    assert {(r["source_cve"], r["target_product"], r["hops"]) for r in found.collect()} == {("v1", "p1", 1), ("v2", "p1", 1), ("v2", "p2", 1), ("v1", "p2", 2)}
+
+
 def test_power_rank_equals_plain_iteration(spark):
     rng = random.Random(3)
     nodes = [f"n{k}" for k in range(14)]
