@@ -296,6 +296,22 @@ def test_impact_sends_no_growing_table_through_the_driver(spark):
     assert {(r["source_cve"], r["target_product"], r["hops"]) for r in found.collect()} == {("v1", "p1", 1), ("v2", "p1", 1), ("v2", "p2", 1), ("v1", "p2", 2)}
 
 
+def test_tasks_of_mentions_grow_with_the_table(spark, monkeypatch):
+    from vulnloom.plans import binding
+    monkeypatch.setattr(binding, "TASK_MENTIONS", 500)
+    table = binding.Logical(spark, "/root/testdata/sf0.001")
+    rows = table.table("lineitem").count()
+    assert rows > 2000 and table.mentions().rdd.getNumPartitions() == -(-rows // 500)
+
+
+def test_weaknesses_of_all_are_not_sent_to_every_task(spark):
+    pairs = spark.createDataFrame([("p1", "v1"), ("p1", "v2"), ("p2", "v2")], "product string, cve_id string")
+    known = spark.createDataFrame([("v1", "A"), ("v2", "A")], "cve_id string, cwe_id string")
+    found = propagation.trace_impact(pairs.where("cve_id = 'v1'").select("cve_id"), pairs, known)
+    hints = found._jdf.queryExecution().analyzed().toString()
+    assert "strategy=merge" in hints and {r["target_product"] for r in found.collect()} == {"p1", "p2"}
+
+
 def test_power_rank_equals_plain_iteration(spark):
     rng = random.Random(3)
     nodes = [f"n{k}" for k in range(14)]
