@@ -113,3 +113,10 @@ def test_bucketed_edges_are_read_where_they_lie(spark, tmp_path):
     counts = {r["id"]: r["n_neighbours"] for r in graph.neighbour_numbers(by_src, by_dst).collect()}
     ends = {(s, d) for s, d, _ in rows}
     assert counts == {x: len({d for s, d in ends if s == x} | {s for s, d in ends if d == x}) for x in {y for e in ends for y in e}}
+
+
+def test_bucketed_edges_are_written_once_in_one_file_a_bucket(spark, tmp_path):
+    rows = spark.createDataFrame([(f"D{i % 40}", f"C{i % 23}", "mentions") for i in range(2000)], "src string, dst string, relation string").repartition(6)
+    table = tables.save_bucketed(rows, str(tmp_path / "a"), buckets=4, distinct=True)
+    assert len(list((tmp_path / "a").glob("src/part-*.parquet"))) == 4
+    assert table.count() == rows.distinct().count() == 40 * 23

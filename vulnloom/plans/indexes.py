@@ -88,5 +88,8 @@ def bucketed_snapshot_products(t):
     "mention", "affect", "classified", edge=_EDGE))
 def bucketed_neighbours(t):
     """Number of neighbours of every node, from edges bucketed by their first and by their second node."""
-    folder, edges = _folder(t), _edges(t)
-    return graph.neighbour_numbers(tables.save_bucketed(edges, f"{folder}/out"), tables.save_bucketed(edges, f"{folder}/in", by="dst"))
+    folder = _folder(t)
+    rows = graph.edge_rows(t.mentions(), t.affects(), t.classified_as())
+    out = tables.save_bucketed(rows, f"{folder}/out", distinct=True)
+    # the edges are made once and read back for the other end
+    return graph.neighbour_numbers(out, tables.save_bucketed(out, f"{folder}/in", by="dst"))

@@ -24,16 +24,19 @@ def load_snapshot(spark: SparkSession, path: str):
     return tuple(df.drop("snapshot_version") for df in tables)
 
 
-def save_bucketed(edges: DataFrame, path: str, by="src", buckets=None) -> DataFrame:
+def save_bucketed(edges: DataFrame, path: str, by="src", buckets=None, distinct=False) -> DataFrame:
     """Edges bucketed and sorted by one end, written under ``path`` and read as a table.
 
     Joins and groupings by that end then read the buckets where they lie, without a shuffle.
+    With ``distinct`` repeated edges are written once; they meet in their bucket.
     The table's name is its own; the session's catalogue forgets it with the session.
     """
     spark = edges.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"edges_{by}_{uuid.uuid4().hex}"
-    edges.write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", f"{path}/{by}").saveAsTable(name)
+    # dealt as the buckets are, else every task writes a file to each of them
+    dealt = edges.repartition(buckets, by)
+    (dealt.distinct() if distinct else dealt).write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", f"{path}/{by}").saveAsTable(name)
     return spark.table(name)
 
 
