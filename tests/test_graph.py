@@ -312,6 +312,21 @@ def test_weaknesses_of_all_are_not_sent_to_every_task(spark):
     assert "strategy=merge" in hints and {r["target_product"] for r in found.collect()} == {"p1", "p2"}
 
 
+def test_vulnerabilities_of_lines_meet_their_records_first(spark, tmp_path):
+    from vulnloom.plans import binding
+    source = "/root/testdata/sf0.001"
+    for name in ("lineitem", "orders", "customer"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    part = spark.read.parquet(f"{source}/part.parquet")
+    part.unionByName(part.where("p_partkey = 7")).write.parquet(f"{tmp_path}/part.parquet")
+    once, twice = binding.Logical(spark, source).line_cves(), binding.Logical(spark, str(tmp_path)).line_cves()
+    lines = twice._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {c: next(x.index("Relation") for x in lines if "Relation" in x and c in x) for c in ("p_partkey", "o_custkey", "c_custkey")}
+    assert depth["p_partkey"] > depth["o_custkey"] > depth["c_custkey"]
+    extra = once.where("cve_id like '%-10007'")
+    assert extra.count() > 0 and sorted(twice.collect()) == sorted(once.unionByName(extra).collect())
+
+
 def test_power_rank_equals_plain_iteration(spark):
     rng = random.Random(3)
     nodes = [f"n{k}" for k in range(14)]

@@ -4,6 +4,9 @@ All cut-off dates are handled in one pass: each table is aggregated once per lin
 one conditional aggregate per cut-off, and unfolded to (cutoff, line) rows afterwards.
 """
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -61,9 +64,9 @@ def line_features(lines, line_advisories, line_cves, first_mentions, cutoffs, ho
     published, cvss), ``first_mentions`` (cve_id, first_mentioned).
     """
     advisories = _unfold(line_advisories, [_advisory_measures(c, horizon) for c in cutoffs])
-    latest = max(cutoffs)
-    known = line_cves.where(F.col("published") <= _cut(latest)).where(
-        F.col("published") >= minus_days(_cut(min(cutoffs)), 90))
+    # only what lies in the window of a cut-off is counted
+    known = line_cves.where(functools.reduce(operator.or_, [
+        (F.col("published") <= _cut(c)) & (F.col("published") >= minus_days(_cut(c), 90)) for c in cutoffs]))
     cves = _unfold(known.join(first_mentions, "cve_id", "left"), [_cve_measures(c) for c in cutoffs])
     spine = lines.select("line", F.explode(F.array(*[_cut(c) for c in cutoffs])).alias("cutoff"))
     zero = ["n_total", "n_12m", "n_3m", "n_1m", "n_actual", "n_after", "n_cves", "open_cves"]
