@@ -354,6 +354,25 @@ def test_power_rank_equals_plain_iteration(spark):
     assert {round(r["rank"], 9) for r in graph.power_rank(edges.limit(0), ids).collect()} == {round(1 / 14, 9)}
 
 
+def test_weakness_rank_equals_power_rank_without_moving_edges(spark):
+    rng = random.Random(5)
+    pick = lambda a, b, k, n: sorted({(f"{a}{rng.randrange(k)}", f"{b}{rng.randrange(n)}") for _ in range(30)})
+    table = lambda rows, *names: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names))
+    mentions = table(pick("d", "v", 9, 12), "dsa_id", "cve_id")
+    affects = table(pick("d", "p", 11, 9) + [("d1", "p1"), ("d1", "p1")], "dsa_id", "product")
+    classified = table(pick("v", "w", 8, 7) + [("v20", "w9"), ("v1", "w1"), ("v1", "w1")], "cve_id", "cwe_id")  # w9 has no product
+    own = table(pick("p", "w", 5, 7) + [("p30", "w2")], "product", "cwe_id")
+    links = graph.weakness_links(own.distinct(), graph.edges(mentions, affects, classified))
+    ids = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id")))
+    for rounds in (100, 1, 2):
+        wanted = {r["id"]: r for r in graph.power_rank(links, ids, rounds=rounds).collect()}
+        got = graph.weakness_rank(mentions, affects, classified, own.distinct(), rounds=rounds).collect()
+        assert len(got) == len(wanted) and {r["rounds"] for r in got} == {r["rounds"] for r in wanted.values()}
+        assert all(r["in_degree"] == wanted[r["id"]]["in_degree"] and abs(r["rank"] - wanted[r["id"]]["rank"]) < 1e-12 for r in got)
+    none = [x.limit(0) for x in (mentions, affects, classified, own)]
+    assert graph.weakness_rank(*none).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y")], "a string, b string")
     got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
