@@ -116,6 +116,34 @@ def test_sharing_with_heavy_tokens_is_exact(spark, seed, monkeypatch):
         assert found == {k: v for k, v in counts.items() if v}
 
 
+@pytest.mark.parametrize("salt_rows, cell", [(1024, 2_000_000), (4, 5)])
+def test_pairs_of_one_common_token_are_no_rows(spark, monkeypatch, salt_rows, cell):
+    """Of 400 sets of 30 tokens nearly all pairs share one token: they are counted inside lists and only those at the floor are rows."""
+    monkeypatch.setattr(sharing, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(sharing, "CELL_PAIRS", cell)
+    partners = sharing._partners
+    rng = random.Random(8)
+    sets = {f"i{k:03d}": {"every"} | {f"t{rng.randrange(4000)}" for _ in range(29)} for k in range(400)}
+    sets["same"], sets["sole"] = sets["i007"], {"alone"}
+    rows = spark.createDataFrame([(i, x) for i, s in sets.items() for x in sorted(s)], "item string, token string")
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in itertools.combinations(sorted(sets), 2)
+            if 20 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    counted = spark.sparkContext.accumulator(0)
+
+    def watched(num, den):
+        count = partners(num, den)
+
+        def rows_of(batches):
+            for batch in count(batches):
+                counted.add(batch.num_rows)
+                yield batch
+        return rows_of
+    monkeypatch.setattr(sharing, "_partners", watched)
+    got = [tuple(r[c] for c in ("a", "b", "shared", "na", "nb")) for r in sharing.similar_pairs(rows, 0.05).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert len(want) <= counted.value < 20_000  # of 80,200 pairs that share a token
+
+
 def test_pairs_exactly_at_the_floor(spark):
     """A set of n tokens and s of them: similarity s / n, for all n up to 60, in one table."""
     sizes = [(s, n) for n in range(1, 61) for s in range(1, n + 1)]

@@ -127,24 +127,73 @@ def with_common(met: DataFrame, floor) -> DataFrame:
 
 
 def all_counts(sets: DataFrame, floor) -> DataFrame:
-    """(a, b, na, nb, shared) of all pairs at the floor, each common token counted; a token with many holders is salted."""
+    """(a, b, na, nb, shared) of all pairs at the floor, each common token counted; a token with many holders is salted.
+
+    Items are numbered from the largest set on.  An item gets the later holders of each of its tokens as
+    lists of numbers, which are counted where they arrive: a pair of items is a row only if the common tokens
+    are enough for the larger set.
+    """
     num, den = fraction(floor)
     counts = sets.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    # pairs are counted by numbers, which are shorter than names; only those at the floor get their names again
-    sizes = stored(sets.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("number", F.monotonically_increasing_id()), "sizes")
-    rows = sets.join(counts, "token").join(sizes, "item").select("number", "n", "token", _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts"))
-    rows = stored(rows, "rows")
-    left = spread(rows.withColumn("salt", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int")), "token", "salt")
-    right = spread(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
-    met = left.select(F.col("number").alias("a"), F.col("n").alias("na"), "token", "salt").join(
-        right.select(F.col("number").alias("b"), F.col("n").alias("nb"), "token", "salt"), ["token", "salt"])
-    near = met.where((F.col("a") < F.col("b")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")))
-    found = near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(reaches(floor))
-    name = lambda c: sizes.select(F.col("number").alias(c), F.col("item").alias("item_" + c))
-    pairs = found.join(name("a"), "a").join(name("b"), "b")
-    first = F.col("item_a") < F.col("item_b")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return pairs.select(pick("item_a", "item_b").alias("a"), pick("item_b", "item_a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), "shared")
+    sizes = stored(sets.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n")), "sizes")
+    numbers = _numbered(sizes, F.desc("n"), "item")
+    rows = stored(sets.join(counts, "token").join(numbers, "item").select(
+        "number", "n", "token", _ceil(F.col("holders"), SALT_ROWS).cast("int").alias("salts")), "rows")
+    # few holders: one list, of which a holder gets what is behind it
+    lists = rows.where("salts = 1").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("number", "n"))).alias("holders"))
+    behind = lists.select(F.posexplode("holders").alias("place", "holder"), F.col("holders.number").alias("others")).where(
+        F.col("place") + 1 < F.size("others")).select("holder.number", "holder.n", F.expr("slice(others, place + 2, size(others) - place - 1)").alias("others"))
+    # many: a list for each salt, which meets all holders
+    salted = rows.where("salts > 1")
+    asking = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    parts = salted.groupBy("token", F.pmod(F.xxhash64("number"), F.col("salts")).cast("int").alias("salt")).agg(F.collect_list("number").alias("others"))
+    met = spread(asking, "token", "salt").join(spread(parts, "token", "salt").hint("merge"), ["token", "salt"]).select(
+        "number", "n", F.filter("others", lambda x: x > F.col("number")).alias("others")).where(F.size("others") > 0)
+    arriving = spread(behind.unionByName(met), "number").sortWithinPartitions("number")
+    found = arriving.mapInArrow(_partners(num, den), "first int, second int, shared long")
+    name = lambda c: numbers.select(F.col("number").alias(c), F.col("item").alias("item_" + c), F.col("n").alias("n_" + c))
+    pairs = found.join(name("first"), "first").join(name("second"), "second")
+    ordered = F.col("item_first") < F.col("item_second")
+    pick = lambda c, x, y: F.when(ordered, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    both = ("first", "second"), ("second", "first")
+    return pairs.select(*[pick("item", *x).alias(c) for x, c in zip(both, "ab")], *[pick("n", *x).alias(c) for x, c in zip(both, ("na", "nb"))], "shared").where(reaches(floor))
+
+
+def _partners(num: int, den: int):
+    """Counts the others of each number, whose lists come one after the other; CELL_PAIRS others are looked at together.
+
+    A pair at the floor shares at least the floor's part of each of its sets: fewer are not handed on.
+    """
+    def enough(keys, times, numbers, n):
+        kept = den * times >= num * n[np.searchsorted(numbers, keys >> 32)]
+        keys, times = keys[kept], times[kept]
+        columns = [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(times.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["first", "second", "shared"])
+
+    def count(batches):
+        # the last number of a slice may go on in the next one: its keys (number and other), how often each, its size
+        keys, times, open_number, open_n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            numbers, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("number", "n"))
+            lists = batch.column("others")
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, total = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(size)
+            at = 0
+            while at < len(numbers):
+                before = int(total[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(total, before + CELL_PAIRS, "right")))
+                fresh, often = np.unique((np.repeat(numbers[at:to], size[at:to]) << 32) | flat[before:int(total[to - 1])], return_counts=True)
+                if len(keys):
+                    fresh, place = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+                    often = np.bincount(place, np.concatenate([times, often]), len(fresh)).astype(np.int64)
+                known, known_n = np.concatenate([open_number, numbers[at:to]]), np.concatenate([open_n, n[at:to]])
+                cut = np.searchsorted(fresh, numbers[to - 1] << 32)
+                yield enough(fresh[:cut], often[:cut], known, known_n)
+                keys, times, open_number, open_n = fresh[cut:], often[cut:], numbers[to - 1:to], n[to - 1:to]
+                at = to
+        yield enough(keys, times, open_number, open_n)
+
+    return count
 
 
 def counted_pairs(sets: DataFrame, floor) -> DataFrame:
@@ -256,15 +305,16 @@ def neighbour_counts(sets: DataFrame) -> DataFrame:
     return found.join(numbers, "number").where("neighbours > 0").select("item", "neighbours")
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    """(item, number): items in the order of their names, numbered from 0 without gaps, in four bytes."""
+def _numbered(items: DataFrame, *order) -> DataFrame:
+    """The items with ``number``, from 0 without gaps and in four bytes, in the order of their names or in ``order``."""
+    order = order or ("item",)
     parts = max(1, -(-items.count() // BLOCK_ITEMS))
-    placed = stored(items.repartitionByRange(parts, "item").sortWithinPartitions("item").select(
-        "item", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")), "places")
+    placed = stored(items.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")), "places")
     # one row for each BLOCK_ITEMS items
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return stored(placed.join(before, "part").select("item", (F.col("before") + F.col("place")).cast("int").alias("number")), "numbers")
+    return stored(placed.join(before, "part").select(*items.columns, (F.col("before") + F.col("place")).cast("int").alias("number")), "numbers")
 
 
 def _spans(heavy: Column, unit: int, width: int) -> Column:
