@@ -35,6 +35,20 @@ def test_phrases_equal_a_scan(spark, tmp_path, monkeypatch):
     assert again == {x for x in want if x[1] != 502} | {(7, 502)}
 
 
+@pytest.mark.parametrize("block", [1_000_000, 7])
+def test_words_are_inverted_before_they_are_shuffled(spark, tmp_path, monkeypatch, block):
+    """A frequent word is a row for each block of texts, not for each text; null and empty texts and long ones are indexed too."""
+    monkeypatch.setattr(text_index, "BLOCK_WORDS", block)
+    texts = [(f"k{i:03d}", " ".join(["so it goes"] * (i % 5)) + (" on" if i % 3 else "")) for i in range(200)] + [("none", None), ("empty", "")]
+    frame = spark.createDataFrame(texts, "id string, body string").coalesce(1)
+    text_index.add_phrase_segment(frame, "id", "body", str(tmp_path), 1)
+    if block > 7:
+        assert spark.read.parquet(f"{tmp_path}/postings").where("token = 'so'").count() < 20  # 160 texts, 400 places
+    asked = spark.createDataFrame([(1, "goes so it"), (2, "goes on"), (3, "on")], "phrase_id int, phrase string")
+    got = sorted(tuple(r) for r in text_index.search_phrases(spark, str(tmp_path), asked).collect())
+    assert got == sorted((k, i) for k, p in ((1, "goes so it"), (2, "goes on"), (3, "on")) for i, t in texts if t and f" {p} " in f" {t} ".replace("  ", " "))
+
+
 def test_substrings_equal_a_scan(spark, tmp_path):
     rng = random.Random(2)
     names = {"".join(rng.choice("abcABÉé %_") for _ in range(rng.randrange(1, 12))) for _ in range(150)} | {"PowerEdge R640", "ab"}
