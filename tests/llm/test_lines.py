@@ -155,3 +155,16 @@ def test_band_recall():
 
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_lines_of_a_large_group_meet_few_others_first(spark):
+    """300 lines with the same frequent shingles: the first round makes a few pairs a line, of those that the exact join makes."""
+    draw = random.Random(12)
+    sign = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = sign(200)
+    texts = spark.createDataFrame([(k, (common + sign(20)).encode()) for k in range(300)], "key long, line binary")
+    whole = {tuple(sorted(r)) for r in lines.undecided_pairs(texts, None).collect()}
+    few = {tuple(sorted(r)) for r in lines.undecided_pairs(texts, None, lines.prefixes(texts), lines.PARTNERS).collect()}
+    assert len(whole) == 300 * 299 // 2 and few < whole and len({x for pair in few for x in pair}) >= 299  # the largest component does not look for others
+    assert len(few) <= 300 * 2.5 * lines.PARTNERS
+    assert lines.undecided_pairs(texts.limit(2 * lines.PARTNERS), None, None, lines.PARTNERS).isEmpty()

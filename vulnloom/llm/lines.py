@@ -42,6 +42,8 @@ SHORT = 60
 LEADERS = 2
 #: Bands of short lines: a pair at similarity 0.8 meets in one with probability 0.9998, whatever its length.
 SHORT_BANDS = 16
+#: Holders of a frequent shingle that its other holders meet before all are joined.
+PARTNERS = 32
 #: Bytes of the texts that one task reads at once, about.
 CHUNK_BYTES = 1_500_000
 #: Shingles that are hashed at once for the exact join, about.
@@ -252,13 +254,14 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return found
 
 
-def undecided_pairs(texts: DataFrame, nodes: DataFrame | None) -> DataFrame:
+def undecided_pairs(texts: DataFrame, nodes: DataFrame | None, every: DataFrame | None = None, partners: int | None = None) -> DataFrame:
     """(a, b): all pairs of lines (key, line) of different components that may be similar.
 
     Of a shingle's holders only those outside its largest component look for partners, so a
-    large component is never paired with itself.
+    large component is never paired with itself.  ``every`` are the ``prefixes`` of the lines, if they are known.  With
+    ``partners`` only shingles with more than twice as many holders are asked, and about so many of these are met.
     """
-    every = prefixes(texts)
+    known, every = every, prefixes(texts) if every is None else every
     several = every.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("token")
     held = every.join(several.hint("merge"), "token", "left_semi")
     if nodes is None:
@@ -271,7 +274,13 @@ def undecided_pairs(texts: DataFrame, nodes: DataFrame | None) -> DataFrame:
         F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("holders"), F.count(F.lit(1)).alias("components"))
     rows = held.join(most.where("components > 1").hint("merge"), "token").withColumn("salts", F.ceil(F.col("holders") / SALT_ROWS).cast("int"))
     left = spread(rows.where("component <> largest").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")), "token", "salt")
-    right = spread(rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
+    asked = rows
+    if partners:
+        rows = rows.where(F.col("holders") > 2 * partners)
+        left = left.where(F.col("holders") > 2 * partners)
+        step = F.expr(f"cast(pow(2, floor(log2(holders / {partners}))) as bigint)")  # the same lines are met at all shingles of a group
+        asked = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), step) == 0)
+    right = spread(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "token", "salt")
     named = [x.select(F.col("key").alias(c), F.col("n").alias("n" + c), F.col("i").alias("i" + c), F.col("component").alias("of_" + c), *more, "token", "salt")
              for x, c, more in ((left, "a", []), (right, "b", ["largest"]))]
     num, den = SIMILARITY
@@ -280,11 +289,12 @@ def undecided_pairs(texts: DataFrame, nodes: DataFrame | None) -> DataFrame:
     # at places where that can be, which in a group of lines with the same frequent shingles
     # leaves those out that differ in too many rare ones.
     first = (F.col("ia") <= F.col("na") - needed + 1) & (F.col("ib") <= F.col("nb") - needed + 1)
+    once = F.lit(True) if partners else (F.col("a") < F.col("b")) | (F.col("of_b") == F.col("largest"))
     met = named[0].join(named[1].hint("merge"), ["token", "salt"]).where(
-        (F.col("of_a") != F.col("of_b")) & ((F.col("a") < F.col("b")) | (F.col("of_b") == F.col("largest")))
+        (F.col("of_a") != F.col("of_b")) & once
         & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & first)
     found = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "undecided")
-    discard(every, held)
+    discard(held, *([] if known is not None else [every]))
     return found
 
 
@@ -339,12 +349,16 @@ def links(lines: DataFrame) -> DataFrame | None:
     edges, members, texts, done = found
     nodes = None if edges.isEmpty() else stored(connected_components(edges).select("node", "component"), "components")
     asked = stored(_undecided(members, texts, done, nodes), "asked")
-    near = stored(verified(undecided_pairs(asked, nodes), asked), "near")
-    if not near.isEmpty():
-        if nodes is not None:
-            near = near.unionAll(nodes.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        nodes = stored(connected_components(near).select("node", "component"), "components")
-    discard(asked, members, texts)
+    every = prefixes(asked)
+    # a line of a large group is mostly similar to one of few others: it joins their component
+    # and is left out when all that is still undecided is joined
+    for partners in (PARTNERS, None):
+        near = stored(verified(undecided_pairs(asked, nodes, every, partners), asked), "near")
+        if not near.isEmpty():
+            if nodes is not None:
+                near = near.unionAll(nodes.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            nodes = stored(connected_components(near).select("node", "component"), "components")
+    discard(every, asked, members, texts)
     return nodes
 
 
