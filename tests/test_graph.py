@@ -263,6 +263,55 @@ def test_equal_sets_are_compared_once(spark, monkeypatch):
     assert set(got) == set(expected)
 
 
+def _crowded_sets(items=500, seed=11):
+    """Sets of some of 60 tokens that many hold, and of tokens that few hold; one is empty but for a common token, two are equal."""
+    rng = random.Random(seed)
+    sets = {f"i{k:03d}": {f"h{x}" for x in rng.sample(range(60), rng.randrange(3, 40))} | {f"r{rng.randrange(300)}" for _ in range(4)} for k in range(items)}
+    sets["i001"], sets["i002"] = {"h1"}, set(sets["i003"])
+    return sets
+
+
+def _rows(spark, sets):
+    return spark.createDataFrame([(i, x) for i, s in sets.items() for x in sorted(s)], "item string, token string")
+
+
+def _brute_pairs(sets, num, den):
+    return {(a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in itertools.combinations(sorted(sets), 2)
+            if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("rows, tokens, floor", [(65_536, 8_000_000, "0.15"), (100, 3000, "0.05")])
+def test_common_tokens_of_many_are_counted_in_cells(spark, monkeypatch, rows, tokens, floor):
+    """Where tokens have many holders no lists of holders are sent, but blocks of items, each once to each cell."""
+    monkeypatch.setattr(sharing, "_partners", lambda *_: 1 / 0)
+    for name, value in (("BLOCK_ROWS", rows), ("BLOCK_TOKENS", tokens), ("LEAST_ROWS", 64)):
+        monkeypatch.setattr(sharing.cells, name, value)
+    sets = _crowded_sets()
+    got = [tuple(r[c] for c in ("a", "b", "shared", "na", "nb")) for r in sharing.similar_pairs(_rows(spark, sets), floor).collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute_pairs(sets, *sharing.fraction(floor))
+
+
+@pytest.mark.parametrize("share, words, pairs", [(512, 8192, 2_000_000), (3, 24, 500), (1, 8, 500)])
+def test_a_cell_adds_bitmaps_and_lists(monkeypatch, share, words, pairs):
+    """All tokens as bitmaps, some or none; items of one group are no pair."""
+    import pyarrow as pa
+    from vulnloom.operators import cells
+    for name, value in (("BITMAP_SHARE", share), ("CACHED_WORDS", words), ("LIST_PAIRS", pairs)):
+        monkeypatch.setattr(cells, name, value)
+    sets = sorted(_crowded_sets(300).values(), key=len, reverse=True)
+    codes = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    groups = [k % 7 if k % 3 else None for k in range(len(sets))]
+    batch = lambda side: pa.RecordBatch.from_arrays([
+        pa.array([0] * len(sets), pa.int32()), pa.array([side] * len(sets), pa.int32()), pa.array(range(len(sets)), pa.int32()), pa.array([len(s) for s in sets], pa.int32()),
+        pa.array(groups, pa.int64()), pa.array([[codes[x] for x in s] for s in sets], pa.list_(pa.int32()))], ["cell", "side", "number", "n", "grp", "tokens"])
+    columns, asking = batch(0), batch(1)
+    batches = [columns.slice(0, 130), columns.slice(130), asking.slice(0, 40), asking.slice(40)]
+    for num, den in ((3, 20), (1, 20), (9, 10)):
+        want = {r[:3] for r in _brute_pairs(dict(enumerate(sets)), num, den) if groups[r[0]] is None or groups[r[0]] != groups[r[1]]}
+        got = [tuple(r.values()) for out in cells._cells(num, den)(batches) for r in out.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_neighbours_of_long_lists_come_from_narrower_ranges(spark, monkeypatch):
     """Ranges shrink until a task can take their lists; what an item has in groups of tokens is not written."""
     monkeypatch.setattr(sharing, "GROUP_ROWS", 1500)
