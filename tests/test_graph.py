@@ -312,6 +312,19 @@ def test_a_cell_adds_bitmaps_and_lists(monkeypatch, share, words, pairs):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_looked_up_pairs_travel_with_lists(spark):
+    """A pair of two long sets is one row on its way, and not one for each of its tokens; null tokens are not shared."""
+    long = [(i, f"t{k}") for i, to in (("a", 900), ("b", 1000), ("c", 3)) for k in range(to)] + [("a", None), ("b", None), ("d", None), ("d", "x")]
+    sets = spark.createDataFrame(long, "item string, token string")
+    asked = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("a", "e", 4)], "a string, b string, mark int")
+    for some in (sets, sharing.coded(sets)):
+        found = sharing.shared_of(asked, some)
+        assert {tuple(r) for r in found.collect()} == {("a", "b", 1, 900), ("a", "c", 2, 3)}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_intersect" in plan and "Aggregate [a#" not in plan
+    assert sharing.coded(sets).where("token is null").count() == 3 and sharing.coded(sets).count() == len(long)
+
+
 def test_neighbours_of_long_lists_come_from_narrower_ranges(spark, monkeypatch):
     """Ranges shrink until a task can take their lists; what an item has in groups of tokens is not written."""
     monkeypatch.setattr(sharing, "GROUP_ROWS", 1500)
