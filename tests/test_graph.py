@@ -325,6 +325,19 @@ def test_looked_up_pairs_travel_with_lists(spark):
     assert sharing.coded(sets).where("token is null").count() == 3 and sharing.coded(sets).count() == len(long)
 
 
+@pytest.mark.parametrize("list_rows", [0, 10 ** 6])
+def test_pairs_of_components_at_a_low_floor_are_no_joined_rows(spark, monkeypatch, list_rows):
+    """Whole sets of other components are counted, in cells or lists; a row is a pair at the floor and not a common token."""
+    monkeypatch.setattr(similarity, "named", lambda *_: 1 / 0)
+    monkeypatch.setattr(sharing, "LIST_ROWS", list_rows)
+    sets = _crowded_sets(150)
+    component = {i: i if k % 4 else f"i{k % 12:03d}" for k, i in enumerate(sorted(sets))}
+    members = spark.createDataFrame([(i, x, component[i]) for i, s in sets.items() for x in s], "item string, token string, component string")
+    got = [(r["a"], r["b"], r["shared"], r["na"], r["nb"]) for r in similarity._cross_pairs(members, 0.12).collect()]
+    want = {r for r in _brute_pairs(sets, 3, 25) if component[r[0]] != component[r[1]]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_neighbours_of_long_lists_come_from_narrower_ranges(spark, monkeypatch):
     """Ranges shrink until a task can take their lists; what an item has in groups of tokens is not written."""
     monkeypatch.setattr(sharing, "GROUP_ROWS", 1500)
