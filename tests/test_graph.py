@@ -338,6 +338,21 @@ def test_pairs_of_components_at_a_low_floor_are_no_joined_rows(spark, monkeypatc
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_holders_are_sorted_and_not_hashed(monkeypatch):
+    """The holders of a cell are made distinct by sorting; ``np.unique`` without further columns hashes them, ten times as long."""
+    import numpy as np
+    import pyarrow as pa
+    unique = np.unique
+    monkeypatch.setattr(np, "unique", lambda values, **how: unique(values, **how) if how else 1 / 0)
+    monkeypatch.setattr(sharing, "CELL_PAIRS", 5)
+    holders = {1: [0, 2, 5], 2: [0, 2, 7, 9], 3: [5, 9]}
+    asking = pa.table({"t": [t for t, h in holders.items() for _ in h], "number": pa.array([x for h in holders.values() for x in h], pa.int32())})
+    wanted = pa.table({"t": list(holders), "bits": pa.nulls(3, pa.binary()), "block": pa.nulls(3, pa.int64()), "places": pa.array(list(holders.values()), pa.list_(pa.int32()))})
+    got = dict(zip(*sharing._counted_cell(asking, wanted).to_pydict().values()))
+    assert got == {x: len({y for h in holders.values() if x in h for y in h}) - 1 for x in (0, 2, 5, 7, 9)}
+    assert sharing._union([], [np.array([3, 1], np.uint16), np.array([1, 2], np.uint16)]) == (None, np.array([1, 2, 3], np.uint16).tobytes())
+
+
 def test_neighbours_of_long_lists_come_from_narrower_ranges(spark, monkeypatch):
     """Ranges shrink until a task can take their lists; what an item has in groups of tokens is not written."""
     monkeypatch.setattr(sharing, "GROUP_ROWS", 1500)

@@ -241,3 +241,12 @@ def test_daily_counts_leave_late_rows_out(spark, tmp_path):
             "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["window_start"].day, r["n"], r["total"]) for r in spark.read.parquet(str(out)).collect()}
     assert got == {(1, 1, 1.0), (5, 1, 2.0)}  # the row of the first day that came after the bound is not counted
+
+
+@pytest.mark.parametrize("name", ["product_recommendations", "portfolio_plan"])
+def test_recommendations_carry_no_evidence(spark, monkeypatch, name):
+    """The ids of a match are not ranked where only recommendations are shown."""
+    from vulnloom.plans import load_all, reports
+    monkeypatch.setattr(reports, "_scored", lambda t: t.affects().select("product", F.lit(85.0).alias("score")).distinct())
+    found = load_all().QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "cve_ids" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
