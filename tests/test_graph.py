@@ -353,6 +353,16 @@ def test_holders_are_sorted_and_not_hashed(monkeypatch):
     assert sharing._union([], [np.array([3, 1], np.uint16), np.array([1, 2], np.uint16)]) == (None, np.array([1, 2, 3], np.uint16).tobytes())
 
 
+def test_ranks_are_summed_once(spark):
+    """The largest rank and the ranks are read from one stored table: nothing is joined or summed twice."""
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names.split()))
+    found = graph.rank(frame([("v1",), ("v2",)], "cve_id"), frame([("p1",)], "product"), frame([("d1", "v1")], "dsa_id cve_id"),
+                       frame([("d1", "p1")], "dsa_id product"), frame([("v1", "A")], "cve_id cwe_id"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    ranks = {r["id"]: r["rank"] for r in found.collect()}
+    assert ranks == pytest.approx({"d1": 1 / 2.21125, "v1": 1.425 / 2.21125, "v2": 1 / 2.21125, "p1": 1.425 / 2.21125, "A": 1.0})
+
+
 def test_neighbours_of_long_lists_come_from_narrower_ranges(spark, monkeypatch):
     """Ranges shrink until a task can take their lists; what an item has in groups of tokens is not written."""
     monkeypatch.setattr(sharing, "GROUP_ROWS", 1500)
